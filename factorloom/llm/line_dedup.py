@@ -143,7 +143,7 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         maps = []
         for places in batch.column("places").to_pylist():
-            bits = np.ones(max(places) + 1, dtype=np.uint8)
+            bits = np.ones((max(places) // 8 + 1) * 8, dtype=np.uint8)
             bits[places] = 0
             maps.append(zlib.compress(np.packbits(bits).tobytes(), 6))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rid"), pa.array(maps, type=pa.binary())], names=["id", "rid", "bitmap"])
@@ -170,7 +170,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             lines = text.split("\n")
             bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), dtype=np.uint8))[: len(lines)]
-            gone = set(np.flatnonzero(bits == 0).tolist()) if len(bits) == len(lines) else {i for i in np.flatnonzero(bits == 0).tolist() if i < len(lines)}
+            gone = set(np.flatnonzero(bits == 0).tolist())
             n_lines.append(len(lines))
             n_dropped.append(len(gone))
             kept.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
