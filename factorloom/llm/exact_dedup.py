@@ -62,8 +62,8 @@ def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", f
     runs = local.withColumn("lane", F.col("home"))
     for level in range(levels):
         step = fan_in**level
-        digit = F.pmod(F.floor(F.col("short") / F.lit(step)), F.lit(fan_in)).cast("int")
-        block = F.col("lane") - F.pmod(F.floor(F.col("lane") / F.lit(step)), F.lit(fan_in)) * F.lit(step)
+        digit = F.expr(f"(short div {step}) % {fan_in}").cast("int")
+        block = F.expr(f"lane - ((lane div {step}) % {fan_in}) * {step}")
         runs = merge_round(runs, (block + digit * F.lit(step)).cast("int"), n)
     answers = (
         local.select("home", "short", "digest")
