@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_model, line_dedup, mixing, neighbours, packing, sharding, token_counts, toxicity
+from . import exact_dedup, jaccard_join, language_model, line_dedup, mixing, neighbours, packing, sharding, token_counts, toxicity
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SLOTS = 4099
@@ -32,6 +32,10 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_nearest_neighbours": op4_nearest_neighbours,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
