@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +145,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     """
     path = vocabulary or tokenizer_path("word_bpe_49k.json")
     tail = np.array([end_id], dtype="<u4").tobytes()
+    costs = replace(costs, stride=min(costs.stride, max(1, width // 2)))
     room = block * width * 4
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

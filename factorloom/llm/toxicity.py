@@ -366,14 +366,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def score(docs: DataFrame, net: Network | None, text: str = "text", extra: list[str] | None = None) -> DataFrame:
-    """``docs`` columns named in ``extra`` (default: all) and ``score``: the largest probability of all windows of the text.
+    """``docs`` columns named in ``extra`` (default: all; one named score gives way) and ``score``: the largest probability of all windows of the text.
 
     Whole texts are read, in windows of 64 words, each 48 words after the one before. Null and empty
     texts are a window without words. Without a network (no labelled rows of both classes) every score
     is 0. Rows are scored one by one, so repeated rows, null keys and empty tables are no special case.
     """
     spark = docs.sparkSession
-    names = docs.columns if extra is None else extra
+    names = [c for c in (docs.columns if extra is None else extra) if c.lower() != "score"]
     if net is None:
         return docs.select(*[docs[c] for c in names], F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast(net)
@@ -398,12 +398,6 @@ def score(docs: DataFrame, net: Network | None, text: str = "text", extra: list[
 def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``threshold``."""
     net = train(docs, labels, text, key)
-    scored = score(docs, net, text)
-    return scored.where(F.col("score") < threshold).select(*docs.columns) if "score" not in docs.columns else _keep(docs, net, text, threshold)
-
-
-def _keep(docs: DataFrame, net: Network | None, text: str, threshold: float) -> DataFrame:
-    """The same for tables that have a column named score."""
     names = docs.columns
     moved = docs.toDF(*[f"c{i}" for i in range(len(names))])
     kept = score(moved, net, f"c{names.index(text)}").where(F.col("score") < threshold).drop("score")
