@@ -84,7 +84,7 @@ def peers(universe: DataFrame, n: int = 5) -> DataFrame:
     has = universe.where(F.col("market_cap") > 0).select("ticker", "sector", "market_cap")
     by = Window.partitionBy("sector").orderBy("market_cap", "ticker")
     near = [f(F.struct("ticker", "market_cap"), i).over(by) for i in range(1, n + 1) for f in (F.lag, F.lead)]
-    other = has.withColumn("peer", F.explode(F.array(*near))).where("peer is not null")
+    other = has.withColumn("near", F.array(*near)).withColumn("peer", F.explode("near")).where("peer is not null").drop("near")
     other = other.withColumn("distance", F.abs(F.col("peer.market_cap") / F.col("market_cap") - 1))
     nth = F.row_number().over(Window.partitionBy("ticker").orderBy("distance", F.col("peer.ticker")))
     return other.withColumn("nth", nth).where(F.col("nth") <= n).select("ticker", F.col("peer.ticker").alias("peer"), "nth", rounded(F.col("distance"), 6).alias("distance"))

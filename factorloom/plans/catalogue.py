@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _name in ("scoring",):
+for _name in ("scoring", "reports"):
     _module = import_module(f"{__package__}.{_name}")
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
