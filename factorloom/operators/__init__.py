@@ -1,0 +1 @@
+"""Operators: DataFrames in, a DataFrame out."""

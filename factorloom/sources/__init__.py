@@ -1,0 +1 @@
+"""Views over base tables."""

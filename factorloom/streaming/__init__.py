@@ -1,0 +1 @@
+"""Empty: nothing that is rebuilt here is a stream."""
