@@ -19,7 +19,9 @@ WIDTH, STRIDE = 64, 48
 INPUT = 3 + 2 * EMBED
 EDGE = b".,;:!?\"'`()[]{}<>*&%$#@-_~/\\|+="
 #: Bound of the sample of labelled rows that the network is fitted on: so many of each class.
-MOST_TOXIC, MOST_CLEAN = 1500, 3000
+MOST_TOXIC, MOST_CLEAN = 800, 1600
+#: Words whose characters are worked on at once.
+SLICE = 20_000
 #: Parts of the sample for signs from other texts.
 PARTS = 3
 SHUT = 60.0  # an update gate that lets a state pass unchanged
@@ -27,6 +29,10 @@ SHUT = 60.0  # an update gate that lets a state pass unchanged
 
 def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the 3- to 5-grams of bytes of each word with its ends marked, and where each word's begin."""
+    if len(words) > SLICE:
+        parts = [gram_buckets(words[a : a + SLICE]) for a in range(0, len(words), SLICE)]
+        sizes = np.concatenate([np.diff(starts) for _, starts in parts])
+        return np.concatenate([flat for flat, _ in parts]), np.concatenate(([0], np.cumsum(sizes)))
     marked = [b"^" + w + b"$" for w in words]
     raw = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
     of = np.repeat(np.arange(len(words)), [len(m) for m in marked])
@@ -99,6 +105,9 @@ class Network:
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
         """(words, INPUT), and the buckets behind it: from the word as a whole and from its characters."""
+        if len(words) > SLICE:
+            parts = [self.inputs(words[a : a + SLICE])[0] for a in range(0, len(words), SLICE)]
+            return np.concatenate(parts), ()
         cores = [core(w) for w in words]
         wb = word_buckets(cores)
         flat, starts = gram_buckets(cores)
@@ -203,12 +212,12 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 1, steps: int = 180,
     cores = [core(w) for w in words]
     wb = word_buckets(cores)
     flat, starts = gram_buckets(cores)
-    each = np.repeat(np.arange(len(words)), np.diff(starts))
+    each = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(starts))
     part = np.zeros(len(docs), dtype=np.int64)
     for y in (0, 1):
         own = np.flatnonzero(labels == y)
         part[own] = np.arange(len(own)) * PARTS // len(own)
-    counts = np.zeros((PARTS, 2, len(words)))
+    counts = np.zeros((PARTS, 2, len(words)), dtype=np.float32)
     for d, y, k in zip(docs, labels, part.tolist(), strict=True):
         counts[k, int(y)][np.unique(d)] += 1
 
@@ -285,8 +294,8 @@ class Scorer:
                 more = np.zeros((max(n, 2 * len(self.table[d])), 3 * HIDDEN), dtype=np.float32)
                 more[: len(self.table[d])] = self.table[d]
                 self.table[d] = more
-        for a in range(0, len(self.fresh), 20_000):
-            part = self.fresh[a : a + 20_000]
+        for a in range(0, len(self.fresh), SLICE):
+            part = self.fresh[a : a + SLICE]
             x, _ = self.net.inputs(part)
             first = n - len(self.fresh) + a
             for d in "fb":
