@@ -165,8 +165,9 @@ def signatures(docs: DataFrame, text: str, key: str, words: int, percent: int) -
                     own = shingles[a:b]
                     columns[2].append(int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)) if n else None)
                     need = needed(n, percent)
-                    # the first tokens in order are those seen once: enough of them, and there is no key
-                    if need == n or once[b] - once[a] >= n - need + groups_of(n) + 1:
+                    # the first tokens in order are those seen once: enough of them, and there is no key;
+                    # nor is there one if even a set with all n tokens and one more overlaps too little
+                    if 100 * n < percent * (n + 1) or once[b] - once[a] >= n - need + groups_of(n) + 1:
                         columns[3].append(None)
                         columns[4].append(None)
                         continue

@@ -218,6 +218,18 @@ def test_jaccard_components(spark, monkeypatch, words, percent, often):
     assert jaccard_join.components_of(frame(spark, rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("words,percent,length", [(3, 90, 11), (5, 80, 8)])
+def test_jaccard_one_word_more(spark, words, percent, length):
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(length + family % 3 - 1)]
+        rows += [(3 * family, " ".join([*base, "after"]), "s"), (3 * family + 1, " ".join(base), "s"), (3 * family + 2, " ".join(["before", *base]), "s")]
+    truth = jaccard_truth(rows, words, percent)
+    assert any(k != c for k, _, c in truth)
+    got = jaccard_join.components_of(frame(spark, rows).repartition(3), words=words, percent=percent)
+    assert sorted(map(tuple, got.collect())) == sorted(truth)
+
+
 def test_jaccard_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(100))
     docs = frame(spark, [(3, base, "s"), (2, base + " more", "s"), (5, "other text", "s"), (None, base, "s"), (8, None, "s")])
