@@ -15,17 +15,18 @@ from .scratch import cut
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 4_000_000
-SCHEMA = "chunk long, ids array<long>, lengths binary, codes binary, words binary, n_words int"
+SCHEMA = "chunk long, ids array<long>, marks array<long>, lengths binary, codes binary, words binary, n_words int"
 #: Holds a space, so no word equals it.
 END = b" end"
 
 
 @dataclass
 class Chunk:
-    """``codes`` of all documents one after the other; a code is the place of the word's hash in ``words``."""
+    """``codes`` of all documents one after the other; a code is the place of the word's hash in ``words``. ``marks``: see ``encode_chunks``."""
 
     number: int
     ids: list
+    marks: list
     lengths: np.ndarray
     codes: np.ndarray
     words: np.ndarray
@@ -68,42 +69,43 @@ def encode(ids: list, texts: list[bytes], end: bool) -> tuple[np.ndarray, np.nda
     return lengths, place.astype(np.uint32)[codes] if len(codes) else codes, words
 
 
-def encode_chunks(docs: DataFrame, text: str, key: str, end: bool = False, name: str = "chunks") -> DataFrame:
-    """A stored table with one row for each chunk of documents, in the order in which tasks read them."""
+def encode_chunks(docs: DataFrame, text: str, key: str, end: bool = False, name: str = "chunks", marked: bool = False) -> DataFrame:
+    """A stored table with one row for each chunk of documents, in the order in which tasks read them; ``marked``: with Spark's xxhash64 of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        ids, texts, held = [], [], 0
+        ids, marks, texts, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             lengths, codes, words = encode(ids, texts, end)
-            columns = [[number], [ids], [pack_array(lengths)], [pack_array(codes)], [pack_array(words)], [len(words)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "ids", "lengths", "codes", "words", "n_words"])
+            columns = [[number], [ids], [marks], [pack_array(lengths)], [pack_array(codes)], [pack_array(words)], [len(words)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "ids", "marks", "lengths", "codes", "words", "n_words"])
 
         for batch in batches:
-            for i, raw in zip(batch.column("id").to_pylist(), batch.column("raw"), strict=True):
+            for i, m, raw in zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("raw"), strict=True):
                 raw = raw.as_py() or b""
                 ids.append(i)
+                marks.append(m)
                 texts.append(raw)
                 held += len(raw) + 64
                 if held >= CHUNK_BYTES:
                     yield flush()
-                    ids, texts, held, number = [], [], 0, number + 1
+                    ids, marks, texts, held, number = [], [], [], 0, number + 1
         if ids:
             yield flush()
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("raw"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), (F.xxhash64(text) if marked else F.lit(None).cast("long")).alias("mark"), F.col(text).cast("binary").alias("raw"))
     return cut(rows.mapInArrow(run, SCHEMA), name)
 
 
 def chunks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Chunk]]:
     """The row's place in the batch, and its chunk."""
     for i in range(batch.num_rows):
-        row = {c: batch.column(c)[i].as_py() for c in ("chunk", "ids", "lengths", "codes", "words")}
-        yield i, Chunk(row["chunk"], row["ids"], unpack_array(row["lengths"], np.int32), unpack_array(row["codes"], np.uint32), unpack_array(row["words"], np.uint64))
+        row = {c: batch.column(c)[i].as_py() for c in ("chunk", "ids", "marks", "lengths", "codes", "words")}
+        yield i, Chunk(row["chunk"], row["ids"], row["marks"], unpack_array(row["lengths"], np.int32), unpack_array(row["codes"], np.uint32), unpack_array(row["words"], np.uint64))
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:

@@ -137,12 +137,12 @@ def short_counts(shingles: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
     return (cut_to & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16), at
 
 
-SIGNED = "id long, n long, class long, keys array<long>, tokens binary"
+SIGNED = "id long, mark long, n long, class long, keys array<long>, tokens binary"
 
 
-def signatures(docs: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
-    """Per row: id, set size, the hash of the set (null if empty), and for sets that may have links their keys and tokens."""
-    chunks = encode_chunks(docs, text, key)
+def signatures(docs: DataFrame, text: str, key: str, words: int, percent: int, marked: bool = False) -> DataFrame:
+    """Per row: id, mark of the text (see ``encode_chunks``), set size, the hash of the set (null if empty), and for sets that may have links their keys and tokens."""
+    chunks = encode_chunks(docs, text, key, marked=marked)
     total = chunks.select(F.sum(F.size("ids")), F.sum(F.length("codes"))).first()
     tokens = (total[1] or 0) // 2
     parts = 1
@@ -159,23 +159,23 @@ def signatures(docs: DataFrame, text: str, key: str, words: int, percent: int) -
                 by_short = np.concatenate([unpack_array(x["levels"], np.uint8) for x in got]) if got else np.zeros(0, np.uint8)
                 seen = by_short[np.unique(shingles >> np.uint64(32 - bits), return_inverse=True)[1]]
                 once = np.concatenate(([0], np.cumsum(seen == 1)))
-                columns: list[list] = [c.ids, np.diff(at).tolist(), [], [], []]
+                columns: list[list] = [c.ids, c.marks, np.diff(at).tolist(), [], [], []]
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     n = b - a
                     own = shingles[a:b]
-                    columns[2].append(int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)) if n else None)
+                    columns[3].append(int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)) if n else None)
                     need = needed(n, percent)
                     # the first tokens in order are those seen once: enough of them, and there is no key;
                     # nor is there one if even a set with all n tokens and one more overlaps too little
                     if 100 * n < percent * (n + 1) or once[b] - once[a] >= n - need + groups_of(n) + 1:
-                        columns[3].append(None)
                         columns[4].append(None)
+                        columns[5].append(None)
                         continue
                     order = np.lexsort((own, seen[a:b]))
-                    columns[3].append(index_keys(own[order], seen[a:b][order], percent).view(np.int64).tolist())
-                    columns[4].append(own.tobytes())
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)], names=["id", "n", "class", "keys", "tokens"])
+                    columns[4].append(index_keys(own[order], seen[a:b][order], percent).view(np.int64).tolist())
+                    columns[5].append(own.tobytes())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)], names=["id", "mark", "n", "class", "keys", "tokens"])
 
     return cut(chunks.join(levels, "chunk", "left").mapInArrow(sign, SIGNED), "signatures")
 
@@ -378,6 +378,14 @@ def class_links(signed: DataFrame, percent: int) -> DataFrame:
     return tops
 
 
+def members_of(docs: DataFrame, text: str, key: str, words: int, percent: int, marked: bool = False) -> DataFrame:
+    """Per row of ``docs``: id, mark, set size and ``top``, which is the same for all rows of a component (null: the set is empty)."""
+    signed = signatures(docs, text, key, words, percent, marked)
+    tops = class_links(signed, percent)
+    joined = signed.select("id", "mark", "n", "class").join(tops, "class", "left").withColumn("top", F.coalesce("top", "class"))
+    return cut(joined.select("id", "mark", "n", "top"), "members")
+
+
 def components_of(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: key, ``n_shingles``, ``component_id``.
 
@@ -392,20 +400,28 @@ def components_of(docs: DataFrame, text: str = "text", key: str = "doc_id", word
     null one; repeated rows each come out. Sets of any size are compared whole. An empty table gives an
     empty table. Other columns are not read.
     """
-    signed = signatures(docs, text, key, words, percent)
-    tops = class_links(signed, percent)
-    joined = signed.select("id", "n", "class").join(tops, "class", "left").withColumn("top", F.coalesce("top", "class"))
-    joined = cut(joined.select("id", "n", "top"), "members")
+    joined = members_of(docs, text, key, words, percent)
     least = joined.where("top is not null").groupBy("top").agg(F.min("id").alias("component_id"))
     out = joined.join(least, "top", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, whose key is the smallest of its component.
+    """One row of every component of ``docs``, all columns: one with its smallest key (null only if the component has no key).
 
-    The keys that go are joined to the rows; a row with a null key stays only if its component has no key.
+    Rows are told apart by their key and the hash of their text, so of rows with one key (or none) only
+    those go that are linked to a row that stays. Of rows of a component with equal keys, the one with
+    the smallest hash stays; of rows equal in key and text, any one. Rows with empty sets are linked with
+    nothing and all stay.
     """
-    found = components_of(docs, text, key, words, percent)
-    go = found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone_key")).distinct()
-    return docs.join(go, docs[key].eqNullSafe(go["gone_key"]), "left_anti")
+    rows = members_of(docs, text, key, words, percent, marked=True).where("top is not null")
+    rows = rows.groupBy("id", "mark").agg(F.min("top").alias("top"), F.count(F.lit(1)).alias("many"))
+    first = rows.groupBy("top").agg(F.min(F.struct(F.col("id").isNull().alias("no_key"), "id", "mark")).alias("first"))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
+    out = rows.join(first, "top").select(F.col("id").alias("out_key"), F.col("mark").alias("out_mark"), stays.alias("stays"), "many")
+    out = cut(out.where("not stays or many > 1").select("out_key", "out_mark", "stays"), "out")
+    same = docs[key].eqNullSafe(out["out_key"]) & (F.xxhash64(docs[text]) == out["out_mark"])
+    kept = docs.join(out, same, "left_anti")
+    if out.where("stays").isEmpty():
+        return kept
+    return kept.unionByName(docs.join(out.where("stays"), same, "left_semi").dropDuplicates([key, text]))

@@ -235,3 +235,23 @@ def test_jaccard_keep_one(spark):
     docs = frame(spark, [(3, base, "s"), (2, base + " more", "s"), (5, "other text", "s"), (None, base, "s"), (8, None, "s")])
     got = jaccard_join.keep_one_of_each(docs)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [2, 5, 8]
+
+
+def test_jaccard_keep_one_of_rows_with_one_key(spark):
+    a, b, c, d = (" ".join(f"{t}{i}" for i in range(100)) for t in "abcd")
+    docs = frame(
+        spark,
+        [
+            *[(1, a, "s"), (None, a + " more", "s"), (None, "unique text without any link", "s"), (5, a + " copy", "s"), (5, "another text without a link", "s")],
+            *[(7, b, "s"), (7, b + " more", "s"), (8, b + " copy", "s"), (9, c, "s"), (9, c, "s"), (10, c, "s")],
+            *[(None, d, "s"), (None, d + " more", "s"), (5, "", "s"), (None, None, "s"), (5, " ", "s")],
+        ],
+    )
+    got = jaccard_join.keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    sure, one_of = [], []
+    for r in got.collect():
+        (one_of if (r.text or "")[:2] in ("b0", "d0") else sure).append((r.doc_id, r.text))
+    want = [(1, a), (None, "unique text without any link"), (5, "another text without a link"), (9, c), (5, ""), (None, None), (5, " ")]
+    assert Counter(sure) == Counter(want)
+    assert sorted((k or 0, t[0]) for k, t in one_of) == [(0, "d"), (7, "b")]
