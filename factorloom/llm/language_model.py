@@ -18,8 +18,8 @@ HIDDEN = 12
 #: Words that the network tells apart; the others are one class, inside which counts decide.
 VOCABULARY = 1024
 WINDOW, STREAMS = 32, 64
-#: Each round of training reads this share of all training documents: it grows with the input.
-ROUNDS, SHARE = 2, 16
+#: Each round of training reads its own part of the training documents; together they read all.
+ROUNDS = 2
 RANGE_WORDS = 2_000_000
 
 
@@ -30,7 +30,7 @@ def held_out(ids: list, folds: int, held: int) -> np.ndarray:
 
 def drawn(ids: list, turn: int) -> np.ndarray:
     """Whether a document is read in this round of training."""
-    return np.fromiter((zlib.crc32(f"lm:{i}".encode()) % SHARE == turn for i in ids), dtype=bool, count=len(ids))
+    return np.fromiter((zlib.crc32(f"lm:{i}".encode()) % ROUNDS == turn for i in ids), dtype=bool, count=len(ids))
 
 
 # -- counts ------------------------------------------------------------------------------------------
@@ -274,8 +274,8 @@ FAN_IN = 16
 def train(chunks: DataFrame, corpus: Corpus, folds: int, held: int) -> Network:
     """Each task trains a copy of the network on its chunks; copies are averaged up a tree; then the next round.
 
-    A round reads one document in ``SHARE`` of the training documents of every chunk, other ones each
-    time, so what the network learns from grows with the input.
+    A round reads one document in ``ROUNDS`` of the training documents of every chunk, other ones each
+    time, so the network learns from each of them once.
     """
     spark = chunks.sparkSession
     net = Network(corpus)

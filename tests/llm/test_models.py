@@ -208,6 +208,12 @@ def test_language_model_is_a_distribution():
     assert math.isclose(total, 1, rel_tol=1e-4)
 
 
+def test_language_model_reads_every_document():
+    ids = [None, -1, *range(2000)]
+    turns = np.array([language_model.drawn(ids, turn) for turn in range(language_model.ROUNDS)])
+    assert (turns.sum(axis=0) == 1).all() and (turns.sum(axis=1) > 800).all()
+
+
 def test_states_are_carried(spark):
     rng = np.random.default_rng(3)
     net = language_model.Network(corpus_of(list(range(1, 30)), list(range(60, 31, -1))), hidden=5)
