@@ -15,7 +15,7 @@ from .scratch import cut
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 4_000_000
-SCHEMA = "chunk long, ids array<long>, marks array<long>, lengths binary, codes binary, words binary, n_words int"
+SCHEMA = "chunk long, ids array<long>, marks array<long>, lengths binary, codes binary, words binary, n_words int, n_tokens long"
 #: Holds a space, so no word equals it.
 END = b" end"
 
@@ -46,6 +46,31 @@ def unpack_array(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=dtype) if size else np.zeros(0, dtype)
 
 
+def pack_codes(codes: np.ndarray, words: np.ndarray) -> tuple[bytes, bytes]:
+    """The codes and words of a chunk in a small form: words by how often they are used, codes as planes of bytes."""
+    order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+    place = np.empty(len(words), dtype=np.uint32)
+    place[order] = np.arange(len(words), dtype=np.uint32)
+    placed = place[codes]
+    planes = [pack_array((placed >> np.uint32(8 * k)).astype(np.uint8)) for k in range(3 if len(words) <= 1 << 24 else 4)]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in planes), pack_array(words[order])
+
+
+def unpack_codes(packed: bytes, packed_words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and sorted words again."""
+    used = unpack_array(packed_words, np.uint64)
+    order = np.argsort(used)
+    place = np.empty(len(used), dtype=np.uint32)
+    place[order] = np.arange(len(used), dtype=np.uint32)
+    placed, at, shift = None, 0, 0
+    while at < len(packed):
+        size = int.from_bytes(packed[at : at + 8], "little")
+        plane = unpack_array(packed[at + 8 : at + 8 + size], np.uint8).astype(np.uint32)
+        placed = plane if placed is None else placed | (plane << np.uint32(shift))
+        at, shift = at + 8 + size, shift + 8
+    return (place[placed] if len(used) else np.zeros(0, np.uint32)), used[order]
+
+
 class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -80,9 +105,9 @@ def encode_chunks(docs: DataFrame, text: str, key: str, end: bool = False, name:
 
         def flush() -> pa.RecordBatch:
             lengths, codes, words = encode(ids, texts, end)
-            columns = [[number], [ids], [marks], [pack_array(lengths)], [pack_array(codes)], [pack_array(words)], [len(words)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "ids", "marks", "lengths", "codes", "words", "n_words"])
+            columns = [[number], [ids], [marks], [pack_array(lengths)], *([x] for x in pack_codes(codes, words)), [len(words)], [len(codes)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
             for i, m, raw in zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("raw"), strict=True):
@@ -105,7 +130,7 @@ def chunks_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Chunk]]:
     """The row's place in the batch, and its chunk."""
     for i in range(batch.num_rows):
         row = {c: batch.column(c)[i].as_py() for c in ("chunk", "ids", "marks", "lengths", "codes", "words")}
-        yield i, Chunk(row["chunk"], row["ids"], row["marks"], unpack_array(row["lengths"], np.int32), unpack_array(row["codes"], np.uint32), unpack_array(row["words"], np.uint64))
+        yield i, Chunk(row["chunk"], row["ids"], row["marks"], unpack_array(row["lengths"], np.int32), *unpack_codes(row["codes"], row["words"]))
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:

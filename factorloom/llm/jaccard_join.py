@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunk, chunks_of, encode_chunks, pack_array, unpack_array
-from .scratch import cut, lanes
+from .scratch import cut, discard, lanes
 
 #: Shingles in more documents than this are indexed in pairs, others alone.
 OFTEN = 64
-CELL_PAIRS = 400
+CELL_PAIRS = 2000
 RANGE_TOKENS = 2_000_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -67,25 +68,40 @@ def groups_of(n: int) -> int:
     return g
 
 
-def index_keys(tokens: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set whose tokens come rarest first; ``seen``: in how many documents each is.
+def depth(n):
+    """How many common tokens the heads of two linked sets are asked for, by the size of the smaller one (a number or an array)."""
+    return np.minimum(n, np.maximum(3, -(-n // 10)))
+
+
+def share_counted(percent: int) -> float:
+    """The share of the hash space whose tokens are counted in all sets."""
+    return min(1.0, 6 * (100 - percent) / 100)
+
+
+def index_keys(head: np.ndarray, seen: np.ndarray, copies: int, n: int, percent: int) -> np.ndarray:
+    """Index keys of a set of ``n`` tokens; ``head``: the first of them in order (see ``signatures``); ``seen``: in how many heads each is; ``copies``: rows with this set.
 
     Two linked sets of n and m tokens have ``t`` tokens in common among their first
-    ``n - needed(n) + t`` and ``m - needed(m) + t``. With t = g + 1 either one of these is rare, and
-    both sets have it as a key; or all are frequent, and of g + 1 tokens dealt into g groups by their
-    hashes two fall into one group: both sets have that pair as a key. Sizes of linked sets may lie
-    on both sides of a step of ``groups_of``, so a set uses its own g and that of the smallest set
-    linked to it. Tokens seen once are no keys.
+    ``n - needed(n) + t`` and ``m - needed(m) + t``, for every t up to their overlap. With t = g + 1
+    either one of these is rare, and both sets have it as a key; or all are frequent, and of g + 1
+    tokens dealt into g groups by their hashes two fall into one group: both sets have that pair as a
+    key. Sizes of linked sets may lie on different steps of ``groups_of``, so a set uses the g of all
+    sizes from that of the smallest set linked to it up to its own. A set so small that an overlap
+    may be less than g + 1 has all its tokens as keys. Tokens that only equal sets have are no keys.
     """
-    n = len(tokens)
+    need = needed(n, percent)
     keys = []
-    sizes = {groups_of(n), groups_of(needed(n, percent))}
-    longest = n - needed(n, percent) + max(sizes) + 1
+    sizes = [groups_of(need)]
+    while sizes[-1] < groups_of(n):
+        sizes.append(2 * sizes[-1])
+    longest = n - need + sizes[-1] + 1
     own = seen[:longest]
-    keys.append(tokens[:longest][(own > 1) & (own <= OFTEN)])
+    keys.append(head[:longest][(own > copies) & (own <= OFTEN)])
+    if need < sizes[-1] + 1:
+        keys.append(head[: n - need + 1])
     for g in sizes:
-        end = n - needed(n, percent) + g + 1
-        often = np.sort(tokens[:end][seen[:end] > OFTEN])
+        end = n - need + g + 1
+        often = np.sort(head[:end][(seen[:end] > OFTEN) & (seen[:end] > copies)])
         group = mix(often + M3) & np.uint64(g - 1)
         for k in np.unique(group):
             part = often[group == k]
@@ -94,90 +110,144 @@ def index_keys(tokens: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray
     return np.unique(np.concatenate(keys))
 
 
-def rarities(chunks: DataFrame, words: int, parts: int) -> DataFrame:
-    """For each chunk and part of the hash space, in how many documents each of its shingles is.
+@dataclass
+class Heads:
+    """What a chunk asks about: the short tokens of its heads and its classes, both distinct, sorted, and cut into parts.
 
-    ``parts`` is a power of two. A chunk sends, for each part, 32 bits of its shingles beyond those
-    that number the part, sorted, and how many of its documents hold each; it gets back one byte for
-    each: the number of documents up to 64, above that 64 and the binary logarithm of the excess.
-    Shingles that share these bits count as one there, in every chunk alike, so the order is the same
-    for all documents.
+    ``sizes`` of the sets, ``counted``: how many of their tokens are counted in all sets.
+    """
+
+    sizes: np.ndarray
+    counted: np.ndarray
+    at: np.ndarray
+    place: np.ndarray
+    short: np.ndarray
+    counts: np.ndarray
+    token_parts: np.ndarray
+    classes: np.ndarray
+    class_of: np.ndarray
+    rows: np.ndarray
+    class_parts: np.ndarray
+
+
+def heads_of(shingles: np.ndarray, bounds: np.ndarray, percent: int, bits: int) -> Heads:
+    """Heads of the sets of a chunk: their smallest tokens. Tokens are cut to their last ``bits`` + 32 bits; the first ``bits`` of these number the part."""
+    sizes = np.diff(bounds)
+    low = np.concatenate(([0], np.cumsum(shingles < np.uint64(min((1 << 64) - 1, int(share_counted(percent) * (1 << 64)))))))
+    counted = low[bounds[1:]] - low[bounds[:-1]]
+    lengths = np.maximum(counted, np.minimum(sizes, sizes - (-(-percent * sizes // 100)) + depth(sizes)))
+    at = np.concatenate(([0], np.cumsum(lengths)))
+    inside = np.arange(len(shingles)) - np.repeat(bounds[:-1], sizes) < np.repeat(lengths, sizes)
+    short, place, counts = np.unique(shingles[inside] & np.uint64((1 << (32 + bits)) - 1), return_inverse=True, return_counts=True)
+    raw = shingles.tobytes()
+    found = np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), dtype=np.uint64, count=len(sizes))
+    classes, rows = np.unique(found[sizes > 0], return_counts=True)
+    class_of = np.searchsorted(classes, found)
+    parts = np.arange((1 << bits) + 1)
+    token_parts = np.searchsorted(short >> np.uint64(32), parts)
+    class_parts = np.searchsorted(classes >> np.uint64(64 - bits) if bits else np.zeros(len(classes), np.uint64), parts)
+    return Heads(sizes, counted, at, place, (short & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts.astype(np.uint32), token_parts, classes, class_of, rows.astype(np.uint32), class_parts)
+
+
+ANSWERS = "chunk long, part int, seen binary, copies binary, first binary"
+
+
+def rarities(chunks: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+    """For each chunk and part of the hash space: in how many heads each token of its heads is, how many rows have each of its classes, and of which classes it is the first chunk.
+
+    A chunk sends, for each part, 32 bits of the tokens beyond those that number the part, sorted, and
+    how many of its heads hold each. Tokens that share these bits count as one, which can only make
+    them look more frequent, and to all chunks alike.
     """
-    bits = parts.bit_length() - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, c in chunks_of(batch):
-                short, counts, at = short_counts(shingle_sets(c, words)[0], bits)
-                full = np.flatnonzero(np.diff(at)).tolist()
-                blobs = [pack_array(short[at[r] : at[r + 1]]) for r in full]
-                numbers = [pack_array(counts[at[r] : at[r + 1]]) for r in full]
-                columns = [([c.number] * len(full), pa.int64()), (full, pa.int32()), (blobs, pa.binary()), (numbers, pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in columns], names=["chunk", "part", "tokens", "counts"])
+                h = heads_of(*shingle_sets(c, words), percent, bits)
+                full = np.flatnonzero(np.diff(h.token_parts) + np.diff(h.class_parts)).tolist()
+                of = lambda array, at: pa.array([pack_array(array[at[r] : at[r + 1]]) for r in full], pa.binary())  # noqa: B023, E731
+                columns = [pa.array([c.number] * len(full), pa.int64()), pa.array(full, pa.int32()), of(h.short, h.token_parts), of(h.counts, h.token_parts), of(h.classes, h.class_parts), of(h.rows, h.class_parts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "tokens", "counts", "classes", "rows"])
 
     def total(table: pa.Table) -> pa.Table:
-        tokens = [unpack_array(b.as_py(), np.uint32) for b in table["tokens"]]
-        counts = [unpack_array(b.as_py(), np.uint16) for b in table["counts"]]
-        distinct, place = np.unique(np.concatenate(tokens), return_inverse=True)
-        sums = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct))
-        level = np.minimum(sums, OFTEN) + np.ceil(np.log2(np.maximum(1, sums - OFTEN + 1)))
-        level = level.astype(np.uint8)
-        ends = np.cumsum([len(t) for t in tokens]).tolist()
-        back = [pack_array(level[place[e - len(t) : e]]) for t, e in zip(tokens, ends, strict=True)]
-        return pa.table({"chunk": table["chunk"], "part": table["part"], "levels": pa.array(back, pa.binary())})
+        table = table.sort_by("chunk")
 
-    sent = chunks.mapInArrow(send, "chunk long, part int, tokens binary, counts binary")
-    return sent.groupBy("part").applyInArrow(total, "chunk long, part int, levels binary")
+        def sums(values: str, dtype, numbers: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+            each = [unpack_array(b.as_py(), dtype) for b in table[values]]
+            distinct, first, place = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+            sums = np.bincount(place, weights=np.concatenate([unpack_array(b.as_py(), np.uint32) for b in table[numbers]]), minlength=len(distinct))
+            is_first = np.zeros(len(place), dtype=np.uint8)
+            is_first[first] = 1
+            ends = np.cumsum([len(x) for x in each])[:-1]
+            return np.split(np.minimum(sums, 0xFFFFFFFF).astype(np.uint32)[place], ends), np.split(is_first, ends)
 
+        seen, _ = sums("tokens", np.uint32, "counts")
+        copies, first = sums("classes", np.uint64, "rows")
+        packed = [pa.array([pack_array(x) for x in arrays], pa.binary()) for arrays in (seen, copies, first)]
+        return pa.table([table["chunk"], table["part"], *packed], names=[x.split()[0] for x in ANSWERS.split(", ")])
 
-def short_counts(shingles: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of a chunk cut to ``bits`` + 32 bits: the last 32, their counts, and the bounds of the parts."""
-    cut_to, counts = np.unique(shingles >> np.uint64(32 - bits), return_counts=True)
-    at = np.searchsorted(cut_to, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
-    return (cut_to & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16), at
+    sent = chunks.mapInArrow(send, "chunk long, part int, tokens binary, counts binary, classes binary, rows binary")
+    return sent.groupBy("part").applyInArrow(total, ANSWERS)
 
 
 SIGNED = "id long, mark long, n long, class long, keys array<long>, tokens binary"
 
 
 def signatures(docs: DataFrame, text: str, key: str, words: int, percent: int, marked: bool = False) -> DataFrame:
-    """Per row: id, mark of the text (see ``encode_chunks``), set size, the hash of the set (null if empty), and for sets that may have links their keys and tokens."""
+    """Per row: id, mark of the text (see ``encode_chunks``), set size, the hash of the set (null if empty); and for the first row of every set that may have links to other sets its keys and tokens.
+
+    The order of tokens: those in the first ``share_counted`` of the hash space come first, rarest
+    first; the others follow by their hashes. So only heads are sent and counted: all tokens in that
+    share of the hash space, and more where these are too few for a prefix. Of its first
+    ``n - needed(n) + t`` tokens a set has t in common with a linked one. Sets with fewer that any
+    other set has too are linked with nothing but their equals.
+    """
     chunks = encode_chunks(docs, text, key, marked=marked)
-    total = chunks.select(F.sum(F.size("ids")), F.sum(F.length("codes"))).first()
-    tokens = (total[1] or 0) // 2
+    tokens = int((chunks.agg(F.sum("n_tokens")).first()[0] or 0) * share_counted(percent))
     parts = 1
     while parts < max(lanes(docs.sparkSession), tokens // RANGE_TOKENS):
         parts *= 2
     bits = parts.bit_length() - 1
-    levels = rarities(chunks, words, parts).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("levels"))
+    answers = rarities(chunks, words, percent, bits).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "seen", "copies", "first"))).alias("answers"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, c in chunks_of(batch):
                 shingles, at = shingle_sets(c, words)
-                got = batch.column("levels")[i].as_py()
-                by_short = np.concatenate([unpack_array(x["levels"], np.uint8) for x in got]) if got else np.zeros(0, np.uint8)
-                seen = by_short[np.unique(shingles >> np.uint64(32 - bits), return_inverse=True)[1]]
-                once = np.concatenate(([0], np.cumsum(seen == 1)))
-                columns: list[list] = [c.ids, c.marks, np.diff(at).tolist(), [], [], []]
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    n = b - a
-                    own = shingles[a:b]
-                    columns[3].append(int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)) if n else None)
-                    need = needed(n, percent)
-                    # the first tokens in order are those seen once: enough of them, and there is no key;
-                    # nor is there one if even a set with all n tokens and one more overlaps too little
-                    if 100 * n < percent * (n + 1) or once[b] - once[a] >= n - need + groups_of(n) + 1:
-                        columns[4].append(None)
-                        columns[5].append(None)
-                        continue
-                    order = np.lexsort((own, seen[a:b]))
-                    columns[4].append(index_keys(own[order], seen[a:b][order], percent).view(np.int64).tolist())
-                    columns[5].append(own.tobytes())
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)], names=["id", "mark", "n", "class", "keys", "tokens"])
-
-    return cut(chunks.join(levels, "chunk", "left").mapInArrow(sign, SIGNED), "signatures")
+                h = heads_of(shingles, at, percent, bits)
+                got = batch.column("answers")[i].as_py() or []
+                seen, copies, first = (np.concatenate([np.zeros(0, t), *(unpack_array(x[k], t) for x in got)]) for k, t in (("seen", np.uint32), ("copies", np.uint32), ("first", np.uint8)))
+                seen = seen[h.place].astype(np.int64)
+                n, full = h.sizes, h.sizes > 0
+                copies = np.where(full, np.append(copies, 0)[h.class_of], 0).astype(np.int64)
+                leads = np.zeros(len(n), dtype=bool)
+                leads[np.unique(np.where(full, h.class_of, len(h.classes)), return_index=True)[1]] = True
+                leads &= full & (np.append(first, 0)[h.class_of] == 1)
+                need = -(-percent * n // 100)
+                alone = np.concatenate(([0], np.cumsum(seen == np.repeat(copies, np.diff(h.at)))))
+                asked = np.maximum(h.counted, n - need + depth(need))
+                enough = alone[h.at[:-1] + asked] - alone[h.at[:-1]] <= n - need
+                # no other set if even one with all n tokens and one more overlaps too little
+                keys: list = [None] * len(n)
+                sets: list = [None] * len(n)
+                for d in np.flatnonzero(leads & enough & (100 * n >= percent * (n + 1))).tolist():
+                    own, levels = shingles[at[d] : at[d + 1]], seen[h.at[d] : h.at[d + 1]]
+                    order = np.arange(len(levels))
+                    order[: h.counted[d]] = np.argsort(levels[: h.counted[d]], kind="stable")
+                    keys[d] = index_keys(own[order], levels[order], int(copies[d]), int(n[d]), percent).view(np.int64).tolist()
+                    sets[d] = own.tobytes()
+                classes = pa.array(np.append(h.classes, np.uint64(0)).view(np.int64)[h.class_of], pa.int64(), mask=~full)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), None, pa.list_(pa.int64()), pa.binary())
+                columns = (c.ids, c.marks, n.tolist(), classes, keys, sets)
+                yield pa.RecordBatch.from_arrays([x if k is None else pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SIGNED.split(", ")])
+
+    signed = cut(chunks.join(answers, "chunk", "left").mapInArrow(sign, SIGNED), "signatures")
+    discard(chunks)
+    return signed
+
+
+#: Rows of (cell, class) up to this number are sent to all tasks (some MB); more are joined by a shuffle.
+BROADCAST_WANTED = 200_000
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +262,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     cell = F.pmod(F.xxhash64("a", F.when(spread > 1, F.pmod(F.xxhash64("b"), spread))), F.lit(cells)).cast("int")
     dealt = cut(pairs.join(counts, "a").select("a", "b", cell.alias("cell")), "pairs")
     wanted = dealt.select(F.col("cell").alias("at_cell"), F.explode(F.array("a", "b")).alias("class")).distinct()
-    material = wanted.join(sets, "class")
+    material = sets.join(F.broadcast(wanted) if 2 * dealt.count() <= BROADCAST_WANTED else wanted, "class")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         held = {k: np.frombuffer(t, dtype=np.uint64) for k, t in zip(right["class"].to_pylist(), right["tokens"].to_pylist(), strict=True)}
@@ -312,8 +382,11 @@ def block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     meeting = F.xxhash64("cluster", "l_band", "r_band", F.col("l").cast("int"), F.col("r").cast("int")).alias("meeting")
     dealt = l_side.select(meeting, F.lit(0).alias("side"), "class", "top").unionByName(r_side.select(meeting, F.lit(1).alias("side"), "class", "top"))
     dealt = cut(dealt, "meetings")
-    cells = max(lanes(open_.sparkSession), dealt.count() // (2 * BLOCK))
-    rows = dealt.join(sets, "class").select(F.pmod(F.xxhash64("meeting"), F.lit(cells)).cast("int").alias("cell"), "meeting", "side", "top", "tokens")
+    n_dealt = dealt.count()
+    cells = max(lanes(open_.sparkSession), n_dealt // (2 * BLOCK))
+    if n_dealt <= BROADCAST_WANTED:
+        dealt = F.broadcast(dealt)
+    rows = sets.join(dealt, "class").select(F.pmod(F.xxhash64("meeting"), F.lit(cells)).cast("int").alias("cell"), "meeting", "side", "top", "tokens")
 
     def meet(table: pa.Table) -> pa.Table:
         meetings, side, top = (table[c].to_numpy() for c in ("meeting", "side", "top"))
@@ -344,8 +417,7 @@ def class_links(signed: DataFrame, percent: int) -> DataFrame:
     different components meet in blocks, so that no link is lost; links inside a component would
     change nothing.
     """
-    mine = signed.where("keys is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens"))
-    mine = cut(mine, "classes")
+    mine = signed.where("keys is not null")
     sets = mine.select("class", "tokens")
     posted = mine.select(F.explode("keys").alias("key"), "class", "n")
     shared = posted.groupBy("key").count().where("count > 1").select("key")

@@ -15,9 +15,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local temporary folder only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset, a temporary folder, but only in local mode: executors of a cluster share no such folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -28,12 +30,21 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
 
     The lineage ends there, so a lost executor costs the rows it was working on and not the steps
     before; and the table is computed once however often it is read. Like checkpoints, the tables
-    stay until the folder is cleaned.
+    stay until the folder is cleaned, or until ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``cut`` that nothing will read any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lanes(spark: SparkSession, least: int = 1) -> int:

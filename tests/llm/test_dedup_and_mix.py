@@ -63,10 +63,27 @@ def test_exact_drop(spark):
 
 def test_lanes_share_digests_evenly(spark):
     rows = [(i, f"text {i % 900}", "s") for i in range(3000)]
-    got = exact_dedup.duplicate_groups(frame(spark, rows), fan_in=4)
+    got = exact_dedup.duplicate_groups(frame(spark, rows).repartition(7))
     assert got.where("kept").count() == 900 and got.where("group_size in (3, 4)").count() == 3000
 
 
+def test_exact_runs_over_batches(spark):
+    """Equal texts that lie in different Arrow batches, with null keys and one text in a third of the rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(i if i % 5 else None, "hot" if i % 3 == 0 else f"text {i % 40}", "s") for i in range(900)]
+        got = exact_dedup.duplicate_groups(frame(spark, rows).repartition(6)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[hashlib.sha256(t.encode()).hexdigest()].append(i)
+    assert len(got) == 900
+    for r in got:
+        ids = groups[r.text_sha256]
+        assert (r.keep_id, r.group_size) == (min((i for i in ids if i is not None), default=None), len(ids))
+
+
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_lines(spark, keep_first):
     rng = random.Random(5)
@@ -230,6 +247,46 @@ def test_jaccard_one_word_more(spark, words, percent, length):
     assert sorted(map(tuple, got.collect())) == sorted(truth)
 
 
+@pytest.mark.parametrize("words,percent,often", [(3, 90, 64), (5, 80, 64), (3, 50, 64), (1, 50, 1), (2, 30, 1)])
+def test_jaccard_nested_texts_of_every_length(spark, monkeypatch, words, percent, often):
+    monkeypatch.setattr(jaccard_join, "OFTEN", often)
+    rows = []
+    for n in range(1, 61):
+        base = [f"f{n}w{i}" for i in range(n)]
+        more = max(1, n // 12)
+        rows += [(3 * n, " ".join(base), "s"), (3 * n + 1, " ".join([*base, *[f"x{n}y{i}" for i in range(more)]]), "s"), (3 * n + 2, " ".join(["before", *base]), "s")]
+    if words < 3:  # a few words in many texts, so that frequent tokens are all that small sets share
+        rows += [(1000 + i, f"common other{i}" if i % 2 else "common", "s") for i in range(8)]
+    got = jaccard_join.components_of(frame(spark, rows).repartition(3), words=words, percent=percent)
+    assert sorted(map(tuple, got.collect())) == sorted(jaccard_truth(rows, words, percent))
+
+
+def test_jaccard_long_text_and_clashing_names(spark):
+    rng = random.Random(8)
+    long_text = [f"w{rng.randrange(50_000)}" for _ in range(150_000)]
+    near = list(long_text)
+    for i in range(0, 150_000, 400):
+        near[i] = "changed"
+    docs = frame(spark, [(1, " ".join(long_text), "s"), (2, " ".join(near), "s"), (3, "another short text", "s"), (3, "another short text", "s")])
+    docs = docs.withColumns({c: F.lit(7) for c in ("n_shingles", "Component_ID", "id", "mark", "class", "keys", "tokens", "out_key", "stays", "top", "many")})
+    got = jaccard_join.components_of(docs, words=3, percent=90)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 1), (3, 3), (3, 3)]
+    kept = jaccard_join.keep_one_of_each(docs, words=3, percent=90)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert jaccard_join.keep_one_of_each(docs.limit(0)).collect() == []
+
+
+def test_packed_codes():
+    import numpy as np
+
+    from factorloom.llm.chunks import encode, pack_codes, unpack_codes
+
+    for texts in ([], [b""], [b"a b a", b"c a"], [" ".join(f"w{i}" for i in range(70_000)).encode()]):
+        _, codes, words = encode(list(range(len(texts))), texts, end=False)
+        codes2, words2 = unpack_codes(*pack_codes(codes, words))
+        assert np.array_equal(codes, codes2) and np.array_equal(words, words2)
+
+
 def test_jaccard_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(100))
     docs = frame(spark, [(3, base, "s"), (2, base + " more", "s"), (5, "other text", "s"), (None, base, "s"), (8, None, "s")])
