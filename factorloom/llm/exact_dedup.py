@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,60 +18,79 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}{SPACE}+|[\\x09-\\x0D]", " ")
 
 
-def merge_round(runs: DataFrame, lane: Column, n_lanes: int) -> DataFrame:
-    """One round: runs go to their partners' lanes, where they are merged.
+RUN = "lane int, short long, digest binary, keep_id {key}, n long"
 
-    Records meet by the short digest and are verified by the whole one; of equal ones the smallest
-    identifier and the number of rows stay. Every lane merges many sorted runs at once.
-    """
-    return (
-        runs.withColumn("lane", lane)
-        .repartition(n_lanes, "lane")
-        .groupBy("lane", "short", "digest")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    )
 
+def run_of(records: DataFrame, n_lanes: int) -> DataFrame:
+    """The sorted run of each lane of ``records(lane, short, digest, keep_id, n)``, one record for each text.
 
-def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", fan_in: int = 8) -> DataFrame:
+    Runs that arrive in a lane are put in order by (short digest, digest, key) and merged as a stream:
+    records meet by the short digest and are verified by the whole one; of equal ones the first, which
+    has the smallest key, and the number of rows stay. A task holds a batch of records at a time.
+    """
+    key = records.schema["keep_id"].dataType
+    ordered = records.repartition(n_lanes, "lane").sortWithinPartitions("lane", "short", "digest", F.col("keep_id").asc_nulls_last())
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last record so far, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.table(batch.columns, names=batch.schema.names)
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            lane, short = table["lane"].to_numpy(), table["short"].to_numpy()
+            near = (lane[1:] == lane[:-1]) & (short[1:] == short[:-1])
+            digests = table["digest"]
+            same = near & pc.equal(digests[1:], digests[:-1]).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate(([True], ~same)))
+            out = table.take(first).set_column(4, "n", pa.array(np.add.reduceat(table["n"].to_numpy(), first)))
+            held = out.slice(out.num_rows - 1)
+            yield from out.slice(0, out.num_rows - 1).combine_chunks().to_batches()
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return ordered.mapInArrow(merge, RUN.format(key=key.simpleString()))
+
+
+def duplicate_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Find the group of equal texts of every row.
 
-    Level 0 sorts the digests of each of ``fan_in ** levels`` lanes of rows into a run with one
-    record for each text; there are as many levels as give each shuffle partition a lane. Then come
-    ``levels`` rounds in which the lanes of a block of ``fan_in`` exchange runs: a lane keeps the digests whose next digit is its own place in the block, and gets
-    those from its partners. After the last round each lane holds a range of digests, complete. No
-    lane ever holds all digests, and the records of a text held by a third of all rows shrink to one
-    for each lane at level 0. Answers return by (lane of level 0, digest), so that such a text is
-    dealt out over all lanes there too.
+    Every partition of the input is a lane; a lane sorts the digests of its rows into a run with one
+    record for each text. Then come binomial rounds: in round r a lane and the lane whose number
+    differs in bit r exchange halves of their runs, each keeps the digests whose bit r is its own, and
+    the two sorted runs are merged (``run_of``). After the last round each lane holds the texts whose
+    digest ends in its number, complete. No lane ever holds all digests, and the records of a text
+    held by a third of all rows shrink to one for each lane before lanes exchange anything. Answers
+    return by (lane of the row, digest), so that such a text is dealt out over all lanes there too.
 
     Returns one row per input row: the key, ``keep_id`` (smallest key of its group), ``group_size``,
     ``kept``, ``text_sha256``.
 
-    Null text counts as empty text. Rows with a null key take part; they are kept only if no row of
-    their group has a key, and then ``keep_id`` is null. Rows repeated with one key and text are all
-    kept if that key is the smallest: pass ``repeats`` away in the caller (see ``drop_duplicates``).
-    An empty table gives an empty table. Columns other than the two named are not read.
+    Null text counts as empty text. Rows with a null key take part, wherever they lie; they are kept
+    only if no row of their group has a key, and then ``keep_id`` is null. Rows repeated with one key
+    and text are all kept if that key is the smallest: pass ``repeats`` away in the caller (see
+    ``drop_duplicates``). An empty table gives an empty table. Columns other than the two named are
+    not read.
     """
     n = lanes(docs.sparkSession)
-    levels = 1
-    while fan_in**levels < n:
-        levels += 1
-    places = fan_in**levels
+    rounds = max(1, (n - 1).bit_length())
     digests = cut(
         docs.select(F.col(key).alias("id"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("hex"))
         .select("id", F.unhex("hex").alias("digest"))
-        .withColumn("home", F.pmod(F.xxhash64("id"), F.lit(places)).cast("int"))
+        .withColumn("home", F.pmod(F.spark_partition_id(), F.lit(1 << rounds)).cast("int"))
         .withColumn("short", F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")),
         "digests",
     )
-    local = digests.groupBy("home", "short", "digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    runs = local.withColumn("lane", F.col("home"))
-    for level in range(levels):
-        step = fan_in**level
-        digit = F.expr(f"(short div {step}) % {fan_in}").cast("int")
-        block = F.expr(f"lane - ((lane div {step}) % {fan_in}) * {step}")
-        runs = merge_round(runs, (block + digit * F.lit(step)).cast("int"), n)
+    rows = digests.select(F.col("home").alias("lane"), "short", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    local = cut(run_of(rows, n), "runs")
+    runs = local
+    for r in range(rounds):
+        bit = F.lit(1 << r)
+        partner = F.col("lane").bitwiseOR(bit) - bit + F.col("short").bitwiseAND(bit).cast("int")
+        runs = run_of(runs.withColumn("lane", partner.cast("int")), n)
     answers = (
-        local.select("home", "short", "digest")
+        local.select(F.col("lane").alias("home"), "short", "digest")
         .join(runs.select("short", "digest", "keep_id", "n"), ["short", "digest"])
         .withColumnRenamed("n", "group_size")
     )
