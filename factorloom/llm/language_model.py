@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,14 @@ from . import gru
 from .chunks import Chunk, chunks_of, encode_chunks, pack_array, range_of, unpack_array
 from .scratch import cut, lanes
 
-HIDDEN = 12
+HIDDEN = 16
 #: Words that the network tells apart; the others are one class, inside which counts decide.
 VOCABULARY = 1024
-WINDOW, STREAMS = 32, 64
+WINDOW, STREAMS = 32, 128
 #: Each round of training reads its own part of the training documents; together they read all.
 ROUNDS = 2
+#: Tokens of a shard of a round, about; a copy of the network is trained on each shard.
+SHARD_TOKENS = 1_000_000
 RANGE_WORDS = 2_000_000
 
 
@@ -28,11 +32,6 @@ def held_out(ids: list, folds: int, held: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) % folds == held for i in ids), dtype=bool, count=len(ids))
 
 
-def drawn(ids: list, turn: int) -> np.ndarray:
-    """Whether a document is read in this round of training."""
-    return np.fromiter((zlib.crc32(f"lm:{i}".encode()) % ROUNDS == turn for i in ids), dtype=bool, count=len(ids))
-
-
 # -- counts ------------------------------------------------------------------------------------------
 
 
@@ -188,7 +187,10 @@ class Network:
         d_states = np.ascontiguousarray(d_flat.reshape(len(h), T, S).transpose(1, 0, 2))
         d_xs, d_U = gru.backward(self.p["U"], cache, d_states, keep)
         d_X = np.zeros_like(self.p["X"])
-        np.add.at(d_X, previous.ravel(), d_xs.transpose(0, 2, 1).reshape(T * S, -1))
+        flat = previous.ravel()
+        order = np.argsort(flat, kind="stable")
+        at = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        d_X[flat[order][at]] = np.add.reduceat(d_xs.transpose(0, 2, 1).reshape(T * S, -1)[order], at, axis=0)
         grads = {k: (a / n).astype(np.float32) for k, a in g.items()} | {"U": d_U, "X": d_X}
         return -float(got.sum()) / n, grads, states[-1]
 
@@ -262,55 +264,88 @@ def unflatten(p: dict[str, np.ndarray], flat: np.ndarray) -> None:
         at += p[k].size
 
 
+FAN_IN = 16
+COPIES = "shard long, weight double, params binary"
+
+
 def average(table: pa.Table) -> pa.Table:
-    weights = np.array(table["weight"].to_pylist(), dtype=np.float64)
-    sums = sum(w * np.frombuffer(b, dtype=np.float32).astype(np.float64) for w, b in zip(weights, table["params"].to_pylist(), strict=True))
-    return pa.table({"task": pa.array([table["task"][0].as_py() // FAN_IN], pa.int64()), "weight": [float(weights.sum())], "params": pa.array([(sums / weights.sum()).astype(np.float32).tobytes()], pa.binary())})
+    """Weighted mean of copies of the network, summed in the order of their shards."""
+    table = table.sort_by("shard")
+    weights = table["weight"].to_numpy()
+    sums = sum(w * np.frombuffer(b.as_py(), dtype=np.float32).astype(np.float64) for w, b in zip(weights, table["params"], strict=True))
+    return pa.table({"shard": pa.array([table["shard"][0].as_py() // FAN_IN], pa.int64()), "weight": [float(weights.sum())], "params": pa.array([(sums / weights.sum()).astype(np.float32).tobytes()], pa.binary())})
 
 
-FAN_IN = 16
+def placed(c: Chunk, use: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Round, shard and place in it of the documents ``use`` of a chunk: by a hash of key and words, so the same however the table is cut into partitions and chunks."""
+    bounds, raw = c.bounds(), c.words[c.codes].tobytes()
+    h = np.array([xxhash.xxh3_64_intdigest(raw[8 * bounds[d] : 8 * bounds[d + 1]], seed=zlib.crc32(str(c.ids[d]).encode())) for d in use.tolist()], dtype=np.uint64)
+    return (h % np.uint64(ROUNDS)).astype(np.int64), (h // np.uint64(ROUNDS) % np.uint64(shards)).astype(np.int64), h
+
+
+def learner(sent, turn: int):
+    """A function that trains a copy of the broadcast network ``sent`` on the documents of a shard, in the order of their places."""
+
+    def learn(table: pa.Table) -> pa.Table:
+        own = copy.deepcopy(sent.value)
+        blobs = [[unpack_array(b.as_py(), t) for b in table[k]] for k, t in (("places", np.uint64), ("lengths", np.int32), ("words", np.uint16))]
+        place, lengths, words = (np.concatenate(x) for x in blobs)
+        bounds = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        order = np.argsort(place, kind="stable")
+        words = np.concatenate([words[bounds[d] : bounds[d + 1]] for d in order.tolist()]).astype(np.int64)
+        lengths = lengths[order].astype(np.int64)
+        own.train(words, np.cumsum(lengths) - lengths, gru.Adam(own.p, 0.01 if turn == 0 else 0.004))
+        return pa.table({"shard": table["shard"][:1], "weight": [float(len(words))], "params": pa.array([flatten(own.p).tobytes()], pa.binary())})
+
+    return learn
 
 
 def train(chunks: DataFrame, corpus: Corpus, folds: int, held: int) -> Network:
-    """Each task trains a copy of the network on its chunks; copies are averaged up a tree; then the next round.
+    """A copy of the network is trained on each shard of documents; copies are averaged up a tree; then the next round.
 
-    A round reads one document in ``ROUNDS`` of the training documents of every chunk, other ones each
-    time, so the network learns from each of them once.
+    A round reads one document in ``ROUNDS`` of the training documents, other ones each time, so the
+    network learns from each of them once. Shards are of bounded size, their number grows with the
+    tokens, and documents come to them by hash and are read there in the order of their hashes: the
+    network does not depend on partitions. Words travel as their numbers, two bytes before compression.
     """
     spark = chunks.sparkSession
     net = Network(corpus)
     if not net.v:
         return net
+    shards = max(1, -(-corpus.n // (ROUNDS * SHARD_TOKENS)))
+    numbers = spark.sparkContext.broadcast(corpus)
     for turn in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((net, corpus))
-
-        def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, sent=sent) -> Iterator[pa.RecordBatch]:
-            import copy
+        sent = spark.sparkContext.broadcast(net)
 
-            from pyspark import TaskContext
-
-            own, all_words = copy.deepcopy(sent.value[0]), sent.value[1]
-            optimiser = gru.Adam(own.p, 0.01 if turn == 0 else 0.004)
-            read = 0
+        def deal(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for _, c in chunks_of(batch):
-                    use = ~held_out(c.ids, folds, held) & drawn(c.ids, turn)
-                    words = all_words.ids(c.words)[c.codes[np.repeat(use, c.lengths)]]
-                    lengths = c.lengths[use]
-                    own.train(words, (np.cumsum(lengths) - lengths)[lengths > 0], optimiser)
-                    read += len(words)
-            if read:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(read)]), pa.array([flatten(own.p).tobytes()], pa.binary())], names=["task", "weight", "params"])
-
-        schema = "task long, weight double, params binary"
-        copies = cut(chunks.mapInArrow(learn, schema), "networks")
-        tasks = copies.agg(F.max("task")).first()[0]
-        if tasks is None:
-            continue
-        while tasks > 0:
-            copies = copies.groupBy((F.col("task") / FAN_IN).cast("long").alias("parent")).applyInArrow(average, schema)
-            tasks //= FAN_IN
+                    use = np.flatnonzero(~held_out(c.ids, folds, held) & (c.lengths > 0))
+                    of_round, shard, place = placed(c, use, shards)
+                    words, bounds = numbers.value.ids(c.words).astype(np.uint16)[c.codes], c.bounds()
+                    mine = of_round == turn
+                    use, shard, place = use[mine], shard[mine], place[mine]
+                    order = np.lexsort((place, shard))
+                    starts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+                    columns: list[list] = [[], [], [], []]
+                    for part in np.split(order, starts[1:]) if len(order) else []:
+                        docs = use[part]
+                        columns[0].append(int(shard[part[0]]))
+                        columns[1].append(pack_array(place[part]))
+                        columns[2].append(pack_array(c.lengths[docs]))
+                        columns[3].append(pack_array(np.concatenate([words[bounds[d] : bounds[d + 1]] for d in docs.tolist()])))
+                    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)], names=["shard", "places", "lengths", "words"])
+
+        dealt = chunks.mapInArrow(deal, "shard long, places binary, lengths binary, words binary")
+        copies = cut(dealt.groupBy("shard").applyInArrow(learner(sent, turn), COPIES), "networks")
+        many = shards
+        while many > 1:
+            copies = copies.groupBy(F.expr(f"shard div {FAN_IN}")).applyInArrow(average, COPIES)
+            many = -(-many // FAN_IN)
         found = copies.select("params").first()
+        if found is None:
+            continue
         unflatten(net.p, np.frombuffer(found[0], dtype=np.float32))
         net.p["o"][~net.real] = -1e9
     return net
