@@ -115,7 +115,10 @@ class Network:
         x[:, 0] = self.word_sign[wb]
         signs = self.gram_sign[flat]
         x[:, 1] = _mean(signs, starts)
-        x[:, 2] = np.maximum.reduceat(np.append(signs, 0), starts[:-1]) * (np.diff(starts) > 0) if len(words) else 0
+        full = np.flatnonzero(np.diff(starts))
+        x[:, 2] = 0
+        if len(full):
+            x[full, 2] = np.maximum.reduceat(signs, starts[full])
         x[:, 3 : 3 + EMBED] = self.word_vec[wb]
         x[:, 3 + EMBED :] = _mean(self.gram_vec[flat], starts)
         return x, (wb, flat, starts)
