@@ -141,7 +141,8 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     Only keys and copies travel besides the rows. Rows that share a key share the largest of their
     numbers of copies.
     """
-    copies = plan_mix(docs, text, key, source, weights, share, most, seed).groupBy(F.col(key).alias("its_key")).agg(F.max("copies").alias("its_copies"))
-    nth = own_name(docs, "nth_copy")
-    joined = docs.join(copies, docs[key].eqNullSafe(copies["its_key"])).where("its_copies > 0")
-    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col("its_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    mine, often, nth = own_name(docs, "its_key"), own_name(docs, "its_copies"), own_name(docs, "nth_copy")
+    copies = plan_mix(docs, text, key, source, weights, share, most, seed).groupBy(F.col(key).alias(mine)).agg(F.max("copies").alias(often))
+    copies = copies.where(copies[often] > 0)
+    joined = docs.join(copies, docs[key].eqNullSafe(copies[mine]))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), copies[often].cast("int")))).select(*[docs[c] for c in docs.columns])

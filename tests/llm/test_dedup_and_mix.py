@@ -152,6 +152,14 @@ def test_mix(spark):
     assert mixing.plan_mix(docs.limit(0)).collect() == []
 
 
+def test_mix_clashing_names(spark):
+    docs = frame(spark, [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(60)] + [(3, "w w w", None), (None, "w", "a")])
+    clash = docs.withColumns({c: F.lit(5) for c in ("its_copies", "Its_Key", "nth_copy", "copies", "of_source", "rank", "class", "taken", "target", "salt")})
+    got = mixing.mix(clash)
+    assert got.columns == clash.columns and got.where("its_copies <> 5").count() == 0
+    assert sorted((r.doc_id or -1) for r in got.collect()) == sorted((r.doc_id or -1) for r in mixing.mix(docs).collect())
+
+
 def test_mix_inclusion_weights(spark):
     docs = spark.createDataFrame([(i, "s", 10, 3.0 if i % 2 else 1.0) for i in range(4000)], "id long, source string, size long, quality double")
     goals = spark.createDataFrame([("s", 40000, 20000.0)], "source string, source_size long, target double")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 import pytest
 
 from factorloom.llm import chunks, gru, language_model, neighbours, packing, token_counts, tokens, toxicity
@@ -208,10 +209,49 @@ def test_language_model_is_a_distribution():
     assert math.isclose(total, 1, rel_tol=1e-4)
 
 
-def test_language_model_reads_every_document():
-    ids = [None, -1, *range(2000)]
-    turns = np.array([language_model.drawn(ids, turn) for turn in range(language_model.ROUNDS)])
-    assert (turns.sum(axis=0) == 1).all() and (turns.sum(axis=1) > 800).all()
+def test_scorer_is_the_plain_forward_pass():
+    """Every overlapping window, one step of one window at a time."""
+    rng = np.random.default_rng(4)
+    net = toxicity.Network.fresh()
+    net.word_sign, net.gram_sign = rng.normal(size=len(net.word_sign)).astype(np.float32), rng.normal(size=len(net.gram_sign)).astype(np.float32)
+    texts = ["", "one", "some, WORDS here!", " ".join(f"w{rng.integers(0, 99)}" for _ in range(200)), " ".join(f"v{i}" for i in range(64))]
+    got = toxicity.Scorer(net, columns=3).score([t.encode() for t in texts])
+    p = net.p
+    for text, score in zip(texts, got, strict=True):
+        words = [w.encode() for w in text.lower().split()]
+        best = 0.0
+        for a, b in toxicity.windows(len(words)):
+            states = {}
+            for d in "fb":
+                h = np.zeros((toxicity.HIDDEN, 1), np.float32)
+                places = range(a, b) if d == "f" else range(b - 1, a - 1, -1)
+                for t in places:
+                    x, _ = net.inputs([words[t]])
+                    h = gru.step(p[f"U{d}"], (p[f"W{d}"] @ x.T + p[f"b{d}"]), h)
+                    states[d, t] = h
+            both = [np.concatenate((states["f", t], states["b", t])) for t in range(a, b)] or [np.zeros((2 * toxicity.HIDDEN, 1), np.float32)]
+            e = np.array([float((p["v"] @ np.tanh(p["A"] @ x + p["a"]))[0, 0]) for x in both])
+            w = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+            logit = sum(k * float((p["o"] @ x)[0, 0]) for k, x in zip(w, both, strict=True)) + float(p["c"][0, 0])
+            best = max(best, 1 / (1 + math.exp(-logit)))
+        assert math.isclose(score, best, rel_tol=1e-4), text
+
+
+def test_language_model_places_every_document_once():
+    texts = [f"a{i} b{i % 7} c" for i in range(2000)]
+    def placing(order, size):
+        found = {}
+        for a in range(0, len(order), size):
+            ids = [i if i % 50 else None for i in order[a : a + size]]
+            lengths, codes, words = chunks.encode(ids, [texts[i].encode() for i in order[a : a + size]], end=True)
+            c = chunks.Chunk(a, ids, [None] * len(ids), lengths, codes, words)
+            for i, *at in zip(order[a : a + size], *language_model.placed(c, np.arange(len(ids)), 5), strict=True):
+                found[i] = tuple(int(x) for x in at)
+        return found
+    one, two = placing(list(range(2000)), 300), placing(list(range(1999, -1, -1)), 77)
+    assert one == two and len(one) == 2000
+    turns, shards = Counter(x[0] for x in one.values()), Counter(x[1] for x in one.values())
+    assert set(turns) == set(range(language_model.ROUNDS)) and min(turns.values()) > 800 and min(shards.values()) > 300
 
 
 def test_states_are_carried(spark):
@@ -245,9 +285,41 @@ def test_language_model_scores(spark, monkeypatch):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(i), len(ws), sum(w in c for w in ws), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
         assert r.score < 0
+    # the same scores whatever the partitions and chunks
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 1500)
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 1_000)
+    want = {r.doc_id: r.score for r in language_model.score_documents(docs.repartition(2)).collect()}
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 9000)
+    again = {r.doc_id: r.score for r in language_model.score_documents(docs.repartition(7)).collect()}
+    assert all(math.isclose(want[i], again[i], rel_tol=1e-5) for i in want)
+    # whole documents, a token at a time
+    encoded = chunks.encode_chunks(docs, "text", "doc_id", end=True)
+    corpus = language_model.Corpus(language_model.count_words(encoded, 7, 2, 4))
+    net = language_model.train(encoded, corpus, 7, 2)
+    other_n, other_v = corpus.other()
+    for i in [*list(token)[:12], 100]:
+        h, previous, total = np.zeros((language_model.HIDDEN, 1), np.float32), net.v + 1, 0.0
+        for w in token[i]:
+            word = chunks.END if w is None else w.encode()
+            k = int(corpus.ids(np.array([xxhash.xxh3_64_intdigest(word)], dtype=np.uint64))[0])
+            h = gru.step(net.p["U"], net.p["X"][[previous]].T.copy(), h)
+            total += net.output(h, np.array([k]))[0][0] / math.log(10)
+            if k == net.v:
+                total += math.log10((c[w] + 1) / (other_n + other_v + 1))
+            previous = k
+        assert math.isclose(want[i], total, rel_tol=1e-4), i
     assert language_model.score_documents(docs.limit(0)).collect() == []
 
 
+def test_language_model_repeats_and_long_texts(spark):
+    long_text = " ".join(f"w{i % 900}" for i in range(60_000))
+    rows = [(1, "a b c", 1), (1, "a b c", 1), (None, "a b c", 2), (None, None, 2), (3, long_text, 3), (4, "d e", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Score int").withColumns({c: toxicity.F.lit(1) for c in ("n_tokens", "key", "held_out", "chunk")})
+    got = language_model.score_documents(docs).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert {r.n_tokens for r in got if r.doc_id == 3} == {60_001} and len({r.score for r in got if r.doc_id == 1}) == 1
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     data = rng.normal(size=(3000, 16))
