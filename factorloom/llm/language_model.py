@@ -338,6 +338,8 @@ def train(chunks: DataFrame, corpus: Corpus, folds: int, held: int) -> Network:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(columns, kinds, strict=True)], names=["shard", "places", "lengths", "words"])
 
         dealt = chunks.mapInArrow(deal, "shard long, places binary, lengths binary, words binary")
+        # a fixed number of partitions: shards are few bytes and much work, so they are not to be merged by size
+        dealt = dealt.repartition(max(lanes(spark), 2 * shards), "shard")
         copies = cut(dealt.groupBy("shard").applyInArrow(learner(sent, turn), COPIES), "networks")
         many = shards
         while many > 1:
