@@ -65,7 +65,33 @@ METRICS = [
     ("size_log_mcap", "size", True, 100.0, None, "all"),
     ("asset_growth", "investment", False, 100.0, None, "all"),
 ]
+# Sector names of the vendor and of the standard.
+SECTOR_NAMES = {
+    "Technology": "Information Technology",
+    "Healthcare": "Health Care",
+    "Financial Services": "Financials",
+    "Consumer Cyclical": "Consumer Discretionary",
+    "Consumer Defensive": "Consumer Staples",
+    "Communication Services": "Communication Services",
+    "Basic Materials": "Materials",
+    "Industrials": "Industrials",
+    "Energy": "Energy",
+    "Utilities": "Utilities",
+    "Real Estate": "Real Estate",
+}
 METRIC_NAMES = [m[0] for m in METRICS]
+
+# Metrics whose generic weight goes to others of their category where they are mostly missing.
+REDUCIBLE = (
+    "ev_ebitda", "fcf_yield", "earnings_yield", "ev_sales", "pb_ratio",
+    "roic", "gross_profit_assets", "debt_equity", "piotroski_f_score", "accruals", "roe", "roa", "equity_ratio",
+    "forward_eps_growth", "peg_ratio", "revenue_growth", "sustainable_growth",
+    "return_12_1", "return_6m", "volatility", "beta",
+    "analyst_surprise", "price_target_upside", "earnings_acceleration", "consecutive_beat_streak",
+    "size_log_mcap", "asset_growth",
+)
+# Optional categories and the metrics whose coverage decides whether they are used.
+OPTIONAL = {"revisions": ("analyst_surprise", "price_target_upside", "earnings_acceleration", "consecutive_beat_streak"), "investment": ("asset_growth",)}
 WEIGHTED = [m[0] for m in METRICS if m[3] or m[4]]
 
 

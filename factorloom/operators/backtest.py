@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantile
+from ..functions.stats import quantile, steady
+from ..functions.store import stored
+from . import scoring as S
 
 
 def deciles(scores: DataFrame, bins: int = 10, least: int = 20) -> DataFrame:
@@ -21,12 +23,23 @@ def deciles(scores: DataFrame, bins: int = 10, least: int = 20) -> DataFrame:
 def decile_returns(assigned: DataFrame, forward: DataFrame) -> DataFrame:
     """Equal-weight mean forward return of each decile; 0 if no member has one."""
     joined = assigned.join(forward.select(F.col("month_end").alias("as_of"), "ticker", "fwd"), ["as_of", "ticker"], "left")
-    return joined.groupBy("as_of", "decile").agg(F.coalesce(F.avg("fwd"), F.lit(0.0)).alias("ret"), F.count(F.lit(1)).alias("n"))
+    return joined.groupBy("as_of", "decile").agg(F.coalesce(F.avg("fwd"), F.lit(0.0)).alias("ret"), F.count(F.lit(1)).alias("n"), F.count("fwd").alias("priced"))
 
 
-def turnover_cost(assigned: DataFrame, bps: float = 10.0) -> DataFrame:
-    """Share of a decile's members that come or go against the month before, and its cost; 1 in the first month."""
-    months = assigned.select("decile", "as_of").distinct()
+def net_returns(gross: DataFrame, costs: DataFrame) -> DataFrame:
+    """Decile returns less the cost of the turnover; a month in which no member has a return stays at 0."""
+    out = gross.join(costs.select("as_of", "decile", "cost"), ["as_of", "decile"], "left")
+    return out.select("as_of", "decile", F.when(F.col("priced") > 0, F.col("ret") - F.coalesce("cost", F.lit(0.0))).otherwise(0.0).alias("ret"), "n", "priced")
+
+
+def turnover_cost(assigned: DataFrame, forward: DataFrame, bps: float = 10.0) -> DataFrame:
+    """Share of a decile's members that come or go against the month before, and its cost; 1 in the first month.
+
+    Only months count in which a member of the decile has a forward return.
+    """
+    priced = assigned.join(forward.select(F.col("month_end").alias("as_of"), "ticker", "fwd"), ["as_of", "ticker"]).where("fwd is not null").select("decile", "as_of").distinct()
+    assigned = assigned.join(priced, ["decile", "as_of"], "left_semi")
+    months = priced
     months = months.withColumn("prev", F.lag("as_of").over(Window.partitionBy("decile").orderBy("as_of")))
     now = assigned.select("decile", "as_of", "ticker", F.lit(1).alias("here"))
     before = months.where("prev is not null").join(assigned.select("decile", F.col("as_of").alias("prev"), "ticker"), ["decile", "prev"]).select("decile", "as_of", "ticker", F.lit(1).alias("there"))
@@ -91,24 +104,60 @@ def ic_trends(series: DataFrame, by: Sequence[str] = ("factor",), half_life: flo
         n.alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), (F.count_if(F.col("ic") > 0) / n * 100).alias("positive_pct"), (F.sum(F.col("ic") * w) / F.sum(w)).alias("ewm"),
         tail(3).alias("tail_3"), tail(6).alias("tail_6"), tail(12).alias("tail_12"), F.coalesce(F.min(F.when(F.col("ic") <= 0, F.col("age"))), n).alias("positive_run"), F.coalesce(F.min(F.when(F.col("ic") > 0, F.col("age"))), n).alias("negative_run"),
     )
-    status = F.when(F.col("ewm") >= 0.05, "strong").when(F.col("ewm") >= 0.02, "moderate").when(F.col("ewm") > 0, "weak").otherwise("negative")
+    often = lambda p: F.col("positive_pct") >= p
+    status = F.when((F.col("ewm") >= 0.05) & often(70), "strong").when((F.col("ewm") >= 0.02) & often(55), "moderate").when(F.col("ewm") > 0, "weak").otherwise("negative")
     return out.where(F.col("n") >= least).withColumn("status", status)
 
 
-def value_trap_compare(scores: DataFrame, q: float = 0.3) -> DataFrame:
-    """scores(as_of, ticker, value, quality, momentum, fwd): monthly mean return of the cheapest fifth, without and with filters."""
-    limits = scores.groupBy("as_of").agg(quantile(F.col("quality"), q).alias("ql"), quantile(F.col("momentum"), q).alias("ml"))
+def value_trap_compare(scores: DataFrame, q: float = 0.3, least: int = 20) -> DataFrame:
+    """scores(as_of, ticker, value, quality, momentum, fwd): monthly mean return of the cheapest, without and with filters.
+
+    All three portfolios hold a fifth of the whole month's names, or what the filters leave of it;
+    months with fewer than ``least`` names are left out; a portfolio without any return has 0.
+    """
+    scores = scores.where("value is not null")
+    limits = scores.groupBy("as_of").agg(F.count(F.lit(1)).alias("total"), quantile(F.col("quality"), q).alias("ql"), quantile(F.col("momentum"), q).alias("ml")).where(F.col("total") >= least)
     rows = scores.join(F.broadcast(limits), "as_of")
     keep = {"value": F.lit(True), "value_quality": F.col("quality") >= F.col("ql"), "value_quality_momentum": (F.col("quality") >= F.col("ql")) & (F.col("momentum") >= F.col("ml"))}
     each = rows.withColumn("portfolio", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in keep.items()]))))
     by = Window.partitionBy("as_of", "portfolio")
-    ranked = each.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("nth", F.row_number().over(by.orderBy(F.col("value").desc_nulls_last(), "ticker")))
-    return ranked.where(F.col("nth") <= F.floor(F.col("n") / 5)).groupBy("as_of", "portfolio").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("ret"))
+    ranked = each.withColumn("nth", F.row_number().over(by.orderBy(F.col("value").desc_nulls_last(), "ticker")))
+    top = ranked.where(F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("total") / 5)))
+    return top.groupBy("as_of", "portfolio").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("fwd"), F.lit(0.0)).alias("ret"))
 
 
 def quintile_returns(rows: DataFrame, least: int = 50) -> DataFrame:
-    """rows(score, fwd): mean return of score quintiles, cut at quantiles and closed on the right."""
+    """rows(score, fwd): mean return of score quintiles, cut at quantiles and closed on the right, and whether the means never fall."""
     cuts = rows.where("score is not null").agg(F.count(F.lit(1)).alias("total"), *[quantile(F.col("score"), k / 5).alias(f"c{k}") for k in range(1, 5)])
     at = F.when(F.col("score") <= F.col("c1"), 1).when(F.col("score") <= F.col("c2"), 2).when(F.col("score") <= F.col("c3"), 3).when(F.col("score") <= F.col("c4"), 4).otherwise(5)
     out = rows.where("score is not null").crossJoin(F.broadcast(cuts)).where(F.col("total") >= least).withColumn("quintile", at)
-    return out.groupBy("quintile").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("ret"))
+    means = out.groupBy("quintile").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("ret"))
+    falls = F.lead("ret").over(Window.partitionBy(F.lit(0)).orderBy("quintile")) < F.col("ret")
+    return means.withColumn("falls", F.coalesce(falls, F.lit(False))).withColumn("monotonic", ~F.max("falls").over(Window.partitionBy(F.lit(0)))).drop("falls")
+
+
+def monthly_scores(static: DataFrame, dynamic: DataFrame, dimension: DataFrame, weights: dict[str, float], month: str = "as_of") -> DataFrame:
+    """Composites of every security in every month: fundamentals stand still, metrics of prices change.
+
+    ``static`` and ``dynamic`` are wide (the latter with ``month``); every security has a row in each
+    month. Ranks of metrics that stand still are the same each month, so they are taken once, and
+    only their weighted sums by category meet the months; the other metrics are ranked with the month
+    as a key.
+    """
+    ids, cats = ["ticker", "sector", "is_bank"], list(weights)
+    still = [c for c in static.columns if c not in (*ids, "company")]
+    moving = [c for c in dynamic.columns if c not in (month, "ticker")]
+    months = dynamic.select(month).distinct()
+    names = stored(static.select(*ids), "names")
+    at_months = names.join(dynamic, "ticker")
+    fixed = S.piotroski_conditional(S.cleaned_ranks(S.with_dimension(S.to_tall(static, still), dimension)), dimension)
+    changing = S.cleaned_ranks(S.with_dimension(S.to_tall(at_months, moving, keys=[month]), dimension), keys=[month])
+    of = lambda x, c: F.sum(F.when(F.col("category") == c, x))
+    sums = lambda side: [y for c in cats for y in (of(F.col("weight") * F.col("pct"), c).alias(f"{side}p_{c}"), of(F.col("weight"), c).alias(f"{side}w_{c}"))]
+    a = fixed.groupBy("ticker").agg(*sums("s"))
+    b = changing.groupBy(month, "ticker").agg(*sums("d"))
+    rows = names.crossJoin(F.broadcast(months)).join(a, "ticker", "left").join(b, [month, "ticker"], "left")
+    none = lambda x: F.coalesce(x, F.lit(0.0))
+    score = lambda c: F.when(none(f"sw_{c}") + none(f"dw_{c}") > 0, steady((none(f"sp_{c}") + none(f"dp_{c}")) / (none(f"sw_{c}") + none(f"dw_{c}"))))
+    scored = rows.select(month, *ids, *[score(c).alias(f"{c}_score") for c in cats])
+    return S.composite_percentile(scored.withColumn("composite_raw", S.composite_raw(scored, weights)), keys=[month])

@@ -120,3 +120,10 @@ def sector_coverage(wide: DataFrame, metrics: Sequence[str], alert: float = 70.0
     one = wide.groupBy("sector").agg(F.count(F.lit(1)).alias("stocks"), *cols).unpivot(["sector", "stocks"], list(metrics), "metric", "pct")
     out = one.groupBy("sector", "stocks").agg(rounded(F.avg("pct"), 4).alias("coverage"), F.min_by("metric", F.struct("pct", "metric")).alias("worst_metric"), rounded(F.min("pct"), 4).alias("worst_pct"))
     return out.withColumn("alert", F.col("coverage") < alert)
+
+
+def sector_name(records: DataFrame, names: dict[str, str]) -> DataFrame:
+    """records(ticker, sector) whose vendor's sector name is another one in the standard."""
+    known = records.sparkSession.createDataFrame(list(names.items()), "sector string, standard string")
+    found = records.join(F.broadcast(known), "sector")
+    return rule(found, "sector_name", "Critical", F.col("sector") != F.col("standard"), F.concat_ws(" / ", "sector", "standard"))

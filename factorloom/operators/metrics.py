@@ -24,9 +24,11 @@ def over(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
-def bank_like(sector: Column, ticker: Column | None = None, financial: tuple[str, ...] = FINANCIAL, never: tuple[str, ...] = ()) -> Column:
-    """A security of a financial sector that is not on the list of non-banks."""
+def bank_like(sector: Column, ticker: Column | None = None, financial: tuple[str, ...] = FINANCIAL, never: tuple[str, ...] = (), industry: Column | None = None, industries: tuple[str, ...] = ()) -> Column:
+    """A security of a financial sector, and of a bank's industry where a list is given, that is not on the list of non-banks; both lists are short."""
     bank = F.coalesce(sector.isin(*financial), F.lit(False))
+    if industry is not None and industries:
+        bank = bank & F.coalesce(industry.isin(*industries), F.lit(False))
     return bank & ~ticker.isin(*never) if ticker is not None and never else bank
 
 
@@ -42,29 +44,35 @@ def ev_resolved(sector: Column, loose: float = 0.25, tight: float = 0.10) -> tup
 
 
 def roic() -> Column:
-    """EBIT after tax over invested capital; surplus cash up to half of all cash is left out."""
+    """EBIT after tax over invested capital, at least a tenth of the assets; surplus cash up to half of all cash is left out.
+
+    Without revenue no cash counts as needed for operations; without assets there is no floor.
+    """
     rate = F.when(c("pretax_income") <= 0, 0.0).otherwise(F.coalesce(clip(c("tax_expense") / F.when(c("pretax_income") != 0, c("pretax_income")), 0.0, 0.5), F.lit(0.21)))
-    surplus = F.least(F.greatest(F.lit(0.0), c("total_cash") - 0.02 * c("revenue")), 0.5 * c("total_cash"))
-    capital = c("equity") + c("total_debt") - F.when(c("total_cash").isNotNull() & c("revenue").isNotNull(), surplus)
-    floored = F.when(capital.isNotNull() & c("total_assets").isNotNull(), F.greatest(capital, 0.1 * c("total_assets")))
+    operating = F.when(c("revenue") > 0, 0.02 * c("revenue")).otherwise(0.0)
+    surplus = F.least(F.greatest(F.lit(0.0), c("total_cash") - operating), 0.5 * c("total_cash"))
+    capital = c("equity") + c("total_debt") - F.when(c("total_cash").isNotNull(), surplus)
+    floored = F.when(c("total_assets") > 0, F.when(capital.isNotNull(), F.greatest(capital, 0.1 * c("total_assets")))).otherwise(capital)
     return F.when(floored > 0, c("ebit") * (1 - rate) / floored)
 
 
 def piotroski() -> tuple[Column, Column]:
-    """Signals that hold, and signals that can be tested; each only where its inputs are there."""
-    pairs = [
-        (c("net_income"), c("net_income") > 0),
-        (c("ocf"), c("ocf") > 0),
-        (c("net_income") / c("total_assets") - c("net_income_prior") / c("total_assets_prior"), c("net_income") / c("total_assets") > c("net_income_prior") / c("total_assets_prior")),
-        (c("ocf") - c("net_income"), c("ocf") > c("net_income")),
-        (c("lt_debt") / c("total_assets") - c("lt_debt_prior") / c("total_assets_prior"), c("lt_debt") / c("total_assets") <= c("lt_debt_prior") / c("total_assets_prior")),
-        (c("current_assets") / c("current_liabilities") - c("current_assets_prior") / c("current_liabilities_prior"), c("current_assets") / c("current_liabilities") > c("current_assets_prior") / c("current_liabilities_prior")),
-        (c("shares") - c("shares_prior"), c("shares") <= c("shares_prior")),
-        (c("gross_profit") / c("revenue") - c("gross_profit_prior") / c("revenue_prior"), c("gross_profit") / c("revenue") > c("gross_profit_prior") / c("revenue_prior")),
-        (c("revenue") / c("total_assets") - c("revenue_prior") / c("total_assets_prior"), c("revenue") / c("total_assets") > c("revenue_prior") / c("total_assets_prior")),
+    """Signals that hold, and signals that can be tested: their inputs are there and denominators are positive."""
+    rate = lambda a, b: (over(c(a), c(b)), over(c(f"{a}_prior"), c(f"{b}_prior")))
+    returns, debt, liquidity, margin, turnover = rate("net_income", "total_assets"), rate("lt_debt", "total_assets"), rate("current_assets", "current_liabilities"), rate("gross_profit", "revenue"), rate("revenue", "total_assets")
+    signals = [
+        c("net_income") > 0,
+        c("ocf") > 0,
+        returns[0] > returns[1],
+        c("ocf") > c("net_income"),
+        debt[0] < debt[1],
+        liquidity[0] > liquidity[1],
+        c("shares") <= c("shares_prior"),
+        margin[0] > margin[1],
+        turnover[0] > turnover[1],
     ]
     add = lambda xs: reduce(lambda a, b: a + b, xs)
-    return add([F.when(t.isNotNull() & ok, 1).otherwise(0) for t, ok in pairs]), add([t.isNotNull().cast("int") for t, _ in pairs])
+    return add([F.coalesce(s.cast("int"), F.lit(0)) for s in signals]), add([s.isNotNull().cast("int") for s in signals])
 
 
 # Weights of the eight indices of the manipulation score, and its constant and threshold.
@@ -94,15 +102,16 @@ def manipulation_score(least: int = 5) -> Column:
     return F.when(given & (real >= least), score)
 
 
-def all_metrics(f: DataFrame) -> DataFrame:
-    """ticker, is_bank and the metrics; those that do not apply to banks (or to others) are null there."""
+def all_metrics(f: DataFrame, never: tuple[str, ...] = (), industries: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """ticker, is_bank, columns to ``keep``, and the metrics; those that do not apply to banks (or to others) are null there."""
     ev, ev_flag = ev_resolved(c("sector"))
-    base = f.withColumns({"is_bank": bank_like(c("sector")), "ev": ev, "ev_flag": ev_flag})
+    base = f.withColumns({"is_bank": bank_like(c("sector"), c("ticker"), never=never, industry=c("industry"), industries=industries), "ev": ev, "ev_flag": ev_flag})
     other = ~c("is_bank")
     built = F.when(c("da") >= 0, c("ebit") + c("da")).otherwise(c("ebitda"))
     ebitda = F.coalesce(built, c("ebitda"))
     held, testable = piotroski()
-    retention = F.when(c("payout_ratio").between(0, 2), 1 - c("payout_ratio")).when(c("dividends_paid").isNotNull() & (c("net_income") > 0), 1 - F.abs("dividends_paid") / c("net_income"))
+    dividends = F.coalesce(F.abs("dividends_paid"), F.abs(c("dividend_rate") * c("shares")))
+    retention = F.greatest(F.lit(0.0), F.when(c("payout_ratio").between(0, 2), 1 - c("payout_ratio")).when(dividends.isNotNull() & (c("net_income") > 0), 1 - dividends / c("net_income")))
     growth = c("forward_eps") - c("trailing_eps")
     fwd = F.when(F.abs("trailing_eps") > 0.01, clip(growth / F.greatest(F.abs("trailing_eps"), F.lit(1.0)), -0.75, 1.5))
     rev_move, ebit_move = (c("revenue") - c("revenue_prior")) / F.abs("revenue_prior"), (c("ebit") - c("ebit_prior")) / F.abs("ebit_prior")
@@ -112,17 +121,18 @@ def all_metrics(f: DataFrame) -> DataFrame:
     return base.select(
         "ticker",
         "is_bank",
+        *keep,
         "ev",
         "ev_flag",
         F.when(other & (c("ev") > 0) & (ebitda > 0), c("ev") / ebitda).alias("ev_ebitda"),
         over(c("ocf") - F.abs("capex"), c("ev")).alias("fcf_yield"),
-        F.coalesce(over(c("net_income"), c("market_cap")), F.when(c("market_cap").isNull() | c("net_income").isNull(), over(c("trailing_eps"), c("price")))).alias("earnings_yield"),
+        F.coalesce(over(c("net_income"), c("market_cap")), over(c("trailing_eps"), c("price"))).alias("earnings_yield"),
         F.when(other & (c("ev") > 0), over(c("ev"), c("revenue"))).alias("ev_sales"),
         F.when(other, roic()).alias("roic"),
         F.when(other, over(c("gross_profit"), c("total_assets"))).alias("gross_profit_assets"),
         F.when(other, over(c("total_debt"), c("equity"))).alias("debt_equity"),
-        F.when(other, over(F.when(c("total_debt").isNotNull(), F.greatest(c("total_debt") - F.coalesce("total_cash", F.lit(0.0)), F.lit(0.0))), c("ebitda"))).alias("net_debt_to_ebitda"),
-        F.when(other & (F.abs(rev_move) >= 0.01), ebit_move / rev_move).alias("operating_leverage"),
+        F.when(other, over(F.when(c("total_debt").isNotNull(), F.greatest(c("total_debt") - F.coalesce("total_cash", F.lit(0.0)), F.lit(0.0))), ebitda)).alias("net_debt_to_ebitda"),
+        F.when(other & (c("revenue_prior") > 0) & (c("ebit_prior") != 0) & (F.abs(rev_move) >= 0.01), ebit_move / rev_move).alias("operating_leverage"),
         F.when(testable >= 6, held.cast("double")).alias("piotroski_f_score"),
         over(c("net_income") - c("ocf"), c("total_assets")).alias("accruals"),
         F.when(other, score).alias("beneish_m_score"),
@@ -130,7 +140,7 @@ def all_metrics(f: DataFrame) -> DataFrame:
         recv.alias("recv_rev_divergence"),
         F.coalesce(recv > 0.15, F.lit(False)).alias("channel_stuffing_flag"),
         fwd.alias("forward_eps_growth"),
-        F.when((growth > 0) & (c("trailing_eps") > 0.01), F.least(c("price") / c("trailing_eps") / (growth / F.abs("trailing_eps") * 100), F.lit(50.0))).alias("peg_ratio"),
+        F.when((fwd > 0) & (c("trailing_eps") > 0.01) & c("price").isNotNull(), F.least(c("price") / c("trailing_eps") / (fwd * 100), F.lit(50.0))).alias("peg_ratio"),
         over(c("revenue") - c("revenue_prior"), c("revenue_prior")).alias("revenue_growth"),
         F.when((c("revenue_3yr_ago") > 0) & (c("revenue") > 0), F.pow(c("revenue") / c("revenue_3yr_ago"), F.lit(1 / 3)) - 1).alias("revenue_cagr_3yr"),
         F.when((c("net_income") > 0) & (c("equity") > 0), clip(c("net_income") / F.when(c("equity_prior") > 0, (c("equity") + c("equity_prior")) / 2).otherwise(c("equity")) * retention, 0.0, 1.0)).alias("sustainable_growth"),

@@ -145,10 +145,10 @@ def portfolio_daily_return(prices: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def surprises(earnings: DataFrame, quarters: int = 4, least: float = 0.001, floor: float = 0.1) -> DataFrame:
-    """Relative surprise of the last quarters; i counts from the newest, none for tiny estimates."""
+    """Relative surprise of the last quarters; i counts from the newest; a quarter without figures or with a tiny estimate has none, and none stands in for it."""
     nth = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("quarter").desc()))
-    recent = earnings.where("eps_actual is not null and eps_estimate is not null").withColumn("i", nth).where(F.col("i") <= quarters)
-    return recent.where(F.abs("eps_estimate") > least).withColumn("surprise", (F.col("eps_actual") - F.col("eps_estimate")) / F.greatest(F.abs("eps_estimate"), F.lit(floor)))
+    recent = earnings.withColumn("i", nth).where(F.col("i") <= quarters)
+    return recent.where(F.col("eps_actual").isNotNull() & (F.abs("eps_estimate") > least)).withColumn("surprise", (F.col("eps_actual") - F.col("eps_estimate")) / F.greatest(F.abs("eps_estimate"), F.lit(floor)))
 
 
 def earnings_surprise(earnings: DataFrame) -> DataFrame:

@@ -71,3 +71,44 @@ def metric_evolution(trends: DataFrame, run: int = 12, least_ic: float = 0.02, l
     down = trends.where((F.col("weight") > 0) & (F.col("ewm") <= 0) & (F.col("negative_run") >= run))
     pick = lambda df, action, w: df.select("category", "metric", F.lit(action).alias("action"), F.col("weight"), w.alias("new_weight"))
     return pick(new, "activate", F.lit(step)).unionByName(pick(down, "lower", F.greatest(F.lit(0.0), F.col("weight") - step)))
+
+
+def redistribute(weights: DataFrame, changes: DataFrame) -> DataFrame:
+    """weights(category, metric, weight), changes(category, metric, action, new_weight): new weights of the categories that change.
+
+    Lowered metrics free weight and activated ones need it; the net need is taken from, or the net rest
+    given to, the other metrics in use by their weights; then the category is scaled to 100 if it is off
+    by more than half a point, and its largest metric takes what rounding leaves.
+    """
+    by = Window.partitionBy("category")
+    out = weights.join(changes.select("category", "metric", "action", "new_weight"), ["category", "metric"], "full_outer")
+    out = out.withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("w", F.coalesce("new_weight", "weight"))
+    out = out.withColumn("touched", F.count("action").over(by)).where("touched > 0")
+    needed = F.sum(F.when(F.col("action") == "activate", F.col("new_weight"))).over(by)
+    freed = F.sum(F.when(F.col("action") == "lower", F.col("weight") - F.col("new_weight"))).over(by)
+    out = out.withColumn("net", F.coalesce(needed, F.lit(0.0)) - F.coalesce(freed, F.lit(0.0)))
+    sits_out = F.when(F.col("net") > 0, "activate").otherwise("lower")
+    takes = (F.col("w") > 0) & ~F.coalesce(F.col("action") == sits_out, F.lit(False))
+    out = out.withColumn("base", F.when(takes, F.col("w"))).withColumn("total", F.sum("base").over(by))
+    moved = F.when(F.col("base").isNull() | (F.col("net") == 0) | (F.col("total") <= 0), F.col("w")).otherwise(rounded(F.greatest(F.lit(0.0), F.col("base") - F.col("base") / F.col("total") * F.col("net")), 1))
+    out = out.withColumn("w", moved).withColumn("sum", F.sum("w").over(by))
+    off = (F.abs(F.col("sum") - 100) > 0.5) & (F.col("sum") > 0)
+    out = out.withColumn("off", off).withColumn("w", F.when(F.col("off"), rounded(F.col("w") * (F.lit(100.0) / F.col("sum")), 1)).otherwise(F.col("w")))
+    out = out.withColumn("left", F.lit(100.0) - F.sum("w").over(by)).withColumn("nth", F.row_number().over(by.orderBy(F.col("w").desc(), "metric")))
+    last = F.when(F.col("off") & (F.abs("left") > 0.01) & (F.col("nth") == 1), rounded(F.col("w") + F.col("left"), 1)).otherwise(F.col("w"))
+    return out.select("category", "metric", "weight", last.alias("new_weight"))
+
+
+def append_version(versions: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
+    """versions(version, as_of, category, metric, weight) and the next version: the last one with the weights of ``new(category, metric, new_weight)``."""
+    newest = versions.agg(F.max("version").alias("newest"))
+    last = versions.crossJoin(newest).where("version = newest").drop("as_of")
+    nxt = last.join(new.select("category", "metric", "new_weight"), ["category", "metric"], "full_outer")
+    at = nxt.crossJoin(newest.select((F.col("newest") + 1).alias("next")))
+    return versions.unionByName(at.select(F.col("next").cast("int").alias("version"), F.lit(as_of).cast("date").alias("as_of"), "category", "metric", F.coalesce("new_weight", "weight").alias("weight")))
+
+
+def change_log(changes: DataFrame, as_of: str) -> DataFrame:
+    """A row for each change: kind, metric, old and new weight."""
+    kind = F.when(F.col("action") == "activate", "metric_activation").otherwise("metric_deactivation")
+    return changes.select(F.lit(as_of).cast("date").alias("date"), kind.alias("change_type"), "category", "metric", F.col("weight").alias("old_value"), F.col("new_weight").alias("new_value"))

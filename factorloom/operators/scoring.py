@@ -6,12 +6,15 @@ scenarios) lets one plan score many cross-sections at once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank_pct, quantile, rounded, steady, weighted_mean
+from ..config import METRICS, OPTIONAL, REDUCIBLE
+from ..functions.ranks import average_pct, counted, meet, placed, quantiles
+from ..functions.stats import quantile, rounded, steady, weighted_mean
+from ..functions.store import stored
 
 IDS = ["ticker", "sector", "is_bank"]
 
@@ -28,17 +31,24 @@ def with_dimension(tall: DataFrame, dimension: DataFrame) -> DataFrame:
     return joined.withColumn("weight", F.when(F.col("is_bank"), F.col("bank")).otherwise(F.col("generic")))
 
 
+def clamp_limits(at: DataFrame, low: float, high: float, least: int, by: Sequence[str]) -> DataFrame:
+    """Of values placed in their metric: the smallest and largest that stay, k = int(share * n) from either end; none for small metrics."""
+    enough = F.col("total") >= least
+    floor = F.min(F.when(enough & (F.col("below") + F.col("n") > F.floor(F.lit(low) * F.col("total"))), F.col("value")))
+    ceiling = F.max(F.when(enough & (F.col("below") < F.col("total") - F.floor(F.lit(high) * F.col("total"))), F.col("value")))
+    return at.groupBy(*by).agg(floor.alias("floor"), ceiling.alias("ceiling"))
+
+
+def clamped(rows: DataFrame, limits: DataFrame, by: Sequence[str]) -> DataFrame:
+    value = F.when(F.col("floor").isNull(), F.col("value")).otherwise(F.greatest("floor", F.least("ceiling", "value")))
+    return meet(rows, limits, by).withColumn("value", value).drop("floor", "ceiling")
+
+
 def winsorize(tall: DataFrame, low: float = 0.01, high: float = 0.01, least: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """Replace the k lowest and highest values of a metric by the next order statistic, k = int(share * n)."""
-    by = Window.partitionBy(*keys, "metric")
-    order = by.orderBy("value", "ticker")
-    n = F.count(F.lit(1)).over(by)
-    ranked = tall.withColumn("n", n).withColumn("rn", F.row_number().over(order))
-    k_low, k_high = F.floor(F.lit(low) * F.col("n")), F.floor(F.lit(high) * F.col("n"))
-    ranked = ranked.withColumn("floor", F.max(F.when(F.col("rn") == k_low + 1, F.col("value"))).over(by))
-    ranked = ranked.withColumn("ceiling", F.max(F.when(F.col("rn") == F.col("n") - k_high, F.col("value"))).over(by))
-    value = F.when(F.col("n") < least, F.col("value")).when(F.col("rn") <= k_low, F.col("floor")).when(F.col("rn") > F.col("n") - k_high, F.col("ceiling")).otherwise(F.col("value"))
-    return ranked.withColumn("value", value).drop("n", "rn", "floor", "ceiling")
+    by = [*keys, "metric"]
+    tall = stored(tall, "values")
+    return clamped(tall, clamp_limits(placed(counted(tall, by), by), low, high, least, by), by)
 
 
 def directed(pct: Column, higher: Column) -> Column:
@@ -47,19 +57,45 @@ def directed(pct: Column, higher: Column) -> Column:
 
 
 def pct_rank_universe(tall: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return tall.withColumn("pct", directed(average_rank_pct(F.col("value"), [*keys, "metric"]), F.col("higher")))
+    by = [*keys, "metric"]
+    tall = stored(tall, "values")
+    ranks = placed(counted(tall, by), by).select(*by, "value", average_pct().alias("pct"))
+    return meet(tall, ranks, [*by, "value"]).withColumn("pct", directed(F.col("pct"), F.col("higher")))
+
+
+def sector_ranks(inside: DataFrame, everywhere: DataFrame, least: int, by: Sequence[str]) -> DataFrame:
+    """Percentile of each value of a sector: in the sector, or in the universe where the sector has fewer than ``least`` values."""
+    own = inside.select(*by, "sector", "value", average_pct().alias("inside"), (F.col("total") < least).alias("few"))
+    all_ = everywhere.select(*by, "value", average_pct().alias("everywhere"))
+    out = meet(own, all_, [*by, "value"])
+    return out.select(*by, "sector", "value", F.when(F.col("few"), F.col("everywhere")).otherwise(F.col("inside")).alias("pct"))
 
 
 def pct_rank_sector(tall: DataFrame, least: int = 10, keys: Sequence[str] = ()) -> DataFrame:
-    """Rank inside the sector, or in the universe where the sector has fewer than ``least`` values.
+    """Rank inside the sector, or in the universe where the sector has fewer than ``least`` values."""
+    by = [*keys, "metric"]
+    tall = stored(tall, "values")
+    counts = counted(tall, [*by, "sector"])
+    ranks = sector_ranks(placed(counts, [*by, "sector"]), placed(counted(tall, by), by), least, by)
+    return meet(tall, ranks, [*by, "sector", "value"]).withColumn("pct", directed(F.col("pct"), F.col("higher")))
+
+
+def cleaned_ranks(tall: DataFrame, low: float = 0.01, high: float = 0.01, least: int = 10, keys: Sequence[str] = ()) -> DataFrame:
+    """``winsorize`` and then ``pct_rank_sector``, with one placing in the metric and one in the sector for both.
 
-    Partitioning by (keys, metric) serves both windows: one shuffle.
+    Clamped values keep their order, so ranks of what is clamped follow from those of the values.
     """
-    everywhere = average_rank_pct(F.col("value"), [*keys, "metric"])
-    inside = average_rank_pct(F.col("value"), [*keys, "metric", "sector"])
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "metric", "sector"))
-    pct = F.when(n < least, everywhere).otherwise(inside)
-    return tall.withColumn("pct", directed(pct, F.col("higher")))
+    by = [*keys, "metric"]
+    tall = stored(tall, "values")
+    everywhere = placed(counted(tall, by), by)
+    limits = stored(clamp_limits(everywhere, low, high, least, by), "limits")
+
+    def again(at: DataFrame, groups: list[str]) -> DataFrame:
+        return clamped(at, limits, by).groupBy(*groups, "value", "total").agg(F.sum("n").alias("n"), F.min("below").alias("below"))
+
+    sector = [*by, "sector"]
+    ranks = sector_ranks(again(placed(counted(tall, sector), sector), sector), again(everywhere, by), least, by)
+    return meet(clamped(tall, limits, by), ranks, [*sector, "value"]).withColumn("pct", directed(F.col("pct"), F.col("higher")))
 
 
 def logistic(pct: Column, steepness: float = 0.08) -> Column:
@@ -75,34 +111,53 @@ def category_scores(ranked: DataFrame, categories: Sequence[str], keys: Sequence
     return ranked.groupBy(*keys, *IDS).agg(*cols)
 
 
-def piotroski_conditional(ranked: DataFrame, threshold: float = 50.0, factor: float = 0.5, to: Sequence[str] = ("roic", "gross_profit_assets"), keys: Sequence[str] = ()) -> DataFrame:
-    """Lower the F-score's weight of dear non-banks and give what is freed to other metrics by their weights.
+def _moved(ranked: DataFrame, on: Column, to: Sequence[str], factor: float, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Where ``on``, the F-score's weight is lowered, and what is freed goes to the metrics ``to`` by their generic weights.
 
-    Needs the valuation score first, which is one windowed aggregate on the partitioning of the next step.
+    ``dimension`` has a row for each metric (and key); its sums are one row for each key.
     """
+    parts = {f"generic_{m}": F.max(F.when(F.col("metric") == m, F.col("generic"))) for m in ("piotroski_f_score", *to)}
+    sums = dimension.groupBy(*keys).agg(*[x.alias(n) for n, x in parts.items()])
+    out = meet(ranked.withColumn("on", on), sums, keys)
+    pool = sum((F.coalesce(f"generic_{m}", F.lit(0.0)) for m in to), F.lit(0.0))
+    freed = F.col("generic_piotroski_f_score") * (1 - factor)
+    weight = (
+        F.when(F.col("on") & (F.col("metric") == "piotroski_f_score"), F.col("generic_piotroski_f_score") * factor)
+        .when(F.col("on") & F.col("metric").isin(*to) & (pool > 0) & (F.col("generic") > 0), F.col("generic") + freed * F.col("generic") / pool)
+        .otherwise(F.col("weight"))
+    )
+    return out.withColumn("weight", weight).drop("on", *parts)
+
+
+def _dear(threshold: float, keys: Sequence[str]) -> Column:
+    """Non-banks with a valuation score under the threshold: one window by ticker, on the partitioning of the category scores."""
     mine = Window.partitionBy(*keys, "ticker")
     of = F.col("category") == "valuation"
     got = F.sum(F.when(of, F.col("weight"))).over(mine)
     valuation = F.when(got > 0, F.sum(F.when(of, F.col("weight") * F.col("pct"))).over(mine) / got)
-    dear = ~F.col("is_bank") & (steady(valuation) < threshold)
-    base = F.col("generic")
-    pool = ranked.where(F.col("metric").isin(*to)).select("metric", "generic").distinct()
-    shares = pool.agg(F.sum("generic").alias("pool"))
-    f_score = ranked.where(F.col("metric") == "piotroski_f_score").agg(F.max("generic").alias("f_weight"))
-    out = ranked.crossJoin(F.broadcast(shares)).crossJoin(F.broadcast(f_score)).withColumn("dear", F.coalesce(dear, F.lit(False)))
-    weight = (
-        F.when(F.col("dear") & (F.col("metric") == "piotroski_f_score"), F.col("weight") * factor)
-        .when(F.col("dear") & F.col("metric").isin(*to) & (F.col("pool") > 0), F.col("weight") + F.col("f_weight") * (1 - factor) * base / F.col("pool"))
-        .otherwise(F.col("weight"))
-    )
-    return out.withColumn("weight", weight).drop("pool", "f_weight", "dear")
+    return F.coalesce(~F.col("is_bank") & (steady(valuation) < threshold), F.lit(False))
+
+
+def piotroski_conditional(ranked: DataFrame, dimension: DataFrame, threshold: float = 50.0, factor: float = 0.5, to: Sequence[str] = ("roic", "gross_profit_assets"), keys: Sequence[str] = ()) -> DataFrame:
+    """Lower the F-score's weight of dear non-banks and give what is freed to other metrics by their weights."""
+    return _moved(ranked, _dear(threshold, keys), to, factor, dimension, keys)
 
 
-def composite_raw(scored: DataFrame, weights: dict[str, float]) -> Column:
-    """Weighted mean of the category scores that are there."""
-    used = {c: w for c, w in weights.items() if w > 0}
-    total = sum((F.when(F.col(f"{c}_score").isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for c, w in used.items()), F.lit(0.0))
-    score = sum((F.coalesce(F.lit(w) * F.col(f"{c}_score"), F.lit(0.0)) for c, w in used.items()), F.lit(0.0))
+def piotroski_growth_trap(ranked: DataFrame, dimension: DataFrame, earlier: DataFrame, high: float = 0.7, low: float = 0.35, threshold: float = 50.0, factor: float = 0.5, to: Sequence[str] = ("accruals", "gross_profit_assets"), keys: Sequence[str] = ()) -> DataFrame:
+    """The same for non-banks that are not dear but had growth in its highest part and quality in its lowest in ``earlier`` scores."""
+    had = stored(earlier.select(*keys, "ticker", "growth_score", "quality_score"), "earlier")
+    limits = thresholds(had, {"g": ("growth_score", high), "q": ("quality_score", low)}, keys)
+    trapped = meet(had, limits, keys).where((F.col("growth_score") >= F.col("g")) & (F.col("quality_score") <= F.col("q"))).select(*keys, "ticker", F.lit(True).alias("trapped"))
+    out = meet(ranked, trapped, [*keys, "ticker"], "left").withColumn("dear", _dear(threshold, keys))
+    on = F.coalesce("trapped", F.lit(False)) & ~F.col("is_bank") & ~F.col("dear")
+    return _moved(out, on, to, factor, dimension, keys).drop("trapped", "dear")
+
+
+def composite_raw(scored: DataFrame, weights: Mapping[str, float | Column]) -> Column:
+    """Weighted mean of the category scores that are there; weights are numbers or columns."""
+    used = {c: F.lit(w) if isinstance(w, (int, float)) else w for c, w in weights.items()}
+    total = sum((F.when(F.col(f"{c}_score").isNotNull(), w).otherwise(F.lit(0.0)) for c, w in used.items()), F.lit(0.0))
+    score = sum((F.coalesce(w * F.col(f"{c}_score"), F.lit(0.0)) for c, w in used.items()), F.lit(0.0))
     return F.when(total > 0, steady(score / total))
 
 
@@ -134,33 +189,38 @@ def coverage_discount(score: Column, present: Column, applicable: Column, thresh
 
 def composite_percentile(scored: DataFrame, raw: str = "composite_raw", keys: Sequence[str] = ()) -> DataFrame:
     """Percentile of the raw composite, at two digits; null stays null."""
-    has = scored.where(F.col(raw).isNotNull())
-    pct = has.withColumn("composite", rounded(average_rank_pct(F.col(raw), list(keys) or [F.lit(0)]), 2))
-    return pct.unionByName(scored.where(F.col(raw).isNull()).withColumn("composite", F.lit(None).cast("double")))
+    scored = stored(scored, "raw")
+    at = placed(counted(scored, keys, raw), keys, raw).select(*keys, raw, rounded(average_pct(), 2).alias("composite"))
+    return meet(scored, at, [*keys, raw], "left")
 
 
 def composite_sector_relative(scored: DataFrame, raw: str = "composite_raw", least: int = 3, keys: Sequence[str] = ()) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "sector"))
-    pct = average_rank_pct(F.col(raw), [*keys, "sector"])
-    return scored.where(F.col(raw).isNotNull()).withColumn("composite", F.when(n < least, F.lit(50.0)).otherwise(rounded(pct, 2)))
+    by = [*keys, "sector"]
+    scored = stored(scored.where(F.col(raw).isNotNull()), "raw")
+    at = placed(counted(scored, by, raw), by, raw).select(*by, raw, F.when(F.col("total") < least, 50.0).otherwise(rounded(average_pct(), 2)).alias("composite"))
+    return meet(scored, at, [*by, raw])
 
 
-def contributions(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
+def contributions(scored: DataFrame, weights: Mapping[str, float | Column]) -> DataFrame:
     """Points that each category adds to the raw composite; 0 where it is missing."""
-    total = sum((F.when(F.col(f"{c}_score").isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
-    return scored.withColumns({f"{c}_contrib": F.coalesce(F.when(total > 0, rounded(F.col(f"{c}_score") * w / total, 2)), F.lit(0.0)) for c, w in weights.items()})
+    used = {c: F.lit(w) if isinstance(w, (int, float)) else w for c, w in weights.items()}
+    total = sum((F.when(F.col(f"{c}_score").isNotNull(), w).otherwise(F.lit(0.0)) for c, w in used.items()), F.lit(0.0))
+    return scored.withColumns({f"{c}_contrib": F.coalesce(F.when(total > 0, rounded(F.col(f"{c}_score") * w / total, 2)), F.lit(0.0)) for c, w in used.items()})
 
 
 def thresholds(scored: DataFrame, cuts: dict[str, tuple[str, float]], keys: Sequence[str] = ()) -> DataFrame:
     """One row (per key) of exact quantiles: name -> (column, q)."""
-    return scored.groupBy(*keys).agg(*[quantile(F.col(c), q).alias(name) for name, (c, q) in cuts.items()])
+    columns = sorted({c for c, _ in cuts.values()})
+    tall = scored.select(*keys, *columns).unpivot(list(keys), columns, "column", "value")
+    at = placed(counted(tall, [*keys, "column"]), [*keys, "column"])
+    return quantiles(at, {name: (F.col("column") == c, q) for name, (c, q) in cuts.items()}, keys)
 
 
 def _with_thresholds(scored: DataFrame, cuts: dict[str, tuple[str, float]], keys: Sequence[str]) -> DataFrame:
     if all(name in scored.columns for name in cuts):
         return scored
-    limits = F.broadcast(thresholds(scored, cuts, keys))
-    return scored.join(limits, list(keys)) if keys else scored.crossJoin(limits)
+    scored = stored(scored, "scores")
+    return meet(scored, thresholds(scored, cuts, keys), keys)
 
 
 def _votes(*conditions: Column) -> Column:
@@ -207,22 +267,109 @@ def insufficient_data(scored: DataFrame) -> DataFrame:
 
 def rank_stocks(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rank 1 is the highest composite; ties share a rank; without composite there is no rank."""
-    over = Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy(F.col("composite").desc_nulls_last())
-    return scored.withColumn("rank", F.when(F.col("composite").isNotNull(), F.rank().over(over)))
+    scored = stored(scored, "composites")
+    at = placed(counted(scored, keys, "composite"), keys, "composite")
+    at = at.select(*keys, "composite", (F.col("total") - F.col("below") - F.col("n") + 1).cast("int").alias("rank"))
+    return meet(scored, at, [*keys, "composite"], "left")
 
 
-def ranked_metrics(wide: DataFrame, dimension: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Tall percentiles with weights: winsorized, ranked by sector, F-score adjusted."""
-    tall = with_dimension(winsorize(to_tall(wide, metrics, keys=keys), keys=keys), dimension)
-    return piotroski_conditional(pct_rank_sector(tall, keys=keys), keys=keys)
+def composite_and_rank(scored: DataFrame, raw: str = "composite_raw", keys: Sequence[str] = ()) -> DataFrame:
+    """``composite_percentile`` and ``rank_stocks`` from one placing: rounding keeps the order of the raw composites."""
+    at = placed(counted(scored, keys, raw), keys, raw).withColumn("composite", rounded(average_pct(), 2))
+    same = Window.partitionBy(*keys, "composite")
+    above = F.col("total") - F.max(F.col("below") + F.col("n")).over(same)
+    return meet(scored, at.select(*keys, raw, "composite", (above + 1).cast("int").alias("rank")), [*keys, raw], "left")
 
 
-def score_pipeline(wide: DataFrame, dimension: DataFrame, metrics: Sequence[str], weights: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """The whole chain: percentiles, category scores, composite, traps, rank; one row per security."""
-    scored = category_scores(ranked_metrics(wide, dimension, metrics, keys), list(weights), keys)
-    scored = scored.withColumn("composite_raw", composite_raw(scored, weights))
-    scored = composite_percentile(_with_thresholds(scored, value_cuts() | growth_cuts(), keys), keys=keys)
-    return rank_stocks(growth_trap(value_trap(insufficient_data(scored), keys=keys), keys=keys), keys)
+def ranked_metrics(wide: DataFrame, dimension: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Tall percentiles with weights: winsorized, ranked by sector, F-score adjusted."""
+    ranked = cleaned_ranks(with_dimension(to_tall(wide, metrics, keys=keys), dimension), keys=keys)
+    return piotroski_conditional(ranked, dimension)
+
+
+def score_pipeline(
+    wide: DataFrame,
+    dimension: DataFrame,
+    metrics: Sequence[str],
+    weights: dict[str, float],
+    keys: Sequence[str] = (),
+    applies: Sequence[tuple] = METRICS,
+    least_coverage: float = 0.6,
+    optional: Mapping[str, Sequence[str]] = OPTIONAL,
+    least_optional: float = 0.3,
+    most_missing: float = 70.0,
+    steepness: float | None = None,
+    history: DataFrame | None = None,
+    discount: bool = True,
+) -> DataFrame:
+    """The whole chain, one row per security that is covered.
+
+    Steps: coverage filter, optional categories without data switched off, weights of sparse metrics
+    given to others, winsorizing, sector percentiles, an optional logistic transform (``steepness``),
+    category scores, the momentum weight by regime (``history``), composite with coverage discount,
+    contributions, rank, traps. Metrics without any weight are not ranked. Weights are tables of a few
+    dozen rows; the covered rows, their values and the category scores are stored once each.
+    """
+    wide = stored(coverage_filter(wide, applies, metrics, least_coverage), "covered")
+    n = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.count(m).alias(m) for m in metrics])
+    filled = n.unpivot([*keys, "rows"], list(metrics), "metric", "filled")
+    spread = reduced_weights(filled, dimension, most_missing, keys=keys)
+    used = [r[0] for r in applies if r[0] in metrics and (r[3] or r[4])]
+    tall = meet(to_tall(wide, used, keys=keys), spread, [*keys, "metric"]).withColumn("weight", F.when(F.col("is_bank"), F.col("bank")).otherwise(F.col("generic")))
+    ranked = cleaned_ranks(tall, keys=keys)
+    if steepness is not None:
+        ranked = ranked.withColumn("pct", logistic(F.col("pct"), steepness))
+    scored = category_scores(piotroski_conditional(ranked, spread, keys=keys), list(weights), keys)
+    every = wide.select(*keys, *IDS, "present", "applicable")
+    categories = stored(meet(every, scored.drop("sector", "is_bank"), [*keys, "ticker"], "left"), "categories")
+    scored = meet(categories, category_weights_used(filled, categories, weights, optional, least_optional, history, keys), keys)
+    columns = {c: F.col(f"w_{c}") for c in weights}
+    scored = scored.withColumn("undiscounted", composite_raw(scored, columns))
+    raw = coverage_discount(F.col("undiscounted"), F.col("present"), F.col("applicable")) if discount else F.col("undiscounted")
+    scored = contributions(scored.withColumn("composite_raw", steady(raw)), columns).drop(*[f"w_{c}" for c in weights])
+    scored = meet(composite_and_rank(scored, keys=keys), thresholds(categories, value_cuts() | growth_cuts(), keys), keys)
+    return growth_trap(value_trap(insufficient_data(scored), keys=keys), keys=keys)
+
+
+def reduced_weights(filled: DataFrame, dimension: DataFrame, most_missing: float = 70.0, of: Sequence[str] = REDUCIBLE, keys: Sequence[str] = ()) -> DataFrame:
+    """filled(keys, rows, metric, filled): per metric its category, direction and weights.
+
+    A metric of ``of`` that is missing beyond ``most_missing`` percent gives its generic weight to the
+    others of ``of`` in its category, by their weights.
+    """
+    out = meet(filled, dimension, ["metric"]).withColumn("may", F.col("metric").isin(*of) & (F.col("generic") > 0))
+    gone = F.col("may") & ((F.col("rows") - F.col("filled")) / F.col("rows") * 100 > most_missing)
+    out = out.withColumn("gone", gone)
+    by = Window.partitionBy(*keys, "category")
+    freed, rest = F.sum(F.when(F.col("gone"), F.col("generic"))).over(by), F.sum(F.when(F.col("may") & ~F.col("gone"), F.col("generic"))).over(by)
+    new = F.when(F.col("gone"), 0.0).when(F.col("may") & (freed > 0), rounded(F.col("generic") + freed * F.col("generic") / rest, 2)).otherwise(F.col("generic"))
+    return out.withColumn("new", new).select(*keys, "metric", "category", "higher", F.col("new").alias("generic"), "bank")
+
+
+def category_weights_used(filled: DataFrame, scored: DataFrame, weights: dict[str, float], optional: Mapping[str, Sequence[str]] = OPTIONAL, least: float = 0.3, history: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per key with the weights w_<category>: optional categories whose metrics are filled below ``least`` give theirs to the others, then the momentum regime moves some."""
+    of = lambda c, x: F.sum(F.when(F.col("metric").isin(*optional[c]), F.col(x)))
+    out = filled.groupBy(*keys).agg(*[F.coalesce(of(c, "filled") / of(c, "rows") < least, F.lit(True)).alias(f"off_{c}") for c in optional])
+    w = {c: F.lit(float(x)) for c, x in weights.items()}
+    for c in optional:
+        rest = sum((w[o] for o in w if o != c), F.lit(0.0))
+        w = {o: F.when(F.col(f"off_{c}"), F.lit(0.0) if o == c else rounded(w[o] + w[c] * w[o] / rest, 2)).otherwise(w[o]) for o in w}
+    out = out.select(*keys, *[x.alias(f"w_{c}") for c, x in w.items()])
+    if history is None:
+        return out
+    regime = momentum_regime(scored, history, keys=keys).select(*keys, "regime")
+    return regime_weights(meet(out, regime, keys)).drop("regime")
+
+
+def regime_weights(weights: DataFrame, up: float = 1.15, down: float = 0.7) -> DataFrame:
+    """weights(w_<category>, regime): a high regime gives a part of momentum's weight to quality and valuation in halves, a low one takes some from valuation."""
+    m, q, v, is_ = F.col("w_momentum"), F.col("w_quality"), F.col("w_valuation"), F.col("regime")
+    return weights.select(
+        *[F.col(c) for c in weights.columns if c not in ("w_momentum", "w_quality", "w_valuation")],
+        F.when(is_ == "high", rounded(m * down, 2)).when(is_ == "low", rounded(m * up, 2)).otherwise(m).alias("w_momentum"),
+        F.when(is_ == "high", rounded(q + m * (1 - down) / 2, 2)).otherwise(q).alias("w_quality"),
+        F.when(is_ == "high", rounded(v + m * (1 - down) / 2, 2)).when(is_ == "low", rounded(v - m * (up - 1), 2)).otherwise(v).alias("w_valuation"),
+    )
 
 
 def weights_check(weights: DataFrame, slack: float = 0.5) -> DataFrame:
@@ -250,9 +397,12 @@ def auto_reduce_sparse_metric(missing: DataFrame, weights: DataFrame, most: floa
     return kept.withColumn("new_weight", new).select("category", "metric", "weight", "missing_pct", "new_weight")
 
 
-def momentum_regime(scored: DataFrame, history: DataFrame, least: int = 20, up: float = 1.15, down: float = 0.7) -> DataFrame:
-    """Spread of momentum scores against the quartiles of its history(momentum_vol): high, low or normal, and the weight factor."""
-    now = scored.agg(steady(F.stddev_samp("momentum_score")).alias("momentum_vol"))
+def momentum_regime(scored: DataFrame, history: DataFrame, least: int = 20, up: float = 1.15, down: float = 0.7, keys: Sequence[str] = ()) -> DataFrame:
+    """Spread of momentum scores against the quartiles of its history(momentum_vol): high, low or normal, and the weight factor.
+
+    A history has one row for each run, so its quartiles are taken by an aggregate.
+    """
+    now = scored.groupBy(*keys).agg(steady(F.stddev_samp("momentum_score")).alias("momentum_vol"))
     past = history.agg(F.count(F.lit(1)).alias("n"), quantile(F.col("momentum_vol"), 0.25).alias("p25"), quantile(F.col("momentum_vol"), 0.75).alias("p75"))
     regime = F.when(F.col("n") < least, "unknown").when(F.col("momentum_vol") > F.col("p75"), "high").when(F.col("momentum_vol") < F.col("p25"), "low").otherwise("normal")
     out = now.crossJoin(past).withColumn("regime", regime)

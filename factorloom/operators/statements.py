@@ -71,3 +71,33 @@ def freshness(lines: DataFrame, as_of: str, stale: int = 200) -> DataFrame:
     out = lines.groupBy("ticker", "statement").agg(F.max("period_end").alias("newest"))
     out = out.withColumn("age", F.datediff(F.lit(as_of).cast("date"), "newest"))
     return out.withColumn("stale", F.col("age") > stale)
+
+
+def prior_year(lines: DataFrame) -> DataFrame:
+    """Per ticker and label the sum of the four quarters before the last four, or the year before the last of the annual statements."""
+    quarterly = ltm(lines, offset=4).select("ticker", "label", "ltm")
+    annual = numbered(lines.where("freq = 'A'")).where("k = 1").select("ticker", "label", F.col("value").alias("annual"))
+    out = quarterly.join(annual, ["ticker", "label"], "full_outer")
+    return out.select("ticker", "label", F.coalesce("ltm", "annual").alias("prior"), F.when(F.col("ltm").isNotNull(), "quarterly").when(F.col("annual").isNotNull(), "annual").alias("source"))
+
+
+def income_block(lines: DataFrame, decisive: Sequence[str]) -> DataFrame:
+    """Per ticker the labels of one source: sums of four quarters, unless all ``decisive`` ones are missing; then all labels come from the last annual statement.
+
+    The tag says which: quarterly or annual.
+    """
+    quarterly = ltm(lines).select("ticker", "label", "ltm")
+    annual = numbered(lines.where("freq = 'A'")).where("k = 0").select("ticker", "label", F.col("value").alias("annual"))
+    both = quarterly.join(annual, ["ticker", "label"], "full_outer")
+    found = F.count(F.when(F.col("label").isin(*decisive), F.col("ltm"))).over(Window.partitionBy("ticker"))
+    out = both.withColumn("source", F.when(found > 0, "quarterly").otherwise("annual"))
+    return out.select("ticker", "label", F.when(F.col("source") == "quarterly", F.col("ltm")).otherwise(F.col("annual")).alias("value"), "source").where("value is not null")
+
+
+def current_and_prior(lines: DataFrame, chains: dict[str, Sequence[str]]) -> DataFrame:
+    """One row per ticker: for each field the last annual value and the one before, each by the first label of the field's chain that has it."""
+    rows = [(field, place, label.lower()) for field, labels in chains.items() for place, label in enumerate(labels)]
+    order = lines.sparkSession.createDataFrame(rows, "field string, place int, low string")
+    known = numbered(lines.where("freq = 'A'")).where("k <= 1").withColumn("low", F.lower(F.trim("label"))).join(F.broadcast(order), "low")
+    pick = lambda f, k: F.min_by("value", F.when((F.col("field") == f) & (F.col("k") == k), F.col("place")))
+    return known.groupBy("ticker").agg(*[x for f in chains for x in (pick(f, 0).alias(f), pick(f, 1).alias(f"{f}_prior"))])

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.stats import rounded
 from ..operators import metrics as M
 from ..sources import views as V
-from .scoring import rd
+from .sql import rd
 
-B = "(coalesce(sector = 'MACHINERY', false))"
+#: Industries whose financial securities count as banks, and tickers that never do.
+BANK_INDUSTRIES = tuple(f"nation {k}" for k in range(17))
+NEVER_BANKS = ("C10", "C77")
+B0 = "(coalesce(sector = 'MACHINERY', false))"
+B = f"(coalesce(sector = 'MACHINERY' AND industry IN ({', '.join(repr(x) for x in BANK_INDUSTRIES)}), false) AND ticker NOT IN ({', '.join(repr(x) for x in NEVER_BANKS)}))"
 COMPUTED = "(market_cap + total_debt - total_cash)"
-TOL = f"(CASE WHEN {B} THEN 0.25::DOUBLE ELSE 0.1::DOUBLE END)"
+TOL = f"(CASE WHEN {B0} THEN 0.25::DOUBLE ELSE 0.1::DOUBLE END)"
 FAR = f"({COMPUTED} > 0 AND enterprise_value > 0 AND (enterprise_value / {COMPUTED} < 1 - {TOL} OR enterprise_value / {COMPUTED} > 1 + {TOL}))"
 GONE = "(enterprise_value IS NULL OR enterprise_value = 0)"
 
@@ -26,17 +30,18 @@ def clip(x: str, lo: float, hi: float) -> str:
 
 
 RATE = f"(CASE WHEN pretax_income <= 0 THEN 0 ELSE coalesce({clip('tax_expense / nullif(pretax_income, 0)', 0.0, 0.5)}, 0.21::DOUBLE) END)"
-CAPITAL = "(CASE WHEN total_cash IS NOT NULL AND revenue IS NOT NULL AND total_assets IS NOT NULL AND equity IS NOT NULL AND total_debt IS NOT NULL THEN greatest(equity + total_debt - least(greatest(0, total_cash - 0.02::DOUBLE * revenue), 0.5::DOUBLE * total_cash), 0.1::DOUBLE * total_assets) END)"
+INVESTED = "(equity + total_debt - least(greatest(0, total_cash - CASE WHEN revenue > 0 THEN 0.02::DOUBLE * revenue ELSE 0 END), 0.5::DOUBLE * total_cash))"
+CAPITAL = f"(CASE WHEN total_cash IS NULL OR equity IS NULL OR total_debt IS NULL THEN NULL WHEN total_assets > 0 THEN greatest({INVESTED}, 0.1::DOUBLE * total_assets) ELSE {INVESTED} END)"
 SIGNALS = [
     ("net_income", "net_income > 0"),
     ("ocf", "ocf > 0"),
-    ("net_income + net_income_prior + total_assets + total_assets_prior", "net_income / total_assets > net_income_prior / total_assets_prior"),
+    ("CASE WHEN total_assets > 0 AND total_assets_prior > 0 THEN net_income + net_income_prior END", "net_income / total_assets > net_income_prior / total_assets_prior"),
     ("ocf + net_income", "ocf > net_income"),
-    ("lt_debt + lt_debt_prior + total_assets + total_assets_prior", "lt_debt / total_assets <= lt_debt_prior / total_assets_prior"),
-    ("current_assets + current_assets_prior + current_liabilities + current_liabilities_prior", "current_assets / current_liabilities > current_assets_prior / current_liabilities_prior"),
+    ("CASE WHEN total_assets > 0 AND total_assets_prior > 0 THEN lt_debt + lt_debt_prior END", "lt_debt / total_assets < lt_debt_prior / total_assets_prior"),
+    ("CASE WHEN current_liabilities > 0 AND current_liabilities_prior > 0 THEN current_assets + current_assets_prior END", "current_assets / current_liabilities > current_assets_prior / current_liabilities_prior"),
     ("shares + shares_prior", "shares <= shares_prior"),
-    ("gross_profit + gross_profit_prior + revenue + revenue_prior", "gross_profit / revenue > gross_profit_prior / revenue_prior"),
-    ("revenue + revenue_prior + total_assets + total_assets_prior", "revenue / total_assets > revenue_prior / total_assets_prior"),
+    ("CASE WHEN revenue > 0 AND revenue_prior > 0 THEN gross_profit + gross_profit_prior END", "gross_profit / revenue > gross_profit_prior / revenue_prior"),
+    ("CASE WHEN total_assets > 0 AND total_assets_prior > 0 THEN revenue + revenue_prior END", "revenue / total_assets > revenue_prior / total_assets_prior"),
 ]
 HELD = "(" + " + ".join(f"CASE WHEN ({a}) IS NOT NULL AND {b} THEN 1 ELSE 0 END" for a, b in SIGNALS) + ")"
 TESTABLE = "(" + " + ".join(f"CAST(({a}) IS NOT NULL AS INT)" for a, _ in SIGNALS) + ")"
@@ -55,26 +60,28 @@ INDEX = {
 REAL = " + ".join(f"CAST(({x}) IS NOT NULL AS INT)" for x in INDEX.values())
 MSCORE = "(CASE WHEN revenue <> 0 AND revenue_prior <> 0 AND total_assets <> 0 AND total_assets_prior <> 0 AND " + f"({REAL}) >= 5 THEN {M.MANIPULATION_BASE}::DOUBLE + " + " + ".join(f"{w}::DOUBLE * coalesce({INDEX[k]}, {0 if k == 'tata' else 1})" for k, w in M.MANIPULATION.items()) + " END)"
 EBITDA = "(coalesce(CASE WHEN da >= 0 THEN ebit + da ELSE ebitda END, ebitda))"
-RET = "(CASE WHEN payout_ratio BETWEEN 0 AND 2 THEN 1 - payout_ratio WHEN dividends_paid IS NOT NULL AND net_income > 0 THEN 1 - abs(dividends_paid) / net_income END)"
+DIVIDENDS = "coalesce(abs(dividends_paid), abs(dividend_rate * shares))"
+RET = f"(CASE WHEN payout_ratio BETWEEN 0 AND 2 THEN greatest(0, 1 - payout_ratio) WHEN {DIVIDENDS} IS NOT NULL AND net_income > 0 THEN greatest(0, 1 - {DIVIDENDS} / net_income) END)"
 RECV = "(CASE WHEN receivables_prior > 0 AND revenue_prior > 0 THEN (receivables - receivables_prior) / receivables_prior - (revenue - revenue_prior) / revenue_prior END)"
 RATIO = "(CASE WHEN abs(trailing_eps) > 0.1::DOUBLE THEN forward_eps / trailing_eps END)"
 RM, EM = "((revenue - revenue_prior) / abs(revenue_prior))", "((ebit - ebit_prior) / abs(ebit_prior))"
+GROWN = clip("(forward_eps - trailing_eps) / greatest(abs(trailing_eps), 1)", -0.75, 1.5)
 SQL = {
     "ev_ebitda": f"CASE WHEN NOT b AND ev > 0 AND {EBITDA} > 0 THEN ev / {EBITDA} END",
     "fcf_yield": pos("ocf - abs(capex)", "ev"),
-    "earnings_yield": f"coalesce({pos('net_income', 'market_cap')}, CASE WHEN market_cap IS NULL OR net_income IS NULL THEN {pos('trailing_eps', 'price')} END)",
+    "earnings_yield": f"coalesce({pos('net_income', 'market_cap')}, {pos('trailing_eps', 'price')})",
     "ev_sales": f"CASE WHEN NOT b AND ev > 0 THEN {pos('ev', 'revenue')} END",
     "roic": f"CASE WHEN NOT b AND {CAPITAL} > 0 THEN ebit * (1 - {RATE}) / {CAPITAL} END",
     "gross_profit_assets": f"CASE WHEN NOT b THEN {pos('gross_profit', 'total_assets')} END",
     "debt_equity": f"CASE WHEN NOT b THEN {pos('total_debt', 'equity')} END",
-    "net_debt_to_ebitda": f"CASE WHEN NOT b THEN {pos('CASE WHEN total_debt IS NOT NULL THEN greatest(total_debt - coalesce(total_cash, 0), 0) END', 'ebitda')} END",
-    "operating_leverage": f"CASE WHEN NOT b AND abs({RM}) >= 0.01::DOUBLE THEN {EM} / {RM} END",
+    "net_debt_to_ebitda": f"CASE WHEN NOT b THEN {pos('CASE WHEN total_debt IS NOT NULL THEN greatest(total_debt - coalesce(total_cash, 0), 0) END', EBITDA)} END",
+    "operating_leverage": f"CASE WHEN NOT b AND revenue_prior > 0 AND ebit_prior <> 0 AND abs({RM}) >= 0.01::DOUBLE THEN {EM} / {RM} END",
     "piotroski_f_score": f"CASE WHEN {TESTABLE} >= 6 THEN CAST({HELD} AS DOUBLE) END",
     "accruals": pos("net_income - ocf", "total_assets"),
     "beneish_m_score": f"CASE WHEN NOT b THEN {MSCORE} END",
     "recv_rev_divergence": RECV,
-    "forward_eps_growth": f"CASE WHEN abs(trailing_eps) > 0.01::DOUBLE THEN {clip('(forward_eps - trailing_eps) / greatest(abs(trailing_eps), 1)', -0.75, 1.5)} END",
-    "peg_ratio": "CASE WHEN forward_eps - trailing_eps > 0 AND trailing_eps > 0.01::DOUBLE THEN least(price / trailing_eps / ((forward_eps - trailing_eps) / abs(trailing_eps) * 100), 50) END",
+    "forward_eps_growth": f"CASE WHEN abs(trailing_eps) > 0.01::DOUBLE THEN {GROWN} END",
+    "peg_ratio": f"CASE WHEN {GROWN} > 0 AND trailing_eps > 0.01::DOUBLE AND price IS NOT NULL THEN least(price / trailing_eps / ({GROWN} * 100), 50) END",
     "revenue_growth": pos("revenue - revenue_prior", "revenue_prior"),
     "revenue_cagr_3yr": "CASE WHEN revenue_3yr_ago > 0 AND revenue > 0 THEN pow(revenue / revenue_3yr_ago, 1 / 3) - 1 END",
     "sustainable_growth": f"CASE WHEN net_income > 0 AND equity > 0 THEN {clip(f'net_income / CASE WHEN equity_prior > 0 THEN (equity + equity_prior) / 2 ELSE equity END * {RET}', 0.0, 1.0)} END",
@@ -104,11 +111,12 @@ FLAGS = {
     "channel_stuffing_flag": f"coalesce({RECV} > 0.15::DOUBLE, false)",
     "eps_basis_mismatch": f"coalesce({RATIO} > 2 OR {RATIO} < 0.3::DOUBLE, false)",
 }
-SRC = f"WITH e AS (SELECT *, {B} AS b, CASE WHEN {GONE} OR {FAR} THEN {COMPUTED} ELSE enterprise_value END AS ev, coalesce(NOT {GONE} AND {FAR}, false) AS ev_flag FROM {V.oracle(V.FUNDAMENTALS)} v)"
+E = f"(SELECT *, {B} AS b, CASE WHEN {GONE} OR {FAR} THEN {COMPUTED} ELSE enterprise_value END AS ev, coalesce(NOT {GONE} AND {FAR}, false) AS ev_flag FROM {V.oracle(V.FUNDAMENTALS)} v)"
+SRC = f"WITH e AS {E}"
 
 
 def metrics(s: SparkSession, sf: str) -> DataFrame:
-    return M.all_metrics(V.view(s, sf, V.FUNDAMENTALS))
+    return M.all_metrics(V.view(s, sf, V.FUNDAMENTALS), NEVER_BANKS, BANK_INDUSTRIES, ("company", "sector", "series", "earner"))
 
 
 def digits(name: str) -> int:

@@ -59,7 +59,6 @@ QUERIES = {
     "return_12m": lambda s, sf: FD.metrics(s, sf).select("ticker", rounded(F.col("return_12m"), 5).alias("return_12m")),
     "acc_statement_dates": lambda s, sf: ST.freshness(RC.lines(s, sf).where("label = 'Total Revenue'"), RC.AS_OF).select("ticker", F.col("newest").alias("a")).join(ST.freshness(RC.lines(s, sf).where("label = 'Tax Provision' and value is not null"), RC.AS_OF).select("ticker", F.col("newest").alias("b")), "ticker").where("a <> b"),
     "acc_recompute": lambda s, sf: _recompute(s, sf),
-    "annual_fallback": lambda s, sf: _annual(s, sf),
 }
 
 
@@ -70,15 +69,6 @@ def _recompute(s: SparkSession, sf: str) -> DataFrame:
     return out.where(F.abs(F.col("earnings_yield") - F.col("by_share")) > 0.005).select("ticker", rounded(F.col("earnings_yield"), 6).alias("scored"), rounded(F.col("by_share"), 6).alias("by_share"))
 
 
-def _annual(s: SparkSession, sf: str) -> DataFrame:
-    """Sums of the last four quarters, or of the last calendar year where there are fewer, with the source."""
-    lines = RC.lines(s, sf).where("label = 'Total Revenue'")
-    quarterly = ST.ltm(lines).select("ticker", "ltm")
-    yearly = lines.groupBy("ticker", F.year("period_end").alias("y")).agg(F.sum("value").alias("v")).groupBy("ticker").agg(F.max_by("v", "y").alias("annual"))
-    both = quarterly.join(yearly, "ticker", "full_outer")
-    return both.select("ticker", rounded(F.coalesce("ltm", "annual"), 2).alias("revenue"), F.when(F.col("ltm").isNotNull(), "quarterly").otherwise("annual").alias("source"))
-
-
 def _price_date(s: SparkSession, sf: str) -> DataFrame:
     """First trading day from five days before each month's end on: both meet by month, or by the next one."""
     ends = SR.months(s, sf).select("month_end").withColumn("m", F.explode(F.array(F.trunc("month_end", "month"), F.add_months(F.trunc("month_end", "month"), 1))))
@@ -107,13 +97,12 @@ ORACLE_SQL = {
     "weight_proposal": f"WITH {ALLOC}{constrained('al', '(weight * 0.5 + target * 0.5)')}, c AS (SELECT category, weight, proposed, {rd('proposed - weight', 1)} AS change FROM k) SELECT *, CASE WHEN change > 0 THEN 'up' WHEN change < 0 THEN 'down' ELSE 'same' END AS direction, 'medium' AS confidence, max(abs(change)) OVER () <= 2 AS auto_apply FROM c",
     "metric_weight_proposal": f"WITH {ICS}, a AS (SELECT category AS metric, weight, CASE WHEN sum(pos) OVER () > 0 THEN weight * 0.5 + 0.5 * 100 * pos / sum(pos) OVER () ELSE weight END AS aim FROM i), b AS (SELECT *, greatest(0, least(greatest(aim, weight - 5), weight + 5)) AS p FROM a) SELECT 'signals' AS category, metric, weight, {rd('p * 100 / sum(p) OVER ()', 2)} AS proposed FROM b",
     "regime_adjust": f"WITH {ICS}, r AS (SELECT factor, CASE WHEN tail_3 > mean THEN 'high' ELSE 'low' END AS regime FROM tr), a AS (SELECT category, weight, regime, weight * CASE regime WHEN 'high' THEN 1.1::DOUBLE WHEN 'low' THEN 0.9::DOUBLE ELSE 1 END AS x FROM i LEFT JOIN r ON factor = category) SELECT category, weight, regime, {rd('x * 100 / sum(x) OVER ()', 4)} AS adjusted FROM a",
-    "metric_evolution": f"WITH tr AS ({TR}), a AS (SELECT factor AS metric, CASE WHEN factor = 'momentum' THEN 0::DOUBLE ELSE 30::DOUBLE END AS weight, ewm, positive_run, negative_run FROM tr) SELECT 'signals' AS category, metric, 'activate' AS action, weight, 5::DOUBLE AS new_weight FROM a WHERE weight = 0 AND ewm >= -1 AND positive_run >= 1 UNION ALL SELECT 'signals', metric, 'lower', weight, 25::DOUBLE FROM a WHERE weight > 0 AND ewm <= 0 AND negative_run >= 1",
+    "metric_evolution": f"WITH tr AS ({TR}), a AS (SELECT factor AS metric, CASE WHEN factor = 'momentum' THEN 0::DOUBLE ELSE 30::DOUBLE END AS weight, ewm, positive_run, negative_run, positive_pct FROM tr), u AS (SELECT metric, weight FROM a WHERE weight = 0 AND ewm >= -1 AND positive_run >= 1 AND positive_pct >= 0 QUALIFY row_number() OVER (ORDER BY ewm DESC, metric) <= 1) SELECT 'signals' AS category, metric, 'activate' AS action, weight, 5::DOUBLE AS new_weight FROM u UNION ALL SELECT 'signals', metric, 'lower', weight, greatest(0, weight - 5) FROM a WHERE weight > 0 AND ewm <= 0 AND negative_run >= 1",
     "metric_ic": f"WITH {IC10} SELECT as_of, factor, n, ic FROM ic",
-    "metric_ic_trends": f"WITH {IC10}, a AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY as_of DESC) - 1 AS age FROM ic WHERE ic IS NOT NULL), q AS (SELECT factor, count(*) AS n, sum(ic * pow(0.5::DOUBLE, age / 3.0::DOUBLE)) / sum(pow(0.5::DOUBLE, age / 3.0::DOUBLE)) AS ewm, coalesce(min(age) FILTER (ic <= 0), count(*)) AS positive_run, coalesce(min(age) FILTER (ic > 0), count(*)) AS negative_run FROM a GROUP BY 1) SELECT factor, n, {rd('ewm', 6)} AS ewm, positive_run, negative_run, CASE WHEN ewm >= 0.05 THEN 'strong' WHEN ewm >= 0.02 THEN 'moderate' WHEN ewm > 0 THEN 'weak' ELSE 'negative' END AS status FROM q WHERE n >= 4",
+    "metric_ic_trends": f"WITH {IC10}, a AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY as_of DESC) - 1 AS age FROM ic WHERE ic IS NOT NULL), q AS (SELECT factor, count(*) AS n, sum(ic * pow(0.5::DOUBLE, age / 3.0::DOUBLE)) / sum(pow(0.5::DOUBLE, age / 3.0::DOUBLE)) AS ewm, coalesce(min(age) FILTER (ic <= 0), count(*)) AS positive_run, coalesce(min(age) FILTER (ic > 0), count(*)) AS negative_run, CAST(count(*) FILTER (ic > 0) AS DOUBLE) / count(*) * 100 AS positive_pct FROM a GROUP BY 1) SELECT factor, n, {rd('ewm', 6)} AS ewm, positive_run, negative_run, CASE WHEN ewm >= 0.05 AND positive_pct >= 70 THEN 'strong' WHEN ewm >= 0.02 AND positive_pct >= 55 THEN 'moderate' WHEN ewm > 0 THEN 'weak' ELSE 'negative' END AS status FROM q WHERE n >= 4",
     "pf_vs_universe_returns": f"WITH {SR.PAIRS} SELECT as_of, {rd('avg(fwd) FILTER (score > 0)', 6)} AS members, {rd('avg(fwd)', 6)} AS universe, {rd('quantile_cont(fwd, 0.5)', 6)} AS median FROM pa WHERE factor = 'momentum' GROUP BY 1",
     "bt_price_date": f"WITH {SR.D}{SR.MK}, {SR.MO} SELECT mm.month_end, min(dt) AS price_date FROM mm JOIN k ON dt >= mm.month_end - 5 GROUP BY 1",
     "return_12m": f"{FD.SRC} SELECT ticker, {rd(FD.SQL['return_12m'], 5)} AS return_12m FROM e",
     "acc_statement_dates": f"WITH {RC.L} SELECT ticker, max(period_end) FILTER (label = 'Total Revenue') AS a, max(period_end) FILTER (label = 'Tax Provision' AND value IS NOT NULL) AS b FROM l GROUP BY 1 HAVING a <> b",
     "acc_recompute": f"{FD.SRC}, z AS (SELECT ticker, {FD.SQL['earnings_yield']} AS y, CASE WHEN price > 0 THEN trailing_eps / price END AS x FROM e) SELECT ticker, {rd('y', 6)} AS scored, {rd('x', 6)} AS by_share FROM z WHERE abs(y - x) > 0.005",
-    "annual_fallback": f"WITH {RC.LTM}, q AS (SELECT ticker, ltm FROM t WHERE label = 'Total Revenue'), y AS (SELECT ticker, year(period_end) AS yr, sum(value) AS v FROM l WHERE label = 'Total Revenue' GROUP BY 1, 2), a AS (SELECT ticker, arg_max(v, yr) AS annual FROM y GROUP BY 1) SELECT a.ticker, {rd('coalesce(ltm, annual)', 2)} AS revenue, CASE WHEN ltm IS NOT NULL THEN 'quarterly' ELSE 'annual' END AS source FROM a LEFT JOIN q ON q.ticker = a.ticker",
 }

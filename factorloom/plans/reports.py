@@ -12,7 +12,7 @@ from ..operators import portfolio as P
 from ..operators import reports as R
 from ..operators import scoring as S
 from ..sources import views
-from .scoring import CATS, M, METRICS, MISSING, PCT, RAW, SCORED, SCORES, TALL, W, metrics, missing, raw_scored, rd, scored, tall, wins
+from .scoring import CATS, M, METRICS, MISSING, PCT, RAW, SCORED, SCORES, TALL, W, metrics, missing, ranked, raw_scored, rd, scored, tall
 
 CAPS = config.CATEGORY_WEIGHTS
 
@@ -91,7 +91,7 @@ QUERIES = {
     "rpt_peers": lambda s, sf: R.peers(fundamentals(s, sf)),
     "rpt_sector_context": lambda s, sf: R.sector_context(scored(s, sf), metrics(s, sf), METRICS[:8]),
     "rpt_flags": lambda s, sf: scored(s, sf).select("ticker", "value_trap", "growth_trap", "insufficient_data", "value_trap_severity", "growth_trap_severity"),
-    "rpt_score_forensics": lambda s, sf: R.score_forensics(S.pct_rank_sector(wins(s, sf))).select("ticker", "category", "metric", rounded(F.col("pct"), 6).alias("pct"), "weight", rounded(F.col("points"), 6).alias("points")),
+    "rpt_score_forensics": lambda s, sf: R.score_forensics(ranked(s, sf)).select("ticker", "category", "metric", rounded(F.col("pct"), 6).alias("pct"), "weight", rounded(F.col("points"), 6).alias("points")),
     "rpt_metric_dictionary": lambda s, sf: config.metric_dimension(s).join(missing(s, sf), "metric", "left").select("metric", "category", "higher", "generic", "bank", "missing_pct"),
     "rpt_quality_summary": lambda s, sf: missing(s, sf).agg(F.count(F.lit(1)).alias("metrics"), rounded(F.lit(100) - F.avg("missing_pct"), 4).alias("coverage")),
     "rpt_validation_top10": lambda s, sf: scored(s, sf).where("rank <= 10").join(metrics(s, sf).select("ticker", *METRICS[:6]), "ticker").select("rank", "ticker", "composite", *[rounded(F.col(c), 6).alias(c) for c in METRICS[:6]], "value_trap"),
@@ -102,7 +102,7 @@ QUERIES = {
     "ranking_impact": lambda s, sf: D.ranking_impact(raw_scored(s, sf), W, PROPOSED),
     "rpt_summary_bands": lambda s, sf: P.factor_exposure(P.weight_score(port(s, sf)), CATS).select("category", "exposure", R.band(F.col("exposure"), [(65.0, "strong"), (50.0, "fair")], "weak").alias("band")),
     "category_correlation": lambda s, sf: D.spearman(spearman_source(raw_scored(s, sf), SCORES)),
-    "metric_correlation": lambda s, sf: D.spearman(S.pct_rank_sector(wins(s, sf)).select("ticker", F.col("metric").alias("name"), rounded(F.col("pct"), 6).alias("value"))),
+    "metric_correlation": lambda s, sf: D.spearman(ranked(s, sf).select("ticker", F.col("metric").alias("name"), rounded(F.col("pct"), 6).alias("value"))),
     "dispersion": lambda s, sf: D.dispersion(raw_scored(s, sf), CATS),
     "dispersion_regime": lambda s, sf: D.dispersion_regime(dispersion_history(s, sf)).select("category", "n", "latest", rounded(F.col("p25"), 6).alias("p25"), rounded(F.col("p75"), 6).alias("p75"), "regime"),
     "screen_filter": lambda s, sf: R.screen_filter(with_fields(s, sf), sector="BUILDING", traps="clean", least=60.0, search="c1").select("ticker", "composite"),
@@ -124,8 +124,8 @@ QUERIES = {
 # -- SQL ---------------------------------------------------------------------------------------------
 
 FU = f"fu AS (SELECT * FROM {views.oracle(views.FUNDAMENTALS)} v)"
-FIELDS = SCORED + f", {FU}, wf AS (SELECT f.*, m.company, m.volatility, m.beta, fu.market_cap, fu.dollar_volume, fu.dividend_rate / nullif(fu.price, 0) AS dividend_yield FROM f JOIN fu ON f.ticker = fu.ticker JOIN m ON f.ticker = m.ticker)"
-ELIGIBLE = FIELDS + ", e0 AS (SELECT * FROM wf WHERE NOT value_trap AND NOT growth_trap), e AS (SELECT * FROM e0 WHERE composite >= (SELECT quantile_cont(composite, 0.5) FROM e0) AND dollar_volume >= 0)"
+FIELDS = SCORED + f", {FU}, wfx AS (SELECT f.*, m.company, m.volatility, m.beta, fu.market_cap, fu.dollar_volume, fu.dividend_rate / nullif(fu.price, 0) AS dividend_yield FROM f JOIN fu ON f.ticker = fu.ticker JOIN m ON f.ticker = m.ticker)"
+ELIGIBLE = FIELDS + ", e0 AS (SELECT * FROM wfx WHERE NOT value_trap AND NOT growth_trap), e AS (SELECT * FROM e0 WHERE composite >= (SELECT quantile_cont(composite, 0.5) FROM e0) AND dollar_volume >= 0)"
 PORT = ELIGIBLE + ", p0 AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY composite DESC NULLS LAST, ticker) AS k FROM e), p1 AS (SELECT * FROM p0 WHERE k <= 8 ORDER BY composite DESC NULLS LAST, ticker LIMIT 25), pf AS (SELECT *, CAST(row_number() OVER (ORDER BY composite DESC NULLS LAST, ticker) AS INT) AS port_rank FROM p1)"
 SCORE_W = PORT + f", ws AS (SELECT *, {rd('greatest(coalesce(composite, (SELECT quantile_cont(composite, 0.5) FROM pf)), 1) / sum(greatest(coalesce(composite, (SELECT quantile_cont(composite, 0.5) FROM pf)), 1)) OVER () * 100', 9)} AS weight FROM pf)"
 MED = "coalesce((SELECT quantile_cont(CASE WHEN volatility > 0 THEN volatility END, 0.5) FROM pf), 0.25)"
@@ -214,7 +214,7 @@ ORACLE_SQL = {
     "pf_naive_top_n": f"WITH {SCORED} SELECT ticker, rank FROM f WHERE NOT value_trap AND NOT growth_trap ORDER BY rank ASC NULLS LAST, ticker LIMIT 25",
     "rpt_holdings": f"WITH {SCORE_W}{SCORE_CAP}{to_100(SCORE_LAST)} SELECT port_rank, ticker, company, sector, composite, weight, 'score' AS method FROM z",
     "rpt_portfolio_simple": f"WITH {PORT} SELECT sector, count(*) AS n, {rd('avg(beta)', 4)} AS beta, {rd('avg(composite)', 4)} AS composite FROM pf GROUP BY sector",
-    "rpt_factor_scores": f"WITH {FIELDS} SELECT ticker, company, sector, {', '.join(f'{rd(c, 1)} AS {c}' for c in SCORES)}, composite, rank, value_trap, growth_trap FROM wf",
+    "rpt_factor_scores": f"WITH {FIELDS} SELECT ticker, company, sector, {', '.join(f'{rd(c, 1)} AS {c}' for c in SCORES)}, composite, rank, value_trap, growth_trap FROM wfx",
     "rpt_top_n": f"WITH {SCORED}, b AS (SELECT count(composite) AS n, quantile_cont(composite, 0.25) AS q1, quantile_cont(composite, 0.5) AS q2, quantile_cont(composite, 0.75) AS q3 FROM f) SELECT rank, ticker, sector, composite, CASE WHEN composite >= CASE WHEN n >= 4 THEN q3 ELSE 70 END THEN 'Q1' WHEN composite >= CASE WHEN n >= 4 THEN q2 ELSE 55 END THEN 'Q2' WHEN composite >= CASE WHEN n >= 4 THEN q1 ELSE 40 END THEN 'Q3' ELSE 'Q4' END AS band FROM f CROSS JOIN b WHERE rank <= 25",
     "rpt_bottom_n": f"WITH {SCORED} SELECT rank, ticker, composite FROM f WHERE rank IS NOT NULL ORDER BY rank DESC, ticker DESC LIMIT 5",
     "rpt_sector_summary": f"WITH {SCORED}, a AS (SELECT sector, {rd('avg(composite)', 2)} AS mean, count(*) AS n, count(*) FILTER (rank <= 25) AS in_top FROM f GROUP BY sector) SELECT *, CASE WHEN mean IS NULL THEN NULL WHEN mean >= 60 THEN 'high' WHEN mean >= 45 THEN 'medium' ELSE 'low' END AS band FROM a",
@@ -240,7 +240,7 @@ ORACLE_SQL = {
     "metric_correlation": spearman_sql(PCT, f"SELECT ticker, metric AS name, {rd('pct', 6)} AS value FROM p"),
     "dispersion": f"WITH {RAW} " + " UNION ALL ".join(f"SELECT '{c}' AS category, CASE WHEN count({c}_score) >= 10 THEN {rd(f'stddev_samp({c}_score)', 4)} END AS dispersion FROM s" for c in CATS),
     "dispersion_regime": f"WITH h AS (SELECT right(ticker, 1) AS category, month_end AS dt, {rd('stddev_samp(close) / 1000', 4)} AS dispersion FROM {views.oracle(views.PRICES_MONTHLY)} v GROUP BY 1, 2), a AS (SELECT category, count(dispersion) AS n, arg_max(dispersion, dt) AS latest, quantile_cont(dispersion, 0.25) AS p25, quantile_cont(dispersion, 0.75) AS p75 FROM h GROUP BY 1) SELECT category, n, latest, {rd('p25', 6)} AS p25, {rd('p75', 6)} AS p75, CASE WHEN n < 12 THEN 'unknown' WHEN latest > p75 THEN 'high' WHEN latest < p25 THEN 'low' ELSE 'normal' END AS regime FROM a",
-    "screen_filter": f"WITH {FIELDS} SELECT ticker, composite FROM wf WHERE sector = 'BUILDING' AND NOT value_trap AND NOT growth_trap AND (composite IS NULL OR composite >= 60) AND (contains(lower(ticker), 'c1') OR contains(lower(company), 'c1'))",
+    "screen_filter": f"WITH {FIELDS} SELECT ticker, composite FROM wfx WHERE sector = 'BUILDING' AND NOT value_trap AND NOT growth_trap AND (composite IS NULL OR composite >= 60) AND (contains(lower(ticker), 'c1') OR contains(lower(company), 'c1'))",
     "screen_sort": f"WITH {SCORED} SELECT ticker, composite FROM f ORDER BY composite DESC NULLS LAST, ticker LIMIT 40",
     "security_search": f"WITH {M} SELECT ticker FROM m WHERE (contains(lower(ticker), 'c12') OR contains(lower(company), 'c12')) AND ticker <> 'C12' ORDER BY ticker LIMIT 8",
     "custom_peer_table": f"WITH {SCORED} SELECT ticker, sector, composite, rank FROM f WHERE ticker IN ('C1', 'C2', 'C3', 'C5', 'C8')",

@@ -63,32 +63,20 @@ SELECT 'C' || CAST(c_custkey AS STRING) AS ticker, c_name AS company, c_mktsegme
   CASE WHEN c_custkey % 5 <> 0 THEN 0.5e0 + (c_custkey % 9) * 0.5e0 END AS price_to_book, rev0 * 0.004e0 AS book_value,
   CASE WHEN c_custkey % 6 = 0 THEN 0.01e0 * (c_custkey % 30) END AS info_roe, CAST(NULL AS DOUBLE) AS info_roa,
   rev0 / (90 + c_custkey % 60) AS target_price, CAST(c_custkey % 9 AS INT) AS n_analysts, (c_custkey % 15) - 1e0 AS short_ratio, 0.02e0 * (c_custkey % 60) AS insider_held, 0.01e0 * (c_custkey % 40) AS short_float, 0.5e0 + (c_custkey % 11) * 0.5e0 AS rating, rev0 * 0.005e0 * (c_custkey % 5) AS interest_expense,
+  'P' || CAST(c_custkey % 100 AS STRING) AS series, 'S' || CAST(c_custkey % (SELECT max(s_suppkey) FROM {{supplier}}) + 1 AS STRING) AS earner,
   rev1 - cogs1 AS ltm_prior_gross, rev0 / nullif(n_orders, 0) AS dollar_volume, n_orders, CAST(n_years AS INT) AS n_years
 FROM {{customer}} LEFT JOIN ({PIVOT}) p ON c_custkey = ck"""
 
-#: Scored inputs: names, sector, bank flag and 26 metrics.
-METRIC_VIEW = f"""
-SELECT ticker, company, sector, sector = 'MACHINERY' AND ck % 3 <> 0 AS is_bank,
-  CASE WHEN NOT (sector = 'MACHINERY' AND ck % 3 <> 0) AND ebitda > 0 THEN market_cap / ebitda END AS ev_ebitda,
-  (ocf + capex) / nullif(market_cap, 0) AS fcf_yield, net_income / nullif(market_cap, 0) AS earnings_yield,
-  CASE WHEN NOT (sector = 'MACHINERY' AND ck % 3 <> 0) THEN enterprise_value / nullif(revenue, 0) END AS ev_sales,
-  CASE WHEN sector = 'MACHINERY' AND ck % 3 <> 0 THEN price_to_book END AS pb_ratio,
-  CASE WHEN NOT (sector = 'MACHINERY' AND ck % 3 <> 0) THEN ebit / nullif(equity + total_debt, 0) END AS roic,
-  CASE WHEN NOT (sector = 'MACHINERY' AND ck % 3 <> 0) THEN gross_profit / nullif(total_assets, 0) END AS gross_profit_assets,
-  CASE WHEN NOT (sector = 'MACHINERY' AND ck % 3 <> 0) AND ebitda > 0 THEN (total_debt - total_cash) / ebitda END AS net_debt_to_ebitda,
-  CASE WHEN n_years > 1 THEN CAST(n_orders * 7 % 10 AS DOUBLE) END AS piotroski_f_score, (net_income - ocf) / nullif(total_assets, 0) AS accruals,
-  CASE WHEN sector = 'MACHINERY' AND ck % 3 <> 0 THEN net_income / nullif(equity, 0) END AS roe,
-  CASE WHEN sector = 'MACHINERY' AND ck % 3 <> 0 THEN net_income / nullif(total_assets, 0) END AS roa,
-  CASE WHEN ck % 4 <> 0 THEN (forward_eps - trailing_eps) / nullif(abs(trailing_eps), 0) END AS forward_eps_growth,
-  (revenue - revenue_prior) / nullif(revenue_prior, 0) AS revenue_growth, net_income / nullif(abs(equity) + 1, 0) AS sustainable_growth,
-  (price_1m - price_12m) / nullif(price_12m, 0) AS return_12_1, (price_1m - price_6m) / nullif(price_6m, 0) AS return_6m,
-  CASE WHEN n_years > 2 THEN (ck % 97) * 0.01e0 + 0.05e0 END AS volatility, CASE WHEN n_years > 2 THEN (ck % 41) * 0.05e0 END AS beta,
-  CASE WHEN n_years > 2 THEN (price - price_12m) / nullif(price_12m, 0) / ((ck % 97) * 0.01e0 + 0.05e0) END AS sharpe_ratio,
-  CASE WHEN ck % 3 <> 1 THEN (ck % 89) * 0.01e0 - 0.4e0 END AS analyst_surprise, CASE WHEN n_analysts >= 3 THEN (target_price - price) / nullif(price, 0) END AS price_target_upside,
-  CASE WHEN ck % 2 = 0 THEN (ck % 31) * 0.1e0 - 1.5e0 END AS earnings_acceleration, CASE WHEN ck % 2 = 0 THEN CAST(ck % 11 AS DOUBLE) END AS consecutive_beat_streak,
-  -market_cap AS size_log_mcap, (total_assets - total_assets_prior) / nullif(total_assets_prior, 0) AS asset_growth
-FROM ({FUNDAMENTALS}) f"""
-VIEW_METRICS = re.findall(r" AS (\w+)", METRIC_VIEW.split("AS is_bank,")[1].split("FROM (")[0].replace("AS DOUBLE", ""))
+#: Mean price of each of ten sleeves of parts, by day; set high enough that returns stay moderate.
+SLEEVES = f"""
+SELECT CAST(l_partkey % 10 AS INT) AS k, CAST(l_shipdate AS DATE) AS dt,
+  100000e0 + CAST(sum({cents("l_extendedprice")}) AS DOUBLE) / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / 100e0 AS close
+FROM {{lineitem}} GROUP BY CAST(l_partkey % 10 AS INT), CAST(l_shipdate AS DATE)"""
+
+#: Daily price of each pair of sleeves: the series that securities follow.
+PRICES_PAIRED = f"""
+SELECT 'P' || CAST(a.k * 10 + b.k AS STRING) AS ticker, a.dt AS dt, (a.close + b.close) / 2e0 AS close
+FROM ({SLEEVES}) a JOIN ({SLEEVES}) b ON a.dt = b.dt"""
 
 #: Monthly mean price of each supplier, set high enough that returns stay moderate.
 PRICES_MONTHLY = f"""
@@ -131,6 +119,27 @@ SELECT ticker, quarter, eps_actual, lag(eps_actual, 4) OVER (PARTITION BY ticker
     CAST(sum({cents("l_extendedprice")}) AS DOUBLE) / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / 100e0 AS eps_actual
   FROM {{lineitem}} GROUP BY l_suppkey, CAST(date_trunc('quarter', l_shipdate) AS DATE)) q"""
 
+#: Annual statement lines of each customer, under labels that differ between customers.
+ANNUAL_LINES = f"""
+SELECT 'C' || CAST(ck AS STRING) AS ticker, statement, 'A' AS freq, line_no, label, make_date(yr, 12, 31) AS period_end, value
+FROM (SELECT ck, yr, CAST(rev AS DOUBLE) / 100e0 AS rev, CAST(cogs AS DOUBLE) / 100e0 AS cogs, CAST(tax AS DOUBLE) / 100e0 AS tax FROM ({YEARS}) y0) y
+CROSS JOIN (VALUES (1, 'income', 'Total Revenue'), (2, 'income', 'Cost Of Revenue'), (3, 'income', 'Tax Provision'), (4, 'income', 'Selling General And Administration'), (5, 'income', 'Net Income'),
+  (6, 'balance', 'Receivables'), (7, 'balance', 'Net Receivable'), (8, 'balance', 'Current Assets'), (9, 'balance', 'Net PPE'), (10, 'balance', 'Total Assets'), (11, 'balance', 'Long Term Debt'), (12, 'balance', 'Current Liabilities'),
+  (13, 'cashflow', 'Depreciation'), (14, 'cashflow', 'Depreciation And Amortization'), (15, 'cashflow', 'Operating Cash Flow')) AS l(line_no, statement, label)
+CROSS JOIN LATERAL (SELECT CASE line_no WHEN 1 THEN rev WHEN 2 THEN cogs WHEN 3 THEN tax WHEN 4 THEN rev * 0.1e0 WHEN 5 THEN rev - cogs - tax * 8
+  WHEN 6 THEN CASE WHEN ck % 3 = 0 THEN rev * 0.12e0 END WHEN 7 THEN CASE WHEN ck % 3 <> 0 THEN rev * 0.11e0 END WHEN 8 THEN rev * 0.4e0 WHEN 9 THEN rev * 0.5e0 WHEN 10 THEN rev * 1.5e0 WHEN 11 THEN rev * 0.2e0 * (ck % 3) WHEN 12 THEN rev * 0.3e0
+  WHEN 13 THEN CASE WHEN yr % 2 = 0 THEN rev * 0.04e0 END WHEN 14 THEN CASE WHEN ck % 2 = 0 THEN rev * 0.05e0 END ELSE rev - cogs - tax * 5 END AS value) v"""
+
+#: Daily change of each sleeve in percent.
+SLEEVE_RETURNS = f"""
+SELECT k, dt, (close / lag(close) OVER (PARTITION BY k ORDER BY dt) - 1) * 100e0 AS r FROM ({SLEEVES}) s"""
+
+#: Five factors and the rate without risk, and momentum, in percent, one row per day.
+FACTORS_FIVE = f"""
+SELECT dt, max(CASE WHEN k = 0 THEN r END) AS mkt, max(CASE WHEN k = 1 THEN r END) AS smb, max(CASE WHEN k = 2 THEN r END) AS hml, max(CASE WHEN k = 3 THEN r END) AS rmw, max(CASE WHEN k = 4 THEN r END) AS cma, 0.01e0 AS rf
+FROM ({SLEEVE_RETURNS}) f WHERE k < 5 GROUP BY dt"""
+FACTOR_MOMENTUM = f"""SELECT dt, r AS mom FROM ({SLEEVE_RETURNS}) f WHERE k = 5 AND r IS NOT NULL"""
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
