@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import cut
+from .scratch import cut, integer_key
 
 
 def usable(vector: Column) -> Column:
@@ -60,7 +60,7 @@ def candidates(query: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]],
     return np.flatnonzero(near >= least)
 
 
-def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, n_pivots: int = 256, prefix: int = 64, share: float = 0.12, least: int = 256, block: int = 4096, query_block: int = 16384) -> DataFrame:
+def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, n_pivots: int = 256, prefix: int = 64, share: float = 0.06, least: int = 256, block: int = 4096, query_block: int = 16384) -> DataFrame:
     """The ``k`` nearest by cosine of each row whose key is divisible by ``every``, among all other rows.
 
     The index is fitted on ``n_pivots`` vectors, those with the smallest hashes of their keys: a
@@ -79,7 +79,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
     """
     spark = vectors.sparkSession
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    rows = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(integer_key(vectors, key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = cut(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
     if not len(chosen):
