@@ -274,7 +274,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 1, steps: int = 180,
 class Scorer:
     """Scores of texts, with the input part of the gates kept for each word seen (``most`` words at most)."""
 
-    def __init__(self, net: Network, most: int = 400_000, columns: int = 2048) -> None:
+    def __init__(self, net: Network, most: int = 150_000, columns: int = 2048) -> None:
         self.net, self.most, self.columns = net, most, columns
         self.reset()
 
