@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, integer_key
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 4_000_000
@@ -122,7 +122,7 @@ def encode_chunks(docs: DataFrame, text: str, key: str, end: bool = False, name:
         if ids:
             yield flush()
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), (F.xxhash64(text) if marked else F.lit(None).cast("long")).alias("mark"), F.col(text).cast("binary").alias("raw"))
+    rows = docs.select(integer_key(docs, key).alias("id"), (F.xxhash64(text) if marked else F.lit(None).cast("long")).alias("mark"), F.col(text).cast("binary").alias("raw"))
     return cut(rows.mapInArrow(run, SCHEMA), name)
 
 

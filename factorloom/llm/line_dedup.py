@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import LOWER, SPACE_CHARS, UPPER, cut, lanes
+from .scratch import LOWER, SPACE_CHARS, UPPER, cut, integer_key, lanes
 
 NO_ID = np.iinfo(np.int64).min
 
@@ -33,7 +33,7 @@ def row_id(key: Column, text: Column) -> Column:
 def occurrences(docs: DataFrame, text: str, key: str, least: int) -> DataFrame:
     """(h, h2, id, rid, pos): the 128-bit hash of each line's key, for keys of ``least`` code points or more."""
     lines = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"),
+        F.coalesce(integer_key(docs, key), F.lit(NO_ID)).alias("id"),
         row_id(F.col(key), F.col(text)).alias("rid"),
         F.posexplode(F.transform(lines_of(F.col(text)), line_key)).alias("pos", "key"),
     )
@@ -188,7 +188,7 @@ def without_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_
     table gives an empty table; other columns are not read.
     """
     maps = keep_bitmaps(docs, text, key, min_docs, least, keep_first).withColumnRenamed("rid", "map_rid")
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("row_key"), row_id(F.col(key), F.col(text)).alias("rid"), F.col(text).alias("text"))
+    rows = docs.select(integer_key(docs, key).alias("key"), F.coalesce(integer_key(docs, key), F.lit(NO_ID)).alias("row_key"), row_id(F.col(key), F.col(text)).alias("rid"), F.col(text).alias("text"))
     joined = rows.join(maps, (rows["row_key"] == maps["id"]) & (rows["rid"] == maps["map_rid"]), "left").select("key", "text", "bitmap")
     done = joined.mapInArrow(_apply, "key long, n_lines long, n_dropped long, kept string, sha string")
     return done.select(F.col("key").alias(key), "n_lines", "n_dropped", F.col("kept").alias("kept_text"), F.col("sha").alias("kept_sha256"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import tokenizer_path, word_coder
+from .scratch import integer_key
 
 
 @dataclass(frozen=True)
@@ -173,5 +174,5 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
         if keys:
             yield flush()
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("raw"))
+    rows = docs.select(integer_key(docs, key).alias("key"), F.col(text).cast("binary").alias("raw"))
     return rows.mapInArrow(plan, OUT).withColumnRenamed("key", key)

@@ -41,7 +41,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slot and shard of each document, with the digest of its row for a later check of the move."""
+    """Slot and shard of each document, with the length of its text."""
     docs = table(spark, sf_dir, "documents")
     return sharding.place(docs.select("doc_id", "source", F.char_length("text").cast("long").alias("n_text")), SHARDS, slots=SLOTS)
 

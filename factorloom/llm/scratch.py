@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
 #: ASCII white space, as a regular-expression class and as a list of characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -52,6 +53,14 @@ def lanes(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def integer_key(docs: DataFrame, key: str) -> Column:
+    """The key as a long; operators whose results carry keys in arrays of numbers take integer keys only."""
+    kind = docs.select(key).schema[0].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"column {key} is of type {kind.simpleString()}: this operator takes integer keys")
+    return docs[key].cast("long")
+
+
 def own_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import byte_coder, tokenizer_path
+from .scratch import integer_key
 
 RULES = ("first", "last", "largest", "share")
 OUT = "key long, section int, start long, length long, tokens double, crossing long"
@@ -102,7 +103,7 @@ def section_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", mar
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["key", "section", "start", "length", "tokens", "crossing"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(integer_key(docs, key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(encode, OUT).withColumnRenamed("key", key)
 
 
