@@ -47,7 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are stored before the next reads them."""
+    """All stages over ``documents``; each stage's rows are stored before the next reads them.
+
+    Null, empty and blank texts score as clean, one of them stays in exact dedup (and one blank text), they
+    are near copies of nothing, have no words and so are never taken by the mix. Rows with null or
+    repeated keys are told apart by their texts. A null source is a source. Extra columns are carried
+    through the first four stages, whatever their names. Empty tables give an empty table; without labels
+    of both classes no text counts as toxic.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))

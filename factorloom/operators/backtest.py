@@ -94,15 +94,19 @@ def ic_summary(series: DataFrame, by: Sequence[str] = ("factor",), least: int =
 
 
 def ic_trends(series: DataFrame, by: Sequence[str] = ("factor",), half_life: float = 6.0, least: int = 4) -> DataFrame:
-    """Mean, exponentially weighted mean, means of the last 3, 6 and 12, and how long the last run of signs is."""
-    age = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("as_of").desc())) - 1
-    rows = series.where("ic is not null").withColumn("age", age)
+    """Mean, ratio to its spread, exponentially weighted mean, means of the last 3, 6 and 12, how long the last run of signs is, and the trend between the older and the newer half."""
+    whole = Window.partitionBy(*by)
+    age = F.row_number().over(whole.orderBy(F.col("as_of").desc())) - 1
+    rows = series.where("ic is not null").withColumn("age", age).withColumn("newer", F.col("age") < F.count(F.lit(1)).over(whole) - F.floor(F.count(F.lit(1)).over(whole) / 2))
+    delta = steady(F.avg(F.when(F.col("newer"), F.col("ic"))) - F.avg(F.when(~F.col("newer"), F.col("ic"))))
     w = F.pow(F.lit(0.5), F.col("age") / half_life)
-    tail = lambda k: F.avg(F.when(F.col("age") < k, F.col("ic")))
     n = F.count(F.lit(1))
+    tail = lambda k: F.when(n >= k, F.avg(F.when(F.col("age") < k, F.col("ic"))))
+    trend = F.when((n >= 12) & (delta > 0.02), "improving").when((n >= 12) & (delta < -0.02), "declining").otherwise("stable")
     out = rows.groupBy(*by).agg(
         n.alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), (F.count_if(F.col("ic") > 0) / n * 100).alias("positive_pct"), (F.sum(F.col("ic") * w) / F.sum(w)).alias("ewm"),
         tail(3).alias("tail_3"), tail(6).alias("tail_6"), tail(12).alias("tail_12"), F.coalesce(F.min(F.when(F.col("ic") <= 0, F.col("age"))), n).alias("positive_run"), F.coalesce(F.min(F.when(F.col("ic") > 0, F.col("age"))), n).alias("negative_run"),
+        F.when(F.stddev_samp("ic") > 1e-8, F.avg("ic") / F.stddev_samp("ic")).otherwise(0.0).alias("ir"), trend.alias("trend"),
     )
     often = lambda p: F.col("positive_pct") >= p
     status = F.when((F.col("ewm") >= 0.05) & often(70), "strong").when((F.col("ewm") >= 0.02) & often(55), "moderate").when(F.col("ewm") > 0, "weak").otherwise("negative")

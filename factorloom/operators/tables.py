@@ -80,7 +80,7 @@ def snapshot(scored: DataFrame, portfolio: DataFrame, run_date: str) -> DataFram
 
 
 def history_status(history: DataFrame, tiers: Sequence[tuple[int, str]] = ((50, "mature"), (24, "growing"), (8, "early"))) -> DataFrame:
-    out = history.agg(F.count_distinct("run_date").alias("run_dates"), F.count(F.lit(1)).alias("rows"))
+    out = history.agg(F.count_distinct("run_date").alias("run_dates"), F.count(F.lit(1)).alias("rows"), F.sum("n_tickers").alias("ticker_dates"))
     tier = F.when(F.lit(False), "")
     for least, name in tiers:
         tier = tier.when(F.col("run_dates") >= least, name)

@@ -54,7 +54,7 @@ QUERIES = {
     "metric_evolution": lambda s, sf: P.metric_evolution(evolving(s, sf), run=1, least_ic=-1.0, least_positive=0.0),
     "metric_ic": lambda s, sf: SR.r6(B.ic_series(SR.pairs(s, sf), least=10), "ic"),
     "metric_ic_trends": lambda s, sf: SR.r6(B.ic_trends(SR.r6(B.ic_series(SR.pairs(s, sf), least=10), "ic"), half_life=3.0), "ewm").select("factor", "n", "ewm", "positive_run", "negative_run", "status"),
-    "pf_vs_universe_returns": lambda s, sf: members(s, sf).groupBy("as_of").agg(rounded(F.avg(F.when(F.col("member"), F.col("fwd"))), 6).alias("members"), rounded(F.avg("fwd"), 6).alias("universe"), rounded(F.percentile("fwd", F.lit(0.5)), 6).alias("median")),
+    "pf_vs_universe_returns": lambda s, sf: members(s, sf).groupBy("as_of").agg(rounded(F.avg(F.when(F.col("member"), F.col("fwd"))), 6).alias("members"), rounded(F.avg("fwd"), 6).alias("universe"), rounded(F.avg(F.when(F.col("member"), F.col("fwd"))) - F.avg("fwd"), 6).alias("spread"), rounded(F.percentile(F.when(F.col("member"), F.col("fwd")), F.lit(0.5)), 6).alias("members_median"), F.lit("1m").alias("horizon"), rounded(F.percentile("fwd", F.lit(0.5)), 6).alias("median")),
     "bt_price_date": lambda s, sf: _price_date(s, sf),
     "return_12m": lambda s, sf: FD.metrics(s, sf).select("ticker", rounded(F.col("return_12m"), 5).alias("return_12m")),
     "acc_statement_dates": lambda s, sf: ST.freshness(RC.lines(s, sf).where("label = 'Total Revenue'"), RC.AS_OF).select("ticker", F.col("newest").alias("a")).join(ST.freshness(RC.lines(s, sf).where("label = 'Tax Provision' and value is not null"), RC.AS_OF).select("ticker", F.col("newest").alias("b")), "ticker").where("a <> b"),
@@ -100,7 +100,7 @@ ORACLE_SQL = {
     "metric_evolution": f"WITH tr AS ({TR}), a AS (SELECT factor AS metric, CASE WHEN factor = 'momentum' THEN 0::DOUBLE ELSE 30::DOUBLE END AS weight, ewm, positive_run, negative_run, positive_pct FROM tr), u AS (SELECT metric, weight FROM a WHERE weight = 0 AND ewm >= -1 AND positive_run >= 1 AND positive_pct >= 0 QUALIFY row_number() OVER (ORDER BY ewm DESC, metric) <= 1) SELECT 'signals' AS category, metric, 'activate' AS action, weight, 5::DOUBLE AS new_weight FROM u UNION ALL SELECT 'signals', metric, 'lower', weight, greatest(0, weight - 5) FROM a WHERE weight > 0 AND ewm <= 0 AND negative_run >= 1",
     "metric_ic": f"WITH {IC10} SELECT as_of, factor, n, ic FROM ic",
     "metric_ic_trends": f"WITH {IC10}, a AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY as_of DESC) - 1 AS age FROM ic WHERE ic IS NOT NULL), q AS (SELECT factor, count(*) AS n, sum(ic * pow(0.5::DOUBLE, age / 3.0::DOUBLE)) / sum(pow(0.5::DOUBLE, age / 3.0::DOUBLE)) AS ewm, coalesce(min(age) FILTER (ic <= 0), count(*)) AS positive_run, coalesce(min(age) FILTER (ic > 0), count(*)) AS negative_run, CAST(count(*) FILTER (ic > 0) AS DOUBLE) / count(*) * 100 AS positive_pct FROM a GROUP BY 1) SELECT factor, n, {rd('ewm', 6)} AS ewm, positive_run, negative_run, CASE WHEN ewm >= 0.05 AND positive_pct >= 70 THEN 'strong' WHEN ewm >= 0.02 AND positive_pct >= 55 THEN 'moderate' WHEN ewm > 0 THEN 'weak' ELSE 'negative' END AS status FROM q WHERE n >= 4",
-    "pf_vs_universe_returns": f"WITH {SR.PAIRS} SELECT as_of, {rd('avg(fwd) FILTER (score > 0)', 6)} AS members, {rd('avg(fwd)', 6)} AS universe, {rd('quantile_cont(fwd, 0.5)', 6)} AS median FROM pa WHERE factor = 'momentum' GROUP BY 1",
+    "pf_vs_universe_returns": f"WITH {SR.PAIRS} SELECT as_of, {rd('avg(fwd) FILTER (score > 0)', 6)} AS members, {rd('avg(fwd)', 6)} AS universe, {rd('avg(fwd) FILTER (score > 0) - avg(fwd)', 6)} AS spread, {rd('quantile_cont(fwd, 0.5) FILTER (score > 0)', 6)} AS members_median, '1m' AS horizon, {rd('quantile_cont(fwd, 0.5)', 6)} AS median FROM pa WHERE factor = 'momentum' GROUP BY 1",
     "bt_price_date": f"WITH {SR.D}{SR.MK}, {SR.MO} SELECT mm.month_end, min(dt) AS price_date FROM mm JOIN k ON dt >= mm.month_end - 5 GROUP BY 1",
     "return_12m": f"{FD.SRC} SELECT ticker, {rd(FD.SQL['return_12m'], 5)} AS return_12m FROM e",
     "acc_statement_dates": f"WITH {RC.L} SELECT ticker, max(period_end) FILTER (label = 'Total Revenue') AS a, max(period_end) FILTER (label = 'Tax Provision' AND value IS NOT NULL) AS b FROM l GROUP BY 1 HAVING a <> b",

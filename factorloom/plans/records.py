@@ -96,6 +96,6 @@ ORACLE_SQL = {
     "history_append_dedup": f"WITH {HIST} SELECT run_date, horizon, n_tickers FROM h",
     "ic_history_merge": f"WITH {HIST} SELECT run_date, horizon, n_tickers, 'historical' AS source FROM h WHERE month(run_date) = 1 UNION ALL SELECT run_date, NULL, n_tickers, 'live' FROM h WHERE month(run_date) = 2",
     "snapshot_append": f"WITH {M} SELECT ticker, company, sector, right(ticker, 1) = '7' AS in_portfolio, DATE '2001-06-30' AS run_date FROM m",
-    "history_status": f"WITH {HIST} SELECT count(DISTINCT run_date) AS run_dates, count(*) AS rows, CASE WHEN count(DISTINCT run_date) >= 50 THEN 'mature' WHEN count(DISTINCT run_date) >= 24 THEN 'growing' WHEN count(DISTINCT run_date) >= 8 THEN 'early' ELSE 'new' END AS tier FROM h",
+    "history_status": f"WITH {HIST} SELECT count(DISTINCT run_date) AS run_dates, count(*) AS rows, CAST(sum(n_tickers) AS BIGINT) AS ticker_dates, CASE WHEN count(DISTINCT run_date) >= 50 THEN 'mature' WHEN count(DISTINCT run_date) >= 24 THEN 'growing' WHEN count(DISTINCT run_date) >= 8 THEN 'early' ELSE 'new' END AS tier FROM h",
     "raw_field_enrichment": f"WITH {FU} SELECT ticker, {rd('price', 4)} AS Price, n_analysts AS Analysts FROM fu",
 }

@@ -12,6 +12,7 @@ from ..operators import portfolio as P
 from ..operators import reports as R
 from ..operators import scoring as S
 from ..sources import views
+from . import fundamentals as FD
 from .scoring import CATS, M, METRICS, MISSING, PCT, RAW, SCORED, SCORES, TALL, W, metrics, missing, ranked, raw_scored, rd, scored, tall
 
 CAPS = config.CATEGORY_WEIGHTS
@@ -91,11 +92,11 @@ QUERIES = {
     "rpt_peers": lambda s, sf: R.peers(fundamentals(s, sf)),
     "rpt_sector_context": lambda s, sf: R.sector_context(scored(s, sf), metrics(s, sf), METRICS[:8]),
     "rpt_flags": lambda s, sf: scored(s, sf).select("ticker", "value_trap", "growth_trap", "insufficient_data", "value_trap_severity", "growth_trap_severity"),
-    "rpt_score_forensics": lambda s, sf: R.score_forensics(ranked(s, sf)).select("ticker", "category", "metric", rounded(F.col("pct"), 6).alias("pct"), "weight", rounded(F.col("points"), 6).alias("points")),
+    "rpt_score_forensics": lambda s, sf: R.score_forensics(ranked(s, sf)).select("ticker", "category", "metric", rounded(F.col("value"), 6).alias("value"), rounded(F.col("pct"), 6).alias("pct"), "weight", rounded(F.col("points"), 6).alias("points")),
     "rpt_metric_dictionary": lambda s, sf: config.metric_dimension(s).join(missing(s, sf), "metric", "left").select("metric", "category", "higher", "generic", "bank", "missing_pct"),
-    "rpt_quality_summary": lambda s, sf: missing(s, sf).agg(F.count(F.lit(1)).alias("metrics"), rounded(F.lit(100) - F.avg("missing_pct"), 4).alias("coverage")),
+    "rpt_quality_summary": lambda s, sf: missing(s, sf).agg(F.count(F.lit(1)).alias("metrics"), rounded(F.lit(100) - F.avg("missing_pct"), 4).alias("coverage")).crossJoin(FD.metrics(s, sf).agg(F.count_if("eps_basis_mismatch").alias("eps_mismatches"))),
     "rpt_validation_top10": lambda s, sf: scored(s, sf).where("rank <= 10").join(metrics(s, sf).select("ticker", *METRICS[:6]), "ticker").select("rank", "ticker", "composite", *[rounded(F.col(c), 6).alias(c) for c in METRICS[:6]], "value_trap"),
-    "rpt_company_snapshot": lambda s, sf: fundamentals(s, sf).select("ticker", *[rounded(F.try_divide(F.col(a), F.col(b)), 6).alias(c) for a, b, c in (("gross_profit", "revenue", "gross_margin"), ("net_income", "revenue", "net_margin"), ("ebit", "revenue", "ebit_margin"), ("dividend_rate", "price", "dividend_yield"))], rounded(F.col("ocf") + F.col("capex"), 2).alias("fcf"), rounded(F.col("total_debt") - F.col("total_cash"), 2).alias("net_debt")),
+    "rpt_company_snapshot": lambda s, sf: fundamentals(s, sf).select("ticker", *[rounded(F.try_divide(F.col(a), F.col(b)), 6).alias(c) for a, b, c in (("gross_profit", "revenue", "gross_margin"), ("revenue", "revenue_prior", "sales_ratio"), ("net_income", "revenue", "net_margin"), ("ebit", "revenue", "ebit_margin"), ("dividend_rate", "price", "dividend_yield"))], rounded(F.col("ocf") + F.col("capex"), 2).alias("fcf"), rounded(F.col("total_debt") - F.col("total_cash"), 2).alias("net_debt")),
     "rpt_sensitivity_pairs": lambda s, sf: D.weight_sensitivity(raw_scored(s, sf), W).groupBy("category").pivot("direction", ["up", "down"]).agg(F.first("jaccard")),
     "weight_sensitivity": lambda s, sf: D.weight_sensitivity(raw_scored(s, sf), W),
     "sensitivity_summary": lambda s, sf: D.sensitivity_summary(D.weight_sensitivity(raw_scored(s, sf), W)),
@@ -226,11 +227,11 @@ ORACLE_SQL = {
     "rpt_peers": f"WITH {FU}, h AS (SELECT ticker, sector, market_cap FROM fu WHERE market_cap > 0), j AS (SELECT a.ticker, b.ticker AS peer, abs(b.market_cap / a.market_cap - 1) AS d FROM h a JOIN h b ON a.sector = b.sector AND a.ticker <> b.ticker), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY ticker ORDER BY d, peer) AS INT) AS nth FROM j) SELECT ticker, peer, nth, {rd('d', 6)} AS distance FROM k WHERE nth <= 5",
     "rpt_sector_context": f"WITH {SCORED}, u AS (UNPIVOT (SELECT sector, {', '.join(METRICS[:8])} FROM m WHERE sector IN (SELECT sector FROM f WHERE rank <= 10)) ON {', '.join(METRICS[:8])} INTO NAME metric VALUE value) SELECT sector, metric, count(*) AS n, {rd('quantile_cont(value, 0.25)', 6)} AS q25, {rd('quantile_cont(value, 0.5)', 6)} AS median, {rd('quantile_cont(value, 0.75)', 6)} AS q75 FROM u GROUP BY ALL HAVING count(*) >= 3",
     "rpt_flags": f"WITH {SCORED} SELECT ticker, value_trap, growth_trap, insufficient_data, CAST(value_trap_severity AS DOUBLE) AS value_trap_severity, CAST(growth_trap_severity AS DOUBLE) AS growth_trap_severity FROM f",
-    "rpt_score_forensics": f"WITH {PCT_T} SELECT ticker, category, metric, {rd('pct', 6)} AS pct, weight, CASE WHEN sum(weight) OVER (PARTITION BY ticker, category) > 0 THEN {rd('weight * pct / sum(weight) OVER (PARTITION BY ticker, category)', 6)} END AS points FROM p",
+    "rpt_score_forensics": f"WITH {PCT_T} SELECT ticker, category, metric, {rd('value', 6)} AS value, {rd('pct', 6)} AS pct, weight, CASE WHEN sum(weight) OVER (PARTITION BY ticker, category) > 0 THEN {rd('weight * pct / sum(weight) OVER (PARTITION BY ticker, category)', 6)} END AS points FROM p",
     "rpt_metric_dictionary": f"WITH {M}, {config.dimension_sql()}, mp AS ({MISSING}) SELECT metric, category, higher, generic, bank, missing_pct FROM dim LEFT JOIN mp USING (metric)",
-    "rpt_quality_summary": f"WITH {M}, mp AS ({MISSING}) SELECT count(*) AS metrics, {rd('100 - avg(missing_pct)', 4)} AS coverage FROM mp",
+    "rpt_quality_summary": f"WITH {M}, mp AS ({MISSING}) SELECT count(*) AS metrics, {rd('100 - avg(missing_pct)', 4)} AS coverage, (SELECT count(*) FROM z_e WHERE {FD.FLAGS['eps_basis_mismatch']}) AS eps_mismatches FROM mp",
     "rpt_validation_top10": f"WITH {SCORED} SELECT rank, f.ticker, composite, {', '.join(f'{rd(f'm.{c}', 6)} AS {c}' for c in METRICS[:6])}, value_trap FROM f JOIN m ON f.ticker = m.ticker WHERE rank <= 10",
-    "rpt_company_snapshot": f"WITH {FU} SELECT ticker, {rd('gross_profit / nullif(revenue, 0)', 6)} AS gross_margin, {rd('net_income / nullif(revenue, 0)', 6)} AS net_margin, {rd('ebit / nullif(revenue, 0)', 6)} AS ebit_margin, {rd('dividend_rate / nullif(price, 0)', 6)} AS dividend_yield, {rd('ocf + capex', 2)} AS fcf, {rd('total_debt - total_cash', 2)} AS net_debt FROM fu",
+    "rpt_company_snapshot": f"WITH {FU} SELECT ticker, {rd('gross_profit / nullif(revenue, 0)', 6)} AS gross_margin, {rd('revenue / nullif(revenue_prior, 0)', 6)} AS sales_ratio, {rd('net_income / nullif(revenue, 0)', 6)} AS net_margin, {rd('ebit / nullif(revenue, 0)', 6)} AS ebit_margin, {rd('dividend_rate / nullif(price, 0)', 6)} AS dividend_yield, {rd('ocf + capex', 2)} AS fcf, {rd('total_debt - total_cash', 2)} AS net_debt FROM fu",
     "rpt_sensitivity_pairs": f"WITH {SENS} SELECT category, max(jaccard) FILTER (direction = 'up') AS up, max(jaccard) FILTER (direction = 'down') AS down FROM sens GROUP BY category",
     "weight_sensitivity": f"WITH {SENS} SELECT * FROM sens",
     "sensitivity_summary": f"WITH {SENS} SELECT {rd('avg(jaccard)', 4)} AS mean, min(jaccard) AS least, (SELECT category FROM sens ORDER BY jaccard, category LIMIT 1) AS most_sensitive FROM sens",

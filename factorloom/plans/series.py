@@ -114,13 +114,13 @@ QUERIES = {
     "bt_decile_returns": lambda s, sf: r6(decile_rets(s, sf), "ret").drop("priced"),
     "bt_turnover_cost": lambda s, sf: r6(B.turnover_cost(assigned(s, sf), forward(s, sf)), "turnover", "cost"),
     "bt_benchmark": lambda s, sf: r6(B.benchmark(decile_rets(s, sf)), "ret"),
-    "bt_perf_metrics": lambda s, sf: r6(perf(s, sf), "vol", "sharpe", "max_drawdown", "ann_return"),
+    "bt_perf_metrics": lambda s, sf: r6(perf(s, sf), "vol", "max_drawdown", "ann_return").withColumn("sharpe", rounded(F.col("sharpe"), 4)),
     "bt_long_short": lambda s, sf: r6(B.long_short(perf(s, sf)), "long_short"),
     "bt_monotonicity": lambda s, sf: B.monotonicity(r6(perf(s, sf), "ann_return")),
     "bt_ic_series": lambda s, sf: r6(B.ic_series(pairs(s, sf)), "ic"),
     "bt_ic_summary": lambda s, sf: r6(B.ic_summary(r6(B.ic_series(pairs(s, sf)), "ic")), "mean", "std", "positive_pct", "t_stat"),
-    "bt_value_trap_compare": lambda s, sf: r6(B.perf_metrics(trap_returns(s, sf), ["portfolio"]), "vol", "sharpe", "max_drawdown", "ann_return"),
-    "ic_trends": lambda s, sf: r6(B.ic_trends(r6(B.ic_series(pairs(s, sf)), "ic")), "mean", "std", "positive_pct", "ewm", "tail_3", "tail_6", "tail_12"),
+    "bt_value_trap_compare": lambda s, sf: r6(B.perf_metrics(trap_returns(s, sf), ["portfolio"]), "vol", "max_drawdown", "ann_return").withColumn("sharpe", rounded(F.col("sharpe"), 4)),
+    "ic_trends": lambda s, sf: r6(B.ic_trends(r6(B.ic_series(pairs(s, sf)), "ic")), "mean", "std", "positive_pct", "ewm", "tail_3", "tail_6", "tail_12", "ir"),
     "live_ic": lambda s, sf: r6(B.ic_series(pairs(s, sf).where("as_of >= DATE'2000-01-01'"), least=30), "ic"),
     "quintile_returns": lambda s, sf: r6(B.quintile_returns(pairs(s, sf).where("factor = 'momentum'")), "ret"),
 }
@@ -187,13 +187,13 @@ ORACLE_SQL = {
     "bt_decile_returns": f"WITH {DRET} SELECT as_of, decile, {rd('ret', 6)} AS ret, n FROM dr",
     "bt_turnover_cost": f"WITH {TURN} SELECT decile, as_of, {rd('t', 6)} AS turnover, {rd('t * 10 / 10000', 6)} AS cost FROM tw",
     "bt_benchmark": f"WITH {DRET} SELECT as_of, {rd('avg(ret)', 6)} AS ret FROM dr GROUP BY 1",
-    "bt_perf_metrics": f"WITH {PERF} SELECT decile, n, {rd('vol', 6)} AS vol, {rd('sharpe', 6)} AS sharpe, {rd('max_drawdown', 6)} AS max_drawdown, {rd('ann_return', 6)} AS ann_return FROM pe",
+    "bt_perf_metrics": f"WITH {PERF} SELECT decile, n, {rd('vol', 6)} AS vol, {rd('sharpe', 4)} AS sharpe, {rd('max_drawdown', 6)} AS max_drawdown, {rd('ann_return', 6)} AS ann_return FROM pe",
     "bt_long_short": f"WITH {PERF} SELECT {rd('max(ann_return) FILTER (decile = 10) - max(ann_return) FILTER (decile = 1)', 6)} AS long_short FROM pe",
     "bt_monotonicity": f"WITH {PERF}, a AS (SELECT {rd('ann_return', 6)} AS r, lead({rd('ann_return', 6)}) OVER (ORDER BY decile) AS nx FROM pe) SELECT count(*) FILTER (nx < r) AS inversions, CASE WHEN count(*) FILTER (nx < r) <= 2 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM a",
     "bt_ic_series": f"WITH {IC} SELECT as_of, factor, n, ic FROM ic",
     "bt_ic_summary": f"WITH {IC} SELECT factor, count(ic) AS n, {rd('avg(ic)', 6)} AS mean, {rd('stddev_samp(ic)', 6)} AS std, {rd('CAST(count(*) FILTER (ic > 0) AS DOUBLE) / count(*) * 100', 6)} AS positive_pct, {rd('avg(ic) / (stddev_samp(ic) / sqrt(count(ic)))', 6)} AS t_stat FROM ic WHERE ic IS NOT NULL GROUP BY 1 HAVING count(ic) >= 3",
-    "bt_value_trap_compare": f"WITH {SIG}, v AS (SELECT sg.ticker, as_of, momentum, trend AS value, quality, fwd FROM sg LEFT JOIN fw ON sg.ticker = fw.ticker AND as_of = month_end), l AS (SELECT as_of, count(*) AS total, quantile_cont(quality, 0.3) AS ql, quantile_cont(momentum, 0.3) AS ml FROM v GROUP BY 1 HAVING count(*) >= 20), a AS (SELECT v.*, total, ql, ml FROM v JOIN l ON v.as_of = l.as_of), e AS (SELECT *, 'value' AS portfolio FROM a UNION ALL SELECT *, 'value_quality' FROM a WHERE quality >= ql UNION ALL SELECT *, 'value_quality_momentum' FROM a WHERE quality >= ql AND momentum >= ml), r AS (SELECT *, row_number() OVER (PARTITION BY as_of, portfolio ORDER BY value DESC NULLS LAST, ticker) AS k FROM e), vt AS (SELECT as_of, portfolio, count(*) AS n, {rd('coalesce(avg(fwd), 0)', 9)} AS ret FROM r WHERE k <= greatest(1, total // 5) GROUP BY 1, 2), {perf_sql('vt', 'portfolio')} SELECT portfolio, n, {rd('vol', 6)} AS vol, {rd('sharpe', 6)} AS sharpe, {rd('max_drawdown', 6)} AS max_drawdown, {rd('ann_return', 6)} AS ann_return FROM pe",
-    "ic_trends": f"WITH {IC}, a AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY as_of DESC) - 1 AS age FROM ic WHERE ic IS NOT NULL), q AS (SELECT factor, count(*) AS n, avg(ic) AS mean, stddev_samp(ic) AS std, CAST(count(*) FILTER (ic > 0) AS DOUBLE) / count(*) * 100 AS positive_pct, sum(ic * pow(0.5::DOUBLE, age / 6.0::DOUBLE)) / sum(pow(0.5::DOUBLE, age / 6.0::DOUBLE)) AS ewm, avg(ic) FILTER (age < 3) AS tail_3, avg(ic) FILTER (age < 6) AS tail_6, avg(ic) FILTER (age < 12) AS tail_12, coalesce(min(age) FILTER (ic <= 0), count(*)) AS positive_run, coalesce(min(age) FILTER (ic > 0), count(*)) AS negative_run FROM a GROUP BY 1) SELECT factor, n, {', '.join(f'{rd(c, 6)} AS {c}' for c in ('mean', 'std', 'positive_pct', 'ewm', 'tail_3', 'tail_6', 'tail_12'))}, positive_run, negative_run, CASE WHEN ewm >= 0.05 AND positive_pct >= 70 THEN 'strong' WHEN ewm >= 0.02 AND positive_pct >= 55 THEN 'moderate' WHEN ewm > 0 THEN 'weak' ELSE 'negative' END AS status FROM q WHERE n >= 4",
+    "bt_value_trap_compare": f"WITH {SIG}, v AS (SELECT sg.ticker, as_of, momentum, trend AS value, quality, fwd FROM sg LEFT JOIN fw ON sg.ticker = fw.ticker AND as_of = month_end), l AS (SELECT as_of, count(*) AS total, quantile_cont(quality, 0.3) AS ql, quantile_cont(momentum, 0.3) AS ml FROM v GROUP BY 1 HAVING count(*) >= 20), a AS (SELECT v.*, total, ql, ml FROM v JOIN l ON v.as_of = l.as_of), e AS (SELECT *, 'value' AS portfolio FROM a UNION ALL SELECT *, 'value_quality' FROM a WHERE quality >= ql UNION ALL SELECT *, 'value_quality_momentum' FROM a WHERE quality >= ql AND momentum >= ml), r AS (SELECT *, row_number() OVER (PARTITION BY as_of, portfolio ORDER BY value DESC NULLS LAST, ticker) AS k FROM e), vt AS (SELECT as_of, portfolio, count(*) AS n, {rd('coalesce(avg(fwd), 0)', 9)} AS ret FROM r WHERE k <= greatest(1, total // 5) GROUP BY 1, 2), {perf_sql('vt', 'portfolio')} SELECT portfolio, n, {rd('vol', 6)} AS vol, {rd('sharpe', 4)} AS sharpe, {rd('max_drawdown', 6)} AS max_drawdown, {rd('ann_return', 6)} AS ann_return FROM pe",
+    "ic_trends": f"WITH {IC}, a AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY as_of DESC) - 1 AS age, count(*) OVER (PARTITION BY factor) AS cnt FROM ic WHERE ic IS NOT NULL), q AS (SELECT factor, count(*) AS n, avg(ic) AS mean, stddev_samp(ic) AS std, CAST(count(*) FILTER (ic > 0) AS DOUBLE) / count(*) * 100 AS positive_pct, sum(ic * pow(0.5::DOUBLE, age / 6.0::DOUBLE)) / sum(pow(0.5::DOUBLE, age / 6.0::DOUBLE)) AS ewm, CASE WHEN count(*) >= 3 THEN avg(ic) FILTER (age < 3) END AS tail_3, CASE WHEN count(*) >= 6 THEN avg(ic) FILTER (age < 6) END AS tail_6, CASE WHEN count(*) >= 12 THEN avg(ic) FILTER (age < 12) END AS tail_12, coalesce(min(age) FILTER (ic <= 0), count(*)) AS positive_run, coalesce(min(age) FILTER (ic > 0), count(*)) AS negative_run, {rd('avg(ic) FILTER (age < cnt - cnt // 2) - avg(ic) FILTER (age >= cnt - cnt // 2)', 9)} AS delta FROM a GROUP BY 1) SELECT factor, n, {', '.join(f'{rd(c, 6)} AS {c}' for c in ('mean', 'std', 'positive_pct', 'ewm', 'tail_3', 'tail_6', 'tail_12'))}, positive_run, negative_run, {rd('CASE WHEN std > 1e-8 THEN mean / std ELSE 0 END', 6)} AS ir, CASE WHEN n >= 12 AND delta > 0.02 THEN 'improving' WHEN n >= 12 AND delta < -0.02 THEN 'declining' ELSE 'stable' END AS trend, CASE WHEN ewm >= 0.05 AND positive_pct >= 70 THEN 'strong' WHEN ewm >= 0.02 AND positive_pct >= 55 THEN 'moderate' WHEN ewm > 0 THEN 'weak' ELSE 'negative' END AS status FROM q WHERE n >= 4",
     "live_ic": f"WITH {IC} SELECT as_of, factor, n, ic FROM ic0 WHERE n >= 30 AND as_of >= DATE '2000-01-01'",
     "quintile_returns": f"WITH {PAIRS}, a AS (SELECT score, fwd FROM pa WHERE factor = 'momentum'), c AS (SELECT count(*) AS total, {', '.join(f'quantile_cont(score, {k / 5}) AS c{k}' for k in range(1, 5))} FROM a), q AS (SELECT CAST(CASE WHEN score <= c1 THEN 1 WHEN score <= c2 THEN 2 WHEN score <= c3 THEN 3 WHEN score <= c4 THEN 4 ELSE 5 END AS INT) AS quintile, count(*) AS n, avg(fwd) AS ret FROM a CROSS JOIN c WHERE total >= 50 GROUP BY 1), l AS (SELECT *, lead(ret) OVER (ORDER BY quintile) < ret AS falls FROM q) SELECT quintile, n, {rd('ret', 6)} AS ret, NOT bool_or(coalesce(falls, false)) OVER () AS monotonic FROM l",
 }
