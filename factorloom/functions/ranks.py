@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 from .store import stored
 
 
+#: Columns that hold no nulls wherever they are joined here; plain equality sorts and hashes fewer columns.
+NEVER_NULL = ("metric", "value", "part", "ticker")
+
+
 def meet(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on columns of one name, where nulls are equal; the left side's columns stay."""
     if not on:
         return left.crossJoin(right)
     other = right.withColumnsRenamed({c: f"_{c}_" for c in on})
-    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"_{c}_"]) for c in on])
+    pairs = [(c, left[c], other[f"_{c}_"]) for c in on]
+    same = reduce(lambda a, b: a & b, [mine == theirs if c in NEVER_NULL else mine.eqNullSafe(theirs) for c, mine, theirs in pairs])
     return left.join(other, same, how).drop(*[f"_{c}_" for c in on])
 
 

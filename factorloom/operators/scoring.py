@@ -312,8 +312,8 @@ def score_pipeline(
     """
     wide = stored(coverage_filter(wide, applies, metrics, least_coverage), "covered")
     n = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.count(m).alias(m) for m in metrics])
-    filled = n.unpivot([*keys, "rows"], list(metrics), "metric", "filled")
-    spread = reduced_weights(filled, dimension, most_missing, keys=keys)
+    filled = stored(n.unpivot([*keys, "rows"], list(metrics), "metric", "filled"), "filled")
+    spread = stored(reduced_weights(filled, dimension, most_missing, keys=keys), "metric-weights")
     used = [r[0] for r in applies if r[0] in metrics and (r[3] or r[4])]
     tall = meet(to_tall(wide, used, keys=keys), spread, [*keys, "metric"]).withColumn("weight", F.when(F.col("is_bank"), F.col("bank")).otherwise(F.col("generic")))
     ranked = cleaned_ranks(tall, keys=keys)
