@@ -80,7 +80,7 @@ def monthly(s: SparkSession, sf: str) -> DataFrame:
 
 
 def changes(s: SparkSession, sf: str) -> DataFrame:
-    return P.metric_evolution(PP.evolving(s, sf), run=1, least_ic=-1.0, least_positive=0.0)
+    return P.metric_evolution(PP.evolving(s, sf), run=0, least_ic=-1.0, least_positive=0.0)
 
 
 def weights(s: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +194,7 @@ def _monthly_sql() -> str:
 SELECT as_of, ticker, {", ".join(f"{rd(c, 6)} AS {c}" for c in SC.SCORES)}, CASE WHEN composite_raw IS NOT NULL THEN {rd(pct_sql("composite_raw", "as_of, composite_raw IS NULL"), 2)} END AS composite FROM s"""
 
 
-EVOLVED = f"tr AS ({SR.ORACLE_SQL['ic_trends']}), ev AS (SELECT 'signals' AS category, factor AS metric, CASE WHEN factor = 'momentum' THEN 0::DOUBLE ELSE 30::DOUBLE END AS weight, ewm, positive_run, negative_run, positive_pct FROM tr), ch AS (SELECT category, metric, 'activate' AS action, weight, 5::DOUBLE AS new_weight FROM ev WHERE weight = 0 AND ewm >= -1 AND positive_run >= 1 AND positive_pct >= 0 QUALIFY row_number() OVER (ORDER BY ewm DESC, metric) <= 1 UNION ALL SELECT category, metric, 'lower', weight, greatest(0, weight - 5) FROM ev WHERE weight > 0 AND ewm <= 0 AND negative_run >= 1)"
+EVOLVED = f"tr AS ({SR.ORACLE_SQL['ic_trends']}), ev AS (SELECT 'signals' AS category, factor AS metric, CASE WHEN factor = 'momentum' THEN 0::DOUBLE ELSE 30::DOUBLE END AS weight, ewm, positive_run, negative_run, positive_pct FROM tr), ch AS (SELECT category, metric, 'activate' AS action, weight, 5::DOUBLE AS new_weight FROM ev WHERE weight = 0 AND ewm >= -1 AND positive_run >= 0 AND positive_pct >= 0 QUALIFY row_number() OVER (ORDER BY ewm DESC, metric) <= 1 UNION ALL SELECT category, metric, 'lower', weight, greatest(0, weight - 5) FROM ev WHERE weight > 0 AND ewm <= 0 AND negative_run >= 0)"
 REDIST = f"""{EVOLVED}, r0 AS (SELECT ev.category, ev.metric, ev.weight, action, new_weight, coalesce(new_weight, ev.weight) AS w, count(action) OVER (PARTITION BY ev.category) AS touched FROM ev LEFT JOIN ch ON ch.category = ev.category AND ch.metric = ev.metric),
  r1 AS (SELECT *, coalesce(sum(CASE WHEN action = 'activate' THEN new_weight END) OVER k, 0) - coalesce(sum(CASE WHEN action = 'lower' THEN weight - new_weight END) OVER k, 0) AS net FROM r0 WHERE touched > 0 WINDOW k AS (PARTITION BY category)),
  r2 AS (SELECT *, CASE WHEN w > 0 AND NOT coalesce(action = CASE WHEN net > 0 THEN 'activate' ELSE 'lower' END, false) THEN w END AS base FROM r1),
