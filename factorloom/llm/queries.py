@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_model, line_dedup, mixing, neighbours, packing, sharding, token_counts, toxicity
+from . import byte_bpe, exact_dedup, jaccard_join, language_model, line_dedup, mixing, neighbours, packing, sharding, token_counts, toxicity, variants
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SLOTS = 4099
@@ -61,6 +61,21 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.count_words(table(spark, sf_dir, "documents"), least=7, least_count=2, damage=31)
+    return variants.group_variants(words, factor=10)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -72,6 +87,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_model": op10_language_model,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL = {
