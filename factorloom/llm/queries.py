@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard_join, language_model, line_dedup, mixing, neighbours, packing, sharding, token_counts, toxicity, variants
+from . import byte_bpe, exact_dedup, hard_negatives, jaccard_join, language_model, line_dedup, mixing, neighbours, packing, sharding, token_counts, toxicity, variants
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 SLOTS = 4099
@@ -66,6 +66,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(words, factor=10)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), every=100, positives=5, negatives=10, low=30, high=90)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.round_trip(table(spark, sf_dir, "documents"))
     return coded.select(
@@ -88,6 +94,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language_model": op10_language_model,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -155,4 +162,20 @@ WITH d AS (
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM o GROUP BY rid, doc_id""",
+    "op12_hard_negatives": r"""
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.uid AS a, a.vec_id AS anchor_id, o.uid AS o, o.vec_id AS id, a.label = o.label AS alike, CAST(list_dot_product(a.x, o.x) AS BIGINT) AS score
+  FROM v a JOIN v o ON a.uid <> o.uid AND len(a.x) = len(o.x) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, o) <= 5
+), n AS (
+  SELECT p.a, p.o, p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.o ORDER BY s.score DESC, s.id, s.o) AS rank
+  FROM p JOIN s ON p.a = s.a AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
