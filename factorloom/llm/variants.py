@@ -185,6 +185,8 @@ def near_pairs(queries: np.ndarray, index: np.ndarray, groups: Mapping[int, int]
 def _less(queries: np.ndarray, index: np.ndarray, q: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Whether the query comes before the word in code-point order."""
     a, b = queries[q], index[w]
+    if not a.size:
+        return np.zeros(len(a), dtype=bool)
     differs = a != b
     first = differs.argmax(axis=1)[:, None]
     return differs.any(axis=1) & (np.take_along_axis(a, first, 1) < np.take_along_axis(b, first, 1))[:, 0]
