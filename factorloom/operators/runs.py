@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranks import counted, placed
+from .history import partitions, replace_partitions
 
 #: Sections of a configuration that decide scores.
 SCORING_SECTIONS = ("factor_weights", "metric_weights", "data_quality", "sector_neutral", "value_trap_filters", "universe")
@@ -29,20 +30,27 @@ def load_times(rows: DataFrame, column: str = "ms") -> DataFrame:
     return at.agg(F.min(column).alias("least"), F.floor(F.sum(F.col(column) * F.col("n")) / F.sum("n")).alias("mean"), F.max(column).alias("most"), p95.alias("p95"), F.sum("n").alias("n"))
 
 
+SCORE_KEYS = ("tier", "config_hash", "as_of")
+
+
 def save_scores(scored: DataFrame, path: str, tier: str, config: str, as_of: str) -> None:
-    """Columns without a leading underscore, under (tier, config_hash, as_of)."""
-    kept = scored.select(*[c for c in scored.columns if not c.startswith("_")])
-    keyed = kept.withColumns({"tier": F.lit(tier), "config_hash": F.lit(config), "as_of": F.lit(as_of).cast("date")})
-    keyed.write.mode("append").partitionBy("tier", "config_hash", "as_of").parquet(path)
+    """Columns without a leading underscore, under (tier, config_hash, as_of), in place of what an earlier run wrote there."""
+    keyed = scored.withColumns({"tier": F.lit(tier), "config_hash": F.lit(config), "as_of": F.lit(as_of).cast("date")})
+    replace_partitions(keyed, path, SCORE_KEYS)
 
 
 def load_scores(spark: SparkSession, path: str, tier: str, config: str | None = None) -> DataFrame:
-    """The newest date of a tier, and of a configuration if one is named; other partitions are not read."""
-    df = spark.read.parquet(path).where(F.col("tier") == tier)
+    """The newest date of a tier, and of a configuration if one is named; the date comes from the listing, and other partitions are not read."""
+    mine = F.col("tier") == tier
     if config is not None:
-        df = df.where(F.col("config_hash") == config)
-    newest = df.agg(F.max("as_of")).first()[0]
-    return df.where(F.col("as_of") == F.lit(newest))
+        mine &= F.col("config_hash") == config
+    last = partitions(spark, path, SCORE_KEYS).where(mine).agg(F.max("as_of")).first()[0]
+    return spark.read.parquet(path).where(mine & (F.col("as_of") == F.lit(last).cast("date")))
+
+
+def caches(spark: SparkSession, path: str) -> DataFrame:
+    """The dates that a score table holds for each tier and configuration, from the listing of its files."""
+    return partitions(spark, path, SCORE_KEYS).withColumn("as_of", F.col("as_of").cast("date"))
 
 
 def cache_freshness(caches: DataFrame, today: Column, days: Mapping[str, int]) -> DataFrame:

@@ -85,19 +85,3 @@ def history_status(history: DataFrame, tiers: Sequence[tuple[int, str]] = ((50,
     for least, name in tiers:
         tier = tier.when(F.col("run_dates") >= least, name)
     return out.withColumn("tier", tier.otherwise("new"))
-
-
-def write_scores(scored: DataFrame, path: str) -> None:
-    """Columns without a leading underscore, in partitions by configuration and date."""
-    scored.select(*[c for c in scored.columns if not c.startswith("_")]).write.mode("append").partitionBy("config_hash", "as_of").parquet(path)
-
-
-def read_scores(spark: SparkSession, path: str, config_hash: str) -> DataFrame:
-    """The newest date of a configuration; other partitions are not read."""
-    df = spark.read.parquet(path).where(F.col("config_hash") == config_hash)
-    newest = df.agg(F.max("as_of")).first()[0]
-    return df.where(F.col("as_of") == F.lit(newest))
-
-
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)

@@ -14,10 +14,12 @@ from ..functions.store import shared_folder
 from ..operators import backtest as B
 from ..operators import diagnostics as D
 from ..operators import exposure as X
+from ..operators import history as H
 from ..operators import prices as PR
 from ..operators import proposals as P
 from ..operators import runs as U
 from ..operators import statements as ST
+from ..operators import tables as T
 from ..sources import views as V
 from . import fundamentals as FD
 from . import proposals as PP
@@ -87,17 +89,14 @@ def weights(s: SparkSession, sf: str) -> DataFrame:
     return PP.evolving(s, sf).select("category", "metric", "weight")
 
 
-def versions(s: SparkSession, sf: str) -> DataFrame:
-    return weights(s, sf).select(F.lit(1).alias("version"), F.lit("2001-01-01").cast("date").alias("as_of"), "category", "metric", "weight")
-
-
 def folder(s: SparkSession, name: str) -> str:
     return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
 
 
 def _scores(s: SparkSession, sf: str, read: str | None) -> DataFrame:
-    """Scores of two dates written under their keys; all of them, or the newest of a configuration."""
+    """Scores of three dates written under their keys, the first date twice; all of them, or the newest of a configuration."""
     path, found = folder(s, "scores"), RC.names(s, sf).withColumn("_private", F.lit(1))
+    U.save_scores(found.where("sector = 'BUILDING'"), path, "factor_scores", "aaa", "2001-06-30")
     U.save_scores(found, path, "factor_scores", "aaa", "2001-06-30")
     U.save_scores(found.where("sector <> 'BUILDING'"), path, "factor_scores", "aaa", "2001-07-31")
     U.save_scores(found.where("sector = 'BUILDING'"), path, "factor_scores", "bbb", "2001-08-31")
@@ -105,6 +104,32 @@ def _scores(s: SparkSession, sf: str, read: str | None) -> DataFrame:
     return df.select("ticker", "company", "sector", "tier", "config_hash", "as_of")
 
 
+def _snapshots(s: SparkSession, sf: str) -> DataFrame:
+    """A snapshot of a date, taken again after its portfolio changed."""
+    path, names = folder(s, "snapshots"), RC.names(s, sf)
+    for last in ("5", "7"):
+        H.replace_partitions(T.snapshot(names, names.where(f"substr(ticker, -1) = '{last}'"), "2001-06-30"), path, ["run_date"])
+    return s.read.parquet(path).select("ticker", "company", "sector", "in_portfolio", "run_date")
+
+
+def _histories(s: SparkSession, sf: str) -> DataFrame:
+    """The first half of each year, then the second with two months that are there already, twice."""
+    path = folder(s, "history")
+    for months in ("month(run_date) <= 6", "month(run_date) >= 5", "month(run_date) >= 5"):
+        found = RC.history(s, sf, months)
+        H.append_new_partitions(found.withColumn("n_tickers", F.when(F.month("run_date") < 7, F.col("n_tickers")).otherwise(F.col("n_tickers") + 1)), path, ["run_date", "horizon"])
+    return s.read.parquet(path).select("run_date", "horizon", "n_tickers")
+
+
+def _versions(s: SparkSession, sf: str) -> DataFrame:
+    """Two versions of the weights; the second is written twice."""
+    path, redistributed = folder(s, "weights"), P.redistribute(weights(s, sf), changes(s, sf)).select("category", "metric", "new_weight")
+    H.append_weights(weights(s, sf).withColumnRenamed("weight", "new_weight"), path, "2001-01-01")
+    H.append_weights(redistributed.withColumn("new_weight", F.col("new_weight") / 2), path, TODAY)
+    H.append_weights(redistributed, path, TODAY)
+    return s.read.parquet(path).select("version", "as_of", "category", "metric", "weight")
+
+
 def _artifacts(s: SparkSession, sf: str) -> DataFrame:
     path, names = folder(s, "artifacts"), RC.names(s, sf)
     U.save_artifact(names, path, "r1", "00_universe")
@@ -120,8 +145,11 @@ def _csv(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _caches(s: SparkSession, sf: str) -> DataFrame:
-    months = SR.months(s, sf).select(F.col("month_end").alias("as_of"))
-    return months.select(F.when(F.month("as_of") % 2 == 0, "factor_scores").otherwise("raw").alias("tier"), F.when(F.year("as_of") < 2000, "old").otherwise("new").alias("config_hash"), "as_of")
+    """What the listing of a score table shows that holds a date for each month."""
+    path, rows = folder(s, "caches"), SR.monthly(s, sf).withColumnRenamed("month_end", "as_of")
+    keyed = rows.withColumns({"tier": F.when(F.month("as_of") % 2 == 0, "factor_scores").otherwise("raw"), "config_hash": F.when(F.year("as_of") < 2000, "old").otherwise("new")})
+    H.replace_partitions(keyed, path, U.SCORE_KEYS)
+    return U.caches(s, path)
 
 
 def _backfill(s: SparkSession, sf: str) -> DataFrame:
@@ -142,8 +170,10 @@ QUERIES = {
     "ff_alpha_annualised": lambda s, sf: X.annualised_alpha(regression(s, sf)),
     "bt_monthly_scores": lambda s, sf: monthly(s, sf).select("as_of", "ticker", *[rounded(F.col(c), 6).alias(c) for c in SC.SCORES], "composite"),
     "weight_redistribution": lambda s, sf: P.redistribute(weights(s, sf), changes(s, sf)),
-    "weights_version_append": lambda s, sf: P.append_version(versions(s, sf), P.redistribute(weights(s, sf), changes(s, sf)), TODAY),
+    "weights_version_append": lambda s, sf: _versions(s, sf),
     "weights_change_log": lambda s, sf: P.change_log(changes(s, sf), TODAY),
+    "snapshot_append": lambda s, sf: _snapshots(s, sf),
+    "history_append_dedup": lambda s, sf: _histories(s, sf),
     "scores_write": lambda s, sf: _scores(s, sf, None),
     "scores_read": lambda s, sf: _scores(s, sf, "aaa"),
     "stage_artifacts": lambda s, sf: _artifacts(s, sf),
@@ -218,6 +248,8 @@ ORACLE_SQL = {
     "weight_redistribution": f"WITH {REDIST} SELECT * FROM rd",
     "weights_version_append": f"WITH {REDIST} SELECT 1 AS version, DATE '2001-01-01' AS as_of, category, metric, weight FROM ev UNION ALL SELECT 2, DATE '{TODAY}', ev.category, ev.metric, coalesce(rd.new_weight, ev.weight) FROM ev LEFT JOIN rd ON rd.category = ev.category AND rd.metric = ev.metric",
     "weights_change_log": f"WITH {EVOLVED} SELECT DATE '{TODAY}' AS date, CASE action WHEN 'activate' THEN 'metric_activation' ELSE 'metric_deactivation' END AS change_type, category, metric, weight AS old_value, new_weight AS new_value FROM ch",
+    "snapshot_append": f"WITH {SC.M} SELECT ticker, company, sector, right(ticker, 1) = '7' AS in_portfolio, DATE '2001-06-30' AS run_date FROM m",
+    "history_append_dedup": f"WITH {RC.HIST} SELECT run_date, horizon, n_tickers + CASE WHEN month(run_date) < 7 THEN 0 ELSE 1 END AS n_tickers FROM h",
     "scores_write": f"{SCORE_DATES} SELECT * FROM al",
     "scores_read": f"{SCORE_DATES} SELECT * FROM al WHERE config_hash = 'aaa' AND as_of = DATE '2001-07-31'",
     "stage_artifacts": "SELECT '00_universe' AS stage, count(*) AS rows, min('C' || c_custkey) AS first FROM customer UNION ALL SELECT '01_kept', count(*), min('C' || c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING'",

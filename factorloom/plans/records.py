@@ -60,9 +60,7 @@ QUERIES = {
     "drop_failed": lambda s, sf: T.drop_failed(records(s, sf)).select("ticker", "error"),
     "refresh_upsert": lambda s, sf: T.refresh_upsert(records(s, sf), second(s, sf)).select("ticker", "error", rounded(F.col("market_cap"), 2).alias("market_cap")),
     "dq_fetch_failures": lambda s, sf: records(s, sf).agg(F.count_if(F.col("error").isNotNull()).alias("failed"), F.count(F.lit(1)).alias("n")).withColumn("warn", F.col("failed") / F.col("n") > 0.2),
-    "history_append_dedup": lambda s, sf: T.append_new(history(s, sf, "month(run_date) <= 6"), history(s, sf, "month(run_date) >= 5"), ["run_date", "horizon"]),
     "ic_history_merge": lambda s, sf: T.merge_histories(history(s, sf, "month(run_date) = 1"), history(s, sf, "month(run_date) = 2").drop("horizon")),
-    "snapshot_append": lambda s, sf: T.snapshot(names(s, sf), names(s, sf).where("substr(ticker, -1) = '7'"), "2001-06-30"),
     "history_status": lambda s, sf: T.history_status(history(s, sf, "true")),
     "raw_field_enrichment": lambda s, sf: names(s, sf).join(fundamentals(s, sf).select("ticker", F.col("price").alias("Price"), F.col("n_analysts").alias("Analysts")), "ticker", "left").select("ticker", rounded(F.col("Price"), 4).alias("Price"), "Analysts"),
 }
@@ -93,9 +91,7 @@ ORACLE_SQL = {
     "drop_failed": f"WITH {RECORDS} SELECT ticker, error FROM rc WHERE NOT (error IS NOT NULL AND market_cap IS NULL)",
     "refresh_upsert": f"WITH {RECORDS} SELECT rc.ticker, CASE WHEN error IS NOT NULL AND rc.ck % 2 = 0 THEN NULL ELSE error END AS error, {rd('CASE WHEN error IS NOT NULL AND rc.ck % 2 = 0 THEN fu.market_cap + 1 ELSE rc.market_cap END', 2)} AS market_cap FROM rc JOIN fu ON rc.ticker = fu.ticker",
     "dq_fetch_failures": f"WITH {RECORDS} SELECT count(error) AS failed, count(*) AS n, CAST(count(error) AS DOUBLE) / count(*) > 0.2::DOUBLE AS warn FROM rc",
-    "history_append_dedup": f"WITH {HIST} SELECT run_date, horizon, n_tickers FROM h",
     "ic_history_merge": f"WITH {HIST} SELECT run_date, horizon, n_tickers, 'historical' AS source FROM h WHERE month(run_date) = 1 UNION ALL SELECT run_date, NULL, n_tickers, 'live' FROM h WHERE month(run_date) = 2",
-    "snapshot_append": f"WITH {M} SELECT ticker, company, sector, right(ticker, 1) = '7' AS in_portfolio, DATE '2001-06-30' AS run_date FROM m",
     "history_status": f"WITH {HIST} SELECT count(DISTINCT run_date) AS run_dates, count(*) AS rows, CAST(sum(n_tickers) AS BIGINT) AS ticker_dates, CASE WHEN count(DISTINCT run_date) >= 50 THEN 'mature' WHEN count(DISTINCT run_date) >= 24 THEN 'growing' WHEN count(DISTINCT run_date) >= 8 THEN 'early' ELSE 'new' END AS tier FROM h",
     "raw_field_enrichment": f"WITH {FU} SELECT ticker, {rd('price', 4)} AS Price, n_analysts AS Analysts FROM fu",
 }

@@ -52,13 +52,6 @@ def test_subset_makes_unknown_rows_only_if_none_is_found(spark):
     assert [tuple(r) for r in tables.subset(df, ["Z"]).collect()] == [("Z", "Z", "Unknown")]
 
 
-def test_scores_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("A", 1.0, 9, "h1", "2020-01-01"), ("A", 2.0, 9, "h1", "2020-02-01"), ("A", 3.0, 9, "h2", "2020-03-01")], "ticker string, composite double, _x int, config_hash string, as_of string")
-    tables.write_scores(df, str(tmp_path / "scores"))
-    got = tables.read_scores(spark, str(tmp_path / "scores"), "h1").collect()
-    assert [r.composite for r in got] == [2.0] and "_x" not in got[0].asDict()
-
-
 NAMES = sorted(set(views.re.findall(r" AS (\w+)[,\n ]", views.FUNDAMENTALS.split("AS ticker")[1].split("FROM {customer}")[0])) | {"acctbal"})
 
 
