@@ -11,19 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.stats import quantile, rounded, steady
 
 
-def spearman(tall: DataFrame, key: str = "ticker", name: str = "name", value: str = "value") -> DataFrame:
-    """Rank correlation of every two names over the keys that have both; ranks are taken for each pair.
-
-    The join is on the key, so it makes one row for each key and pair of names; names are few.
-    """
-    a = tall.select(key, F.col(name).alias("a"), F.col(value).alias("x"))
-    b = tall.select(key, F.col(name).alias("b"), F.col(value).alias("y"))
-    both = a.join(b, key).where("a < b")
-    rank = lambda v: F.rank().over(Window.partitionBy("a", "b").orderBy(v)) + (F.count(F.lit(1)).over(Window.partitionBy("a", "b", v)) - 1) / 2
-    ranked = both.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
-    return ranked.groupBy("a", "b").agg(rounded(F.corr("rx", "ry"), 3).alias("rho"), F.count(F.lit(1)).alias("n"))
-
-
 def weight_sensitivity(scored: DataFrame, weights: dict[str, float], shift: float = 5.0, top: int = 20) -> DataFrame:
     """Each category up and down by ``shift`` points, the others scaled to 100: what becomes of the best ``top``.
 

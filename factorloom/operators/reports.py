@@ -131,13 +131,3 @@ def screen_sort(df: DataFrame, column: str, ascending: bool = True, n: int | Non
 
 def security_search(universe: DataFrame, text: str, exclude: Sequence[str] = (), n: int = 8) -> DataFrame:
     return screen_sort(screen_filter(universe, search=text).where(~F.col("ticker").isin(*exclude)), "ticker", n=n)
-
-
-def entity_mentions(texts: DataFrame, names: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (key, entity) for each name of ``names(entity, word)`` that stands as a word in the text.
-
-    Texts are cut into words once and met with the dictionary by a join, so the cost does not depend on
-    the number of names.
-    """
-    words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
-    return words.join(names.withColumn("word", F.lower("word")), "word").select(key, "entity").distinct()

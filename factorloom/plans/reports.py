@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.stats import rounded
+from ..operators import correlation as CO
 from ..operators import diagnostics as D
+from ..operators import mentions as ME
 from ..operators import portfolio as P
 from ..operators import reports as R
 from ..operators import scoring as S
@@ -50,9 +54,12 @@ def accuracy(s: SparkSession, sf: str) -> DataFrame:
 
 
 def names(s: SparkSession, sf: str) -> DataFrame:
-    return views.base(s, sf, "nation").select(F.col("n_name").alias("entity"), F.col("n_name").alias("word")).unionByName(
-        s.createDataFrame([("common", "the"), ("common", "of"), ("rare", "stupid")], "entity string, word string")
-    )
+    """Nations, parts of two words, the first three words of benchmark items, suppliers with their first words, sectors and common words."""
+    of = lambda table, entity, name, bound: views.base(s, sf, table).select(F.col(entity).cast("string").alias("entity"), name.alias("name"), F.lit(bound).alias("bound"))
+    sectors = of("customer", "c_mktsegment", F.col("c_mktsegment"), ME.ANYWHERE).distinct()
+    items = of("benchmark", "item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " "), ME.WORD)
+    common = s.createDataFrame([("common", "the", ME.WORD), ("common", "of", ME.WORD), ("rare", "stupid", ME.WORD)], "entity string, name string, bound string")
+    return reduce(DataFrame.unionByName, [of("nation", "n_name", F.col("n_name"), ME.WORD), of("part", "p_name", F.col("p_name"), ME.WORD).distinct(), items, ME.company_names(views.base(s, sf, "supplier"), "s_suppkey", "s_name"), sectors, common])
 
 
 def dispersion_history(s: SparkSession, sf: str) -> DataFrame:
@@ -102,15 +109,15 @@ QUERIES = {
     "sensitivity_summary": lambda s, sf: D.sensitivity_summary(D.weight_sensitivity(raw_scored(s, sf), W)),
     "ranking_impact": lambda s, sf: D.ranking_impact(raw_scored(s, sf), W, PROPOSED),
     "rpt_summary_bands": lambda s, sf: P.factor_exposure(P.weight_score(port(s, sf)), CATS).select("category", "exposure", R.band(F.col("exposure"), [(65.0, "strong"), (50.0, "fair")], "weak").alias("band")),
-    "category_correlation": lambda s, sf: D.spearman(spearman_source(raw_scored(s, sf), SCORES)),
-    "metric_correlation": lambda s, sf: D.spearman(ranked(s, sf).select("ticker", F.col("metric").alias("name"), rounded(F.col("pct"), 6).alias("value"))),
+    "category_correlation": lambda s, sf: CO.spearman(spearman_source(raw_scored(s, sf), SCORES), names=SCORES),
+    "metric_correlation": lambda s, sf: CO.spearman(ranked(s, sf).select("ticker", F.col("metric").alias("name"), rounded(F.col("pct"), 6).alias("value")), names=METRICS),
     "dispersion": lambda s, sf: D.dispersion(raw_scored(s, sf), CATS),
     "dispersion_regime": lambda s, sf: D.dispersion_regime(dispersion_history(s, sf)).select("category", "n", "latest", rounded(F.col("p25"), 6).alias("p25"), rounded(F.col("p75"), 6).alias("p75"), "regime"),
     "screen_filter": lambda s, sf: R.screen_filter(with_fields(s, sf), sector="BUILDING", traps="clean", least=60.0, search="c1").select("ticker", "composite"),
     "screen_sort": lambda s, sf: R.screen_sort(scored(s, sf), "composite", ascending=False, n=40).select("ticker", "composite"),
     "security_search": lambda s, sf: R.security_search(scored(s, sf).join(metrics(s, sf).select("ticker", "company"), "ticker"), "c12", ["C12"]).select("ticker"),
     "custom_peer_table": lambda s, sf: scored(s, sf).where(F.col("ticker").isin("C1", "C2", "C3", "C5", "C8")).select("ticker", "sector", "composite", "rank"),
-    "entity_mentions": lambda s, sf: R.entity_mentions(views.base(s, sf, "documents"), names(s, sf)),
+    "entity_mentions": lambda s, sf: ME.entity_mentions(views.base(s, sf, "documents"), names(s, sf)),
     **{k: _rule(k) for k in ("dq_market_cap", "dq_negative_ev", "dq_revenue_break", "acc_capex_sign", "acc_cash_mismatch", "acc_dividend_unit", "acc_ebit_ebitda")},
     "dq_missing_critical": lambda s, sf: D.missing_critical(metrics(s, sf), ["ev_ebitda", "roic", "return_12_1"]),
     "dq_winsorized": lambda s, sf: D.winsorized_counts(tall(s, sf)),
@@ -245,7 +252,12 @@ ORACLE_SQL = {
     "screen_sort": f"WITH {SCORED} SELECT ticker, composite FROM f ORDER BY composite DESC NULLS LAST, ticker LIMIT 40",
     "security_search": f"WITH {M} SELECT ticker FROM m WHERE (contains(lower(ticker), 'c12') OR contains(lower(company), 'c12')) AND ticker <> 'C12' ORDER BY ticker LIMIT 8",
     "custom_peer_table": f"WITH {SCORED} SELECT ticker, sector, composite, rank FROM f WHERE ticker IN ('C1', 'C2', 'C3', 'C5', 'C8')",
-    "entity_mentions": r"WITH n AS (SELECT n_name AS entity, lower(n_name) AS word FROM nation UNION ALL VALUES ('common', 'the'), ('common', 'of'), ('rare', 'stupid')), w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')) AS word FROM documents) SELECT DISTINCT doc_id, entity FROM w JOIN n USING (word)",
+    "entity_mentions": r"""WITH n0(entity, name, word) AS (SELECT n_name, n_name, true FROM nation UNION SELECT p_name, p_name, true FROM part UNION SELECT CAST(item_id AS VARCHAR), array_to_string(string_split(text, ' ')[1:3], ' '), true FROM benchmark
+  UNION SELECT CAST(s_suppkey AS VARCHAR), CAST(s_suppkey AS VARCHAR), true FROM supplier UNION SELECT CAST(s_suppkey AS VARCHAR), CASE WHEN length(string_split_regex(lower(s_name), '[\s,]+')[1]) >= 4 THEN string_split_regex(lower(s_name), '[\s,]+')[1] END, false FROM supplier
+  UNION SELECT c_mktsegment, c_mktsegment, false FROM customer UNION VALUES ('common', 'the', true), ('common', 'of', true), ('rare', 'stupid', true)),
+ n AS (SELECT entity, lower(name) AS name, word, CASE WHEN regexp_matches(lower(name), '^[a-z0-9_]') THEN '(^|[^a-z0-9_])' ELSE '' END || regexp_escape(lower(name)) || CASE WHEN regexp_matches(lower(name), '[a-z0-9_]$') THEN '($|[^a-z0-9_])' ELSE '' END AS rule FROM n0 WHERE name <> ''),
+ d AS (SELECT doc_id, lower(text) AS text FROM documents)
+ SELECT DISTINCT doc_id, entity FROM d JOIN n ON contains(text, name) AND (NOT word OR regexp_matches(text, rule))""",
     **{k: f"WITH {FU} {v}" for k, v in RULES.items()},
     "dq_missing_critical": f"WITH {M} " + " UNION ALL ".join(f"SELECT ticker, 'missing_metric' AS issue, 'Medium' AS severity, '{c}' AS detail FROM m WHERE {c} IS NULL" for c in ("ev_ebitda", "roic", "return_12_1")),
     "dq_winsorized": f"WITH {TALL}, l AS (SELECT metric, count(*) AS n, quantile_cont(value, 0.01) AS p01, quantile_cont(value, 0.99) AS p99 FROM t GROUP BY 1) SELECT t.metric, count(*) AS n FROM t JOIN l ON t.metric = l.metric AND l.n > 10 WHERE value <= p01 OR value >= p99 GROUP BY 1",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factorloom import config
 from factorloom.functions.stats import average_rank_pct, rounded
-from factorloom.operators import backtest, diagnostics, portfolio, prices, reports, scoring
+from factorloom.operators import backtest, correlation, diagnostics, portfolio, prices, reports, scoring
 
 
 def test_average_rank_is_pandas(spark):
@@ -125,7 +125,7 @@ def test_spearman_is_pandas(spark):
     rng = random.Random(5)
     data = pd.DataFrame({c: [rng.choice([None, rng.randint(0, 9)]) for _ in range(60)] for c in "abc"}, dtype=float)
     rows = [(str(i), c, v) for c in data for i, v in data[c].items() if pd.notna(v)]
-    got = diagnostics.spearman(spark.createDataFrame(rows, "ticker string, name string, value double")).collect()
+    got = correlation.spearman(spark.createDataFrame(rows, "ticker string, name string, value double")).collect()
     for r in got:
         both = data[[r.a, r.b]].dropna().rank()
         assert r.rho == pytest.approx(both[r.a].corr(both[r.b]), abs=6e-4)
