@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantile, rounded
+from ..functions.store import stored
 
 
 def band(x: Column, cuts: Sequence[tuple[float, str]], rest: str) -> Column:
@@ -75,19 +76,48 @@ def kpis(scored: DataFrame) -> DataFrame:
     )
 
 
+def _halo(ends: DataFrame, n: int, ahead: bool, order: Sequence[str]) -> DataFrame:
+    """For each range the ``n`` rows next to it in the ranges ahead of it or behind, out of ``ends``: the outermost n rows of each range.
+
+    Any range has a row, so the next n ranges hold n rows.
+    """
+    steps = F.explode(F.sequence(F.lit(1), F.lit(n)))
+    to = ends.withColumn("step", steps).withColumn("range", F.col("range") + (F.col("step") if ahead else -F.col("step")))
+    nearest = [F.col(c).desc() if ahead else F.col(c).asc() for c in order]
+    return to.withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy(*nearest))).where(F.col("nth") <= n).drop("nth", "step")
+
+
 def peers(universe: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` securities of the same sector whose size is next to each one's own, by |ratio - 1|.
+    """The ``n`` securities of the same sector whose size is next to each one's own, by |ratio - 1|, ties by ticker.
 
-    Neighbours by size hold the answer: sizes above and below are looked at in order, so each row meets
-    2n others and no sector is joined to itself.
+    Sizes of all sectors are put in order in ranges that Spark balances, each with the n sizes on either
+    side of it that lie in other ranges, so no sector is one task's work. A size that many securities
+    have is one row with the first n + 1 of them, so a row meets n sizes below, its own and n above.
     """
-    has = universe.where(F.col("market_cap") > 0).select("ticker", "sector", "market_cap")
-    by = Window.partitionBy("sector").orderBy("market_cap", "ticker")
-    near = [f(F.struct("ticker", "market_cap"), i).over(by) for i in range(1, n + 1) for f in (F.lag, F.lead)]
-    other = has.withColumn("near", F.array(*near)).withColumn("peer", F.explode("near")).where("peer is not null").drop("near")
-    other = other.withColumn("distance", F.abs(F.col("peer.market_cap") / F.col("market_cap") - 1))
-    nth = F.row_number().over(Window.partitionBy("ticker").orderBy("distance", F.col("peer.ticker")))
-    return other.withColumn("nth", nth).where(F.col("nth") <= n).select("ticker", F.col("peer.ticker").alias("peer"), "nth", rounded(F.col("distance"), 6).alias("distance"))
+    has = universe.where(F.col("market_cap") > 0).select("ticker", "sector", F.col("market_cap").cast("double").alias("market_cap"))
+    has = stored(has, "sizes")
+    leading = has.withColumn("nth", F.row_number().over(Window.partitionBy("sector", "market_cap").orderBy("ticker"))).where(F.col("nth") <= n + 1)
+    sizes = leading.groupBy("sector", "market_cap").agg(F.array_sort(F.collect_list("ticker")).alias("tickers"))
+    order = ["sector", "market_cap"]
+    tasks = int(universe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(sizes.repartitionByRange(tasks, *order).withColumn("part", F.spark_partition_id()), "size-ranges")
+    # a row for each range: ranges without rows are left out, and the others numbered on
+    dense = ranged.select("part").distinct().withColumn("range", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("part")))
+    ranged = ranged.join(F.broadcast(dense), "part").drop("part")
+    inside = Window.partitionBy("range")
+    numbered = ranged.withColumn("i", F.row_number().over(inside.orderBy(*order))).withColumn("j", F.count(F.lit(1)).over(inside) - F.col("i"))
+    first, last = numbered.where(F.col("i") <= n).drop("i", "j"), numbered.where(F.col("j") < n).drop("i", "j")
+    halo = _halo(last, n, True, order).unionByName(_halo(first, n, False, order))
+    rows = ranged.withColumn("own", F.lit(True)).unionByName(halo.withColumn("own", F.lit(False)))
+    by = Window.partitionBy("range", "sector").orderBy("market_cap")
+    here = F.struct(F.col("market_cap").alias("size"), "tickers")
+    near = [f(here, i).over(by) for i in range(1, n + 1) for f in (F.lag, F.lead)]
+    met = rows.withColumn("near", F.array_compact(F.array(here, *near))).where("own")
+    each = F.flatten(F.transform("near", lambda x: F.transform(x["tickers"], lambda t: F.struct(F.abs(x["size"] / F.col("market_cap") - 1).alias("distance"), t.alias("peer")))))
+    met = met.select(*order, F.slice(F.array_sort(each), 1, n + 1).alias("best"))  # one more than n: a row's own ticker goes
+    out = has.join(met, order).withColumn("best", F.slice(F.filter("best", lambda x: x["peer"] != F.col("ticker")), 1, n))
+    out = out.select("ticker", F.posexplode("best").alias("nth", "x"))
+    return out.select("ticker", F.col("x.peer").alias("peer"), (F.col("nth") + 1).alias("nth"), rounded(F.col("x.distance"), 6).alias("distance"))
 
 
 def sector_context(scored: DataFrame, metrics: DataFrame, columns: Sequence[str], top: int = 10, least: int = 3) -> DataFrame:

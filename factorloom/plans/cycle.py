@@ -58,10 +58,18 @@ def factors(s: SparkSession, sf: str) -> DataFrame:
     return X.factor_returns(five, V.view(s, sf, V.FACTOR_MOMENTUM).toDF("dt", "Mom   "))
 
 
+def sleeves(s: SparkSession, sf: str) -> DataFrame:
+    """Portfolios: each sleeve that is no factor, and the mean change of all of them."""
+    rets = V.view(s, sf, V.SLEEVE_RETURNS).where("k > 5 and r is not null")
+    each = rets.select(F.concat(F.lit("sleeve "), F.col("k").cast("string")).alias("portfolio"), "dt", (F.col("r") / 100).alias("ret"))
+    return each.unionByName(rets.groupBy("dt").agg((F.avg("r") / 100).alias("ret")).withColumn("portfolio", F.lit("all")))
+
+
 def regression(s: SparkSession, sf: str) -> DataFrame:
-    """The mean change of the sleeves that are no factor, regressed on the factors."""
-    mine = V.view(s, sf, V.SLEEVE_RETURNS).where("k > 5 and r is not null").groupBy("dt").agg((F.avg("r") / 100).alias("ret"))
-    return X.factor_regression(mine, factors(s, sf))
+    """Portfolios regressed on the factors over all dates and over every two years, all at once."""
+    spans = [("all", "1900-01-01", "2100-01-01"), *((f"{y}-{y + 1}", f"{y}-01-01", f"{y + 1}-12-31") for y in range(1995, 2001))]
+    windows = s.createDataFrame(spans, "window string, start string, end string").select("window", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"))
+    return X.factor_regression(X.by_windows(sleeves(s, sf), windows), factors(s, sf), keys=["portfolio", "window"])
 
 
 def moving(s: SparkSession, sf: str) -> DataFrame:
@@ -166,8 +174,8 @@ QUERIES = {
     "annual_fallback": lambda s, sf: ST.income_block(lines(s, sf).where("statement = 'income'"), DECISIVE).select("ticker", "label", rounded(F.col("value"), 2).alias("value"), "source"),
     "beneish_inputs": lambda s, sf: ST.current_and_prior(lines(s, sf), CHAINS).select("ticker", *[rounded(F.col(c), 2).alias(c) for f in CHAINS for c in (f, f"{f}_prior")]),
     "factor_returns_scan": lambda s, sf: factors(s, sf).select("dt", *[rounded(F.col(f"`{c}`"), 10).alias(c.replace("-", "_")) for c in ("Mkt-RF", "SMB", "HML", "RMW", "CMA", "RF", "UMD")]),
-    "ff_regression": lambda s, sf: regression(s, sf),
-    "ff_alpha_annualised": lambda s, sf: X.annualised_alpha(regression(s, sf)),
+    "ff_regression": lambda s, sf: regression(s, sf).select("portfolio", "window", "factor", *[rounded(F.col(c), 6).alias(c) for c in ("coefficient", "r2", "r2_adjusted")], rounded(F.col("f_value"), 3).alias("f_value"), "n"),
+    "ff_alpha_annualised": lambda s, sf: X.annualised_alpha(regression(s, sf), keys=["portfolio", "window"]).select("portfolio", "window", *[rounded(F.col(c), 4).alias(c) for c in ("alpha_pct", "t_value")], "significance"),
     "bt_monthly_scores": lambda s, sf: monthly(s, sf).select("as_of", "ticker", *[rounded(F.col(c), 6).alias(c) for c in SC.SCORES], "composite"),
     "weight_redistribution": lambda s, sf: P.redistribute(weights(s, sf), changes(s, sf)),
     "weights_version_append": lambda s, sf: _versions(s, sf),
@@ -191,6 +199,46 @@ QUERIES = {
 LN = f"l AS (SELECT * FROM {V.oracle(V.STATEMENT_LINES)} v UNION ALL SELECT * FROM {V.oracle(V.ANNUAL_LINES)} v), n AS (SELECT *, row_number() OVER (PARTITION BY ticker, statement, freq, label ORDER BY period_end DESC) - 1 AS k FROM l WHERE value IS NOT NULL)"
 FAC = f"WITH a AS {V.oracle(V.FACTORS_FIVE)}, b AS {V.oracle(V.FACTOR_MOMENTUM)}"
 
+def _critical(z: float) -> str:
+    """The t value as rare as z in a normal distribution, by the first terms of its series in 1 / df."""
+    return f"({z} + {(z**3 + z) / 4} / (n - 7) + {(5 * z**5 + 16 * z**3 + 3 * z) / 96} / ((n - 7) * (n - 7)))"
+
+
+def _steps(source: str, names: list[str]) -> str:
+    """CTEs e0, e1, ...: centred columns, from which one factor after another is taken out (Gram and Schmidt); b<i><j> are the slopes of column j on what is left of factor i."""
+    size, over = len(names), "OVER (PARTITION BY portfolio, win)"
+    out = f"e0 AS (SELECT portfolio, win, {', '.join(f'avg({c}) {over} AS m{i}, {c} - avg({c}) {over} AS c{i}' for i, c in enumerate(names))} FROM {source})"
+    for i in range(size - 1):
+        later = range(i + 1, size)
+        out += f", s{i} AS (SELECT *, {', '.join(f'sum(c{i} * c{j}) {over} / sum(c{i} * c{i}) {over} AS b{i}_{j}' for j in later)} FROM e{i})"
+        out += f", e{i + 1} AS (SELECT * EXCLUDE ({', '.join(f'c{j}' for j in later)}), {', '.join(f'c{j} - b{i}_{j} * c{i} AS c{j}' for j in later)} FROM s{i})"
+    return out
+
+
+def _regression_sql(cols: str) -> str:
+    """Coefficients by going back through the steps; the spread of the constant from what each factor leaves."""
+    x = ["mkt", "smb", "hml", "rmw", "cma", "mom"]
+    labels = ["Mkt-RF", "SMB", "HML", "RMW", "CMA", "UMD"]
+    y, k = len(x), len(x)
+    spans = "('all', DATE '1900-01-01', DATE '2100-01-01'), " + ", ".join(f"('{v}-{v + 1}', DATE '{v}-01-01', DATE '{v + 1}-12-31')" for v in range(1995, 2001))
+    one = ", ".join(f"any_value(m{i}) AS m{i}, sum(c{i} * c{i}) AS q{i}" for i in range(k + 1)) + ", " + ", ".join(f"any_value(b{i}_{j}) AS b{i}_{j}" for i in range(k) for j in range(i + 1, k + 1))
+    back, zeros = "", ""
+    for i in reversed(range(k)):
+        back += f", u{i} AS (SELECT *, b{i}_{y}{''.join(f' - b{i}_{j} * a{j}' for j in range(i + 1, k))} AS a{i} FROM {'g' if i == k - 1 else f'u{i + 1}'})"
+    for i in range(k):
+        zeros += f", v{i} AS (SELECT *, m{i}{''.join(f' - b{j}_{i} * z{j}' for j in range(i))} AS z{i} FROM {'u0' if i == 0 else f'v{i - 1}'})"
+    means = " - ".join(["m" + str(y), *(f"a{i} * m{i}" for i in range(k))])
+    lever = " + ".join(["1.0::DOUBLE / n", *(f"z{i} * z{i} / q{i}" for i in range(k))])
+    return f"""{FAC}, sl AS (SELECT 'sleeve ' || k AS portfolio, dt, r / 100 AS ret FROM {V.oracle(V.SLEEVE_RETURNS)} v WHERE k > 5 AND r IS NOT NULL), pr AS (SELECT * FROM sl UNION ALL SELECT 'all', dt, avg(ret) FROM sl GROUP BY dt), wi(win, a, b) AS (VALUES {spans}),
+ fs AS (SELECT a.dt, {', '.join(f'{c} / 100 AS {c}' for c in (*x[:-1], 'rf'))}, mom / 100 AS mom FROM a JOIN b ON a.dt = b.dt),
+ ro AS (SELECT portfolio, win, {', '.join(x)}, ret - rf AS y FROM pr JOIN fs ON pr.dt = fs.dt JOIN wi ON pr.dt BETWEEN wi.a AND wi.b WHERE {' AND '.join(f'{c} IS NOT NULL' for c in x)}), {_steps('ro', [*x, 'y'])},
+ g AS (SELECT portfolio, win, count(*) AS n, {one} FROM e{k} GROUP BY 1, 2 HAVING count(*) >= 30){back}{zeros},
+ en AS (SELECT *, q{y} AS rest, {' + '.join(f'b{i}_{y} * b{i}_{y} * q{i}' for i in range(k))} AS told, {means} AS const, {lever} AS lever FROM v{k - 1}),
+ fit AS (SELECT *, told / (told + rest) AS r2, 1 - rest / (told + rest) * (n - 1) / (n - {k + 1}) AS r2_adjusted, told / {k} / (rest / (n - {k + 1})) AS f_value, const / sqrt(rest / (n - {k + 1}) * lever) AS t FROM en),
+ co AS ({' UNION ALL '.join(f"SELECT portfolio, win, '{name}' AS factor, {c} AS coefficient, t, r2, r2_adjusted, f_value, n FROM fit" for name, c in [*zip(labels, [f'a{i}' for i in range(k)], strict=True), ('const', 'const')])})
+ SELECT {cols} FROM co"""
+
+
 def _mean(c: str) -> str:
     return f"sum(pct * weight) FILTER (category = '{c}') / sum(weight) FILTER (category = '{c}')"
 
@@ -244,6 +292,8 @@ ORACLE_SQL = {
     "annual_fallback": f"WITH {LN}, q AS (SELECT ticker, label, CASE count(*) FILTER (k < 4) WHEN 4 THEN sum(value) FILTER (k < 4) WHEN 3 THEN sum(value) FILTER (k < 4) * 4 / 3 END AS ltm FROM n WHERE freq = 'Q' AND statement = 'income' GROUP BY ticker, label), a AS (SELECT ticker, label, value AS annual FROM n WHERE freq = 'A' AND statement = 'income' AND k = 0), b AS (SELECT coalesce(q.ticker, a.ticker) AS ticker, coalesce(q.label, a.label) AS label, ltm, annual FROM q FULL JOIN a ON q.ticker = a.ticker AND q.label = a.label), c AS (SELECT *, count(ltm) FILTER (label IN ('Tax Provision')) OVER (PARTITION BY ticker) > 0 AS quarterly FROM b), d AS (SELECT ticker, label, CASE WHEN quarterly THEN ltm ELSE annual END AS value, CASE WHEN quarterly THEN 'quarterly' ELSE 'annual' END AS source FROM c) SELECT ticker, label, {rd('value', 2)} AS value, source FROM d WHERE value IS NOT NULL",
     "beneish_inputs": f"WITH {LN}, ch(field, place, label) AS (VALUES {', '.join(f'({f!r}, {i}, {x!r})' for f, xs in CHAINS.items() for i, x in enumerate(xs))}), j AS (SELECT n.ticker, n.k, n.value, field, place FROM n JOIN ch ON lower(n.label) = lower(ch.label) WHERE freq = 'A' AND k <= 1) SELECT ticker, {', '.join(f'{_BEST(f, 0)} AS {f}, {_BEST(f, 1)} AS {f}_prior' for f in CHAINS)} FROM j GROUP BY ticker",
     "factor_returns_scan": f"{FAC} SELECT a.dt, {', '.join(f'{rd(f'{x} / 100', 10)} AS {y}' for x, y in (('mkt', 'Mkt_RF'), ('smb', 'SMB'), ('hml', 'HML'), ('rmw', 'RMW'), ('cma', 'CMA'), ('rf', 'RF'), ('mom', 'UMD')))} FROM a JOIN b ON a.dt = b.dt",
+    "ff_regression": _regression_sql(f"portfolio, win AS window, factor, {rd('coefficient', 6)} AS coefficient, {rd('r2', 6)} AS r2, {rd('r2_adjusted', 6)} AS r2_adjusted, {rd('f_value', 3)} AS f_value, n"),
+    "ff_alpha_annualised": _regression_sql(f"portfolio, win AS window, {rd('coefficient * 25200', 4)} AS alpha_pct, {rd('t', 4)} AS t_value, CASE WHEN abs(t) > {_critical(2.575829)} THEN '***' WHEN abs(t) > {_critical(1.959964)} THEN '**' WHEN abs(t) > {_critical(1.644854)} THEN '*' ELSE '' END AS significance") + " WHERE factor = 'const'",
     "bt_monthly_scores": _monthly_sql(),
     "weight_redistribution": f"WITH {REDIST} SELECT * FROM rd",
     "weights_version_append": f"WITH {REDIST} SELECT 1 AS version, DATE '2001-01-01' AS as_of, category, metric, weight FROM ev UNION ALL SELECT 2, DATE '{TODAY}', ev.category, ev.metric, coalesce(rd.new_weight, ev.weight) FROM ev LEFT JOIN rd ON rd.category = ev.category AND rd.metric = ev.metric",

@@ -117,6 +117,42 @@ def test_factor_regression_is_least_squares(spark):
     assert exposure.factor_regression(portfolio.limit(10), factors).count() == 0
 
 
+def test_regressions_of_many_keys_and_dependent_factors(spark):
+    """Against the shortest least-squares solution, key by key; HML is twice SMB less the market, and CMA does not move."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    dates = [d.date() for d in pd.date_range("2020-01-01", periods=60)]
+    x = rng.normal(size=(60, 2)) * 0.01 + 5
+    f = np.column_stack([x, 2 * x[:, 1] - x[:, 0], np.full(60, 0.3)])
+    factors = spark.createDataFrame([(d, *[float(v) for v in r], 0.001) for d, r in zip(dates, f, strict=True)], "dt date, `Mkt-RF` double, SMB double, HML double, CMA double, RF double")
+    for key in range(40):
+        y, n = rng.normal(size=60), 29 + key % 3
+        rows += [(key, None if key % 5 == 0 else "w", d, float(v)) for d, v in zip(dates[:n], y, strict=False)] + [(key, "w", dates[59], None)]
+        if n >= 30:
+            centred = f[:n] - f[:n].mean(axis=0)
+            unit = centred / np.where((s := np.sqrt((centred**2).sum(axis=0))) > 0, s, 1)
+            b = np.linalg.lstsq(unit, y[:n] - y[:n].mean(), rcond=1e-8)[0]
+            want[key] = 1 - ((y[:n] - y[:n].mean() - unit @ b) ** 2).sum() / ((y[:n] - y[:n].mean()) ** 2).sum()
+    df = spark.createDataFrame(rows, "key int, part string, dt date, ret double")
+    got = exposure.factor_regression(df, factors, keys=["key", "part"]).toPandas()
+    assert set(got["key"]) == set(want) and len(got) == 5 * len(want)
+    for key, part in got.groupby("key"):
+        assert part["r2"].iloc[0] == pytest.approx(want[key], rel=1e-5)
+        b = part.set_index("factor")["coefficient"]
+        n = int(part["n"].iloc[0])
+        fitted = b["const"] + f[:n] @ b[["Mkt-RF", "SMB", "HML", "CMA"]].to_numpy()
+        assert np.isfinite(fitted).all() and b["CMA"] == 0
+    whole = exposure.factor_regression(df.where("key = 1").drop("key", "part"), factors, names=["SMB"])
+    assert whole.count() == 2 and whole.columns[0] == "factor"
+
+
+def test_chance_of_t_values():
+    """Fixed values from tables of the t distribution."""
+    table = [(12.706, 1, 0.05), (2.228, 10, 0.05), (3.169, 10, 0.01), (1.812, 10, 0.10), (2.042, 30, 0.05), (2.576, 1_000_000, 0.01), (0.0, 5, 1.0), (1.0, 1, 0.5)]
+    got = exposure.two_sided_p(np.array([t for t, _, _ in table]), np.array([float(d) for _, d, _ in table]))
+    assert got.tolist() == pytest.approx([p for _, _, p in table], rel=2e-3)
+
+
 def test_redistribution(spark):
     w = spark.createDataFrame([("q", "a", 50.0), ("q", "b", 30.0), ("q", "c", 20.0), ("q", "new", 0.0), ("r", "z", 100.0)], "category string, metric string, weight double")
     ch = "category string, metric string, action string, weight double, new_weight double"
