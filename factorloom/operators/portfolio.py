@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantile, rounded, steady
+from ..functions.store import stored
 
 ONE = "portfolio"
 
@@ -65,18 +66,41 @@ def weight_score(port: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return _share(port, F.greatest(F.coalesce("composite", median), F.lit(1.0)), keys)
 
 
+def _capped(weights: Column, cap: float, rounds: int) -> Column:
+    """A fold over ``rounds`` on an array of weights: what is over ``cap`` is cut, and what was cut goes to the others by their weights.
+
+    It ends once no more than 0.001 is cut, or when all are over the cap; what the last cut took is then lost. With nothing
+    but zeros to give to, all of these get equal parts.
+    """
+    zero = F.lit(0.0)
+    total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
+
+    def one(state: Column, _: Column) -> Column:
+        old = state["w"]
+        excess = total(F.transform(old, lambda x: F.greatest(x - cap, zero)))
+        free = F.filter(old, lambda x: x <= cap)
+        share = lambda x: F.when(total(free) > 0, x / total(free)).otherwise(F.lit(1.0) / F.size(free))
+        ends = (excess <= 0.001) | (F.size(free) == 0)
+        new = F.transform(old, lambda x: F.when(x > cap, F.lit(cap)).when(ends, x).otherwise(x + excess * share(x)))
+        return F.struct(F.when(state["done"], old).otherwise(new).alias("w"), (state["done"] | ends).alias("done"))
+
+    start = F.struct(weights.alias("w"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, one, lambda s: s["w"])
+
+
 def cap_redistribute(port: DataFrame, cap: float = 5.0, rounds: int = 10, keys: Sequence[str] = ()) -> DataFrame:
-    """Cut weights at ``cap`` and give the excess to the uncapped pro rata, again and again."""
-    over = _all(keys)
-    out = port
-    for _ in range(rounds):
-        excess = F.sum(F.greatest(F.col("weight") - cap, F.lit(0.0))).over(over)
-        room = F.sum(F.when(F.col("weight") <= cap, F.col("weight")).otherwise(0.0)).over(over)
-        out = out.withColumn("excess", excess).withColumn("room", room)
-        go = (F.col("excess") > 0.001) & (F.col("room") > 0)
-        new = F.when(F.col("weight") > cap, F.lit(cap)).otherwise(F.col("weight") + F.col("excess") * F.col("weight") / F.col("room"))
-        out = out.withColumn("weight", F.when(go, steady(new)).otherwise(F.col("weight"))).drop("excess", "room")
-    return out
+    """Cut weights at ``cap`` and give the excess to those not cut pro rata, again and again; a null weight counts as 0.
+
+    The weights of a portfolio (some dozens) are one array, and the rounds a fold over it, so any number of
+    portfolios takes one grouping and one join, not a window for each round.
+    """
+    by = list(keys)
+    rows = stored(port.withColumn("_nth", F.monotonically_increasing_id()), "weights")
+    held = F.array_sort(F.collect_list(F.struct(F.col("_nth").alias("nth"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("w"))))
+    one = rows.groupBy(*by).agg(held.alias("held"))
+    paired = F.zip_with(F.col("held.nth"), _capped(F.col("held.w"), cap, rounds), lambda nth, w: F.struct(nth.alias("_nth"), w.alias("_w")))
+    new = one.select(F.explode(paired).alias("z")).select("z.*")
+    return rows.join(new, "_nth").withColumn("weight", F.col("_w")).drop("_nth", "_w")
 
 
 def round_to_100(port: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -110,18 +110,24 @@ def beta_monthly(prices: DataFrame, market: DataFrame, months: int = 12, least:
 
 
 def nearest_price(targets: DataFrame, prices: DataFrame, days: int = 7) -> DataFrame:
-    """targets(ticker, target): the price nearest in time, at most ``days`` away, the earlier one of two.
+    """targets(ticker, target): the price nearest in time, at most ``days`` away, the earlier one of two; of several prices of a day the lowest.
 
-    Dates are cut into bins of days + 1, and a target meets its own bin and the ones next to it, so the
-    join is on equal keys.
+    An as-of join in sorted passes: prices and targets of a ticker are put in order of time together, and the last price
+    at or before a target, and the first at or after it, are carried along. Each price is read once, and no
+    target meets more than two.
     """
-    width = days + 1
-    bin_of = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / width)
-    asked = targets.withColumn("bin", F.explode(F.array(bin_of("target") - 1, bin_of("target"), bin_of("target") + 1)))
-    have = prices.where(F.col("close").isNotNull()).select("ticker", "dt", "close", bin_of("dt").alias("bin"))
-    away = F.abs(F.datediff("dt", "target"))
-    near = asked.join(have, ["ticker", "bin"]).where(away <= days)
-    return near.groupBy("ticker", "target").agg(F.min_by("close", F.struct(away.alias("away"), "dt")).alias("close"), F.min(away).alias("days"))
+    day = F.struct(F.col("dt"), F.col("close"))
+    have = prices.where(F.col("close").isNotNull() & F.col("dt").isNotNull()).groupBy("ticker", "dt").agg(F.min("close").alias("close"))
+    have = have.select("ticker", F.col("dt").alias("at"), day.alias("price"))
+    asked = targets.select("ticker", F.col("target").alias("at")).where("at is not null").distinct()
+    both = have.unionByName(asked.withColumn("price", F.lit(None).cast(have.schema["price"].dataType)))
+    upto = Window.partitionBy("ticker").orderBy("at", F.col("price").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("ticker").orderBy(F.col("at").desc(), F.col("price").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("before", F.last("price", ignorenulls=True).over(upto)).withColumn("after", F.last("price", ignorenulls=True).over(down)).where("price is null")
+    back, on = F.datediff("at", "before.dt"), F.datediff("after.dt", "at")
+    earlier = F.coalesce(back <= on, F.col("before").isNotNull())
+    found = carried.select("ticker", F.col("at").alias("target"), F.when(earlier, F.col("before.close")).otherwise(F.col("after.close")).alias("close"), F.when(earlier, back).otherwise(on).alias("days"))
+    return found.where(F.col("days") <= days)
 
 
 def forward_returns_horizons(snapshot: DataFrame, prices: DataFrame, horizons: dict[str, int], as_of: str) -> DataFrame:

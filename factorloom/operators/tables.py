@@ -7,15 +7,68 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import stored
+
 
 def universe(raw: DataFrame, ticker: str, company: str, sector: str) -> DataFrame:
     """Three columns under their own names; dots in tickers become dashes."""
     return raw.select(F.regexp_replace(ticker, r"\.", "-").alias("ticker"), F.col(company).alias("company"), F.col(sector).alias("sector"))
 
 
+BAD = "_bad_row"
+
+
+def read_listing(spark: SparkSession, path: str, kind: str, columns: Sequence[str]) -> DataFrame:
+    """Constituents from CSV files with a header line or from JSON lines, with the declared ``columns`` as strings and ``_bad_row``.
+
+    A row that does not fit (too few or too many fields, broken JSON) is kept with its text in ``_bad_row``; the
+    other rows have null there. Files are read once, whole rows at a time, by as many tasks as their size takes;
+    other fields of JSON are not read. CSV columns are taken by position, and a header with other names is an error.
+    """
+    schema = ", ".join([*(f"`{c}` string" for c in columns), f"{BAD} string"])
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
+    if kind == "csv":
+        df = reader.option("header", True).option("enforceSchema", False).option("multiLine", False).csv(path)
+    elif kind == "json":
+        df = reader.json(path)
+    else:
+        raise ValueError("kind is csv or json")
+    return stored(df, "listing")  # parsed whole: a column alone would hide what is wrong in the others
+
+
+def universe_of(listing: DataFrame, ticker: str, company: str, sector: str) -> DataFrame:
+    """``universe`` of the rows that fit and have a ticker; of rows that repeat a ticker one stays, the first by company and sector."""
+    good = universe(listing.where(F.col(BAD).isNull()), ticker, company, sector).where("ticker is not null and ticker <> ''")
+    return first_of_each(good, "ticker", "company", "sector")
+
+
+def first_that_holds(listings: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """The first universe that has rows, with its name as ``source``: a network's listing, else the local one."""
+    out = None
+    for name, df in listings:
+        named = df.withColumn("source", F.lit(name))
+        if out is None:
+            out = named
+        else:
+            some = out.limit(1).agg((F.count(F.lit(1)) == 0).alias("none"))
+            out = out.unionByName(named.crossJoin(F.broadcast(some)).where("none").drop("none"))
+    return out
+
+
+def listing_quality(listing: DataFrame) -> DataFrame:
+    """How many rows fit, how many do not, and how many that fit lack a value in each column."""
+    names = [c for c in listing.columns if c != BAD]
+    fits = F.col(BAD).isNull()
+    return listing.agg(F.count_if(fits).alias("good"), F.count_if(~fits).alias("bad"), *[F.count_if(fits & F.col(c).isNull()).alias(f"no_{c.lower().replace(' ', '_')}") for c in names])
+
+
 def exclude(df: DataFrame, tickers: Sequence[str] = (), sectors: Sequence[str] = ()) -> DataFrame:
-    out = df.where(~F.col("ticker").isin(*tickers)) if tickers else df
-    return out.where(~F.col("sector").isin(*sectors)) if sectors else out
+    """Without the tickers and sectors; rows without a ticker or sector stay. Lists of any length are joined, so the plan does not grow with them."""
+    for column, values in (("ticker", tickers), ("sector", sectors)):
+        if values:
+            gone = df.sparkSession.createDataFrame([(v,) for v in set(values)], f"{column} string")
+            df = df.join(gone, column, "left_anti")
+    return df
 
 
 def first_of_each(df: DataFrame, key: str, *order: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import rounded
+from ..functions.store import shared_folder
 from ..operators import statements as S
 from ..operators import tables as T
 from ..sources import views as V
@@ -24,6 +28,39 @@ def listed(s: SparkSession, sf: str) -> DataFrame:
     return V.base(s, sf, "customer").select(F.concat(F.lit("C."), F.col("c_custkey").cast("string")).alias("Symbol"), F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("Segment"))
 
 
+COLUMNS = ["Symbol", "Name", "Segment"]
+
+
+def _headed(batches):
+    """The lines of a file after a line with the names of its columns."""
+    yield pa.RecordBatch.from_pydict({"value": [",".join(COLUMNS)]})
+    yield from batches
+
+
+def files(s: SparkSession, sf: str, kind: str) -> DataFrame:
+    """The constituents written as files, some of whose lines are broken, and read back."""
+    path = f"{shared_folder(s)}/constituents-{uuid.uuid4().hex}"
+    rows, key = listed(s, sf), F.substring("Symbol", 3, 20).cast("int")
+    if kind == "csv":
+        whole = F.concat(F.lit('"'), "Symbol", F.lit('","'), F.col("Name"), F.lit(', Inc.","'), F.col("Segment"), F.lit('"'))
+        line = F.when(key % 40 == 7, F.concat_ws(",", "Symbol", "Name")).when(key % 40 == 9, F.concat_ws(",", "Symbol", "Name", "Segment", F.lit("x"), F.lit("y"))).otherwise(whole)
+        rows.select(line.alias("value")).mapInArrow(_headed, "value string").write.text(path)
+        return T.read_listing(s, path, "csv", COLUMNS)
+    line = F.when(key % 50 == 3, F.concat(F.lit('{"Symbol": "'), "Symbol")).otherwise(F.to_json(F.struct("Symbol", "Segment", F.when(key % 50 != 4, F.col("Name")).alias("Name"), F.lit(1).alias("more"))))
+    rows.select(line.alias("value")).write.text(path)
+    return T.read_listing(s, path, "json", COLUMNS)
+
+
+def scanned(s: SparkSession, sf: str) -> DataFrame:
+    """The first list that holds anything: one that is empty, then the CSV files, then JSON."""
+    csv, json = (T.universe_of(files(s, sf, k), *COLUMNS) for k in ("csv", "json"))
+    return T.first_that_holds([("empty", csv.where("false")), ("csv", csv), ("json", json)])
+
+
+def quality(s: SparkSession, sf: str) -> DataFrame:
+    return T.listing_quality(files(s, sf, "csv")).withColumn("source", F.lit("csv")).unionByName(T.listing_quality(files(s, sf, "json")).withColumn("source", F.lit("json")))
+
+
 def records(s: SparkSession, sf: str) -> DataFrame:
     return fundamentals(s, sf).select("ticker", F.when(F.col("ck") % 4 != 0, F.col("company")).alias("company"), F.when(F.col("ck") % 3 != 0, F.col("sector")).alias("sector"), F.when(F.col("ck") % 5 == 0, F.lit("timeout")).alias("error"), F.when(F.col("ck") % 10 != 0, F.col("market_cap")).alias("market_cap"))
 
@@ -50,7 +87,8 @@ QUERIES = {
     "mrq_balance": lambda s, sf: S.mrq_balance(lines(s, sf)),
     "stmt_misses": lambda s, sf: S.misses(lines(s, sf), ["Total Revenue", "Tax Provision", "Gross Profit"]),
     "stmt_freshness": lambda s, sf: S.freshness(lines(s, sf), AS_OF),
-    "universe_scan": lambda s, sf: T.universe(listed(s, sf), "Symbol", "Name", "Segment"),
+    "universe_scan": lambda s, sf: scanned(s, sf),
+    "universe_scan_bad_rows": lambda s, sf: quality(s, sf),
     "universe_exclusions": lambda s, sf: T.exclude(names(s, sf), ["C1", "C2"], ["BUILDING"]),
     "universe_dedupe": lambda s, sf: T.first_of_each(names(s, sf).unionByName(names(s, sf).withColumn("company", F.lit("zzz"))), "ticker", "company"),
     "universe_subset": lambda s, sf: T.subset(names(s, sf), ["C1", "C7", "NOPE"]),
@@ -81,7 +119,8 @@ ORACLE_SQL = {
     "mrq_balance": f"WITH {NUM} SELECT ticker, label, max(value) FILTER (k = 0) AS latest, CASE WHEN count(*) >= 5 THEN max(value) FILTER (k = 4) ELSE max(value) FILTER (k = 1) END AS prior FROM n GROUP BY 1, 2",
     "stmt_misses": f"WITH {LTM}, a AS (SELECT tk.ticker, w.label, t.n FROM (SELECT DISTINCT ticker FROM l) tk CROSS JOIN (VALUES ('Total Revenue'), ('Tax Provision'), ('Gross Profit')) w(label) LEFT JOIN t ON t.ticker = tk.ticker AND t.label = w.label) SELECT label, CASE WHEN n IS NULL THEN 'label not found' ELSE 'insufficient quarters' END AS reason, count(*) AS n FROM a WHERE n IS NULL OR n < 4 GROUP BY 1, 2",
     "stmt_freshness": f"WITH {L}, a AS (SELECT ticker, statement, max(period_end) AS newest FROM l GROUP BY 1, 2) SELECT *, CAST(DATE '{AS_OF}' - newest AS INT) AS age, DATE '{AS_OF}' - newest > 200 AS stale FROM a",
-    "universe_scan": "SELECT 'C-' || c_custkey AS ticker, c_name AS company, c_mktsegment AS sector FROM customer",
+    "universe_scan": "SELECT 'C-' || c_custkey AS ticker, c_name || ', Inc.' AS company, c_mktsegment AS sector, 'csv' AS source FROM customer WHERE c_custkey % 40 NOT IN (7, 9)",
+    "universe_scan_bad_rows": "SELECT 'csv' AS source, count(*) FILTER (c_custkey % 40 NOT IN (7, 9)) AS good, count(*) FILTER (c_custkey % 40 IN (7, 9)) AS bad, 0::BIGINT AS no_symbol, 0::BIGINT AS no_name, 0::BIGINT AS no_segment FROM customer UNION ALL SELECT 'json', count(*) FILTER (c_custkey % 50 <> 3), count(*) FILTER (c_custkey % 50 = 3), 0, count(*) FILTER (c_custkey % 50 = 4), 0 FROM customer",
     "universe_exclusions": f"WITH {M} SELECT ticker, company, sector FROM m WHERE ticker NOT IN ('C1', 'C2') AND sector <> 'BUILDING'",
     "universe_dedupe": f"WITH {M} SELECT ticker, company, sector FROM m",
     "universe_subset": f"WITH {M} SELECT ticker, company, sector FROM m WHERE ticker IN ('C1', 'C7')",

@@ -146,8 +146,9 @@ def caps(source: str, cap: float = 5.0, rounds: int = 10) -> tuple[str, str]:
     for i in range(rounds):
         ex = f"(SELECT sum(greatest(weight - {cap}::DOUBLE, 0)) FROM {last})"
         room = f"(SELECT sum(CASE WHEN weight <= {cap}::DOUBLE THEN weight ELSE 0 END) FROM {last})"
-        new = rd(f"CASE WHEN weight > {cap}::DOUBLE THEN {cap}::DOUBLE ELSE weight + {ex} * weight / {room} END", 9)
-        out += f", cap{i} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {ex} > 0.001 AND {room} > 0 THEN {new} ELSE weight END AS weight) FROM {last})"
+        free = f"(SELECT count(*) FROM {last} WHERE weight <= {cap}::DOUBLE)"
+        new = f"CASE WHEN weight > {cap}::DOUBLE THEN {cap}::DOUBLE WHEN {ex} > 0.001 THEN weight + {ex} * CASE WHEN {room} > 0 THEN weight / {room} ELSE 1.0::DOUBLE / {free} END ELSE weight END"
+        out += f", cap{i} AS MATERIALIZED (SELECT * REPLACE ({new} AS weight) FROM {last})"
         last = f"cap{i}"
     return out, last
 
