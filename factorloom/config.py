@@ -92,6 +92,19 @@ REDUCIBLE = (
 )
 # Optional categories and the metrics whose coverage decides whether they are used.
 OPTIONAL = {"revisions": ("analyst_surprise", "price_target_upside", "earnings_acceleration", "consecutive_beat_streak"), "investment": ("asset_growth",)}
+# Least and largest weight of each category that a proposal may give, in percent.
+CATEGORY_BOUNDS = {
+    "valuation": (5.0, 35.0),
+    "quality": (5.0, 35.0),
+    "growth": (3.0, 25.0),
+    "momentum": (3.0, 25.0),
+    "risk": (2.0, 20.0),
+    "revisions": (2.0, 20.0),
+    "size": (0.0, 15.0),
+    "investment": (0.0, 15.0),
+}
+# Metrics without weight that may be taken in.
+CANDIDATES = ("proximity_52w_high", "operating_margin", "current_ratio", "dividend_yield", "insider_ownership", "short_pct_float", "analyst_rating", "interest_coverage")
 WEIGHTED = [m[0] for m in METRICS if m[3] or m[4]]
 
 

@@ -48,6 +48,23 @@ def placed(counts: DataFrame, by: Sequence[str], value: str = "value") -> DataFr
     return meet(numbered, sums, [*by, "part"]).select(*by, value, "n", (F.col("offset") + F.col("inside")).alias("below"), "total")
 
 
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], nth: str = "nth", total: str = "total") -> DataFrame:
+    """Rows with their place in their group by ``order``, from 1, and the group's number of rows.
+
+    ``order`` ends in something that no two rows of a group share, so places do not depend on how rows are read. Rows are
+    cut into ranges by group and order, each is numbered by itself, and a row for each range and group carries the
+    counts of the ranges before: no task holds a group.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(parts, *by, *order).withColumn("part", F.spark_partition_id()), "numbers")
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("here"))
+    sums = sums.select(*by, "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("offset"), F.sum("here").over(whole).alias(total))
+    inside = ranged.withColumn(nth, F.row_number().over(Window.partitionBy("part", *by).orderBy(*order)))
+    return meet(inside, sums, [*by, "part"]).withColumn(nth, F.col("offset") + F.col(nth)).drop("offset", "part")
+
+
 def average_pct() -> Column:
     """Of rows of ``placed``: the rank with ties at their mean, over the number of rows, times 100."""
     return (F.col("below") + (F.col("n") + 1) / 2) / F.col("total") * 100

@@ -7,17 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantile, steady
+from ..functions.ranks import counted, numbered, placed, quantiles
+from ..functions.stats import steady
 from ..functions.store import stored
 from . import scoring as S
+from .correlation import spearman
+
+#: Name of the forward return among the factors that it is ranked with.
+FORWARD = "forward return"
 
 
 def deciles(scores: DataFrame, bins: int = 10, least: int = 20) -> DataFrame:
-    """scores(as_of, ticker, score): ceil(first-rank / n * bins), months with enough names."""
-    by = Window.partitionBy("as_of")
-    rows = scores.where("score is not null").withColumn("n", F.count(F.lit(1)).over(by)).where(F.col("n") >= least)
-    place = F.row_number().over(by.orderBy("score", "ticker"))
-    return rows.withColumn("decile", F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil(place / F.col("n") * bins))).cast("int")).drop("n")
+    """scores(as_of, ticker, score): ceil(place / n * bins), places by score and ticker, in months with enough names. No task holds a month."""
+    rows = numbered(scores.where("score is not null"), ["as_of"], ["score", "ticker"], "place", "n").where(F.col("n") >= least)
+    return rows.withColumn("decile", F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil(F.col("place") / F.col("n") * bins))).cast("int")).drop("n", "place")
 
 
 def decile_returns(assigned: DataFrame, forward: DataFrame) -> DataFrame:
@@ -79,13 +82,20 @@ def monotonicity(perf: DataFrame, most: int = 2) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("inversions") <= most, "PASS").otherwise("FAIL"))
 
 
-def ic_series(pairs: DataFrame, by: Sequence[str] = ("as_of", "factor"), least: int = 20) -> DataFrame:
-    """Rank correlation of score and forward return within each group of pairs(…, score, fwd)."""
-    rows = pairs.where("score is not null and fwd is not null")
-    rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
-    ranked = rows.withColumn("rs", rank("score")).withColumn("rf", rank("fwd"))
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rs", "rf").alias("ic"))
-    return out.where(F.col("n") >= least)
+def ic_series(scores: DataFrame, forward: DataFrame, factors: Sequence[str], by: Sequence[str] = ("as_of",), least: int = 20, digits: int = 6) -> DataFrame:
+    """(by, factor, n, ic): rank correlation of each factor with the forward return in each group of ``by``, where there are enough pairs.
+
+    scores(by, ticker, factors...) wide, forward(by, ticker, fwd). Ranks are taken anew for each factor, over the names that have both.
+    """
+    values = scores.select(*by, "ticker", *[F.col(c).cast("double").alias(c) for c in factors]).unpivot([*by, "ticker"], list(factors), "name", "value")
+    return ic_of(values, forward, factors, by, least, digits)
+
+
+def ic_of(values: DataFrame, forward: DataFrame, factors: Sequence[str], by: Sequence[str] = ("as_of",), least: int = 20, digits: int = 6) -> DataFrame:
+    """The same for values(by, ticker, name, value) in long form."""
+    fwd = forward.select(*by, "ticker", F.lit(FORWARD).alias("name"), F.col("fwd").cast("double").alias("value"))
+    found = spearman(values.select(*by, "ticker", "name", "value").unionByName(fwd), by=by, against=FORWARD, digits=digits, names=[*factors, FORWARD])
+    return found.where(F.col("n") >= least).select(*by, F.col("a").alias("factor"), "n", F.col("rho").alias("ic"))
 
 
 def ic_summary(series: DataFrame, by: Sequence[str] = ("factor",), least: int = 3) -> DataFrame:
@@ -93,10 +103,10 @@ def ic_summary(series: DataFrame, by: Sequence[str] = ("factor",), least: int =
     return out.where(F.col("n") >= least).withColumn("t_stat", F.col("mean") / (F.col("std") / F.sqrt("n")))
 
 
-def ic_trends(series: DataFrame, by: Sequence[str] = ("factor",), half_life: float = 6.0, least: int = 4) -> DataFrame:
+def ic_trends(series: DataFrame, by: Sequence[str] = ("factor",), half_life: float = 6.0, least: int = 4, at: str = "as_of") -> DataFrame:
     """Mean, ratio to its spread, exponentially weighted mean, means of the last 3, 6 and 12, how long the last run of signs is, and the trend between the older and the newer half."""
     whole = Window.partitionBy(*by)
-    age = F.row_number().over(whole.orderBy(F.col("as_of").desc())) - 1
+    age = F.row_number().over(whole.orderBy(F.col(at).desc())) - 1
     rows = series.where("ic is not null").withColumn("age", age).withColumn("newer", F.col("age") < F.count(F.lit(1)).over(whole) - F.floor(F.count(F.lit(1)).over(whole) / 2))
     delta = steady(F.avg(F.when(F.col("newer"), F.col("ic"))) - F.avg(F.when(~F.col("newer"), F.col("ic"))))
     w = F.pow(F.lit(0.5), F.col("age") / half_life)
@@ -113,33 +123,73 @@ def ic_trends(series: DataFrame, by: Sequence[str] = ("factor",), half_life: flo
     return out.where(F.col("n") >= least).withColumn("status", status)
 
 
+def one_horizon(series: DataFrame, wanted: Sequence[str] = ("1m", "1w"), least: int = 6) -> DataFrame:
+    """series(horizon, as_of, ...): rows of the first horizon that has any; none if it has fewer than ``least`` dates."""
+    held = series.groupBy("horizon").agg(F.count_distinct("as_of").alias("dates"))
+    place = F.coalesce(*[F.when(F.col("horizon") == h, F.lit(i)) for i, h in enumerate(wanted)])
+    chosen = held.where(F.col("horizon").isin(*wanted)).agg(F.min_by("horizon", place).alias("horizon"), F.min_by("dates", place).alias("dates")).where(F.col("dates") >= least)
+    return series.join(F.broadcast(chosen.select("horizon")), "horizon")
+
+
 def value_trap_compare(scores: DataFrame, q: float = 0.3, least: int = 20) -> DataFrame:
     """scores(as_of, ticker, value, quality, momentum, fwd): monthly mean return of the cheapest, without and with filters.
 
     All three portfolios hold a fifth of the whole month's names, or what the filters leave of it;
     months with fewer than ``least`` names are left out; a portfolio without any return has 0.
     """
-    scores = scores.where("value is not null")
-    limits = scores.groupBy("as_of").agg(F.count(F.lit(1)).alias("total"), quantile(F.col("quality"), q).alias("ql"), quantile(F.col("momentum"), q).alias("ml")).where(F.col("total") >= least)
-    rows = scores.join(F.broadcast(limits), "as_of")
+    scores = stored(scores.where("value is not null"), "cheap")
+    limits = S.thresholds(scores, {"ql": ("quality", q), "ml": ("momentum", q)}, ["as_of"])
+    months = scores.groupBy("as_of").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= least)
+    rows = scores.join(months.join(limits, "as_of", "left"), "as_of")
     keep = {"value": F.lit(True), "value_quality": F.col("quality") >= F.col("ql"), "value_quality_momentum": (F.col("quality") >= F.col("ql")) & (F.col("momentum") >= F.col("ml"))}
     each = rows.withColumn("portfolio", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in keep.items()]))))
-    by = Window.partitionBy("as_of", "portfolio")
-    ranked = each.withColumn("nth", F.row_number().over(by.orderBy(F.col("value").desc_nulls_last(), "ticker")))
-    top = ranked.where(F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("total") / 5)))
+    placed_ = numbered(each.select("as_of", "portfolio", "ticker", "value", "fwd", "total"), ["as_of", "portfolio"], [F.col("value").desc(), F.col("ticker")], total="held")
+    top = placed_.where(F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("total") / 5)))
     return top.groupBy("as_of", "portfolio").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("fwd"), F.lit(0.0)).alias("ret"))
 
 
 def quintile_returns(rows: DataFrame, least: int = 50) -> DataFrame:
-    """rows(score, fwd): mean return of score quintiles, cut at quantiles and closed on the right, and whether the means never fall."""
-    cuts = rows.where("score is not null").agg(F.count(F.lit(1)).alias("total"), *[quantile(F.col("score"), k / 5).alias(f"c{k}") for k in range(1, 5)])
-    at = F.when(F.col("score") <= F.col("c1"), 1).when(F.col("score") <= F.col("c2"), 2).when(F.col("score") <= F.col("c3"), 3).when(F.col("score") <= F.col("c4"), 4).otherwise(5)
-    out = rows.where("score is not null").crossJoin(F.broadcast(cuts)).where(F.col("total") >= least).withColumn("quintile", at)
+    """rows(score, fwd): mean return of score quintiles over all rows that have both, cut at quantiles and closed on the right, and whether the means never fall."""
+    rows = stored(rows.where("score is not null and fwd is not null"), "quintiles")
+    at = placed(counted(rows, [], "score"), [], "score")
+    cuts = quantiles(at, {f"c{k}": k / 5 for k in range(1, 5)}, [], "score").crossJoin(rows.agg(F.count(F.lit(1)).alias("total")))
+    band = F.when(F.col("score") <= F.col("c1"), 1).when(F.col("score") <= F.col("c2"), 2).when(F.col("score") <= F.col("c3"), 3).when(F.col("score") <= F.col("c4"), 4).otherwise(5)
+    out = rows.crossJoin(F.broadcast(cuts)).where(F.col("total") >= least).withColumn("quintile", band)
     means = out.groupBy("quintile").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("ret"))
     falls = F.lead("ret").over(Window.partitionBy(F.lit(0)).orderBy("quintile")) < F.col("ret")
     return means.withColumn("falls", F.coalesce(falls, F.lit(False))).withColumn("monotonic", ~F.max("falls").over(Window.partitionBy(F.lit(0)))).drop("falls")
 
 
+def members_and_universe(rows: DataFrame, horizons: Sequence[str]) -> DataFrame:
+    """rows(member, a return for each of ``horizons``): mean and median return of members and of all, and the spread of the means, by horizon."""
+    tall = stored(rows.select("member", *horizons).unpivot(["member"], list(horizons), "horizon", "value").where("value is not null"), "returns")
+    both = tall.where("member").select("horizon", F.lit("members").alias("who"), "value").unionByName(tall.select("horizon", F.lit("universe").alias("who"), "value"))
+    at = placed(counted(both, ["horizon", "who"]), ["horizon", "who"])
+    pick = lambda who: F.col("who") == who
+    medians = quantiles(at, {"members_median": (pick("members"), 0.5), "universe_median": (pick("universe"), 0.5)}, ["horizon"])
+    mean = lambda who: F.sum(F.when(pick(who), F.col("value") * F.col("n"))) / F.sum(F.when(pick(who), F.col("n")))
+    means = at.groupBy("horizon").agg(mean("members").alias("members"), mean("universe").alias("universe"), F.sum(F.when(pick("universe"), F.col("n"))).alias("n"))
+    return means.withColumn("spread", F.col("members") - F.col("universe")).join(medians, "horizon")
+
+
+def _monthly_ranks(static: DataFrame, dynamic: DataFrame, dimension: DataFrame, month: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Names, ranks of the metrics that stand still (no month), and of those that change, by month."""
+    ids = ["ticker", "sector", "is_bank"]
+    still = [c for c in static.columns if c not in (*ids, "company")]
+    moving = [c for c in dynamic.columns if c not in (month, "ticker")]
+    names = stored(static.select(*ids), "names")
+    fixed = S.piotroski_conditional(S.cleaned_ranks(S.with_dimension(S.to_tall(static, still), dimension)), dimension)
+    changing = S.cleaned_ranks(S.with_dimension(S.to_tall(names.join(dynamic, "ticker"), moving, keys=[month]), dimension), keys=[month])
+    return names, fixed, changing
+
+
+def monthly_percentiles(static: DataFrame, dynamic: DataFrame, dimension: DataFrame, month: str = "as_of") -> DataFrame:
+    """(month, ticker, metric, pct) of every metric of every security in every month, with those that stand still."""
+    _, fixed, changing = _monthly_ranks(static, dynamic, dimension, month)
+    months = dynamic.select(month).distinct()  # a row for each month
+    return fixed.select("ticker", "metric", "pct").crossJoin(F.broadcast(months)).select(month, "ticker", "metric", "pct").unionByName(changing.select(month, "ticker", "metric", "pct"))
+
+
 def monthly_scores(static: DataFrame, dynamic: DataFrame, dimension: DataFrame, weights: dict[str, float], month: str = "as_of") -> DataFrame:
     """Composites of every security in every month: fundamentals stand still, metrics of prices change.
 
@@ -149,13 +199,8 @@ def monthly_scores(static: DataFrame, dynamic: DataFrame, dimension: DataFrame,
     as a key.
     """
     ids, cats = ["ticker", "sector", "is_bank"], list(weights)
-    still = [c for c in static.columns if c not in (*ids, "company")]
-    moving = [c for c in dynamic.columns if c not in (month, "ticker")]
     months = dynamic.select(month).distinct()
-    names = stored(static.select(*ids), "names")
-    at_months = names.join(dynamic, "ticker")
-    fixed = S.piotroski_conditional(S.cleaned_ranks(S.with_dimension(S.to_tall(static, still), dimension)), dimension)
-    changing = S.cleaned_ranks(S.with_dimension(S.to_tall(at_months, moving, keys=[month]), dimension), keys=[month])
+    names, fixed, changing = _monthly_ranks(static, dynamic, dimension, month)
     of = lambda x, c: F.sum(F.when(F.col("category") == c, x))
     sums = lambda side: [y for c in cats for y in (of(F.col("weight") * F.col("pct"), c).alias(f"{side}p_{c}"), of(F.col("weight"), c).alias(f"{side}w_{c}"))]
     a = fixed.groupBy("ticker").agg(*sums("s"))

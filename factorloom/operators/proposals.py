@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,11 +66,16 @@ def metric_proposal(ics: DataFrame, shrink: float = 0.5, most: float = 5.0) -> D
     return out.select("category", "metric", "weight", rounded(F.col("p") * 100 / F.sum("p").over(by), 2).alias("proposed"))
 
 
-def metric_evolution(trends: DataFrame, run: int = 12, least_ic: float = 0.02, least_positive: float = 60.0, starts: int = 1, step: float = 5.0) -> DataFrame:
-    """trends(category, metric, weight, ewm, positive_run, negative_run, positive_pct): metrics to take in and to lower."""
-    fit = (F.col("weight") == 0) & (F.col("ewm") >= least_ic) & (F.col("positive_run") >= run) & (F.col("positive_pct") >= least_positive)
+def metric_evolution(trends: DataFrame, run: int = 12, least_ic: float = 0.02, least_positive: float = 60.0, starts: int = 1, step: float = 5.0, candidates: Sequence[str] | None = None) -> DataFrame:
+    """trends(category, metric, weight, ewm, positive_run, negative_run, positive_pct): metrics to take in and to lower.
+
+    Only ``candidates`` are taken in and only others lowered; without that list, any metric may be either.
+    """
+    may = F.lit(True) if candidates is None else F.col("metric").isin(*candidates)
+    stays = F.lit(False) if candidates is None else F.col("metric").isin(*candidates)
+    fit = may & (F.col("weight") == 0) & (F.col("ewm") >= least_ic) & (F.col("positive_run") >= run) & (F.col("positive_pct") >= least_positive)
     new = trends.where(fit).withColumn("nth", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("ewm").desc(), "metric"))).where(F.col("nth") <= starts)
-    down = trends.where((F.col("weight") > 0) & (F.col("ewm") <= 0) & (F.col("negative_run") >= run))
+    down = trends.where(~stays & (F.col("weight") > 0) & (F.col("ewm") <= 0) & (F.col("negative_run") >= run))
     pick = lambda df, action, w: df.select("category", "metric", F.lit(action).alias("action"), F.col("weight"), w.alias("new_weight"))
     return pick(new, "activate", F.lit(step)).unionByName(pick(down, "lower", F.greatest(F.lit(0.0), F.col("weight") - step)))
 

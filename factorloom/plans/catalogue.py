@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _name in ("scoring", "reports", "series", "fundamentals", "records", "proposals", "cycle"):
+for _name in ("scoring", "reports", "series", "fundamentals", "records", "backtests", "proposals", "cycle"):
     _module = import_module(f"{__package__}.{_name}")
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

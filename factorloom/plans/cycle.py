@@ -1,32 +1,30 @@
-"""Queries on annual statements, factor regressions, monthly scores, weight changes and runs, and their SQL."""
+"""Queries on annual statements, factor regressions, weight changes and runs, and their SQL."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.stats import rounded
 from ..functions.store import shared_folder
-from ..operators import backtest as B
 from ..operators import diagnostics as D
 from ..operators import exposure as X
 from ..operators import history as H
-from ..operators import prices as PR
 from ..operators import proposals as P
 from ..operators import runs as U
 from ..operators import statements as ST
 from ..operators import tables as T
 from ..sources import views as V
-from . import fundamentals as FD
+from . import backtests as BT
 from . import proposals as PP
 from . import records as RC
 from . import scoring as SC
 from . import series as SR
-from .sql import pct_sql, rd
+from .sql import rd
 
 DECISIVE = ("Tax Provision",)
 CHAINS = {
@@ -43,8 +41,6 @@ CHAINS = {
     "net_income": ("Net Income",),
     "ocf": ("Operating Cash Flow", "Total Cash From Operating"),
 }
-MOVING = ["return_12_1", "return_6m", "volatility", "beta"]
-STILL = [m for m in config.WEIGHTED if m not in MOVING]
 RUN = {"factor_weights": config.CATEGORY_WEIGHTS, "metric_weights": {m[0]: m[3] for m in config.METRICS}}
 TODAY = "2001-12-31"
 
@@ -72,29 +68,12 @@ def regression(s: SparkSession, sf: str) -> DataFrame:
     return X.factor_regression(X.by_windows(sleeves(s, sf), windows), factors(s, sf), keys=["portfolio", "window"])
 
 
-def moving(s: SparkSession, sf: str) -> DataFrame:
-    """Momentum, volatility and beta of each security in each month after the first thirteen."""
-    prices, market = SR.monthly(s, sf), SR.months(s, sf)
-    own = PR.momentum_monthly(prices).join(PR.vol_monthly(prices), ["ticker", "month_end"]).join(PR.beta_monthly(prices, market), ["ticker", "month_end"], "left")
-    nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("month_end"))  # one row for each month
-    late = market.select("month_end", nth.alias("nth")).where("nth > 13").select("month_end")
-    own = own.join(F.broadcast(late), "month_end").withColumnRenamed("ticker", "earner")
-    r8 = lambda a, b: rounded(F.col(a), 8).alias(b)
-    named = FD.metrics(s, sf).select("ticker", "earner").join(own, "earner")
-    return named.select(F.col("month_end").alias("as_of"), "ticker", r8("mom_12_1", "return_12_1"), r8("mom_6_1", "return_6m"), r8("vol", "volatility"), r8("beta", "beta"))
-
-
-def monthly(s: SparkSession, sf: str) -> DataFrame:
-    static = SC.metrics(s, sf).select("ticker", "sector", "is_bank", *STILL)
-    return B.monthly_scores(static, moving(s, sf), config.metric_dimension(s), config.CATEGORY_WEIGHTS)
-
-
 def changes(s: SparkSession, sf: str) -> DataFrame:
-    return P.metric_evolution(PP.evolving(s, sf), run=0, least_ic=-1.0, least_positive=0.0)
+    return PP.QUERIES["metric_evolution"](s, sf)
 
 
 def weights(s: SparkSession, sf: str) -> DataFrame:
-    return PP.evolving(s, sf).select("category", "metric", "weight")
+    return config.metric_dimension(s).select("category", "metric", F.col("generic").alias("weight"))
 
 
 def folder(s: SparkSession, name: str) -> str:
@@ -147,7 +126,7 @@ def _artifacts(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _csv(s: SparkSession, sf: str) -> DataFrame:
-    path, rows = folder(s, "csv"), SR.QUERIES["bt_decile_returns"](s, sf).select("as_of", "decile", "ret", "n")
+    path, rows = folder(s, "csv"), BT.QUERIES["bt_decile_returns"](s, sf).select("as_of", "decile", "ret", "n")
     U.write_csv_with_notes(rows, path, ["Illustrative only.", "Two known biases."])
     return U.read_csv_with_notes(s, path, "as_of date, decile int, ret double, n long")
 
@@ -176,7 +155,6 @@ QUERIES = {
     "factor_returns_scan": lambda s, sf: factors(s, sf).select("dt", *[rounded(F.col(f"`{c}`"), 10).alias(c.replace("-", "_")) for c in ("Mkt-RF", "SMB", "HML", "RMW", "CMA", "RF", "UMD")]),
     "ff_regression": lambda s, sf: regression(s, sf).select("portfolio", "window", "factor", *[rounded(F.col(c), 6).alias(c) for c in ("coefficient", "r2", "r2_adjusted")], rounded(F.col("f_value"), 3).alias("f_value"), "n"),
     "ff_alpha_annualised": lambda s, sf: X.annualised_alpha(regression(s, sf), keys=["portfolio", "window"]).select("portfolio", "window", *[rounded(F.col(c), 4).alias(c) for c in ("alpha_pct", "t_value")], "significance"),
-    "bt_monthly_scores": lambda s, sf: monthly(s, sf).select("as_of", "ticker", *[rounded(F.col(c), 6).alias(c) for c in SC.SCORES], "composite"),
     "weight_redistribution": lambda s, sf: P.redistribute(weights(s, sf), changes(s, sf)),
     "weights_version_append": lambda s, sf: _versions(s, sf),
     "weights_change_log": lambda s, sf: P.change_log(changes(s, sf), TODAY),
@@ -239,40 +217,7 @@ def _regression_sql(cols: str) -> str:
  SELECT {cols} FROM co"""
 
 
-def _mean(c: str) -> str:
-    return f"sum(pct * weight) FILTER (category = '{c}') / sum(weight) FILTER (category = '{c}')"
-
-
-def _monthly_sql() -> str:
-    """Every metric of every month ranked anew, without use of what stands still."""
-    lag = lambda n: f"lag(close, {n}) OVER (PARTITION BY ticker ORDER BY month_end)"
-    prices, market = V.oracle(V.PRICES_MONTHLY), V.oracle(V.MARKET_MONTHLY)
-    still = ", ".join(STILL)
-    rank = lambda by: pct_sql("value", by)
-    cats = ", ".join(f"CASE WHEN sum(weight) FILTER (category = '{c}') > 0 THEN {rd(_mean(c), 9)} END AS {c}_score" for c in SC.CATS)
-    tw = " + ".join(f"CASE WHEN {c}_score IS NOT NULL THEN {w}::DOUBLE ELSE 0 END" for c, w in SC.W.items())
-    ts = " + ".join(f"coalesce({w}::DOUBLE * {c}_score, 0)" for c, w in SC.W.items())
-    return f"""WITH {SC.M}, {config.dimension_sql()}, pm AS {prices}, km AS {market},
- pr AS (SELECT ticker, month_end, close / {lag(1)} - 1 AS ret, {lag(1)} / {lag(12)} - 1 AS a, {lag(1)} / {lag(6)} - 1 AS b FROM pm),
- pv AS (SELECT *, CASE WHEN count(ret) OVER w = 12 THEN stddev_samp(ret) OVER w * sqrt(12.0::DOUBLE) END AS vol FROM pr WINDOW w AS (PARTITION BY ticker ORDER BY month_end ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
- kr AS (SELECT month_end, close / lag(close) OVER (ORDER BY month_end) - 1 AS mkt, row_number() OVER (ORDER BY month_end) AS nth FROM km),
- pb AS (SELECT pr.ticker, pr.month_end, count(ret) OVER w AS n, covar_samp(ret, mkt) OVER w AS cv, var_samp(mkt) OVER w AS vr FROM pr JOIN kr ON kr.month_end = pr.month_end WHERE ret IS NOT NULL AND mkt IS NOT NULL WINDOW w AS (PARTITION BY pr.ticker ORDER BY pr.month_end ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
- dy AS (SELECT z_e.ticker, pv.month_end AS as_of, {rd("pv.a", 8)} AS return_12_1, {rd("pv.b", 8)} AS return_6m, {rd("vol", 8)} AS volatility, {rd("CASE WHEN n >= 10 AND vr > 0 THEN cv / vr END", 8)} AS beta FROM z_e JOIN pv ON pv.ticker = earner JOIN kr ON kr.month_end = pv.month_end AND nth > 13 LEFT JOIN pb ON pb.ticker = pv.ticker AND pb.month_end = pv.month_end),
- mo AS (SELECT DISTINCT as_of FROM dy), wide AS (SELECT mo.as_of, m.ticker, m.sector, m.is_bank, {", ".join("m." + x for x in STILL)}, {", ".join("dy." + x for x in MOVING)} FROM mo CROSS JOIN m LEFT JOIN dy ON dy.as_of = mo.as_of AND dy.ticker = m.ticker),
- t AS (SELECT u.as_of, u.ticker, u.sector, u.is_bank, u.metric, u.value, d.category, d.higher, d.generic, CASE WHEN is_bank THEN d.bank ELSE d.generic END AS weight FROM (UNPIVOT wide ON {still}, {", ".join(MOVING)} INTO NAME metric VALUE value) u JOIN dim d ON u.metric = d.metric),
- o AS (SELECT *, count(*) OVER (PARTITION BY as_of, metric) AS n, row_number() OVER (PARTITION BY as_of, metric ORDER BY value, ticker) AS rn FROM t), o2 AS (SELECT *, CAST(floor(0.01::DOUBLE * n) AS INT) AS k FROM o),
- o3 AS (SELECT *, max(CASE WHEN rn = k + 1 THEN value END) OVER (PARTITION BY as_of, metric) AS lo, max(CASE WHEN rn = n - k THEN value END) OVER (PARTITION BY as_of, metric) AS hi FROM o2),
- w AS (SELECT * REPLACE (CASE WHEN n < 10 THEN value WHEN rn <= k THEN lo WHEN rn > n - k THEN hi ELSE value END AS value) FROM o3),
- r AS (SELECT *, count(*) OVER (PARTITION BY as_of, metric, sector) AS ns, {rank("as_of, metric")} AS pu, {rank("as_of, metric, sector")} AS ps FROM w),
- p AS (SELECT as_of, ticker, sector, is_bank, metric, category, generic, weight, CASE WHEN higher THEN 1 ELSE -1 END * CASE WHEN ns < 10 THEN pu ELSE ps END + CASE WHEN higher THEN 0 ELSE 100 END AS pct FROM r),
- v AS (SELECT as_of, ticker, CASE WHEN sum(weight) > 0 THEN {rd("sum(weight * pct) / sum(weight)", 9)} END AS val FROM p WHERE category = 'valuation' GROUP BY 1, 2),
- q AS (SELECT p.* REPLACE (CASE WHEN NOT is_bank AND coalesce(val < 50, false) AND metric = 'piotroski_f_score' THEN weight * 0.5 WHEN NOT is_bank AND coalesce(val < 50, false) AND metric IN ({SC.TO}) THEN generic + 15.0::DOUBLE * 0.5 * generic / 47.0::DOUBLE ELSE weight END AS weight) FROM p LEFT JOIN v ON v.as_of = p.as_of AND v.ticker = p.ticker),
- c AS (SELECT as_of, ticker, {cats} FROM q GROUP BY 1, 2), al AS (SELECT mo.as_of, m.ticker, c.* EXCLUDE (as_of, ticker) FROM mo CROSS JOIN m LEFT JOIN c ON c.as_of = mo.as_of AND c.ticker = m.ticker), x AS (SELECT *, {tw} AS tw, {ts} AS ts FROM al),
- s AS (SELECT *, CASE WHEN tw > 0 THEN {rd("ts / tw", 9)} END AS composite_raw FROM x)
-SELECT as_of, ticker, {", ".join(f"{rd(c, 6)} AS {c}" for c in SC.SCORES)}, CASE WHEN composite_raw IS NOT NULL THEN {rd(pct_sql("composite_raw", "as_of, composite_raw IS NULL"), 2)} END AS composite FROM s"""
-
-
-EVOLVED = f"tr AS ({SR.ORACLE_SQL['ic_trends']}), ev AS (SELECT 'signals' AS category, factor AS metric, CASE WHEN factor = 'momentum' THEN 0::DOUBLE ELSE 30::DOUBLE END AS weight, ewm, positive_run, negative_run, positive_pct FROM tr), ch AS (SELECT category, metric, 'activate' AS action, weight, 5::DOUBLE AS new_weight FROM ev WHERE weight = 0 AND ewm >= -1 AND positive_run >= 0 AND positive_pct >= 0 QUALIFY row_number() OVER (ORDER BY ewm DESC, metric) <= 1 UNION ALL SELECT category, metric, 'lower', weight, greatest(0, weight - 5) FROM ev WHERE weight > 0 AND ewm <= 0 AND negative_run >= 0)"
+EVOLVED = PP.CHANGES.replace("ev AS (SELECT", "ev_ AS (SELECT").replace("FROM ev WHERE", "FROM ev_ WHERE") + ", ev AS (SELECT category, metric, generic AS weight FROM dim)"
 REDIST = f"""{EVOLVED}, r0 AS (SELECT ev.category, ev.metric, ev.weight, action, new_weight, coalesce(new_weight, ev.weight) AS w, count(action) OVER (PARTITION BY ev.category) AS touched FROM ev LEFT JOIN ch ON ch.category = ev.category AND ch.metric = ev.metric),
  r1 AS (SELECT *, coalesce(sum(CASE WHEN action = 'activate' THEN new_weight END) OVER k, 0) - coalesce(sum(CASE WHEN action = 'lower' THEN weight - new_weight END) OVER k, 0) AS net FROM r0 WHERE touched > 0 WINDOW k AS (PARTITION BY category)),
  r2 AS (SELECT *, CASE WHEN w > 0 AND NOT coalesce(action = CASE WHEN net > 0 THEN 'activate' ELSE 'lower' END, false) THEN w END AS base FROM r1),
@@ -294,7 +239,6 @@ ORACLE_SQL = {
     "factor_returns_scan": f"{FAC} SELECT a.dt, {', '.join(f'{rd(f'{x} / 100', 10)} AS {y}' for x, y in (('mkt', 'Mkt_RF'), ('smb', 'SMB'), ('hml', 'HML'), ('rmw', 'RMW'), ('cma', 'CMA'), ('rf', 'RF'), ('mom', 'UMD')))} FROM a JOIN b ON a.dt = b.dt",
     "ff_regression": _regression_sql(f"portfolio, win AS window, factor, {rd('coefficient', 6)} AS coefficient, {rd('r2', 6)} AS r2, {rd('r2_adjusted', 6)} AS r2_adjusted, {rd('f_value', 3)} AS f_value, n"),
     "ff_alpha_annualised": _regression_sql(f"portfolio, win AS window, {rd('coefficient * 25200', 4)} AS alpha_pct, {rd('t', 4)} AS t_value, CASE WHEN abs(t) > {_critical(2.575829)} THEN '***' WHEN abs(t) > {_critical(1.959964)} THEN '**' WHEN abs(t) > {_critical(1.644854)} THEN '*' ELSE '' END AS significance") + " WHERE factor = 'const'",
-    "bt_monthly_scores": _monthly_sql(),
     "weight_redistribution": f"WITH {REDIST} SELECT * FROM rd",
     "weights_version_append": f"WITH {REDIST} SELECT 1 AS version, DATE '2001-01-01' AS as_of, category, metric, weight FROM ev UNION ALL SELECT 2, DATE '{TODAY}', ev.category, ev.metric, coalesce(rd.new_weight, ev.weight) FROM ev LEFT JOIN rd ON rd.category = ev.category AND rd.metric = ev.metric",
     "weights_change_log": f"WITH {EVOLVED} SELECT DATE '{TODAY}' AS date, CASE action WHEN 'activate' THEN 'metric_activation' ELSE 'metric_deactivation' END AS change_type, category, metric, weight AS old_value, new_weight AS new_value FROM ch",
@@ -303,7 +247,7 @@ ORACLE_SQL = {
     "scores_write": f"{SCORE_DATES} SELECT * FROM al",
     "scores_read": f"{SCORE_DATES} SELECT * FROM al WHERE config_hash = 'aaa' AND as_of = DATE '2001-07-31'",
     "stage_artifacts": "SELECT '00_universe' AS stage, count(*) AS rows, min('C' || c_custkey) AS first FROM customer UNION ALL SELECT '01_kept', count(*), min('C' || c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING'",
-    "csv_sinks": SR.ORACLE_SQL["bt_decile_returns"],
+    "csv_sinks": BT.ORACLE_SQL["bt_decile_returns"],
     "cache_freshness": f"{CACHES} SELECT * FROM fr",
     "run_state": f"{CACHES} SELECT config_hash, count(*) AS tiers, count(*) FILTER (fresh) AS fresh, CASE WHEN count(*) FILTER (fresh) = count(*) THEN 'hot' WHEN count(*) FILTER (fresh) > 0 THEN 'warm' ELSE 'cold' END AS state FROM fr GROUP BY 1",
     "run_manifest": f"WITH {RC.RECORDS} SELECT 'r1' AS run_id, TIMESTAMP '2001-12-31 10:00:00' AS started, '{U.config_hash(RUN)}' AS config_hash, count(*) FILTER (error IS NULL) AS scored_count, count(error) AS failed_count, '{json.dumps(RUN['factor_weights'], sort_keys=True)}' AS weights FROM rc",

@@ -1,60 +1,60 @@
-"""Weight proposals from the information coefficients of monthly signals, further checks, and their SQL."""
+"""Weight proposals from the information coefficients of categories and metrics, further checks, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions.stats import rounded
-from ..operators import backtest as B
 from ..operators import proposals as P
 from ..operators import statements as ST
 from ..sources import views as V
+from . import backtests as BT
 from . import fundamentals as FD
 from . import records as RC
 from . import series as SR
 from .scoring import rd
 
-#: Current weights and bounds of the three monthly signals.
-BOUNDS = [("momentum", 40.0, 20.0, 60.0), ("quality", 35.0, 10.0, 50.0), ("trend", 25.0, 10.0, 40.0)]
+#: Dates in a row that a metric's coefficient must be of one sign for a change; the default of the operator is a year's.
+RUN = 1
+WEIGHTS = config.CATEGORY_WEIGHTS
+BOUNDS = config.CATEGORY_BOUNDS
 
 
 def trends(s: SparkSession, sf: str) -> DataFrame:
-    return SR.QUERIES["ic_trends"](s, sf)
+    """Of the category scores' coefficients over a month."""
+    return BT.QUERIES["ic_trends"](s, sf)
 
 
 def ics(s: SparkSession, sf: str) -> DataFrame:
-    weights = s.createDataFrame(BOUNDS, "category string, weight double, low double, high double")
-    return weights.join(F.broadcast(trends(s, sf).select(F.col("factor").alias("category"), F.col("ewm").alias("ic"))), "category", "left")
+    """Each category with its weight, its bounds and its coefficient, if it has a trend."""
+    weights = s.createDataFrame([(c, w, *BOUNDS[c]) for c, w in WEIGHTS.items()], "category string, weight double, low double, high double")
+    mine = trends(s, sf).select(F.regexp_replace("factor", "_score$", "").alias("category"), F.col("ewm").alias("ic"))
+    return weights.join(F.broadcast(mine), "category", "left")
 
 
-def metric_ics(s: SparkSession, sf: str) -> DataFrame:
-    return ics(s, sf).select(F.lit("signals").alias("category"), F.col("category").alias("metric"), "ic", "weight")
+def metric_trends(s: SparkSession, sf: str) -> DataFrame:
+    """Trends of the metrics' coefficients with the metrics' categories and generic weights; a metric without a trend is not there."""
+    found = SR.r6(BT.metric_trends(s, sf), "ewm", "positive_pct")
+    return config.metric_dimension(s).select("category", "metric", F.col("generic").alias("weight")).join(found.withColumnRenamed("factor", "metric"), "metric").select("category", "metric", "weight", "ewm", "positive_run", "negative_run", "positive_pct")
 
 
-def evolving(s: SparkSession, sf: str) -> DataFrame:
-    t = trends(s, sf)
-    return t.select(F.lit("signals").alias("category"), F.col("factor").alias("metric"), F.when(F.col("factor") == "momentum", 0.0).otherwise(30.0).alias("weight"), "ewm", "positive_run", "negative_run", "positive_pct")
+def metric_ics(s: SparkSession, sf: str) -> DataFrame:
+    return metric_trends(s, sf).where("weight > 0").select("category", "metric", F.col("ewm").alias("ic"), "weight")
 
 
 def regimes(s: SparkSession, sf: str) -> DataFrame:
-    return trends(s, sf).select(F.col("factor").alias("category"), F.when(F.col("tail_3") > F.col("mean"), "high").otherwise("low").alias("regime"))
-
-
-def members(s: SparkSession, sf: str) -> DataFrame:
-    return SR.pairs(s, sf).where("factor = 'momentum'").withColumn("member", F.col("score") > 0)
+    return trends(s, sf).select(F.regexp_replace("factor", "_score$", "").alias("category"), F.when(F.col("tail_3") > F.col("mean"), "high").otherwise("low").alias("regime"))
 
 
 QUERIES = {
     "ic_allocation": lambda s, sf: P.ic_allocation(ics(s, sf)).select("category", rounded(F.col("target"), 4).alias("target")),
-    "weight_constraints": lambda s, sf: P.constrain(ics(s, sf).withColumn("target", F.col("weight") + F.when(F.col("category") == "quality", 9.0).otherwise(-2.0))).select("category", "proposed"),
+    "weight_constraints": lambda s, sf: P.constrain(P.ic_allocation(ics(s, sf))).select("category", "weight", rounded(F.col("target"), 6).alias("target"), "proposed"),
     "weight_proposal": lambda s, sf: P.propose(ics(s, sf), observations=30),
     "metric_weight_proposal": lambda s, sf: P.metric_proposal(metric_ics(s, sf)),
     "regime_adjust": lambda s, sf: P.regime_adjust(ics(s, sf).select("category", "weight"), regimes(s, sf)),
-    "metric_evolution": lambda s, sf: P.metric_evolution(evolving(s, sf), run=1, least_ic=-1.0, least_positive=0.0),
-    "metric_ic": lambda s, sf: SR.r6(B.ic_series(SR.pairs(s, sf), least=10), "ic"),
-    "metric_ic_trends": lambda s, sf: SR.r6(B.ic_trends(SR.r6(B.ic_series(SR.pairs(s, sf), least=10), "ic"), half_life=3.0), "ewm").select("factor", "n", "ewm", "positive_run", "negative_run", "status"),
-    "pf_vs_universe_returns": lambda s, sf: members(s, sf).groupBy("as_of").agg(rounded(F.avg(F.when(F.col("member"), F.col("fwd"))), 6).alias("members"), rounded(F.avg("fwd"), 6).alias("universe"), rounded(F.avg(F.when(F.col("member"), F.col("fwd"))) - F.avg("fwd"), 6).alias("spread"), rounded(F.percentile(F.when(F.col("member"), F.col("fwd")), F.lit(0.5)), 6).alias("members_median"), F.lit("1m").alias("horizon"), rounded(F.percentile("fwd", F.lit(0.5)), 6).alias("median")),
+    "metric_evolution": lambda s, sf: P.metric_evolution(metric_trends(s, sf), run=RUN, candidates=config.CANDIDATES),
     "bt_price_date": lambda s, sf: _price_date(s, sf),
     "return_12m": lambda s, sf: FD.metrics(s, sf).select("ticker", rounded(F.col("return_12m"), 5).alias("return_12m")),
     "acc_statement_dates": lambda s, sf: ST.freshness(RC.lines(s, sf).where("label = 'Total Revenue'"), RC.AS_OF).select("ticker", F.col("newest").alias("a")).join(ST.freshness(RC.lines(s, sf).where("label = 'Tax Provision' and value is not null"), RC.AS_OF).select("ticker", F.col("newest").alias("b")), "ticker").where("a <> b"),
@@ -78,9 +78,12 @@ def _price_date(s: SparkSession, sf: str) -> DataFrame:
 
 # -- SQL ---------------------------------------------------------------------------------------------
 
-TR = SR.ORACLE_SQL["ic_trends"]
-W0 = "w0(category, weight, low, high) AS (VALUES " + ", ".join(f"('{c}', {w}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)" for c, w, a, b in BOUNDS) + ")"
-ICS = f"tr AS ({TR}), {W0}, i AS (SELECT w0.*, ewm AS ic, greatest(coalesce(ewm, 0), 0) AS pos FROM w0 LEFT JOIN tr ON factor = category)"
+TR = BT.ORACLE_SQL["ic_trends"]
+W0 = "w0(category, weight, low, high) AS (VALUES " + ", ".join(f"('{c}', {w}::DOUBLE, {BOUNDS[c][0]}::DOUBLE, {BOUNDS[c][1]}::DOUBLE)" for c, w in WEIGHTS.items()) + ")"
+ICS = f"tr AS ({TR}), {W0}, i AS (SELECT w0.*, ewm AS ic, greatest(coalesce(ewm, 0), 0) AS pos FROM w0 LEFT JOIN tr ON factor = category || '_score')"
+MT = f"mt AS ({BT.ORACLE_SQL['metric_ic_trends']}), {config.dimension_sql()}, ev AS (SELECT category, metric, generic AS weight, ewm, positive_run, negative_run, positive_pct FROM dim JOIN mt ON mt.factor = dim.metric)"
+CANDIDATES = ", ".join(f"'{c}'" for c in config.CANDIDATES)
+CHANGES = f"{MT}, ch AS (SELECT category, metric, 'activate' AS action, weight, 5::DOUBLE AS new_weight FROM ev WHERE metric IN ({CANDIDATES}) AND weight = 0 AND ewm >= 0.02 AND positive_run >= {RUN} AND positive_pct >= 60 QUALIFY row_number() OVER (ORDER BY ewm DESC, metric) <= 1 UNION ALL SELECT category, metric, 'lower', weight, greatest(0, weight - 5) FROM ev WHERE metric NOT IN ({CANDIDATES}) AND weight > 0 AND ewm <= 0 AND negative_run >= {RUN})"
 ALLOC = ICS + ", al AS (SELECT *, CASE WHEN sum(pos) OVER () > 0 THEN CASE WHEN pos > 0 THEN (100 - sum(CASE WHEN pos > 0 THEN 0 ELSE low END) OVER ()) * pos / sum(pos) OVER () ELSE low END ELSE low + (100 - sum(low) OVER ()) / count(*) OVER () END AS target FROM i)"
 
 
@@ -90,17 +93,13 @@ def constrained(source: str, target: str) -> str:
  k AS (SELECT *, {rd('CASE WHEN row_number() OVER (ORDER BY p DESC, category) = 1 THEN p + 100 - sum(p) OVER () ELSE p END', 1)} AS proposed FROM k1)"""
 
 
-IC10 = SR.IC.replace("ic AS (SELECT * FROM ic0 WHERE n >= 20)", "ic AS (SELECT * FROM ic0 WHERE n >= 10)")
 ORACLE_SQL = {
     "ic_allocation": f"WITH {ALLOC} SELECT category, {rd('target', 4)} AS target FROM al",
-    "weight_constraints": f"WITH {ICS}{constrained('i', '(weight + CASE WHEN category = ' + chr(39) + 'quality' + chr(39) + ' THEN 9 ELSE -2 END)')} SELECT category, proposed FROM k",
+    "weight_constraints": f"WITH {ALLOC}{constrained('al', 'target')} SELECT category, weight, {rd('target', 6)} AS target, proposed FROM k",
     "weight_proposal": f"WITH {ALLOC}{constrained('al', '(weight * 0.5 + target * 0.5)')}, c AS (SELECT category, weight, proposed, {rd('proposed - weight', 1)} AS change FROM k) SELECT *, CASE WHEN change > 0 THEN 'up' WHEN change < 0 THEN 'down' ELSE 'same' END AS direction, 'medium' AS confidence, max(abs(change)) OVER () <= 2 AS auto_apply FROM c",
-    "metric_weight_proposal": f"WITH {ICS}, a AS (SELECT category AS metric, weight, CASE WHEN sum(pos) OVER () > 0 THEN weight * 0.5 + 0.5 * 100 * pos / sum(pos) OVER () ELSE weight END AS aim FROM i), b AS (SELECT *, greatest(0, least(greatest(aim, weight - 5), weight + 5)) AS p FROM a) SELECT 'signals' AS category, metric, weight, {rd('p * 100 / sum(p) OVER ()', 2)} AS proposed FROM b",
-    "regime_adjust": f"WITH {ICS}, r AS (SELECT factor, CASE WHEN tail_3 > mean THEN 'high' ELSE 'low' END AS regime FROM tr), a AS (SELECT category, weight, regime, weight * CASE regime WHEN 'high' THEN 1.1::DOUBLE WHEN 'low' THEN 0.9::DOUBLE ELSE 1 END AS x FROM i LEFT JOIN r ON factor = category) SELECT category, weight, regime, {rd('x * 100 / sum(x) OVER ()', 4)} AS adjusted FROM a",
-    "metric_evolution": f"WITH tr AS ({TR}), a AS (SELECT factor AS metric, CASE WHEN factor = 'momentum' THEN 0::DOUBLE ELSE 30::DOUBLE END AS weight, ewm, positive_run, negative_run, positive_pct FROM tr), u AS (SELECT metric, weight FROM a WHERE weight = 0 AND ewm >= -1 AND positive_run >= 1 AND positive_pct >= 0 QUALIFY row_number() OVER (ORDER BY ewm DESC, metric) <= 1) SELECT 'signals' AS category, metric, 'activate' AS action, weight, 5::DOUBLE AS new_weight FROM u UNION ALL SELECT 'signals', metric, 'lower', weight, greatest(0, weight - 5) FROM a WHERE weight > 0 AND ewm <= 0 AND negative_run >= 1",
-    "metric_ic": f"WITH {IC10} SELECT as_of, factor, n, ic FROM ic",
-    "metric_ic_trends": f"WITH {IC10}, a AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY as_of DESC) - 1 AS age FROM ic WHERE ic IS NOT NULL), q AS (SELECT factor, count(*) AS n, sum(ic * pow(0.5::DOUBLE, age / 3.0::DOUBLE)) / sum(pow(0.5::DOUBLE, age / 3.0::DOUBLE)) AS ewm, coalesce(min(age) FILTER (ic <= 0), count(*)) AS positive_run, coalesce(min(age) FILTER (ic > 0), count(*)) AS negative_run, CAST(count(*) FILTER (ic > 0) AS DOUBLE) / count(*) * 100 AS positive_pct FROM a GROUP BY 1) SELECT factor, n, {rd('ewm', 6)} AS ewm, positive_run, negative_run, CASE WHEN ewm >= 0.05 AND positive_pct >= 70 THEN 'strong' WHEN ewm >= 0.02 AND positive_pct >= 55 THEN 'moderate' WHEN ewm > 0 THEN 'weak' ELSE 'negative' END AS status FROM q WHERE n >= 4",
-    "pf_vs_universe_returns": f"WITH {SR.PAIRS} SELECT as_of, {rd('avg(fwd) FILTER (score > 0)', 6)} AS members, {rd('avg(fwd)', 6)} AS universe, {rd('avg(fwd) FILTER (score > 0) - avg(fwd)', 6)} AS spread, {rd('quantile_cont(fwd, 0.5) FILTER (score > 0)', 6)} AS members_median, '1m' AS horizon, {rd('quantile_cont(fwd, 0.5)', 6)} AS median FROM pa WHERE factor = 'momentum' GROUP BY 1",
+    "metric_weight_proposal": f"WITH {MT}, i AS (SELECT category, metric, weight, greatest(coalesce(ewm, 0), 0) AS pos FROM ev WHERE weight > 0), a AS (SELECT *, CASE WHEN sum(pos) OVER k > 0 THEN weight * 0.5 + 0.5 * 100 * pos / sum(pos) OVER k ELSE weight END AS aim FROM i WINDOW k AS (PARTITION BY category)), b AS (SELECT *, greatest(0, least(greatest(aim, weight - 5), weight + 5)) AS p FROM a) SELECT category, metric, weight, {rd('p * 100 / sum(p) OVER (PARTITION BY category)', 2)} AS proposed FROM b",
+    "regime_adjust": f"WITH {ICS}, r AS (SELECT factor, CASE WHEN tail_3 > mean THEN 'high' ELSE 'low' END AS regime FROM tr), a AS (SELECT category, weight, regime, weight * CASE regime WHEN 'high' THEN 1.1::DOUBLE WHEN 'low' THEN 0.9::DOUBLE ELSE 1 END AS x FROM i LEFT JOIN r ON factor = category || '_score') SELECT category, weight, regime, {rd('x * 100 / sum(x) OVER ()', 4)} AS adjusted FROM a",
+    "metric_evolution": f"WITH {CHANGES} SELECT * FROM ch",
     "bt_price_date": f"WITH {SR.D}{SR.MK}, {SR.MO} SELECT mm.month_end, min(dt) AS price_date FROM mm JOIN k ON dt >= mm.month_end - 5 GROUP BY 1",
     "return_12m": f"{FD.SRC} SELECT ticker, {rd(FD.SQL['return_12m'], 5)} AS return_12m FROM e",
     "acc_statement_dates": f"WITH {RC.L} SELECT ticker, max(period_end) FILTER (label = 'Total Revenue') AS a, max(period_end) FILTER (label = 'Tax Provision' AND value IS NOT NULL) AS b FROM l GROUP BY 1 HAVING a <> b",

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.kept import Kept
 from ..functions.stats import rounded
-from ..functions.store import stored
 from ..operators import assembly as A
 from ..operators import prices as P
 from ..operators import scoring as S
@@ -24,15 +24,12 @@ W = config.CATEGORY_WEIGHTS
 RISK_FREE = 0.045
 
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+#: Scores of the last run, from which reports, portfolios, screens and backtests start.
+RUN = Kept(["customer", "supplier", "part", "orders", "lineitem"])
 
 
 def kept(spark: SparkSession, sf: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """A table that a session stores once and later queries read: reports, portfolios and screens start from the scores of the last run."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _KEPT:
-        _KEPT[key] = stored(make(spark, sf), name)
-    return _KEPT[key]
+    return RUN.get(spark, sf, name, make)
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import rounded
-from ..operators import backtest as B
 from ..operators import prices as P
 from ..sources import views as V
 from .sql import rd
@@ -46,38 +45,6 @@ def forward(s: SparkSession, sf: str) -> DataFrame:
     return P.forward_return(filled(s, sf)).select("ticker", "month_end", rounded(F.col("fwd"), 9).alias("fwd"))
 
 
-def signals(s: SparkSession, sf: str) -> DataFrame:
-    """Monthly momentum and steadiness of each supplier: scores that exist for every month."""
-    mom = P.momentum_monthly(monthly(s, sf))
-    vol = P.vol_monthly(monthly(s, sf))
-    both = mom.join(vol, ["ticker", "month_end"]).where("mom_12_1 is not null and mom_6_1 is not null and vol is not null")
-    return both.select("ticker", F.col("month_end").alias("as_of"), rounded(F.col("mom_12_1"), 9).alias("momentum"), rounded(F.col("mom_6_1"), 9).alias("trend"), rounded(-F.col("vol"), 9).alias("quality"))
-
-
-def assigned(s: SparkSession, sf: str) -> DataFrame:
-    return B.deciles(signals(s, sf).withColumn("score", F.col("momentum")))
-
-
-def decile_rets(s: SparkSession, sf: str) -> DataFrame:
-    """Net of the cost of turnover."""
-    ranked, fwd = assigned(s, sf), forward(s, sf)
-    return B.net_returns(B.decile_returns(ranked, fwd), B.turnover_cost(ranked, fwd)).withColumn("ret", rounded(F.col("ret"), 9))
-
-
-def pairs(s: SparkSession, sf: str) -> DataFrame:
-    joined = signals(s, sf).join(forward(s, sf).withColumnRenamed("month_end", "as_of"), ["ticker", "as_of"])
-    return joined.unpivot(["ticker", "as_of", "fwd"], ["momentum", "trend", "quality"], "factor", "score")
-
-
-def trap_returns(s: SparkSession, sf: str) -> DataFrame:
-    rows = signals(s, sf).withColumnsRenamed({"trend": "value"}).join(forward(s, sf).withColumnRenamed("month_end", "as_of"), ["ticker", "as_of"], "left")
-    return B.value_trap_compare(rows).withColumn("ret", rounded(F.col("ret"), 9))
-
-
-def perf(s: SparkSession, sf: str) -> DataFrame:
-    return B.perf_metrics(decile_rets(s, sf), ["decile"])
-
-
 def snapshot(s: SparkSession, sf: str) -> DataFrame:
     days = daily(s, sf).select("ticker").distinct().crossJoin(s.sql("SELECT explode(sequence(DATE'1999-01-15', DATE'2001-06-15', INTERVAL 1 MONTH)) AS run_date"))
     return days
@@ -110,19 +77,6 @@ QUERIES = {
     "beat_score": lambda s, sf: P.beat_score(V.view(s, sf, V.EARNINGS)),
     "risk_free_latest": lambda s, sf: r6(P.risk_free_latest(market(s, sf)), "risk_free"),
     "single_factor_regression": lambda s, sf: r6(P.single_factor(returns(s, sf), market_returns(s, sf)), "slope", "intercept", "r2"),
-    "bt_deciles": lambda s, sf: assigned(s, sf).select("as_of", "ticker", "decile"),
-    "bt_decile_returns": lambda s, sf: r6(decile_rets(s, sf), "ret").drop("priced"),
-    "bt_turnover_cost": lambda s, sf: r6(B.turnover_cost(assigned(s, sf), forward(s, sf)), "turnover", "cost"),
-    "bt_benchmark": lambda s, sf: r6(B.benchmark(decile_rets(s, sf)), "ret"),
-    "bt_perf_metrics": lambda s, sf: r6(perf(s, sf), "vol", "max_drawdown", "ann_return").withColumn("sharpe", rounded(F.col("sharpe"), 4)),
-    "bt_long_short": lambda s, sf: r6(B.long_short(perf(s, sf)), "long_short"),
-    "bt_monotonicity": lambda s, sf: B.monotonicity(r6(perf(s, sf), "ann_return")),
-    "bt_ic_series": lambda s, sf: r6(B.ic_series(pairs(s, sf)), "ic"),
-    "bt_ic_summary": lambda s, sf: r6(B.ic_summary(r6(B.ic_series(pairs(s, sf)), "ic")), "mean", "std", "positive_pct", "t_stat"),
-    "bt_value_trap_compare": lambda s, sf: r6(B.perf_metrics(trap_returns(s, sf), ["portfolio"]), "vol", "max_drawdown", "ann_return").withColumn("sharpe", rounded(F.col("sharpe"), 4)),
-    "ic_trends": lambda s, sf: r6(B.ic_trends(r6(B.ic_series(pairs(s, sf)), "ic")), "mean", "std", "positive_pct", "ewm", "tail_3", "tail_6", "tail_12", "ir"),
-    "live_ic": lambda s, sf: r6(B.ic_series(pairs(s, sf).where("as_of >= DATE'2000-01-01'"), least=30), "ic"),
-    "quintile_returns": lambda s, sf: r6(B.quintile_returns(pairs(s, sf).where("factor = 'momentum'")), "ret"),
 }
 
 # -- SQL ---------------------------------------------------------------------------------------------
@@ -139,20 +93,6 @@ SIG = (
  mv AS (SELECT *, count(ret) OVER w AS n, stddev_samp(ret) OVER w * sqrt(12.0::DOUBLE) AS vol FROM mr WINDOW w AS (PARTITION BY ticker ORDER BY month_end ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
  sg AS (SELECT ticker, month_end AS as_of, {rd('a', 9)} AS momentum, {rd('b', 9)} AS trend, {rd('-vol', 9)} AS quality FROM mv WHERE a IS NOT NULL AND b IS NOT NULL AND n = 12)"""
 )
-DEC = SIG + ", dn AS (SELECT *, count(*) OVER (PARTITION BY as_of) AS n, row_number() OVER (PARTITION BY as_of ORDER BY momentum, ticker) AS k FROM sg), de AS (SELECT as_of, ticker, CAST(greatest(1, least(10, ceil(CAST(k AS DOUBLE) / n * 10))) AS INT) AS decile FROM dn WHERE n >= 20)"
-TURN = DEC + ", dg AS (SELECT as_of, decile, coalesce(avg(fwd), 0) AS gross, count(*) AS n, count(fwd) AS priced FROM de LEFT JOIN fw ON as_of = month_end AND de.ticker = fw.ticker GROUP BY 1, 2), dp AS (SELECT de.* FROM de JOIN dg ON de.as_of = dg.as_of AND de.decile = dg.decile WHERE priced > 0), mo AS (SELECT decile, as_of, lag(as_of) OVER (PARTITION BY decile ORDER BY as_of) AS prev FROM (SELECT DISTINCT decile, as_of FROM dp) z), be AS (SELECT mo.decile, mo.as_of, ticker FROM mo JOIN dp ON dp.decile = mo.decile AND dp.as_of = mo.prev), bo AS (SELECT coalesce(dp.decile, be.decile) AS decile, coalesce(dp.as_of, be.as_of) AS as_of, dp.ticker AS x, be.ticker AS y FROM dp FULL JOIN be ON dp.decile = be.decile AND dp.as_of = be.as_of AND dp.ticker = be.ticker), tq AS (SELECT decile, as_of, count(x) AS n, count(*) FILTER (x IS NULL OR y IS NULL) AS moved FROM bo GROUP BY 1, 2), tw AS (SELECT tq.decile, tq.as_of, CASE WHEN prev IS NULL THEN 1 ELSE CAST(moved AS DOUBLE) / greatest(n, 1) END AS t FROM tq JOIN mo ON mo.decile = tq.decile AND mo.as_of = tq.as_of)"
-DRET = TURN + f", dr AS (SELECT dg.as_of, dg.decile, CASE WHEN priced > 0 THEN {rd('gross - coalesce(t, 0) * 10 / 10000', 9)} ELSE 0 END AS ret, n FROM dg LEFT JOIN tw ON tw.decile = dg.decile AND tw.as_of = dg.as_of)"
-RF = (1 + 0.045) ** (1 / 12) - 1
-
-
-def perf_sql(source: str, by: str) -> str:
-    return f"c1 AS (SELECT *, product(1 + ret) OVER (PARTITION BY {by} ORDER BY as_of ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM {source}), c2 AS (SELECT *, max(cum) OVER (PARTITION BY {by} ORDER BY as_of ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM c1), c3 AS (SELECT {by}, count(*) AS n, arg_max(cum, as_of) AS cum, stddev_samp(ret) * sqrt(12.0::DOUBLE) AS vol, (avg(ret) - {RF!r}::DOUBLE) / stddev_samp(ret) * sqrt(12.0::DOUBLE) AS sharpe, min((cum - peak) / peak) AS max_drawdown FROM c2 GROUP BY {by}), pe AS (SELECT {by}, n, vol, sharpe, max_drawdown, CASE WHEN cum > 0 THEN pow(cum, 12.0::DOUBLE / n) - 1 ELSE -1 END AS ann_return FROM c3)"
-
-
-PERF = DRET + ", " + perf_sql("dr", "decile")
-PAIRS = SIG + ", pw AS (SELECT sg.*, fwd FROM sg JOIN fw ON sg.ticker = fw.ticker AND as_of = month_end), pa AS (SELECT ticker, as_of, fwd, factor, score FROM (UNPIVOT pw ON momentum, trend, quality INTO NAME factor VALUE score) z)"
-RK = lambda c: f"rank() OVER (PARTITION BY as_of, factor ORDER BY {c}) + (count(*) OVER (PARTITION BY as_of, factor, {c}) - 1) / 2.0::DOUBLE"
-IC = PAIRS + f", rk AS (SELECT as_of, factor, {RK('score')} AS rs, {RK('fwd')} AS rf FROM pa), ic0 AS (SELECT as_of, factor, count(*) AS n, {rd('corr(rs, rf)', 6)} AS ic FROM rk GROUP BY 1, 2), ic AS (SELECT * FROM ic0 WHERE n >= 20)"
 SNAP = "sn AS (SELECT ticker, CAST(r AS DATE) AS run_date FROM (SELECT DISTINCT ticker FROM d) t CROSS JOIN generate_series(DATE '1999-01-15', DATE '2001-06-15', INTERVAL 1 MONTH) q(r))"
 NEAR = lambda day: f"(SELECT sn.ticker, sn.run_date, arg_min(close, (abs(dt - (run_date + {day})), dt)) AS close, min(abs(dt - (run_date + {day}))) AS days FROM sn JOIN d ON d.ticker = sn.ticker AND abs(dt - (run_date + {day})) <= 7 GROUP BY 1, 2)"
 EARN = f"ea AS (SELECT * FROM {V.oracle(V.EARNINGS)} v), e1 AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY quarter DESC) AS i FROM ea), su AS (SELECT ticker, i, (eps_actual - eps_estimate) / greatest(abs(eps_estimate), 0.1::DOUBLE) AS surprise FROM e1 WHERE i <= 4 AND eps_actual IS NOT NULL AND abs(eps_estimate) > 0.001)"
@@ -183,17 +123,4 @@ ORACLE_SQL = {
     "beat_score": f"WITH {EARN}, a AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY i DESC) AS p FROM su) SELECT ticker, CASE WHEN count(*) >= 2 THEN CAST(sum(CASE WHEN surprise > 0 THEN p ELSE 0 END) AS BIGINT) END AS beat_score FROM a GROUP BY 1",
     "risk_free_latest": f"WITH {D}{MK} SELECT {rd('coalesce(arg_max(close, dt) / 100, 0.045)', 6)} AS risk_free FROM k",
     "single_factor_regression": f"WITH {BOTH} SELECT ticker, count(*) AS n, {rd('regr_slope(ret, mkt)', 6)} AS slope, {rd('regr_intercept(ret, mkt)', 6)} AS intercept, {rd('regr_r2(ret, mkt)', 6)} AS r2 FROM b GROUP BY 1",
-    "bt_deciles": f"WITH {DEC} SELECT as_of, ticker, decile FROM de",
-    "bt_decile_returns": f"WITH {DRET} SELECT as_of, decile, {rd('ret', 6)} AS ret, n FROM dr",
-    "bt_turnover_cost": f"WITH {TURN} SELECT decile, as_of, {rd('t', 6)} AS turnover, {rd('t * 10 / 10000', 6)} AS cost FROM tw",
-    "bt_benchmark": f"WITH {DRET} SELECT as_of, {rd('avg(ret)', 6)} AS ret FROM dr GROUP BY 1",
-    "bt_perf_metrics": f"WITH {PERF} SELECT decile, n, {rd('vol', 6)} AS vol, {rd('sharpe', 4)} AS sharpe, {rd('max_drawdown', 6)} AS max_drawdown, {rd('ann_return', 6)} AS ann_return FROM pe",
-    "bt_long_short": f"WITH {PERF} SELECT {rd('max(ann_return) FILTER (decile = 10) - max(ann_return) FILTER (decile = 1)', 6)} AS long_short FROM pe",
-    "bt_monotonicity": f"WITH {PERF}, a AS (SELECT {rd('ann_return', 6)} AS r, lead({rd('ann_return', 6)}) OVER (ORDER BY decile) AS nx FROM pe) SELECT count(*) FILTER (nx < r) AS inversions, CASE WHEN count(*) FILTER (nx < r) <= 2 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM a",
-    "bt_ic_series": f"WITH {IC} SELECT as_of, factor, n, ic FROM ic",
-    "bt_ic_summary": f"WITH {IC} SELECT factor, count(ic) AS n, {rd('avg(ic)', 6)} AS mean, {rd('stddev_samp(ic)', 6)} AS std, {rd('CAST(count(*) FILTER (ic > 0) AS DOUBLE) / count(*) * 100', 6)} AS positive_pct, {rd('avg(ic) / (stddev_samp(ic) / sqrt(count(ic)))', 6)} AS t_stat FROM ic WHERE ic IS NOT NULL GROUP BY 1 HAVING count(ic) >= 3",
-    "bt_value_trap_compare": f"WITH {SIG}, v AS (SELECT sg.ticker, as_of, momentum, trend AS value, quality, fwd FROM sg LEFT JOIN fw ON sg.ticker = fw.ticker AND as_of = month_end), l AS (SELECT as_of, count(*) AS total, quantile_cont(quality, 0.3) AS ql, quantile_cont(momentum, 0.3) AS ml FROM v GROUP BY 1 HAVING count(*) >= 20), a AS (SELECT v.*, total, ql, ml FROM v JOIN l ON v.as_of = l.as_of), e AS (SELECT *, 'value' AS portfolio FROM a UNION ALL SELECT *, 'value_quality' FROM a WHERE quality >= ql UNION ALL SELECT *, 'value_quality_momentum' FROM a WHERE quality >= ql AND momentum >= ml), r AS (SELECT *, row_number() OVER (PARTITION BY as_of, portfolio ORDER BY value DESC NULLS LAST, ticker) AS k FROM e), vt AS (SELECT as_of, portfolio, count(*) AS n, {rd('coalesce(avg(fwd), 0)', 9)} AS ret FROM r WHERE k <= greatest(1, total // 5) GROUP BY 1, 2), {perf_sql('vt', 'portfolio')} SELECT portfolio, n, {rd('vol', 6)} AS vol, {rd('sharpe', 4)} AS sharpe, {rd('max_drawdown', 6)} AS max_drawdown, {rd('ann_return', 6)} AS ann_return FROM pe",
-    "ic_trends": f"WITH {IC}, a AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY as_of DESC) - 1 AS age, count(*) OVER (PARTITION BY factor) AS cnt FROM ic WHERE ic IS NOT NULL), q AS (SELECT factor, count(*) AS n, avg(ic) AS mean, stddev_samp(ic) AS std, CAST(count(*) FILTER (ic > 0) AS DOUBLE) / count(*) * 100 AS positive_pct, sum(ic * pow(0.5::DOUBLE, age / 6.0::DOUBLE)) / sum(pow(0.5::DOUBLE, age / 6.0::DOUBLE)) AS ewm, CASE WHEN count(*) >= 3 THEN avg(ic) FILTER (age < 3) END AS tail_3, CASE WHEN count(*) >= 6 THEN avg(ic) FILTER (age < 6) END AS tail_6, CASE WHEN count(*) >= 12 THEN avg(ic) FILTER (age < 12) END AS tail_12, coalesce(min(age) FILTER (ic <= 0), count(*)) AS positive_run, coalesce(min(age) FILTER (ic > 0), count(*)) AS negative_run, {rd('avg(ic) FILTER (age < cnt - cnt // 2) - avg(ic) FILTER (age >= cnt - cnt // 2)', 9)} AS delta FROM a GROUP BY 1) SELECT factor, n, {', '.join(f'{rd(c, 6)} AS {c}' for c in ('mean', 'std', 'positive_pct', 'ewm', 'tail_3', 'tail_6', 'tail_12'))}, positive_run, negative_run, {rd('CASE WHEN std > 1e-8 THEN mean / std ELSE 0 END', 6)} AS ir, CASE WHEN n >= 12 AND delta > 0.02 THEN 'improving' WHEN n >= 12 AND delta < -0.02 THEN 'declining' ELSE 'stable' END AS trend, CASE WHEN ewm >= 0.05 AND positive_pct >= 70 THEN 'strong' WHEN ewm >= 0.02 AND positive_pct >= 55 THEN 'moderate' WHEN ewm > 0 THEN 'weak' ELSE 'negative' END AS status FROM q WHERE n >= 4",
-    "live_ic": f"WITH {IC} SELECT as_of, factor, n, ic FROM ic0 WHERE n >= 30 AND as_of >= DATE '2000-01-01'",
-    "quintile_returns": f"WITH {PAIRS}, a AS (SELECT score, fwd FROM pa WHERE factor = 'momentum'), c AS (SELECT count(*) AS total, {', '.join(f'quantile_cont(score, {k / 5}) AS c{k}' for k in range(1, 5))} FROM a), q AS (SELECT CAST(CASE WHEN score <= c1 THEN 1 WHEN score <= c2 THEN 2 WHEN score <= c3 THEN 3 WHEN score <= c4 THEN 4 ELSE 5 END AS INT) AS quintile, count(*) AS n, avg(fwd) AS ret FROM a CROSS JOIN c WHERE total >= 50 GROUP BY 1), l AS (SELECT *, lead(ret) OVER (ORDER BY quintile) < ret AS falls FROM q) SELECT quintile, n, {rd('ret', 6)} AS ret, NOT bool_or(coalesce(falls, false)) OVER () AS monotonic FROM l",
 }
