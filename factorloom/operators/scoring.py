@@ -117,8 +117,9 @@ def _moved(ranked: DataFrame, on: Column, to: Sequence[str], factor: float, dime
     ``dimension`` has a row for each metric (and key); its sums are one row for each key.
     """
     parts = {f"generic_{m}": F.max(F.when(F.col("metric") == m, F.col("generic"))) for m in ("piotroski_f_score", *to)}
-    sums = dimension.groupBy(*keys).agg(*[x.alias(n) for n, x in parts.items()])
-    out = meet(ranked.withColumn("on", on), sums, keys)
+    own = [k for k in keys if k in dimension.columns]  # one dimension may serve all keys
+    sums = dimension.groupBy(*own).agg(*[x.alias(n) for n, x in parts.items()])
+    out = meet(ranked.withColumn("on", on), sums, own)
     pool = sum((F.coalesce(f"generic_{m}", F.lit(0.0)) for m in to), F.lit(0.0))
     freed = F.col("generic_piotroski_f_score") * (1 - factor)
     weight = (
@@ -284,7 +285,7 @@ def composite_and_rank(scored: DataFrame, raw: str = "composite_raw", keys: Sequ
 def ranked_metrics(wide: DataFrame, dimension: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Tall percentiles with weights: winsorized, ranked by sector, F-score adjusted."""
     ranked = cleaned_ranks(with_dimension(to_tall(wide, metrics, keys=keys), dimension), keys=keys)
-    return piotroski_conditional(ranked, dimension)
+    return piotroski_conditional(ranked, dimension, keys=keys)
 
 
 def score_pipeline(

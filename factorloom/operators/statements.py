@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINE = ["ticker", "statement", "freq"]
@@ -51,19 +51,43 @@ def alias_chain(found: DataFrame, chain: Sequence[str], value: str = "ltm") -> D
     return found.join(F.broadcast(order), "label").where(F.col(value).isNotNull()).groupBy("ticker").agg(F.min_by(value, "place").alias("value"), F.min_by("label", "place").alias("label"))
 
 
-def mrq_balance(lines: DataFrame) -> DataFrame:
-    """Latest quarter, and the one a year before if there are five, else the one before."""
-    rows = numbered(lines.where("freq = 'Q'"))
-    at = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
-    return rows.groupBy("ticker", "label").agg(F.count(F.lit(1)).alias("n"), at(0).alias("latest"), at(4).alias("k4"), at(1).alias("k1")).select("ticker", "label", "latest", F.when(F.col("n") >= 5, F.col("k4")).otherwise(F.col("k1")).alias("prior"))
+def mrq_balance(lines: DataFrame, statement: str = "balance") -> DataFrame:
+    """Latest value of each label of a statement and the one before: of quarters, or for a ticker without any, of years.
 
+    Before means four periods back if the ticker's quarterly statement has five periods or more, else one; values are counted label by
+    label, without the missing ones.
+    """
+    rows = lines.where(F.col("statement") == statement)
+    periods = rows.groupBy("ticker").agg(F.count_distinct(F.when(F.col("freq") == "Q", F.col("period_end"))).alias("quarters"))
+    found = numbered(rows).join(periods, "ticker").where((F.col("freq") == "Q") == (F.col("quarters") > 0))
+    back = F.when(F.col("quarters") >= 5, 4).otherwise(1)
+    source = F.when(F.col("quarters") > 0, "quarterly").otherwise("annual")
+    return found.groupBy("ticker", "label", source.alias("source")).agg(F.max(F.when(F.col("k") == 0, F.col("value"))).alias("latest"), F.max(F.when(F.col("k") == back, F.col("value"))).alias("prior"))
+
+
+def requests(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
+    """(statement, freq, label, k): look-ups of the k-th value, or of a sum of four quarters where k is null."""
+    return spark.createDataFrame(list(rows), "statement string, freq string, label string, k int")
 
-def misses(lines: DataFrame, labels: Sequence[str], quarters: int = 4) -> DataFrame:
-    """Requested labels without a full sum, by reason and label."""
-    found = ltm(lines, 0, quarters).select("ticker", "label", "n")
-    asked = lines.select("ticker").distinct().crossJoin(F.broadcast(lines.sparkSession.createDataFrame([(x,) for x in labels], "label string")))
-    joined = asked.join(found, ["ticker", "label"], "left")
-    reason = F.when(F.col("n").isNull(), "label not found").when(F.col("n") < quarters, "insufficient quarters")
+
+def misses(lines: DataFrame, tickers: DataFrame, wanted: DataFrame, quarters: int = 4) -> DataFrame:
+    """Look-ups ``wanted`` that give nothing for some of ``tickers``, counted by label and reason.
+
+    Reasons: the ticker has no such statement (``empty statement``), or no such label in it, or too few values for the
+    k-th (``out of range``), or fewer than three of four quarters for a sum (``insufficient quarters``). Labels are compared
+    without case. The look-ups are a few dozen rows.
+    """
+    held = lines.select("ticker", "statement", "freq").distinct()
+    low = F.lower(F.trim("label")).alias("low")
+    labels = lines.groupBy("ticker", "statement", "freq", low).agg(F.count("value").alias("n"))
+    asked = tickers.select("ticker").distinct().crossJoin(F.broadcast(wanted.withColumn("low", F.lower(F.trim("label")))))
+    joined = asked.join(held.withColumn("held", F.lit(True)), LINE, "left").join(labels, [*LINE, "low"], "left")
+    reason = (
+        F.when(F.col("held").isNull(), "empty statement")
+        .when(F.col("n").isNull(), "label not found")
+        .when(F.col("k").isNotNull() & (F.col("n") <= F.col("k")), "out of range")
+        .when(F.col("k").isNull() & (F.col("n") < quarters - 1), "insufficient quarters")
+    )
     return joined.withColumn("reason", reason).where("reason is not null").groupBy("label", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -81,17 +105,19 @@ def prior_year(lines: DataFrame) -> DataFrame:
     return out.select("ticker", "label", F.coalesce("ltm", "annual").alias("prior"), F.when(F.col("ltm").isNotNull(), "quarterly").when(F.col("annual").isNotNull(), "annual").alias("source"))
 
 
-def income_block(lines: DataFrame, decisive: Sequence[str]) -> DataFrame:
-    """Per ticker the labels of one source: sums of four quarters, unless all ``decisive`` ones are missing; then all labels come from the last annual statement.
+def source_blocks(lines: DataFrame, decisive: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Per ticker and statement the labels of one source: sums of four quarters, unless all ``decisive`` ones of the statement are missing; then all labels come from the last annual statement.
 
-    The tag says which: quarterly or annual.
+    The tag says which: quarterly or annual. ``decisive``: statement -> labels; other statements are left out.
     """
-    quarterly = ltm(lines).select("ticker", "label", "ltm")
-    annual = numbered(lines.where("freq = 'A'")).where("k = 0").select("ticker", "label", F.col("value").alias("annual"))
-    both = quarterly.join(annual, ["ticker", "label"], "full_outer")
-    found = F.count(F.when(F.col("label").isin(*decisive), F.col("ltm"))).over(Window.partitionBy("ticker"))
+    pairs = lines.sparkSession.createDataFrame([(st, x) for st, labels in decisive.items() for x in labels], "statement string, label string").withColumn("decides", F.lit(True))
+    rows = lines.where(F.col("statement").isin(*decisive))
+    quarterly = ltm(rows).select("ticker", "statement", "label", "ltm")
+    annual = numbered(rows.where("freq = 'A'")).where("k = 0").select("ticker", "statement", "label", F.col("value").alias("annual"))
+    both = quarterly.join(annual, ["ticker", "statement", "label"], "full_outer").join(F.broadcast(pairs), ["statement", "label"], "left")
+    found = F.count(F.when(F.col("decides"), F.col("ltm"))).over(Window.partitionBy("ticker", "statement"))
     out = both.withColumn("source", F.when(found > 0, "quarterly").otherwise("annual"))
-    return out.select("ticker", "label", F.when(F.col("source") == "quarterly", F.col("ltm")).otherwise(F.col("annual")).alias("value"), "source").where("value is not null")
+    return out.select("ticker", "statement", "label", F.when(F.col("source") == "quarterly", F.col("ltm")).otherwise(F.col("annual")).alias("value"), "source").where("value is not null")
 
 
 def current_and_prior(lines: DataFrame, chains: dict[str, Sequence[str]]) -> DataFrame:

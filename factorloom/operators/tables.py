@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,6 +104,14 @@ def sector_override(records: DataFrame, names: DataFrame) -> DataFrame:
     return out.withColumns({"sector": F.coalesce("u_sector", "sector"), "company": company}).drop("u_sector", "u_company")
 
 
+def enrich(df: DataFrame, raw: DataFrame, names: Mapping[str, str], key: str = "ticker") -> DataFrame:
+    """Raw fields joined on under their display names; only those that ``raw`` has and ``df`` lacks."""
+    wanted = {old: new for old, new in names.items() if old in raw.columns and new not in df.columns}
+    if not wanted:
+        return df
+    return df.join(raw.select(key, *[F.col(old).alias(new) for old, new in wanted.items()]), key, "left")
+
+
 def drop_failed(records: DataFrame) -> DataFrame:
     return records.where(~(F.col("error").isNotNull() & F.col("market_cap").isNull()))
 

@@ -24,6 +24,20 @@ def lines(s: SparkSession, sf: str) -> DataFrame:
     return V.view(s, sf, V.STATEMENT_LINES)
 
 
+def all_lines(s: SparkSession, sf: str) -> DataFrame:
+    return lines(s, sf).unionByName(V.view(s, sf, V.ANNUAL_LINES))
+
+
+def balances(s: SparkSession, sf: str) -> DataFrame:
+    """Annual balance sheets of all, and quarterly ones of every second security."""
+    own = lines(s, sf).where("label = 'Total Revenue' and substr(ticker, -1) in ('0', '2', '4', '6', '8')")
+    return V.view(s, sf, V.ANNUAL_LINES).unionByName(own.withColumns({"statement": F.lit("balance"), "label": F.lit("Total Assets"), "value": F.when(F.col("value") > 100000, F.col("value") * 1.5)}))
+
+
+#: Look-ups of statement values: the k-th, or a sum of four quarters.
+ASKED = [("income", "Q", "Total Revenue", None), ("income", "Q", "tax provision", None), ("income", "Q", "EBIT", None), ("income", "A", "Total Revenue", 3), ("balance", "A", "Receivables", 1), ("balance", "Q", "Total Assets", 0), ("cashflow", "A", "Depreciation", 2)]
+
+
 def listed(s: SparkSession, sf: str) -> DataFrame:
     return V.base(s, sf, "customer").select(F.concat(F.lit("C."), F.col("c_custkey").cast("string")).alias("Symbol"), F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("Segment"))
 
@@ -84,8 +98,8 @@ QUERIES = {
     "ltm_sum": lambda s, sf: S.ltm(lines(s, sf), 4).select("ticker", "label", rounded(F.col("ltm"), 2).alias("ltm")),
     "ltm_partial": lambda s, sf: S.partial_labels(S.ltm(lines(s, sf))).where("annualized").select("ticker", F.concat_ws("|", "labels").alias("labels")),
     "label_alias_chain": lambda s, sf: S.alias_chain(S.ltm(lines(s, sf)), ["Gross Profit", "Tax Provision", "Operating Revenue"]).select("ticker", rounded(F.col("value"), 2).alias("value"), "label"),
-    "mrq_balance": lambda s, sf: S.mrq_balance(lines(s, sf)),
-    "stmt_misses": lambda s, sf: S.misses(lines(s, sf), ["Total Revenue", "Tax Provision", "Gross Profit"]),
+    "mrq_balance": lambda s, sf: S.mrq_balance(balances(s, sf)).select("ticker", "label", "source", rounded(F.col("latest"), 2).alias("latest"), rounded(F.col("prior"), 2).alias("prior")),
+    "stmt_misses": lambda s, sf: S.misses(all_lines(s, sf), fundamentals(s, sf).select("ticker"), S.requests(s, ASKED)),
     "stmt_freshness": lambda s, sf: S.freshness(lines(s, sf), AS_OF),
     "universe_scan": lambda s, sf: scanned(s, sf),
     "universe_scan_bad_rows": lambda s, sf: quality(s, sf),
@@ -100,7 +114,7 @@ QUERIES = {
     "dq_fetch_failures": lambda s, sf: records(s, sf).agg(F.count_if(F.col("error").isNotNull()).alias("failed"), F.count(F.lit(1)).alias("n")).withColumn("warn", F.col("failed") / F.col("n") > 0.2),
     "ic_history_merge": lambda s, sf: T.merge_histories(history(s, sf, "month(run_date) = 1"), history(s, sf, "month(run_date) = 2").drop("horizon")),
     "history_status": lambda s, sf: T.history_status(history(s, sf, "true")),
-    "raw_field_enrichment": lambda s, sf: names(s, sf).join(fundamentals(s, sf).select("ticker", F.col("price").alias("Price"), F.col("n_analysts").alias("Analysts")), "ticker", "left").select("ticker", rounded(F.col("Price"), 4).alias("Price"), "Analysts"),
+    "raw_field_enrichment": lambda s, sf: T.enrich(names(s, sf).withColumn("_num_analysts", F.lit(-1)), fundamentals(s, sf), {"price": "_current_price", "target_price": "_target_mean", "n_analysts": "_num_analysts", "not_there": "_x", "revenue": "_total_revenue", "ocf": "_ocf"}).select("ticker", "sector", "_num_analysts", *[rounded(F.col(c), 4).alias(c) for c in ("_current_price", "_target_mean", "_total_revenue", "_ocf")]),
 }
 
 L = f"l AS (SELECT * FROM {V.oracle(V.STATEMENT_LINES)} v)"
@@ -116,8 +130,8 @@ ORACLE_SQL = {
     "ltm_sum": f"WITH {NUM} SELECT ticker, label, CASE WHEN count(*) FILTER (k >= 4 AND k < 8) = 4 THEN {rd('sum(value) FILTER (k >= 4 AND k < 8)', 2)} END AS ltm FROM n GROUP BY ticker, statement, label",
     "ltm_partial": f"WITH {LTM} SELECT ticker, string_agg(label, '|' ORDER BY label) AS labels FROM t WHERE partial GROUP BY 1",
     "label_alias_chain": f"WITH {LTM}, c(place, label) AS (VALUES (0, 'Gross Profit'), (1, 'Tax Provision'), (2, 'Operating Revenue')) SELECT ticker, {rd('arg_min(ltm, place)', 2)} AS value, arg_min(t.label, place) AS label FROM t JOIN c ON t.label = c.label WHERE ltm IS NOT NULL GROUP BY 1",
-    "mrq_balance": f"WITH {NUM} SELECT ticker, label, max(value) FILTER (k = 0) AS latest, CASE WHEN count(*) >= 5 THEN max(value) FILTER (k = 4) ELSE max(value) FILTER (k = 1) END AS prior FROM n GROUP BY 1, 2",
-    "stmt_misses": f"WITH {LTM}, a AS (SELECT tk.ticker, w.label, t.n FROM (SELECT DISTINCT ticker FROM l) tk CROSS JOIN (VALUES ('Total Revenue'), ('Tax Provision'), ('Gross Profit')) w(label) LEFT JOIN t ON t.ticker = tk.ticker AND t.label = w.label) SELECT label, CASE WHEN n IS NULL THEN 'label not found' ELSE 'insufficient quarters' END AS reason, count(*) AS n FROM a WHERE n IS NULL OR n < 4 GROUP BY 1, 2",
+    "mrq_balance": f"WITH {L}, bl AS (SELECT * FROM {V.oracle(V.ANNUAL_LINES)} v WHERE statement = 'balance' UNION ALL SELECT ticker, 'balance', freq, line_no, 'Total Assets', period_end, CASE WHEN value > 100000 THEN value * 1.5::DOUBLE END FROM l WHERE label = 'Total Revenue' AND right(ticker, 1) IN ('0', '2', '4', '6', '8')), pq AS (SELECT ticker, count(DISTINCT period_end) FILTER (freq = 'Q') AS quarters FROM bl GROUP BY 1), nb AS (SELECT bl.*, quarters, row_number() OVER (PARTITION BY bl.ticker, freq, label ORDER BY period_end DESC) - 1 AS k FROM bl JOIN pq ON pq.ticker = bl.ticker WHERE value IS NOT NULL AND (freq = 'Q') = (quarters > 0)) SELECT ticker, label, CASE WHEN max(quarters) > 0 THEN 'quarterly' ELSE 'annual' END AS source, {rd('max(value) FILTER (k = 0)', 2)} AS latest, {rd('max(value) FILTER (k = CASE WHEN quarters >= 5 THEN 4 ELSE 1 END)', 2)} AS prior FROM nb GROUP BY 1, 2",
+    "stmt_misses": f"WITH {FU}, {L}, al AS (SELECT * FROM l UNION ALL SELECT * FROM {V.oracle(V.ANNUAL_LINES)} v), w(statement, freq, label, k) AS (VALUES {', '.join(f"('{a}', '{b}', '{c}', {'NULL' if k is None else k}::INT)" for a, b, c, k in ASKED)}), a AS (SELECT fu.ticker, w.*, (SELECT count(*) FROM al WHERE al.ticker = fu.ticker AND al.statement = w.statement AND al.freq = w.freq) AS lines, (SELECT count(*) FROM al WHERE al.ticker = fu.ticker AND al.statement = w.statement AND al.freq = w.freq AND lower(al.label) = lower(w.label)) AS labelled, (SELECT count(value) FROM al WHERE al.ticker = fu.ticker AND al.statement = w.statement AND al.freq = w.freq AND lower(al.label) = lower(w.label)) AS n FROM fu CROSS JOIN w), r AS (SELECT label, CASE WHEN lines = 0 THEN 'empty statement' WHEN labelled = 0 THEN 'label not found' WHEN k IS NOT NULL AND n <= k THEN 'out of range' WHEN k IS NULL AND n < 3 THEN 'insufficient quarters' END AS reason FROM a) SELECT label, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1, 2",
     "stmt_freshness": f"WITH {L}, a AS (SELECT ticker, statement, max(period_end) AS newest FROM l GROUP BY 1, 2) SELECT *, CAST(DATE '{AS_OF}' - newest AS INT) AS age, DATE '{AS_OF}' - newest > 200 AS stale FROM a",
     "universe_scan": "SELECT 'C-' || c_custkey AS ticker, c_name || ', Inc.' AS company, c_mktsegment AS sector, 'csv' AS source FROM customer WHERE c_custkey % 40 NOT IN (7, 9)",
     "universe_scan_bad_rows": "SELECT 'csv' AS source, count(*) FILTER (c_custkey % 40 NOT IN (7, 9)) AS good, count(*) FILTER (c_custkey % 40 IN (7, 9)) AS bad, 0::BIGINT AS no_symbol, 0::BIGINT AS no_name, 0::BIGINT AS no_segment FROM customer UNION ALL SELECT 'json', count(*) FILTER (c_custkey % 50 <> 3), count(*) FILTER (c_custkey % 50 = 3), 0, count(*) FILTER (c_custkey % 50 = 4), 0 FROM customer",
@@ -132,5 +146,5 @@ ORACLE_SQL = {
     "dq_fetch_failures": f"WITH {RECORDS} SELECT count(error) AS failed, count(*) AS n, CAST(count(error) AS DOUBLE) / count(*) > 0.2::DOUBLE AS warn FROM rc",
     "ic_history_merge": f"WITH {HIST} SELECT run_date, horizon, n_tickers, 'historical' AS source FROM h WHERE month(run_date) = 1 UNION ALL SELECT run_date, NULL, n_tickers, 'live' FROM h WHERE month(run_date) = 2",
     "history_status": f"WITH {HIST} SELECT count(DISTINCT run_date) AS run_dates, count(*) AS rows, CAST(sum(n_tickers) AS BIGINT) AS ticker_dates, CASE WHEN count(DISTINCT run_date) >= 50 THEN 'mature' WHEN count(DISTINCT run_date) >= 24 THEN 'growing' WHEN count(DISTINCT run_date) >= 8 THEN 'early' ELSE 'new' END AS tier FROM h",
-    "raw_field_enrichment": f"WITH {FU} SELECT ticker, {rd('price', 4)} AS Price, n_analysts AS Analysts FROM fu",
+    "raw_field_enrichment": f"WITH {FU} SELECT ticker, sector, -1 AS _num_analysts, {', '.join(f'{rd(a, 4)} AS {b}' for a, b in (('price', '_current_price'), ('target_price', '_target_mean'), ('revenue', '_total_revenue'), ('ocf', '_ocf')))} FROM fu",
 }

@@ -166,6 +166,10 @@ def risk_sql() -> str:
  z_u AS (SELECT ticker, CASE WHEN count(*) >= 2 THEN quantile_cont(surprise, 0.5) END AS surprise, max(surprise) FILTER (k = 1) - max(surprise) FILTER (k = 2) AS change, CASE WHEN count(*) >= 2 THEN CAST(sum(CASE WHEN surprise > 0 THEN p ELSE 0 END) AS DOUBLE) END AS beats FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY i) AS k, row_number() OVER (PARTITION BY ticker ORDER BY i DESC) AS p FROM z_su) v GROUP BY 1)"""
 
 
+#: Metrics of prices and earnings; the acceleration of earnings has a query among those of events.
+MARKET_METRICS = ("volatility", "beta", "sharpe_ratio", "sortino_ratio", "max_drawdown_1y", "jensens_alpha", "analyst_surprise", "consecutive_beat_streak")
+QUERIES |= {m: (lambda m: lambda s, sf: metrics(s, sf).select("ticker", m))(m) for m in MARKET_METRICS}
+
 EXCESS = f"({FD.SQL['return_12m']} - {RISK_FREE}::DOUBLE)"
 MARKET_SQL = {
     "volatility": "z_v.volatility",
@@ -299,6 +303,7 @@ SCORED = (
  f AS (SELECT *, CASE WHEN composite IS NOT NULL THEN rank() OVER (ORDER BY composite DESC NULLS LAST) END AS rank FROM f0)"""
 )
 ORACLE_SQL = {
+    **{m: f"WITH {M} SELECT ticker, {m} FROM m" for m in MARKET_METRICS},
     "direction_map": f"WITH {TALL} SELECT metric, higher, count(*) AS n FROM t GROUP BY ALL",
     "winsorize": f"WITH {WINS} SELECT ticker, metric, value FROM w",
     "pct_rank_universe": f"WITH {WINS} SELECT ticker, metric, {rd('CASE WHEN higher THEN x ELSE 100 - x END', 6)} AS pct FROM (SELECT *, {pct_sql('value', 'metric')} AS x FROM w) y",
