@@ -103,6 +103,13 @@ CATEGORY_BOUNDS = {
     "size": (0.0, 15.0),
     "investment": (0.0, 15.0),
 }
+# A statement whose labels here are all missing from quarterly figures comes from annual ones.
+DECISIVE = {"income": ("Total Revenue", "Net Income", "EBIT"), "cashflow": ("Operating Cash Flow", "Capital Expenditure")}
+# Metrics whose presence says how well a security is covered.
+KEY_METRICS = (
+    "ev_ebitda", "fcf_yield", "earnings_yield", "ev_sales", "roic", "gross_profit_assets", "debt_equity", "piotroski_f_score", "accruals",
+    "forward_eps_growth", "revenue_growth", "sustainable_growth", "return_12_1", "return_6m", "volatility", "beta", "analyst_surprise", "price_target_upside",
+)
 # Metrics without weight that may be taken in.
 CANDIDATES = ("proximity_52w_high", "operating_margin", "current_ratio", "dividend_yield", "insider_ownership", "short_pct_float", "analyst_rating", "interest_coverage")
 WEIGHTED = [m[0] for m in METRICS if m[3] or m[4]]

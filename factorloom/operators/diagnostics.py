@@ -114,3 +114,28 @@ def sector_name(records: DataFrame, names: dict[str, str]) -> DataFrame:
     known = records.sparkSession.createDataFrame(list(names.items()), "sector string, standard string")
     found = records.join(F.broadcast(known), "sector")
     return rule(found, "sector_name", "Critical", F.col("sector") != F.col("standard"), F.concat_ws(" / ", "sector", "standard"))
+
+
+def recomputed(scored: DataFrame, raw: DataFrame, vendor_beta: DataFrame) -> DataFrame:
+    """(ticker, check, scored, anew) where a scored value and one made anew from the vendor's raw fields are apart.
+
+    Four checks, with what they may differ by: EV / EBITDA (0.5), earnings yield (0.005), growth of earnings a share (0.01), beta
+    (0.15). A scored value that is missing while the other is there counts as apart, but for beta.
+    """
+    x = scored.select("ticker", "ev_ebitda", "earnings_yield", "forward_eps_growth", "beta")
+    both = x.join(raw, "ticker").join(vendor_beta.select("ticker", F.col("beta").alias("vendor_beta")), "ticker", "left")
+    checks = [
+        ("ev_ebitda", F.when((F.col("enterprise_value") != 0) & (F.col("ebitda") > 0), F.col("enterprise_value") / F.col("ebitda")), 0.5),
+        ("earnings_yield", F.when((F.col("trailing_eps") != 0) & (F.col("price") > 0), F.col("trailing_eps") / F.col("price")), 0.005),
+        ("forward_eps_growth", F.when((F.col("forward_eps") != 0) & (F.abs("trailing_eps") > 0.01), (F.col("forward_eps") - F.col("trailing_eps")) / F.abs("trailing_eps")), 0.01),
+        ("beta", F.when((F.col("vendor_beta") != 0) & F.col("beta").isNotNull(), F.col("vendor_beta")), 0.15),
+    ]
+    rows = F.array(*[F.struct(F.lit(name).alias("check"), F.col(name).alias("scored"), anew.alias("anew"), F.lit(most).alias("most")) for name, anew, most in checks])
+    each = both.select("ticker", F.explode(rows).alias("c")).select("ticker", "c.*").where("anew is not null")
+    return each.where(F.col("scored").isNull() | (F.abs(F.col("scored") - F.col("anew")) >= F.col("most"))).drop("most")
+
+
+def misaligned_dates(lines: DataFrame, one: str = "income", other: str = "balance") -> DataFrame:
+    """Tickers whose newest periods of two statements differ; one with only one of them does not count."""
+    newest = lambda st: F.max(F.when(F.col("statement") == st, F.col("period_end"))).alias(st)
+    return lines.groupBy("ticker").agg(newest(one), newest(other)).where(F.col(one) != F.col(other))

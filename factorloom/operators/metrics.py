@@ -5,6 +5,7 @@ A metric is null unless its inputs are there and its guards hold; nothing is eve
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -168,6 +169,11 @@ def all_metrics(f: DataFrame, never: tuple[str, ...] = (), industries: tuple[str
     )
 
 
-def provenance(metrics: DataFrame, names: list[str]) -> DataFrame:
+def provenance(metrics: DataFrame, names: Sequence[str], sources: DataFrame, partial: DataFrame, targets: DataFrame) -> DataFrame:
+    """How many of ``names`` a security has, whether its income statement is quarterly or annual (else unknown), whether a sum of it was scaled up, and its price targets as they come.
+
+    sources(ticker, source), partial(ticker, annualized), targets(ticker, ...).
+    """
     present = sum((F.col(m).isNotNull().cast("int") for m in names), F.lit(0))
-    return metrics.select("ticker", present.alias("present"), F.lit(len(names)).alias("total"))
+    out = metrics.select("ticker", present.alias("present"), F.lit(len(names)).alias("total")).join(sources, "ticker", "left").join(partial, "ticker", "left").join(targets, "ticker", "left")
+    return out.withColumns({"source": F.coalesce("source", F.lit("unknown")), "annualized": F.coalesce("annualized", F.lit(False))})

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +135,46 @@ def score_forensics(ranked: DataFrame) -> DataFrame:
     return ranked.select("ticker", "category", "metric", "value", F.col("pct"), F.col("weight"), F.when(got > 0, F.col("weight") * F.col("pct") / got).alias("points"))
 
 
+def category_forensics(scored: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """Ticker by category: score, weight, and score times weight; without a score or weight there are no points."""
+    rows = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"{c}_score").alias("score"), F.lit(float(w)).alias("weight")) for c, w in weights.items()])
+    each = scored.select("ticker", F.explode(rows).alias("c")).select("ticker", "c.*")
+    return each.withColumn("points", F.when(F.col("weight") > 0, F.col("score") * F.col("weight")))
+
+
+#: How the tables of a summary are coloured: table -> (what of the value counts, cuts from the highest on, rest).
+BANDS = {
+    "sector_delta": (F.abs, [(10.0000001, "far"), (5.0000001, "off")], "near"),
+    "exposure": (lambda x: x, [(65.0, "strong"), (50.0, "fair")], "weak"),
+    "jaccard": (lambda x: x, [(0.85, "robust"), (0.7, "fair")], "sensitive"),
+    "correlation": (F.abs, [(0.99000001, "same"), (0.80000001, "very high"), (0.60000001, "high")], "low"),
+}
+
+
+def summary_bands(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(summary, item, value, band) of tables(item, value) by the cuts of ``BANDS``; a value without number has no band."""
+    out = []
+    for name, df in tables.items():
+        what, cuts, rest = BANDS[name]
+        out.append(df.select(F.lit(name).alias("summary"), F.col("item").cast("string").alias("item"), F.col("value").cast("double").alias("value"), band(what(F.col("value")), cuts, rest).alias("band")))
+    return reduce(DataFrame.unionByName, out)
+
+
+#: Raw metrics that are shown for the best securities.
+SHOWN = ("ev_ebitda", "fcf_yield", "earnings_yield", "roic", "debt_equity", "forward_eps_growth", "revenue_growth", "return_12_1", "volatility", "beta", "analyst_surprise", "short_interest_ratio")
+
+
+def company_snapshot(f: DataFrame) -> DataFrame:
+    """Sizes, growth, margins, free cash flow, net debt and yield; null where a part is missing or the base is not positive."""
+    growth = lambda a, b: F.when(F.abs(b) > 0, (F.col(a) - F.col(b)) / F.abs(b))
+    over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return f.select(
+        "ticker", "market_cap", "enterprise_value", "revenue", rounded(growth("revenue", "revenue_prior"), 4).alias("revenue_growth_yoy"), "net_income", rounded(growth("net_income", "net_income_prior"), 4).alias("ni_growth_yoy"),
+        "ebitda", rounded(over("gross_profit", "revenue"), 4).alias("gross_margin"), rounded(over("net_income", "revenue"), 4).alias("net_margin"), rounded(F.col("ocf") - F.abs("capex"), 2).alias("fcf"),
+        "total_debt", "total_cash", rounded(F.col("total_debt") - F.col("total_cash"), 2).alias("net_debt"), rounded(over("dividend_rate", "price"), 4).alias("dividend_yield"), "payout_ratio", "shares", "trailing_eps", "forward_eps", "dollar_volume", "short_ratio",
+    )
+
+
 # -- screens -----------------------------------------------------------------------------------------
 
 

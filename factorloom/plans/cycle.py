@@ -26,8 +26,6 @@ from . import scoring as SC
 from . import series as SR
 from .sql import rd
 
-#: A statement whose labels here are all missing comes from annual figures.
-DECISIVE = {"income": ("Total Revenue", "Net Income", "EBIT"), "cashflow": ("Operating Cash Flow", "Capital Expenditure")}
 CHAINS = {
     "receivables": ("Net Receivable", "Receivables", "Accounts Receivable"),
     "revenue": ("Total Revenue",),
@@ -151,7 +149,7 @@ def _backfill(s: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "prior_year_fallback": lambda s, sf: ST.prior_year(lines(s, sf)).select("ticker", "label", rounded(F.col("prior"), 2).alias("prior"), "source"),
-    "annual_fallback": lambda s, sf: ST.source_blocks(lines(s, sf), DECISIVE).select("ticker", "statement", "label", rounded(F.col("value"), 2).alias("value"), "source"),
+    "annual_fallback": lambda s, sf: ST.source_blocks(lines(s, sf), config.DECISIVE).select("ticker", "statement", "label", rounded(F.col("value"), 2).alias("value"), "source"),
     "beneish_inputs": lambda s, sf: ST.current_and_prior(lines(s, sf), CHAINS).select("ticker", *[rounded(F.col(c), 2).alias(c) for f in CHAINS for c in (f, f"{f}_prior")]),
     "factor_returns_scan": lambda s, sf: factors(s, sf).select("dt", *[rounded(F.col(f"`{c}`"), 10).alias(c.replace("-", "_")) for c in ("Mkt-RF", "SMB", "HML", "RMW", "CMA", "RF", "UMD")]),
     "ff_regression": lambda s, sf: regression(s, sf).select("portfolio", "window", "factor", *[rounded(F.col(c), 6).alias(c) for c in ("coefficient", "r2", "r2_adjusted")], rounded(F.col("f_value"), 3).alias("f_value"), "n"),
@@ -235,7 +233,7 @@ _BEST = lambda f, k: rd(f"arg_min(value, place) FILTER (field = '{f}' AND k = {k
 
 ORACLE_SQL = {
     "prior_year_fallback": f"WITH {LN}, q AS (SELECT ticker, label, CASE WHEN count(*) FILTER (k >= 4 AND k < 8) = 4 THEN sum(value) FILTER (k >= 4 AND k < 8) END AS ltm FROM n WHERE freq = 'Q' GROUP BY ticker, statement, label), a AS (SELECT ticker, label, value FROM n WHERE freq = 'A' AND k = 1) SELECT coalesce(q.ticker, a.ticker) AS ticker, coalesce(q.label, a.label) AS label, {rd('coalesce(ltm, value)', 2)} AS prior, CASE WHEN ltm IS NOT NULL THEN 'quarterly' WHEN value IS NOT NULL THEN 'annual' END AS source FROM q FULL JOIN a ON q.ticker = a.ticker AND q.label = a.label",
-    "annual_fallback": f"WITH {LN}, q AS (SELECT ticker, statement, label, CASE count(*) FILTER (k < 4) WHEN 4 THEN sum(value) FILTER (k < 4) WHEN 3 THEN sum(value) FILTER (k < 4) * 4 / 3 END AS ltm FROM n WHERE freq = 'Q' AND statement IN ('income', 'cashflow') GROUP BY 1, 2, 3), a AS (SELECT ticker, statement, label, value AS annual FROM n WHERE freq = 'A' AND statement IN ('income', 'cashflow') AND k = 0), b AS (SELECT coalesce(q.ticker, a.ticker) AS ticker, coalesce(q.statement, a.statement) AS statement, coalesce(q.label, a.label) AS label, ltm, annual FROM q FULL JOIN a ON q.ticker = a.ticker AND q.label = a.label AND q.statement = a.statement), c AS (SELECT *, count(ltm) FILTER ({' OR '.join(f"(statement = '{st}' AND label IN ({', '.join(repr(x) for x in xs)}))" for st, xs in DECISIVE.items())}) OVER (PARTITION BY ticker, statement) > 0 AS quarterly FROM b), d AS (SELECT ticker, statement, label, CASE WHEN quarterly THEN ltm ELSE annual END AS value, CASE WHEN quarterly THEN 'quarterly' ELSE 'annual' END AS source FROM c) SELECT ticker, statement, label, {rd('value', 2)} AS value, source FROM d WHERE value IS NOT NULL",
+    "annual_fallback": f"WITH {LN}, q AS (SELECT ticker, statement, label, CASE count(*) FILTER (k < 4) WHEN 4 THEN sum(value) FILTER (k < 4) WHEN 3 THEN sum(value) FILTER (k < 4) * 4 / 3 END AS ltm FROM n WHERE freq = 'Q' AND statement IN ('income', 'cashflow') GROUP BY 1, 2, 3), a AS (SELECT ticker, statement, label, value AS annual FROM n WHERE freq = 'A' AND statement IN ('income', 'cashflow') AND k = 0), b AS (SELECT coalesce(q.ticker, a.ticker) AS ticker, coalesce(q.statement, a.statement) AS statement, coalesce(q.label, a.label) AS label, ltm, annual FROM q FULL JOIN a ON q.ticker = a.ticker AND q.label = a.label AND q.statement = a.statement), c AS (SELECT *, count(ltm) FILTER ({' OR '.join(f"(statement = '{st}' AND label IN ({', '.join(repr(x) for x in xs)}))" for st, xs in config.DECISIVE.items())}) OVER (PARTITION BY ticker, statement) > 0 AS quarterly FROM b), d AS (SELECT ticker, statement, label, CASE WHEN quarterly THEN ltm ELSE annual END AS value, CASE WHEN quarterly THEN 'quarterly' ELSE 'annual' END AS source FROM c) SELECT ticker, statement, label, {rd('value', 2)} AS value, source FROM d WHERE value IS NOT NULL",
     "beneish_inputs": f"WITH {LN}, ch(field, place, label) AS (VALUES {', '.join(f'({f!r}, {i}, {x!r})' for f, xs in CHAINS.items() for i, x in enumerate(xs))}), j AS (SELECT n.ticker, n.k, n.value, field, place FROM n JOIN ch ON lower(n.label) = lower(ch.label) WHERE freq = 'A' AND k <= 1) SELECT ticker, {', '.join(f'{_BEST(f, 0)} AS {f}, {_BEST(f, 1)} AS {f}_prior' for f in CHAINS)} FROM j GROUP BY ticker",
     "factor_returns_scan": f"{FAC} SELECT a.dt, {', '.join(f'{rd(f'{x} / 100', 10)} AS {y}' for x, y in (('mkt', 'Mkt_RF'), ('smb', 'SMB'), ('hml', 'HML'), ('rmw', 'RMW'), ('cma', 'CMA'), ('rf', 'RF'), ('mom', 'UMD')))} FROM a JOIN b ON a.dt = b.dt",
     "ff_regression": _regression_sql(f"portfolio, win AS window, factor, {rd('coefficient', 6)} AS coefficient, {rd('r2', 6)} AS r2, {rd('r2_adjusted', 6)} AS r2_adjusted, {rd('f_value', 3)} AS f_value, n"),

@@ -127,13 +127,11 @@ def _one(name: str):
     return lambda s, sf: metrics(s, sf).select("ticker", rounded(F.col(name), digits(name)).alias(name))
 
 
-KEY = [m for m in SQL if m not in ("return_12m", "recv_rev_divergence", "eps_ratio")][:18]
 QUERIES = {
     "metrics_all": lambda s, sf: metrics(s, sf).select("ticker", "is_bank", *[rounded(F.col(m), digits(m)).alias(m) for m in SQL], *FLAGS),
     "ev_resolved": lambda s, sf: metrics(s, sf).select("ticker", rounded(F.col("ev"), 2).alias("ev"), "ev_flag"),
     "bank_like": lambda s, sf: metrics(s, sf).select("ticker", "is_bank"),
     "bank_null_mask": lambda s, sf: metrics(s, sf).groupBy("is_bank").agg(*[F.count(m).alias(m) for m in ("ev_ebitda", "ev_sales", "roic", "gross_profit_assets", "debt_equity", "pb_ratio", "roe", "roa", "equity_ratio")]),
-    "provenance": lambda s, sf: M.provenance(metrics(s, sf), KEY),
     "eps_mismatch_list": lambda s, sf: metrics(s, sf).where("eps_basis_mismatch").select("ticker", "eps_ratio").orderBy("ticker").limit(5),
     **{f"{k}": (lambda k: lambda s, sf: metrics(s, sf).where(k).select("ticker"))(k) for k in FLAGS},
     **{m: _one(m) for m in SQL if m != "return_12m"},
@@ -143,7 +141,6 @@ ORACLE_SQL = {
     "ev_resolved": f"{SRC} SELECT ticker, {rd('ev', 2)} AS ev, ev_flag FROM e",
     "bank_like": f"{SRC} SELECT ticker, b AS is_bank FROM e",
     "bank_null_mask": f"{SRC} SELECT b AS is_bank, {', '.join(f'count({SQL[m]}) AS {m}' for m in ('ev_ebitda', 'ev_sales', 'roic', 'gross_profit_assets', 'debt_equity', 'pb_ratio', 'roe', 'roa', 'equity_ratio'))} FROM e GROUP BY 1",
-    "provenance": f"{SRC} SELECT ticker, CAST({' + '.join(f'CAST(({SQL[m]}) IS NOT NULL AS INT)' for m in KEY)} AS INT) AS present, {len(KEY)} AS total FROM e",
     "eps_mismatch_list": f"{SRC} SELECT ticker, {rd(RATIO, 2)} AS eps_ratio FROM e WHERE {FLAGS['eps_basis_mismatch']} ORDER BY ticker LIMIT 5",
     **{k: f"{SRC} SELECT ticker FROM e WHERE {x}" for k, x in FLAGS.items()},
     **{m: f"{SRC} SELECT ticker, {rd(x, digits(m))} AS {m} FROM e" for m, x in SQL.items() if m != "return_12m"},

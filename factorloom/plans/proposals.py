@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.stats import rounded
 from ..operators import proposals as P
-from ..operators import statements as ST
 from ..sources import views as V
 from . import backtests as BT
 from . import fundamentals as FD
-from . import records as RC
 from . import series as SR
 from .scoring import rd
 
@@ -57,18 +55,9 @@ QUERIES = {
     "metric_evolution": lambda s, sf: P.metric_evolution(metric_trends(s, sf), run=RUN, candidates=config.CANDIDATES),
     "bt_price_date": lambda s, sf: _price_date(s, sf),
     "return_12m": lambda s, sf: FD.metrics(s, sf).select("ticker", rounded(F.col("return_12m"), 5).alias("return_12m")),
-    "acc_statement_dates": lambda s, sf: ST.freshness(RC.lines(s, sf).where("label = 'Total Revenue'"), RC.AS_OF).select("ticker", F.col("newest").alias("a")).join(ST.freshness(RC.lines(s, sf).where("label = 'Tax Provision' and value is not null"), RC.AS_OF).select("ticker", F.col("newest").alias("b")), "ticker").where("a <> b"),
-    "acc_recompute": lambda s, sf: _recompute(s, sf),
 }
 
 
-def _recompute(s: SparkSession, sf: str) -> DataFrame:
-    """Earnings yields computed anew from prices and shares, against the scored ones."""
-    f = V.view(s, sf, V.FUNDAMENTALS).select("ticker", (F.col("net_income") / F.when(F.col("market_cap") > 0, F.col("market_cap"))).alias("anew"), (F.col("trailing_eps") / F.when(F.col("price") > 0, F.col("price"))).alias("by_share"))
-    out = FD.metrics(s, sf).select("ticker", "earnings_yield").join(f, "ticker")
-    return out.where(F.abs(F.col("earnings_yield") - F.col("by_share")) > 0.005).select("ticker", rounded(F.col("earnings_yield"), 6).alias("scored"), rounded(F.col("by_share"), 6).alias("by_share"))
-
-
 def _price_date(s: SparkSession, sf: str) -> DataFrame:
     """First trading day from five days before each month's end on: both meet by month, or by the next one."""
     ends = SR.months(s, sf).select("month_end").withColumn("m", F.explode(F.array(F.trunc("month_end", "month"), F.add_months(F.trunc("month_end", "month"), 1))))
@@ -102,6 +91,4 @@ ORACLE_SQL = {
     "metric_evolution": f"WITH {CHANGES} SELECT * FROM ch",
     "bt_price_date": f"WITH {SR.D}{SR.MK}, {SR.MO} SELECT mm.month_end, min(dt) AS price_date FROM mm JOIN k ON dt >= mm.month_end - 5 GROUP BY 1",
     "return_12m": f"{FD.SRC} SELECT ticker, {rd(FD.SQL['return_12m'], 5)} AS return_12m FROM e",
-    "acc_statement_dates": f"WITH {RC.L} SELECT ticker, max(period_end) FILTER (label = 'Total Revenue') AS a, max(period_end) FILTER (label = 'Tax Provision' AND value IS NOT NULL) AS b FROM l GROUP BY 1 HAVING a <> b",
-    "acc_recompute": f"{FD.SRC}, z AS (SELECT ticker, {FD.SQL['earnings_yield']} AS y, CASE WHEN price > 0 THEN trailing_eps / price END AS x FROM e) SELECT ticker, {rd('y', 6)} AS scored, {rd('x', 6)} AS by_share FROM z WHERE abs(y - x) > 0.005",
 }

@@ -11,15 +11,20 @@ from .. import config
 from ..functions.stats import rounded
 from ..operators import correlation as CO
 from ..operators import diagnostics as D
+from ..operators import assembly as A
 from ..operators import mentions as ME
+from ..operators import metrics as MT
 from ..operators import portfolio as P
+from ..operators import prices as PR
 from ..operators import reports as R
 from ..operators import scoring as S
+from ..operators import statements as ST
 from ..sources import views
 from . import fundamentals as FD
 from .scoring import CATS, M, METRICS, MISSING, PCT, RAW, SCORED, SCORES, TALL, W, metrics, missing, ranked, raw_scored, rd, scored, tall
 
 CAPS = config.CATEGORY_WEIGHTS
+SNAPSHOT = ["market_cap", "enterprise_value", "revenue", "revenue_growth_yoy", "net_income", "ni_growth_yoy", "ebitda", "gross_margin", "net_margin", "fcf", "total_debt", "total_cash", "net_debt", "dividend_yield", "payout_ratio", "shares", "trailing_eps", "forward_eps", "dollar_volume", "short_ratio"]
 
 
 def fundamentals(s: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +76,58 @@ def _rule(name: str):
     return lambda s, sf: D.fundamentals_rules(fundamentals(s, sf))[name]
 
 
+def provenance(s: SparkSession, sf: str) -> DataFrame:
+    lines = views.view(s, sf, views.STATEMENT_LINES).unionByName(views.view(s, sf, views.ANNUAL_LINES))
+    sources = ST.source_blocks(lines, config.DECISIVE).where("statement = 'income'").groupBy("ticker").agg(F.max("source").alias("source"))
+    partial = ST.partial_labels(ST.ltm(lines)).select("ticker", "annualized")
+    targets = fundamentals(s, sf).select("ticker", "target_price", F.col("n_analysts").alias("analysts"))
+    return MT.provenance(metrics(s, sf), config.KEY_METRICS, sources, partial, targets)
+
+
+def bands(s: SparkSession, sf: str) -> DataFrame:
+    """Sectors against the universe, exposures, stability of the best under other weights, and correlations of categories."""
+    book = P.weight_score(port(s, sf))
+    return R.summary_bands(
+        {
+            "sector_delta": P.versus_benchmark(book, fundamentals(s, sf), "market_cap").select(F.col("sector").alias("item"), F.col("active").alias("value")),
+            "exposure": P.factor_exposure(book, CATS).select(F.col("category").alias("item"), F.col("exposure").alias("value")),
+            "jaccard": D.weight_sensitivity(raw_scored(s, sf), W).select(F.concat_ws(" ", "category", "direction").alias("item"), F.col("jaccard").alias("value")),
+            "correlation": QUERIES["category_correlation"](s, sf).select(F.concat_ws(" ", "a", "b").alias("item"), F.col("rho").alias("value")),
+        }
+    )
+
+
+def recompute(s: SparkSession, sf: str) -> DataFrame:
+    """Scored values against the vendor's fields; the vendor's beta is that of returns aligned from the end, without dates."""
+    rets = PR.log_returns(A.trailing(views.view(s, sf, views.PRICES_PAIRED)))
+    market = PR.log_returns(A.trailing(views.view(s, sf, views.MARKET_DAILY).withColumn("ticker", F.lit("all")))).select("dt", "ret")
+    theirs = fundamentals(s, sf).select("ticker", F.col("series")).join(PR.beta_tail_aligned(rets, market).select(F.col("ticker").alias("series"), "beta"), "series").select("ticker", "beta")
+    raw = fundamentals(s, sf).select("ticker", "enterprise_value", "ebitda", "trailing_eps", "forward_eps", "price")
+    return D.recomputed(metrics(s, sf), raw, theirs)
+
+
+FLAGS = ("beneish_flag", "channel_stuffing_flag", "eps_basis_mismatch", "ev_flag")
+
+
+def best_ten(s: SparkSession, sf: str) -> DataFrame:
+    """Raw values and flags of the ten best."""
+    best = scored(s, sf).where("rank <= 10").select("ticker", "rank", "composite", "value_trap", "growth_trap")
+    raw = FD.metrics(s, sf).select("ticker", *FLAGS, "eps_ratio")
+    quotes = fundamentals(s, sf).select("ticker", "price", "target_price", "n_analysts")
+    shown = metrics(s, sf).select("ticker", *R.SHOWN)
+    out = best.join(shown, "ticker").join(raw, "ticker").join(quotes, "ticker").join(provenance(s, sf).select("ticker", "present", "total", "source", "annualized"), "ticker", "left")
+    return out.select("rank", "ticker", "composite", "value_trap", "growth_trap", *FLAGS, rounded(F.col("eps_ratio"), 2).alias("eps_ratio"), *R.SHOWN, *[rounded(F.col(c), 4).alias(c) for c in ("price", "target_price")], "n_analysts", "present", "total", "source", "annualized")
+
+
 QUERIES = {
+    "provenance": lambda s, sf: provenance(s, sf).withColumn("target_price", rounded(F.col("target_price"), 4)),
+    "eps_mismatch_counts": lambda s, sf: FD.metrics(s, sf).select("ticker", "eps_basis_mismatch").join(provenance(s, sf).select("ticker", "annualized"), "ticker").agg(F.count_if("eps_basis_mismatch").alias("eps_mismatches"), F.count_if("annualized").alias("annualized"), F.count(F.lit(1)).alias("n")),
+    "acc_recompute": lambda s, sf: recompute(s, sf).select("ticker", "check", *[rounded(F.col(c), 4).alias(c) for c in ("scored", "anew")]),
+    "acc_statement_dates": lambda s, sf: D.misaligned_dates(views.view(s, sf, views.STATEMENT_LINES).where("value is not null").unionByName(views.view(s, sf, views.ANNUAL_LINES).where("statement = 'balance'"))),
+    "rpt_summary_bands": lambda s, sf: bands(s, sf),
+    "rpt_validation_top10": lambda s, sf: best_ten(s, sf),
+    "rpt_company_snapshot": lambda s, sf: R.company_snapshot(fundamentals(s, sf)).select("ticker", *[rounded(F.col(c), 4).alias(c) for c in SNAPSHOT]),
+    "rpt_category_forensics": lambda s, sf: R.category_forensics(raw_scored(s, sf), W).select("ticker", "category", *[rounded(F.col(c), 6).alias(c) for c in ("score", "points")], "weight"),
     "pf_eligible": lambda s, sf: P.eligible(with_fields(s, sf), least_volume=0.0).select("ticker", "composite"),
     "pf_select": lambda s, sf: port(s, sf).select(*PF),
     "pf_rank": lambda s, sf: port(s, sf).select("port_rank", "ticker", "composite"),
@@ -102,13 +158,10 @@ QUERIES = {
     "rpt_score_forensics": lambda s, sf: R.score_forensics(ranked(s, sf)).select("ticker", "category", "metric", rounded(F.col("value"), 6).alias("value"), rounded(F.col("pct"), 6).alias("pct"), "weight", rounded(F.col("points"), 6).alias("points")),
     "rpt_metric_dictionary": lambda s, sf: config.metric_dimension(s).join(missing(s, sf), "metric", "left").select("metric", "category", "higher", "generic", "bank", "missing_pct"),
     "rpt_quality_summary": lambda s, sf: missing(s, sf).agg(F.count(F.lit(1)).alias("metrics"), rounded(F.lit(100) - F.avg("missing_pct"), 4).alias("coverage")).crossJoin(FD.metrics(s, sf).agg(F.count_if("eps_basis_mismatch").alias("eps_mismatches"))),
-    "rpt_validation_top10": lambda s, sf: scored(s, sf).where("rank <= 10").join(metrics(s, sf).select("ticker", *METRICS[:6]), "ticker").select("rank", "ticker", "composite", *[rounded(F.col(c), 6).alias(c) for c in METRICS[:6]], "value_trap"),
-    "rpt_company_snapshot": lambda s, sf: fundamentals(s, sf).select("ticker", *[rounded(F.try_divide(F.col(a), F.col(b)), 6).alias(c) for a, b, c in (("gross_profit", "revenue", "gross_margin"), ("revenue", "revenue_prior", "sales_ratio"), ("net_income", "revenue", "net_margin"), ("ebit", "revenue", "ebit_margin"), ("dividend_rate", "price", "dividend_yield"))], rounded(F.col("ocf") + F.col("capex"), 2).alias("fcf"), rounded(F.col("total_debt") - F.col("total_cash"), 2).alias("net_debt")),
     "rpt_sensitivity_pairs": lambda s, sf: D.weight_sensitivity(raw_scored(s, sf), W).groupBy("category").pivot("direction", ["up", "down"]).agg(F.first("jaccard")),
     "weight_sensitivity": lambda s, sf: D.weight_sensitivity(raw_scored(s, sf), W),
     "sensitivity_summary": lambda s, sf: D.sensitivity_summary(D.weight_sensitivity(raw_scored(s, sf), W)),
     "ranking_impact": lambda s, sf: D.ranking_impact(raw_scored(s, sf), W, PROPOSED),
-    "rpt_summary_bands": lambda s, sf: P.factor_exposure(P.weight_score(port(s, sf)), CATS).select("category", "exposure", R.band(F.col("exposure"), [(65.0, "strong"), (50.0, "fair")], "weak").alias("band")),
     "category_correlation": lambda s, sf: CO.spearman(spearman_source(raw_scored(s, sf), SCORES), names=SCORES),
     "metric_correlation": lambda s, sf: CO.spearman(ranked(s, sf).select("ticker", F.col("metric").alias("name"), rounded(F.col("pct"), 6).alias("value")), names=METRICS),
     "dispersion": lambda s, sf: D.dispersion(raw_scored(s, sf), CATS),
@@ -207,7 +260,33 @@ IMPACT = lambda w: " + ".join(f"{float(v)}::DOUBLE * coalesce({c}_score, 0)" for
 PCT_T = PCT.replace("SELECT ticker, sector, is_bank, metric, category, generic, weight, CASE WHEN higher", "SELECT ticker, sector, is_bank, metric, category, generic, weight, value, CASE WHEN higher")
 ROUND_SCORES = ", ".join(f"{rd(c, 6)} AS {c}" for c in SCORES)
 
+SOURCES = f"la AS (SELECT * FROM {views.oracle(views.STATEMENT_LINES)} v UNION ALL SELECT * FROM {views.oracle(views.ANNUAL_LINES)} v), lk AS (SELECT *, row_number() OVER (PARTITION BY ticker, statement, freq, label ORDER BY period_end DESC) - 1 AS k FROM la WHERE value IS NOT NULL), ls AS (SELECT ticker, statement, label, count(*) FILTER (freq = 'Q' AND k < 4) AS q, count(*) FILTER (freq = 'A' AND k = 0) AS a FROM lk GROUP BY 1, 2, 3), lt AS (SELECT ticker, CASE WHEN bool_or(statement = 'income' AND q >= 3 AND label IN ('Total Revenue', 'Net Income', 'EBIT')) THEN CASE WHEN bool_or(statement = 'income' AND q >= 3) THEN 'quarterly' END WHEN bool_or(statement = 'income' AND a > 0) THEN 'annual' END AS source, bool_or(q = 3) AS annualized FROM ls GROUP BY 1)"
+PROVENANCE = f"{SOURCES}, pv_ AS (SELECT m.ticker, CAST({' + '.join(f'CAST(m.{c} IS NOT NULL AS INT)' for c in config.KEY_METRICS)} AS INT) AS present, {len(config.KEY_METRICS)} AS total, coalesce(lt.source, 'unknown') AS source, coalesce(lt.annualized, false) AS annualized FROM m LEFT JOIN lt ON lt.ticker = m.ticker)"
+_TAIL = f"bt_a AS (SELECT ticker, ret, row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) AS i FROM z_r), bt_c AS (SELECT ret AS mkt, row_number() OVER (ORDER BY dt DESC) AS i FROM z_m), bt_v AS (SELECT ticker AS series, CASE WHEN count(*) >= 200 AND var_samp(mkt) > 0 THEN covar_samp(ret, mkt) / var_samp(mkt) END AS beta FROM bt_a JOIN bt_c USING (i) GROUP BY 1)"
+_CHECKS = [("ev_ebitda", "CASE WHEN enterprise_value <> 0 AND ebitda > 0 THEN enterprise_value / ebitda END", 0.5), ("earnings_yield", "CASE WHEN trailing_eps <> 0 AND price > 0 THEN trailing_eps / price END", 0.005), ("forward_eps_growth", "CASE WHEN forward_eps <> 0 AND abs(trailing_eps) > 0.01 THEN (forward_eps - trailing_eps) / abs(trailing_eps) END", 0.01), ("beta", "CASE WHEN bt_v.beta <> 0 AND m.beta IS NOT NULL THEN bt_v.beta END", 0.15)]
+_SNAP = {
+    "revenue_growth_yoy": rd("CASE WHEN abs(revenue_prior) > 0 THEN (revenue - revenue_prior) / abs(revenue_prior) END", 4), "ni_growth_yoy": rd("CASE WHEN abs(net_income_prior) > 0 THEN (net_income - net_income_prior) / abs(net_income_prior) END", 4),
+    "gross_margin": rd("CASE WHEN revenue > 0 THEN gross_profit / revenue END", 4), "net_margin": rd("CASE WHEN revenue > 0 THEN net_income / revenue END", 4), "fcf": rd("ocf - abs(capex)", 2), "net_debt": rd("total_debt - total_cash", 2), "dividend_yield": rd("CASE WHEN price > 0 THEN dividend_rate / price END", 4),
+}
+
+
+def bands_sql() -> str:
+    exposure = " UNION ALL ".join(f"SELECT '{c}' AS item, {mean_w(f'coalesce({c}_score, 50)')} AS value FROM ws" for c in CATS)
+    return f"""WITH z1 AS ({ORACLE_SQL['pf_vs_benchmark']}), z2 AS (WITH {SCORE_W} {exposure}), z3 AS ({ORACLE_SQL['weight_sensitivity']}), z4 AS ({ORACLE_SQL['category_correlation']})
+ SELECT 'sector_delta' AS summary, sector AS item, active AS value, CASE WHEN abs(active) <= 5 THEN 'near' WHEN abs(active) <= 10 THEN 'off' ELSE 'far' END AS band FROM z1
+ UNION ALL SELECT 'exposure', item, value, CASE WHEN value >= 65 THEN 'strong' WHEN value >= 50 THEN 'fair' ELSE 'weak' END FROM z2
+ UNION ALL SELECT 'jaccard', category || ' ' || direction, jaccard, CASE WHEN jaccard >= 0.85 THEN 'robust' WHEN jaccard < 0.7 THEN 'sensitive' ELSE 'fair' END FROM z3
+ UNION ALL SELECT 'correlation', a || ' ' || b, rho, CASE WHEN rho IS NULL THEN NULL WHEN abs(rho) > 0.99 THEN 'same' WHEN abs(rho) > 0.8 THEN 'very high' WHEN abs(rho) > 0.6 THEN 'high' ELSE 'low' END FROM z4"""
+
+
 ORACLE_SQL = {
+    "provenance": f"WITH {M}, {PROVENANCE} SELECT pv_.*, {rd('target_price', 4)} AS target_price, n_analysts AS analysts FROM pv_ JOIN z_e ON z_e.ticker = pv_.ticker",
+    "eps_mismatch_counts": f"WITH {M}, {PROVENANCE} SELECT count(*) FILTER ({FD.FLAGS['eps_basis_mismatch']}) AS eps_mismatches, count(*) FILTER (annualized) AS annualized, count(*) AS n FROM pv_ JOIN z_e ON z_e.ticker = pv_.ticker",
+    "acc_recompute": f"WITH {M}, {_TAIL}, x AS (" + " UNION ALL ".join(f"SELECT m.ticker, '{c}' AS \"check\", m.{c} AS scored, {anew} AS anew, {most}::DOUBLE AS most FROM m JOIN z_e ON z_e.ticker = m.ticker LEFT JOIN bt_v ON bt_v.series = z_e.series" for c, anew, most in _CHECKS) + f") SELECT ticker, \"check\", {rd('scored', 4)} AS scored, {rd('anew', 4)} AS anew FROM x WHERE anew IS NOT NULL AND (scored IS NULL OR abs(scored - anew) >= most)",
+    "acc_statement_dates": f"SELECT * FROM (SELECT ticker, max(period_end) FILTER (statement = 'income') AS income, max(period_end) FILTER (statement = 'balance') AS balance FROM (SELECT * FROM {views.oracle(views.STATEMENT_LINES)} v WHERE value IS NOT NULL UNION ALL SELECT * FROM {views.oracle(views.ANNUAL_LINES)} v WHERE statement = 'balance') z GROUP BY 1) y WHERE income <> balance",
+    "rpt_company_snapshot": f"WITH {FU} SELECT ticker, {', '.join(f'{rd(_SNAP.get(c, c), 4)} AS {c}' for c in SNAPSHOT)} FROM fu",
+    "rpt_category_forensics": f"WITH {RAW} " + " UNION ALL ".join(f"SELECT ticker, '{c}' AS category, {rd(f'{c}_score', 6)} AS score, {rd(f'{c}_score * {w}::DOUBLE', 6)} AS points, {float(w)}::DOUBLE AS weight FROM s" for c, w in W.items()),
+    "rpt_validation_top10": f"WITH {SCORED}, {FU}, {PROVENANCE} SELECT f.rank, f.ticker, f.composite, f.value_trap, f.growth_trap, {', '.join(f'(SELECT {FD.FLAGS.get(c, c)} FROM z_e WHERE z_e.ticker = f.ticker) AS {c}' for c in FLAGS)}, (SELECT {rd(FD.RATIO, 2)} FROM z_e WHERE z_e.ticker = f.ticker) AS eps_ratio, {', '.join(f'm.{c}' for c in R.SHOWN)}, {rd('fu.price', 4)} AS price, {rd('fu.target_price', 4)} AS target_price, fu.n_analysts, pv_.present, pv_.total, pv_.source, pv_.annualized FROM f JOIN m ON m.ticker = f.ticker JOIN fu ON fu.ticker = f.ticker LEFT JOIN pv_ ON pv_.ticker = f.ticker WHERE f.rank <= 10",
     "pf_eligible": f"WITH {ELIGIBLE} SELECT ticker, composite FROM e",
     "pf_select": f"WITH {PORT} SELECT ticker, sector, port_rank FROM pf",
     "pf_rank": f"WITH {PORT} SELECT port_rank, ticker, composite FROM pf",
@@ -238,13 +317,10 @@ ORACLE_SQL = {
     "rpt_score_forensics": f"WITH {PCT_T} SELECT ticker, category, metric, {rd('value', 6)} AS value, {rd('pct', 6)} AS pct, weight, CASE WHEN sum(weight) OVER (PARTITION BY ticker, category) > 0 THEN {rd('weight * pct / sum(weight) OVER (PARTITION BY ticker, category)', 6)} END AS points FROM p",
     "rpt_metric_dictionary": f"WITH {M}, {config.dimension_sql()}, mp AS ({MISSING}) SELECT metric, category, higher, generic, bank, missing_pct FROM dim LEFT JOIN mp USING (metric)",
     "rpt_quality_summary": f"WITH {M}, mp AS ({MISSING}) SELECT count(*) AS metrics, {rd('100 - avg(missing_pct)', 4)} AS coverage, (SELECT count(*) FROM z_e WHERE {FD.FLAGS['eps_basis_mismatch']}) AS eps_mismatches FROM mp",
-    "rpt_validation_top10": f"WITH {SCORED} SELECT rank, f.ticker, composite, {', '.join(f'{rd(f'm.{c}', 6)} AS {c}' for c in METRICS[:6])}, value_trap FROM f JOIN m ON f.ticker = m.ticker WHERE rank <= 10",
-    "rpt_company_snapshot": f"WITH {FU} SELECT ticker, {rd('gross_profit / nullif(revenue, 0)', 6)} AS gross_margin, {rd('revenue / nullif(revenue_prior, 0)', 6)} AS sales_ratio, {rd('net_income / nullif(revenue, 0)', 6)} AS net_margin, {rd('ebit / nullif(revenue, 0)', 6)} AS ebit_margin, {rd('dividend_rate / nullif(price, 0)', 6)} AS dividend_yield, {rd('ocf + capex', 2)} AS fcf, {rd('total_debt - total_cash', 2)} AS net_debt FROM fu",
     "rpt_sensitivity_pairs": f"WITH {SENS} SELECT category, max(jaccard) FILTER (direction = 'up') AS up, max(jaccard) FILTER (direction = 'down') AS down FROM sens GROUP BY category",
     "weight_sensitivity": f"WITH {SENS} SELECT * FROM sens",
     "sensitivity_summary": f"WITH {SENS} SELECT {rd('avg(jaccard)', 4)} AS mean, min(jaccard) AS least, (SELECT category FROM sens ORDER BY jaccard, category LIMIT 1) AS most_sensitive FROM sens",
     "ranking_impact": f"WITH {RAW}, a AS (SELECT ticker FROM s ORDER BY {rd(f'({IMPACT(W)}) / 100.0::DOUBLE', 9)} DESC, ticker LIMIT 20), b AS (SELECT ticker FROM s ORDER BY {rd(f'({IMPACT(PROPOSED)}) / {float(sum(PROPOSED.values()))}::DOUBLE', 9)} DESC, ticker LIMIT 20) SELECT coalesce(a.ticker, b.ticker) AS ticker, CASE WHEN a.ticker IS NOT NULL AND b.ticker IS NOT NULL THEN 'stays' WHEN b.ticker IS NOT NULL THEN 'enters' ELSE 'leaves' END AS change FROM a FULL JOIN b ON a.ticker = b.ticker",
-    "rpt_summary_bands": f"WITH {SCORE_W}, x2 AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category, {mean_w(f'coalesce({c}_score, 50)')} AS exposure FROM ws" for c in CATS) + ") SELECT *, CASE WHEN exposure >= 65 THEN 'strong' WHEN exposure >= 50 THEN 'fair' ELSE 'weak' END AS band FROM x2",
     "category_correlation": spearman_sql(RAW, f"SELECT ticker, name, value FROM (UNPIVOT s ON {', '.join(SCORES)} INTO NAME name VALUE value) z"),
     "metric_correlation": spearman_sql(PCT, f"SELECT ticker, metric AS name, {rd('pct', 6)} AS value FROM p"),
     "dispersion": f"WITH {RAW} " + " UNION ALL ".join(f"SELECT '{c}' AS category, CASE WHEN count({c}_score) >= 10 THEN {rd(f'stddev_samp({c}_score)', 4)} END AS dispersion FROM s" for c in CATS),
@@ -272,3 +348,4 @@ ORACLE_SQL = {
 from .scoring import COVERED  # noqa: E402
 
 ORACLE_SQL["dq_coverage_excluded"] = f"WITH {M} SELECT ticker FROM ({COVERED}) y WHERE NOT present >= greatest(1, floor(applicable * 0.8::DOUBLE))"
+ORACLE_SQL["rpt_summary_bands"] = bands_sql()

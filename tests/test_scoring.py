@@ -131,7 +131,67 @@ def test_spearman_is_pandas(spark):
         assert r.rho == pytest.approx(both[r.a].corr(both[r.b]), abs=6e-4)
 
 
-def test_entity_mentions(spark):
-    texts = spark.createDataFrame([(1, "Buy $ABC, not abcd."), (2, None), (3, "ABC abc")], "doc_id int, text string")
-    names = spark.createDataFrame([("abc inc", "ABC")], "entity string, word string")
-    assert sorted(r.doc_id for r in reports.entity_mentions(texts, names).collect()) == [1, 3]
+def test_dates_scored_together_are_scored_as_alone(spark):
+    r = random.Random(11)
+    names = ["fcf_yield", "earnings_yield", "roic", "gross_profit_assets", "piotroski_f_score", "accruals"]
+    rows = [(d, f"t{i}", r.choice("xy"), i % 7 == 0, *[None if r.random() < 0.1 else r.random() * (3 if d == "a" else 1) + (d == "b") for _ in names]) for d in "ab" for i in range(30)]
+    wide = spark.createDataFrame(rows, "as_of string, ticker string, sector string, is_bank boolean, " + ", ".join(f"{n} double" for n in names))
+    dimension = config.metric_dimension(spark)
+    got = {(x.as_of, x.ticker, x.metric): (x.pct, x.weight) for x in scoring.ranked_metrics(wide, dimension, names, keys=["as_of"]).collect()}
+    for d in "ab":
+        alone = scoring.ranked_metrics(wide.where(F.col("as_of") == d).drop("as_of"), dimension, names).collect()
+        assert {(d, x.ticker, x.metric): (x.pct, x.weight) for x in alone} == {k: v for k, v in got.items() if k[0] == d}
+
+
+def test_places_in_groups(spark):
+    from factorloom.functions.ranks import numbered
+
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), float(r.randint(0, 5)), f"t{i}") for i in range(300)]
+    got = numbered(spark.createDataFrame(rows, "g string, v double, t string"), ["g"], [F.col("v").desc(), F.col("t")])
+    want = {}
+    for g in ("a", "b", None):
+        mine = sorted([x for x in rows if x[0] == g], key=lambda x: (-x[1], x[2]))
+        want |= {x[2]: (i + 1, len(mine)) for i, x in enumerate(mine)}
+    assert {x.t: (x.nth, x.total) for x in got.collect()} == want
+
+
+def test_forward_correlations_against_pandas(spark):
+    r = random.Random(6)
+    rows = [(m, f"t{i}", r.choice([None, 1.0, float(r.randint(1, 9))]), r.random()) for m in (1, 2, 3) for i in range(15 if m == 3 else 40)]
+    after = [(m, t, None if r.random() < 0.2 else float(r.randint(-3, 3))) for m, t, *_ in rows if r.random() < 0.9]
+    got = backtest.ic_series(spark.createDataFrame(rows, "as_of int, ticker string, a double, b double"), spark.createDataFrame(after, "as_of int, ticker string, fwd double"), ["a", "b"])
+    found = {(x.as_of, x.factor): (x.n, round(x.ic, 5)) for x in got.collect()}
+    frame = pd.DataFrame(rows, columns=["as_of", "ticker", "a", "b"]).merge(pd.DataFrame(after, columns=["as_of", "ticker", "fwd"]), on=["as_of", "ticker"])
+    want = {}
+    for m, part in frame.groupby("as_of"):
+        for c in "ab":
+            both = part[[c, "fwd"]].dropna()
+            if len(both) >= 20:
+                want[m, c] = (len(both), round(both[c].rank().corr(both["fwd"].rank()), 5))
+    assert found == want and {m for m, _ in want} == {1, 2}
+
+
+def test_one_horizon(spark):
+    rows = [("1w", d, 0.1) for d in range(9)] + [("1m", d, 0.2) for d in range(6)]
+    df = spark.createDataFrame(rows, "horizon string, as_of int, ic double")
+    assert {x.horizon for x in backtest.one_horizon(df).collect()} == {"1m"}
+    assert {x.horizon for x in backtest.one_horizon(df.where("horizon = '1w'")).collect()} == {"1w"}
+    assert backtest.one_horizon(df, least=7).count() == 0
+
+
+def test_tables_are_kept_until_their_files_change(spark, tmp_path):
+    from factorloom.functions.kept import Kept
+
+    kept, made = Kept(["one"]), []
+
+    def make(s, folder):
+        made.append(folder)
+        return s.read.parquet(f"{folder}/one.parquet")
+
+    spark.range(3).write.parquet(f"{tmp_path}/one.parquet")
+    assert kept.get(spark, str(tmp_path), "x", make).count() == 3 and kept.get(spark, str(tmp_path), "x", make).count() == 3 and len(made) == 1
+    spark.range(2).write.mode("append").parquet(f"{tmp_path}/one.parquet")
+    assert kept.get(spark, str(tmp_path), "x", make).count() == 5 and len(made) == 2
+    kept.forget(str(tmp_path))
+    assert not kept.tables and kept.get(spark, str(tmp_path), "x", make).count() == 5 and len(made) == 3
