@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from .scratch import LOWER, SPACE_CHARS, UPPER, cut, integer_key, lanes
 
-NO_ID = np.iinfo(np.int64).min
+
+
+def document(docs: DataFrame, text: str, key: str) -> Column:
+    """What tells documents apart: the key; a row with a null key is known by its text."""
+    return F.coalesce(integer_key(docs, key), F.xxhash64(F.lit("no key"), F.col(text)))
 
 
 def line_key(line: Column) -> Column:
@@ -33,7 +37,7 @@ def row_id(key: Column, text: Column) -> Column:
 def occurrences(docs: DataFrame, text: str, key: str, least: int) -> DataFrame:
     """(h, h2, id, rid, pos): the 128-bit hash of each line's key, for keys of ``least`` code points or more."""
     lines = docs.select(
-        F.coalesce(integer_key(docs, key), F.lit(NO_ID)).alias("id"),
+        document(docs, text, key).alias("id"),
         row_id(F.col(key), F.col(text)).alias("rid"),
         F.posexplode(F.transform(lines_of(F.col(text)), line_key)).alias("pos", "key"),
     )
@@ -152,7 +156,7 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_bitmaps(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = 10, least: int = 1, keep_first: bool = False) -> DataFrame:
     """(id, rid, bitmap) of the documents that lose lines: one bit for each line up to the last one that
     goes, 1 for those that stay, packed and deflated. Other documents keep all and have no row.
-    ``id`` is the key (the smallest long for null), ``rid`` as in ``row_id``.
+    ``id`` is as in ``document``, ``rid`` as in ``row_id``.
     """
     drop = repeated_lines(docs, text, key, min_docs, least, keep_first)
     return drop.groupBy("id", "rid").agg(F.collect_set("pos").alias("places")).mapInArrow(_bitmap, "id long, rid long, bitmap binary")
@@ -183,12 +187,12 @@ def without_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_
     """Per row: the key, ``n_lines``, ``n_dropped``, ``kept_text``, ``kept_sha256``.
 
     The texts move once, to meet their bitmaps. Null and empty texts are one empty line, which with
-    ``least`` of 1 or more always stays. Documents are told apart by key (rows with a null key are
-    one document); keys are integers. Rows repeated with key and text get the same result. An empty
+    ``least`` of 1 or more always stays. Documents are told apart by key, rows with a null key
+    by their texts; keys are integers. Rows repeated with key and text get the same result. An empty
     table gives an empty table; other columns are not read.
     """
     maps = keep_bitmaps(docs, text, key, min_docs, least, keep_first).withColumnRenamed("rid", "map_rid")
-    rows = docs.select(integer_key(docs, key).alias("key"), F.coalesce(integer_key(docs, key), F.lit(NO_ID)).alias("row_key"), row_id(F.col(key), F.col(text)).alias("rid"), F.col(text).alias("text"))
+    rows = docs.select(integer_key(docs, key).alias("key"), document(docs, text, key).alias("row_key"), row_id(F.col(key), F.col(text)).alias("rid"), F.col(text).alias("text"))
     joined = rows.join(maps, (rows["row_key"] == maps["id"]) & (rows["rid"] == maps["map_rid"]), "left").select("key", "text", "bitmap")
     done = joined.mapInArrow(_apply, "key long, n_lines long, n_dropped long, kept string, sha string")
     return done.select(F.col("key").alias(key), "n_lines", "n_dropped", F.col("kept").alias("kept_text"), F.col("sha").alias("kept_sha256"))

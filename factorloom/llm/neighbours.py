@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import cut, integer_key
+from .scratch import cut, discard, integer_key
 
 
 def usable(vector: Column) -> Column:
@@ -25,8 +25,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two at their largest component: cosines stay as they are to the last digit, and no square overflows or vanishes."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -power)
+
+
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """For each vector its ``length`` nearest pivots by cosine, nearest first."""
+    vectors = scaled(vectors)
     norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
     near = (vectors / norms) @ pivots.T
     return np.argsort(-near, axis=1, kind="stable")[:, :length].astype(np.int16)
@@ -63,9 +70,9 @@ def candidates(query: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]],
 def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, n_pivots: int = 256, prefix: int = 64, share: float = 0.06, least: int = 256, block: int = 4096, query_block: int = 16384) -> DataFrame:
     """The ``k`` nearest by cosine of each row whose key is divisible by ``every``, among all other rows.
 
-    The index is fitted on ``n_pivots`` vectors, those with the smallest hashes of their keys: a
-    bounded sample. Every vector is represented by its ``prefix`` nearest pivots in order. Vectors
-    are dealt out to blocks by a hash of their key; a block posts its vectors in an inverted file by
+    The index is fitted on ``n_pivots`` vectors of each number of components, those with the smallest hashes
+    of their keys: a bounded sample. Every vector is represented by its ``prefix`` nearest pivots in order. Vectors
+    are dealt out to blocks by a hash of their row; a block posts its vectors in an inverted file by
     pivot, and each query reads the lists of its own pivots, ranks the block by footrule distance,
     and computes the exact cosine for the nearest ``share`` of the block (``least`` rows at least,
     and whatever ties with the last). Blocks of queries meet blocks of vectors; memory is bounded by
@@ -73,63 +80,65 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", e
 
     Columns: query_id, rank (from 1), vec_id, score (cosine of the original vectors in double
     precision); ties go to the smaller id. Vectors that are null, zero or hold null or non-finite
-    components, that have another dimension than most pivots, or whose key is null take no part. Rows
-    that share a key count once, with their smallest vector. Fewer candidates give fewer rows; an
+    components, or whose key is null, take no part. Vectors meet only those of as many components. Rows that share a
+    key are rows of their own, as queries and as candidates. Fewer candidates give fewer rows; an
     empty table gives an empty table. Other columns are not read.
     """
     spark = vectors.sparkSession
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    rows = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(integer_key(vectors, key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = cut(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
-    if not len(chosen):
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1)).select("query_id", "rank", "vec_id", "score")
-    lengths = chosen["v"].map(len)
-    dims = int(lengths.mode().iloc[0])
-    pivots = np.array([v for v in chosen["v"] if len(v) == dims], dtype=np.float64)
-    pivots /= np.sqrt((pivots * pivots).sum(axis=1, keepdims=True))
-    length = min(prefix, len(pivots))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("query_row", "query_id", "row", "vec_id")] + [T.StructField("score", T.DoubleType())])
+    rows = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.monotonically_increasing_id().alias("row"), integer_key(vectors, key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = cut(rows.withColumn("dims", F.size("v")), "vectors")
+    nth = F.row_number().over(Window.partitionBy("dims").orderBy(F.xxhash64("id"), "id", "row"))
+    chosen = rows.withColumn("nth", nth).where(F.col("nth") <= n_pivots).select("dims", "nth", "v").toPandas().sort_values(["dims", "nth"])
+    pivots = {}
+    for dims, some in chosen.groupby("dims"):
+        some = scaled(np.array(some["v"].tolist(), dtype=np.float64))
+        pivots[int(dims)] = some / np.sqrt((some * some).sum(axis=1, keepdims=True))
     shared = spark.sparkContext.broadcast(pivots)
 
     def permute(batches):
         for batch in batches:
-            table = pa.table({"id": batch.column("id"), "v": batch.column("v")})
-            prefixes = nearest_pivots(_matrix(table["v"], dims), shared.value, length) if table.num_rows else np.zeros((0, length), np.int16)
-            packed = pa.array([p.tobytes() for p in prefixes], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), packed], names=["id", "v", "prefix"])
-
-    rows = rows.where(F.size("v") == dims)
-    index = cut(rows.mapInArrow(permute, "id long, v array<double>, prefix binary"), "permutations")
+            sizes = batch.column("dims").to_numpy()
+            for dims in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == dims))
+                own = shared.value[dims]
+                prefixes = nearest_pivots(_matrix(part.column("v"), dims), own, min(prefix, len(own)))
+                packed = pa.array([p.tobytes() for p in prefixes], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "id", "dims", "v")), packed], names=["row", "id", "dims", "v", "prefix"])
+
+    index = cut(rows.mapInArrow(permute, "row long, id long, dims int, v array<double>, prefix binary"), "permutations")
+    discard(rows)
     asked = index.where(F.pmod("id", F.lit(every)) == 0)
     n, n_asked = index.count(), asked.count()
     blocks, query_blocks = -(-n // block) or 1, -(-n_asked // query_block) or 1
-    home = F.xxhash64("id")
+    home = F.xxhash64("row")
     held = index.withColumn("b", F.pmod(home, F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     sent = asked.withColumn("q", F.pmod(home, F.lit(query_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
-            ids, data = left["id"].to_numpy(), _matrix(left["v"], dims)
+            dims = int(left["dims"][0].as_py())
+            own, ids, data = left["row"].to_numpy(), left["id"].to_numpy(), scaled(_matrix(left["v"], dims))
             norms = np.sqrt(np.einsum("ij,ij->i", data, data))
+            count = len(shared.value[dims])
+            length = min(prefix, count)
             prefixes = np.frombuffer(b"".join(left["prefix"].to_pylist()), dtype=np.int16).reshape(-1, length)
-            postings = inverted_file(prefixes, len(shared.value))
+            postings = inverted_file(prefixes, count)
             wanted = max(least, int(share * len(ids)))
-            queries = _matrix(right["v"], dims)
+            queries = scaled(_matrix(right["v"], dims))
             asks = np.frombuffer(b"".join(right["prefix"].to_pylist()), dtype=np.int16).reshape(-1, length)
-            for qid, q, ask in zip(right["id"].to_pylist(), queries, asks, strict=True):
+            for mine, qid, q, ask in zip(right["row"].to_pylist(), right["id"].to_pylist(), queries, asks, strict=True):
                 near = candidates(ask, postings, len(ids), wanted + 1)
-                near = near[ids[near] != qid]
+                near = near[own[near] != mine]
                 score = np.einsum("ij,j->i", data[near], q) / (norms[near] * np.sqrt(np.einsum("i,i->", q, q)))
-                best = np.lexsort((ids[near], -score))[:k]
-                out.append((np.full(len(best), qid), ids[near][best], score[best]))
-        columns = [np.concatenate(c) if out else np.array([]) for c in (zip(*out, strict=True) if out else ([], [], []))]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    found = held.groupBy("b", "q").cogroup(sent.groupBy("b", "q")).applyInArrow(meet, schema)
-    from pyspark.sql import Window
+                best = np.lexsort((own[near], ids[near], -score))[:k]
+                out.append((np.full(len(best), mine), np.full(len(best), qid), own[near][best], ids[near][best], score[best]))
+        columns = [np.concatenate(c) if out else np.array([]) for c in (zip(*out, strict=True) if out else ([],) * 5)]
+        return pa.table({f.name: pa.array(c, pa.float64() if f.name == "score" else pa.int64()) for f, c in zip(schema.fields, columns, strict=True)})
 
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = held.groupBy("dims", "b", "q").cogroup(sent.groupBy("dims", "b", "q")).applyInArrow(meet, schema)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -149,13 +149,13 @@ WITH d AS (
 SELECT doc_id, source, n_text, slot, 'shard-' || lpad(CAST({sharding.lookup_table(SHARDS, SLOTS)}[slot + 1] AS VARCHAR), 2, '0') AS shard FROM d""",
     "op9_line_dedup": r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), 'no key ' || coalesce(text, '')) AS document, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), l AS (
-  SELECT rid, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d
+  SELECT rid, doc_id, document, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d
 ), k AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), many AS (
-  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT document) >= 10
 ), o AS (
   SELECT k.*, many.key IS NOT NULL AS gone FROM k LEFT JOIN many USING (key)
 )

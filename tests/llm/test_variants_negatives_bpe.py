@@ -286,3 +286,37 @@ def test_digest_query(spark, tik):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def neighbours_of(spark, rows: list[tuple]) -> list[tuple]:
+    from factorloom.llm import neighbours
+
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int, id int")
+    return sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in neighbours.search(frame).collect())
+
+
+def test_neighbours_keep_rows_of_one_key(spark):
+    assert neighbours_of(spark, [(50, [1.0, 0.0], 0, 0), (7, [0.0, 1.0], 0, 0), (7, [1.0, 0.01], 0, 0)]) == [(50, 1, 7, 0.999950004), (50, 2, 7, 0.0)]
+    twice = neighbours_of(spark, [(50, [1.0, 0.0], 0, 0), (50, [1.0, 1.0], 0, 0)])
+    assert twice == [(50, 1, 50, 0.707106781), (50, 1, 50, 0.707106781)]
+
+
+def test_neighbours_of_every_number_of_components(spark):
+    rows = [(i, [1.0, float(i)], 0, 0) for i in range(1, 9)] + [(100, [3.0, 1.0, 2.0], 0, 0), (101, [3.0, 1.0, 2.1], 0, 0)]
+    got = neighbours_of(spark, rows)
+    assert [r[:3] for r in got] == [(100, 1, 101)]
+
+
+def test_neighbours_of_extreme_sizes(spark):
+    rows = [(50, [1e200, 1e200], 0, 0), (7, [1e-200, 1e-200], 0, 0), (8, [1e-320, 0.0], 0, 0), (9, [-1e300, 1e300], 0, 0), (10, [0.0, 0.0], 0, 0), (11, [float("nan"), 1.0], 0, 0)]
+    assert neighbours_of(spark, rows) == [(50, 1, 7, 1.0), (50, 2, 8, 0.707106781), (50, 3, 9, 0.0)]
+
+
+def test_lines_of_rows_without_key(spark):
+    from factorloom.llm import line_dedup
+
+    rows = [(None, f"shared\nown {i}") for i in range(12)]
+    out = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()
+    assert sorted(r.kept_text for r in out) == sorted(f"own {i}" for i in range(12)) and {r.n_dropped for r in out} == {1}
+    few = line_dedup.without_repeated_lines(spark.createDataFrame(rows[:9], "doc_id long, text string"), min_docs=10).collect()
+    assert {r.n_dropped for r in few} == {0}
