@@ -65,6 +65,56 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     return meet(inside, sums, [*by, "part"]).withColumn(nth, F.col("offset") + F.col(nth)).drop("offset", "part")
 
 
+def placed_rows(rows: DataFrame, by: Sequence[str], inner: str, value: str = "value", key: str = "ticker") -> DataFrame:
+    """Rows with their places in their group (``below``, ``n``, ``total`` as in ``placed``), and in its part of one ``inner`` value (``inner_below``, ...).
+
+    One sort serves both: rows are cut into ranges by group, value and a hash of the key, each range counts by
+    itself, and a row for each range, group and inner value carries the counts of the ranges before. A value that
+    many rows share may fill several ranges; only the first and the last value of a range can, so their counts are
+    in that row too. Nothing is joined by value. Rows without value are left out.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.where(F.col(value).isNotNull()).repartitionByRange(parts, *by, value, F.xxhash64(key)).withColumn("part", F.spark_partition_id()), "ranges")
+    whole, own = [*by], [*by, inner]
+    here = stored(ranged.groupBy(*own, "part").agg(F.count(F.lit(1)).alias("here"), F.min(value).alias("low"), F.max(value).alias("high")), "range-counts")
+    # a row for each range, group and inner value from here on
+    ends = here.groupBy(*whole, "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("here").alias("all_here"))
+    upto = lambda g: Window.partitionBy(*g).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    ends = ends.select("*", none(F.sum("all_here").over(upto(whole))).alias("before"), F.sum("all_here").over(Window.partitionBy(*whole)).alias("total"))
+    here = here.select(*own, "part", none(F.sum("here").over(upto(own))).alias("inner_before"), F.sum("here").over(Window.partitionBy(*own)).alias("inner_total"))
+    at_ends = meet(ranged.select(*own, "part", value), ends.select(*whole, "part", "low", "high"), [*whole, "part"]).where((F.col(value) == F.col("low")) | (F.col(value) == F.col("high")))
+    runs = stored(at_ends.groupBy(*own, value, "part").agg(F.count(F.lit(1)).alias("run")), "runs")
+    all_runs = runs.groupBy(*whole, value, "part").agg(F.sum("run").alias("run"))
+
+    def along(df: DataFrame, g: Sequence[str], prefix: str) -> DataFrame:
+        """Of each value at an end of a range: how often it is in the ranges before, and in all."""
+        of = [*g, value]
+        return df.select(*of, "part", none(F.sum("run").over(upto(of))).alias(f"{prefix}prior"), F.sum("run").over(Window.partitionBy(*of)).alias(f"{prefix}ties"))
+
+    def at(df: DataFrame, name: str, g: Sequence[str], prefix: str, end: str) -> DataFrame:
+        one = along(df, g, prefix).withColumnsRenamed({value: end, f"{prefix}prior": f"{prefix}{name}_prior", f"{prefix}ties": f"{prefix}{name}_ties"})
+        return one
+
+    ends = meet(ends, at(all_runs, "low", whole, "", "low"), [*whole, "part", "low"], "left")
+    ends = meet(ends, at(all_runs, "high", whole, "", "high"), [*whole, "part", "high"], "left")
+    small = meet(here, ends.drop("all_here"), [*whole, "part"])
+    small = meet(small, at(runs, "low", own, "inner_", "low"), [*own, "part", "low"], "left")
+    small = stored(meet(small, at(runs, "high", own, "inner_", "high"), [*own, "part", "high"], "left"), "range-offsets")
+    mine, inside = Window.partitionBy("part", *whole).orderBy(value), Window.partitionBy("part", *own).orderBy(value)
+    ties = F.count(F.lit(1))
+    counted_ = ranged.select(
+        "*", (F.rank().over(mine) - 1).alias("_in"), ties.over(mine.rangeBetween(0, 0)).alias("_n"), (F.rank().over(inside) - 1).alias("_inner_in"), ties.over(inside.rangeBetween(0, 0)).alias("_inner_n")
+    )
+    met = meet(counted_, small, [*own, "part"])
+    first, last = F.col(value) == F.col("low"), F.col(value) == F.col("high")
+    columns = {}
+    for prefix in ("", "inner_"):
+        columns[f"{prefix}below"] = F.col(f"{prefix}before") + F.col(f"_{prefix}in") - F.when(first, none(F.col(f"{prefix}low_prior"))).otherwise(0)
+        columns[f"{prefix}n"] = F.when(first, F.col(f"{prefix}low_ties")).when(last, F.col(f"{prefix}high_ties")).otherwise(F.col(f"_{prefix}n"))
+    return met.select(*rows.columns, *[c.alias(n) for n, c in columns.items()], "total", "inner_total")
+
+
 def average_pct() -> Column:
     """Of rows of ``placed``: the rank with ties at their mean, over the number of rows, times 100."""
     return (F.col("below") + (F.col("n") + 1) / 2) / F.col("total") * 100

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import METRICS, OPTIONAL, REDUCIBLE
-from ..functions.ranks import average_pct, counted, meet, placed, quantiles
+from ..functions.ranks import average_pct, counted, meet, placed, placed_rows, quantiles
 from ..functions.stats import quantile, rounded, steady, weighted_mean
 from ..functions.store import stored
 
@@ -81,21 +81,34 @@ def pct_rank_sector(tall: DataFrame, least: int = 10, keys: Sequence[str] = ())
 
 
 def cleaned_ranks(tall: DataFrame, low: float = 0.01, high: float = 0.01, least: int = 10, keys: Sequence[str] = ()) -> DataFrame:
-    """``winsorize`` and then ``pct_rank_sector``, with one placing in the metric and one in the sector for both.
+    """``winsorize`` and then ``pct_rank_sector``, from one sort of the values of each metric for both.
 
-    Clamped values keep their order, so ranks of what is clamped follow from those of the values.
+    Clamped values keep their order, so ranks of what is clamped follow from those of the values: all at or
+    below the lowest value that stays tie there, and all at or above the highest.
     """
     by = [*keys, "metric"]
     tall = stored(tall, "values")
-    everywhere = placed(counted(tall, by), by)
-    limits = stored(clamp_limits(everywhere, low, high, least, by), "limits")
-
-    def again(at: DataFrame, groups: list[str]) -> DataFrame:
-        return clamped(at, limits, by).groupBy(*groups, "value", "total").agg(F.sum("n").alias("n"), F.min("below").alias("below"))
-
-    sector = [*by, "sector"]
-    ranks = sector_ranks(again(placed(counted(tall, sector), sector), sector), again(everywhere, by), least, by)
-    return meet(clamped(tall, limits, by), ranks, [*sector, "value"]).withColumn("pct", directed(F.col("pct"), F.col("higher")))
+    at = stored(placed_rows(tall, by, "sector"), "placed")
+    limits = stored(clamp_limits(at, low, high, least, by), "limits")
+    rows = meet(at, limits, by)
+    under, over = F.col("value") <= F.col("floor"), F.col("value") >= F.col("ceiling")
+    ends = stored(rows.groupBy(*by, "sector").agg(F.count_if(under).alias("inner_under"), F.count_if(over).alias("inner_over")), "ends")
+    every = ends.groupBy(*by).agg(F.sum("inner_under").alias("under"), F.sum("inner_over").alias("over"))
+    rows = meet(meet(rows, ends, [*by, "sector"]), every, by)
+    same = F.coalesce(F.col("floor") == F.col("ceiling"), F.lit(False))
+    for prefix in ("", "inner_"):
+        total, below, n = (F.col(f"{prefix}{c}") for c in ("total", "below", "n"))
+        rows = rows.withColumns(
+            {
+                f"{prefix}below": F.when(same | F.coalesce(under, F.lit(False)), 0).when(over, total - F.col(f"{prefix}over")).otherwise(below),
+                f"{prefix}n": F.when(same, total).when(under, F.col(f"{prefix}under")).when(over, F.col(f"{prefix}over")).otherwise(n),
+            }
+        )
+    pct = lambda prefix: (F.col(f"{prefix}below") + (F.col(f"{prefix}n") + 1) / 2) / F.col(f"{prefix}total") * 100
+    rank = F.when(F.col("inner_total") < least, pct("")).otherwise(pct("inner_"))
+    value = F.when(F.col("floor").isNull(), F.col("value")).otherwise(F.greatest("floor", F.least("ceiling", "value")))
+    out = rows.withColumns({"pct": directed(rank, F.col("higher")), "value": value})
+    return out.select(*[c for c in tall.columns], "pct")
 
 
 def logistic(pct: Column, steepness: float = 0.08) -> Column:

@@ -195,3 +195,33 @@ def test_tables_are_kept_until_their_files_change(spark, tmp_path):
     assert kept.get(spark, str(tmp_path), "x", make).count() == 5 and len(made) == 2
     kept.forget(str(tmp_path))
     assert not kept.tables and kept.get(spark, str(tmp_path), "x", make).count() == 5 and len(made) == 3
+
+
+@pytest.mark.parametrize("tasks", [1, 5, 23])
+def test_places_of_rows_whose_values_fill_many_ranges(spark, tasks):
+    from factorloom.functions.ranks import placed_rows
+
+    r = random.Random(tasks)
+    rows = [(m, f"t{i}", r.choice(["x", "y", None]), None if r.random() < 0.05 else 3.0 if r.random() < 0.5 else float(r.randint(0, 6))) for m in ("a", "b", "c") for i in range(5 if m == "c" else 200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        got = placed_rows(spark.createDataFrame(rows, "metric string, ticker string, sector string, value double"), ["metric"], "sector").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    there = [x for x in rows if x[3] is not None]
+    assert len(got) == len(there)
+    for x in got:
+        mine = [v for m, _, _, v in there if m == x.metric]
+        near = [v for m, _, s, v in there if m == x.metric and s == x.sector]
+        assert (x.below, x.n, x.total) == (sum(v < x.value for v in mine), mine.count(x.value), len(mine))
+        assert (x.inner_below, x.inner_n, x.inner_total) == (sum(v < x.value for v in near), near.count(x.value), len(near))
+
+
+def test_cleaned_ranks_equal_winsorize_and_rank(spark):
+    r = random.Random(8)
+    rows = [(m, f"t{i}", r.choice("xyz") if i % 40 else "few", m == "a", 5.0 if m == "c" else 2.0 if r.random() < 0.3 else r.gauss(0, 1)) for m in ("a", "b", "c", "d") for i in range(7 if m == "d" else 260)]
+    tall = spark.createDataFrame(rows, "metric string, ticker string, sector string, higher boolean, value double")
+    want = {(x.metric, x.ticker): (round(x.value, 9), round(x.pct, 6)) for x in scoring.pct_rank_sector(scoring.winsorize(tall)).collect()}
+    got = {(x.metric, x.ticker): (round(x.value, 9), round(x.pct, 6)) for x in scoring.cleaned_ranks(tall).collect()}
+    assert got == want
