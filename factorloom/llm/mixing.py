@@ -41,14 +41,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return found.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number over 0 and under 1 from the md5 of the seed and the key: the same in every run."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
+def known_by(key: Column, text: Column) -> Column:
+    """What a row draws its number by: its key, or without one its text, so that rows without key do not share a number."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def uniform(name: Column, seed: int) -> Column:
+    """A number over 0 and under 1 from the md5 of the seed and the name: the same in every run."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(name.cast("string"), F.lit("null"))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
 def draw(docs: DataFrame, goals: DataFrame, most: int = 2, seed: int = 7, inclusion: str | None = None) -> DataFrame:
-    """Copies of each row of ``docs(id, source, size)`` so that each source meets its target.
+    """Copies of each row of ``docs(id, source, size)`` so that each source meets its target; a column ``name`` in place of id gives the random number.
 
     A document is expected ``c = target / source_size`` times (times its own weight over the mean one,
     up to ``most``, if a column ``inclusion`` is named). It is taken ``floor(c)`` whole times for
@@ -72,7 +77,7 @@ def draw(docs: DataFrame, goals: DataFrame, most: int = 2, seed: int = 7, inclus
     c = F.least(F.lit(float(most)), F.coalesce(F.try_divide(F.col("target") * F.col("own"), F.col("source_size") * F.col("mean_own")), F.lit(0.0)))
     rows = rows.withColumn("expected", c).withColumn("sure", F.floor("expected").cast("long"))
     p = F.col("expected") - F.col("sure")
-    u = uniform(F.col("id"), seed)
+    u = uniform(F.col("name" if "name" in docs.columns else "id"), seed)
     odds = (u / (1 - u)) / (p / (1 - p))
     rows = rows.withColumn("rank", F.when((p > 0) & (F.col("size") > 0), odds))
     rows = rows.withColumn("class", F.floor(F.col("rank") / (1 + F.col("rank")) * F.lit(CLASSES)).cast("int"))
@@ -126,23 +131,29 @@ def _with_source(rows: DataFrame, sources: DataFrame, name: str = "source", how:
 def plan_mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
     """One row per document: key, ``size``, ``source_size``, ``target``, ``taken`` (words), ``copies``.
 
-    Null text has size 0 and is never taken; null sources are one source; a null key is ranked as the
-    text ``null``; repeated rows share a rank and are taken in turn. An empty table gives an empty
+    Null text has size 0 and is never taken; null sources are one source; a row with a null key is ranked
+    by its text; repeated rows share a rank and are taken in turn. An empty table gives an empty
     table. Other columns are not read.
     """
-    sizes = cut(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
-    out = draw(sizes, targets(sizes, weights, share, most), most, seed)
-    return out.select(F.col("id").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return _planned(docs, text, key, source, weights, share, most, seed).select(F.col("id").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def _planned(docs: DataFrame, text: str, key: str, source: str, weights: tuple[int, ...], share: float, most: int, seed: int) -> DataFrame:
+    """``draw`` for all rows, which also have a mark of their text."""
+    sizes = docs.select(F.col(key).alias("id"), known_by(F.col(key), F.col(text)).alias("name"), F.xxhash64(text).alias("mark"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sizes = cut(sizes, "sizes")
+    return draw(sizes, targets(sizes, weights, share, most), most, seed)
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken.
 
-    Only keys and copies travel besides the rows. Rows that share a key share the largest of their
-    numbers of copies.
+    Only keys, marks of texts and copies travel besides the rows. Rows are told apart by key, text and source; rows that
+    repeat all three share the largest of their numbers of copies, which differ only where the sample ends among them.
     """
-    mine, often, nth = own_name(docs, "its_key"), own_name(docs, "its_copies"), own_name(docs, "nth_copy")
-    copies = plan_mix(docs, text, key, source, weights, share, most, seed).groupBy(F.col(key).alias(mine)).agg(F.max("copies").alias(often))
-    copies = copies.where(copies[often] > 0)
-    joined = docs.join(copies, docs[key].eqNullSafe(copies[mine]))
+    mine, mark, of, often, nth = (own_name(docs, c) for c in ("its_key", "its_mark", "its_source", "its_copies", "nth_copy"))
+    planned = _planned(docs, text, key, source, weights, share, most, seed).where("copies > 0")
+    copies = planned.groupBy(F.col("id").alias(mine), F.col("mark").alias(mark), F.col("of_source").alias(of)).agg(F.max("copies").alias(often))
+    same = docs[key].eqNullSafe(copies[mine]) & (F.xxhash64(docs[text]) == copies[mark]) & docs[source].eqNullSafe(copies[of])
+    joined = docs.join(copies, same)
     return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), copies[often].cast("int")))).select(*[docs[c] for c in docs.columns])

@@ -101,7 +101,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mixing": r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, ''))) AS name, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -120,7 +120,7 @@ WITH RECURSIVE d AS (
 ), e AS (
   SELECT d.*, t.source_size, t.target,
     least(2.0::DOUBLE, coalesce(t.target / nullif(t.source_size, 0), 0)) AS expected,
-    (('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+    (('0x' || substr(md5('7:' || name), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), r AS (
   SELECT *, CAST(floor(expected) AS BIGINT) AS sure, expected - floor(expected) AS p FROM e

@@ -320,3 +320,21 @@ def test_lines_of_rows_without_key(spark):
     assert sorted(r.kept_text for r in out) == sorted(f"own {i}" for i in range(12)) and {r.n_dropped for r in out} == {1}
     few = line_dedup.without_repeated_lines(spark.createDataFrame(rows[:9], "doc_id long, text string"), min_docs=10).collect()
     assert {r.n_dropped for r in few} == {0}
+
+
+def test_mix_of_repeated_and_missing_keys(spark):
+    from pyspark.sql import functions as F
+
+    from factorloom.llm import mixing
+
+    r = random.Random(12)
+    rows = [(None if i % 5 == 0 else i // 2, " ".join(["w"] * r.randint(1, 400) + [str(i)]), f"s{i % 3}", i) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    plan = {(x.source_size, x.target): x.taken for x in mixing.plan_mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()}
+    mixed = mixing.mix(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("words")).collect()
+    assert sorted(x.words for x in mixed) == sorted(plan.values())
+    for (_, target), taken in plan.items():
+        assert abs(taken - target) <= 401
+    # rows without a key draw numbers of their own: some are taken, some are not, whatever their size
+    none = mixing.plan_mix(docs).where("doc_id is null and source_size > target / 1.9").groupBy("copies").count().collect()
+    assert len(none) > 1
