@@ -93,3 +93,35 @@ def test_steps_are_the_percentiles(spark):
     df = spark.createDataFrame(rows, "as_of int, ticker string, composite_raw double")
     got = {(r.as_of, r.ticker): r.composite for r in B.with_steps(df, "as_of").collect()}
     assert got == {(r.as_of, r.ticker): r.composite for r in S.composite_percentile(df, keys=["as_of"]).collect()}
+
+
+def test_rank_sums_store_keys_and_cells_not_rows(spark, kept_rows):
+    rng = random.Random(11)
+    rows = [(k, f"G{rng.randint(0, 6)}", rng.choice([rng.random() * 100, 50.0, float("inf"), -float("inf")]), rng.randint(1, 3)) for k in (1, 2) for _ in range(1500)] + [(3, "G0", 4.0, 2)]
+    got = {(r.k, r.g): (r.n, r.s, r.q) for r in B.rank_sums(spark.createDataFrame(rows, "k int, g string, value double, n long"), ["k"], "g").collect()}
+    want: dict = {}
+    for k in (1, 2, 3):
+        mine = [r for r in rows if r[0] == k]
+        total = sum(r[3] for r in mine)
+        for _, g, v, n in mine:
+            rank = sum(m * ((w <= v) + (w < v)) for _, _, w, m in mine) - total
+            a, b, c = want.get((k, g), (0, 0.0, 0.0))
+            want[k, g] = (a + n, b + n * rank, c + n * rank * rank)
+    assert got == want
+    assert max(kept_rows.values()) <= 3 * 64  # not one for each value
+
+
+def test_moving_metrics_of_a_month_in_one_pass(spark):
+    from factorloom.operators import prices as PR
+
+    rng = random.Random(13)
+    months = [f"{1995 + k // 12}-{k % 12 + 1:02d}-28" for k in range(30)]
+    prices = spark.createDataFrame([(f"S{t}", m, 100.0 + rng.random()) for t in range(4) for m in months[t * 3 :] if rng.random() < 0.9], "ticker string, month_end string, close double")
+    market = spark.createDataFrame([(m, 50.0 + rng.random()) for m in months], "month_end string, close double")
+    want = PR.momentum_monthly(prices).join(PR.vol_monthly(prices), ["ticker", "month_end"]).join(PR.beta_monthly(prices, market), ["ticker", "month_end"], "left")
+    order = ["ticker", "month_end", "mom_12_1", "mom_6_1", "vol", "beta"]
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in PR.moving_monthly(prices, market).select(*order).collect()}
+    expected = {tuple(r)[:2]: tuple(r)[2:] for r in want.select(*order).collect()}
+    assert got.keys() == expected.keys()
+    for k, v in expected.items():
+        assert [x is None for x in got[k]] == [x is None for x in v] and all(x is None or got[k][i] == pytest.approx(x) for i, x in enumerate(v))
