@@ -82,7 +82,7 @@ class WordCoder:
     through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -133,7 +133,7 @@ class WordCoder:
 _CODERS: dict[tuple[str, int], WordCoder] = {}
 
 
-def word_coder(path: str, most: int = 700_000) -> WordCoder:
+def word_coder(path: str, most: int = 200_000) -> WordCoder:
     """One for each worker process."""
     if (path, most) not in _CODERS:
         _CODERS[path, most] = WordCoder(path, most)

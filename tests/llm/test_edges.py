@@ -78,3 +78,12 @@ def test_pipeline_of_empty_tables_and_clashing_names(spark, tmp_path):
         labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()} == {1}
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_word_store_is_small_by_default():
+    import inspect
+
+    from factorloom.llm import tokens
+
+    assert inspect.signature(tokens.word_coder).parameters["most"].default <= 200_000
+    assert inspect.signature(tokens.WordCoder.__init__).parameters["most"].default <= 200_000
