@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.stats import rounded
+from ..functions.store import stored
 from ..operators import correlation as CO
 from ..operators import diagnostics as D
 from ..operators import assembly as A
@@ -27,8 +28,8 @@ CAPS = config.CATEGORY_WEIGHTS
 SNAPSHOT = ["market_cap", "enterprise_value", "revenue", "revenue_growth_yoy", "net_income", "ni_growth_yoy", "ebitda", "gross_margin", "net_margin", "fcf", "total_debt", "total_cash", "net_debt", "dividend_yield", "payout_ratio", "shares", "trailing_eps", "forward_eps", "dollar_volume", "short_ratio"]
 
 
-def fundamentals(s: SparkSession, sf: str) -> DataFrame:
-    return views.view(s, sf, views.FUNDAMENTALS)
+def fundamentals(s: SparkSession, sf: str, of: dict[str, DataFrame] | None = None) -> DataFrame:
+    return views.view(s, sf, views.FUNDAMENTALS, of)
 
 
 def with_fields(s: SparkSession, sf: str) -> DataFrame:
@@ -76,12 +77,14 @@ def _rule(name: str):
     return lambda s, sf: D.fundamentals_rules(fundamentals(s, sf))[name]
 
 
-def provenance(s: SparkSession, sf: str) -> DataFrame:
-    lines = views.view(s, sf, views.STATEMENT_LINES).unionByName(views.view(s, sf, views.ANNUAL_LINES))
+def provenance(s: SparkSession, sf: str, of: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Of all securities, or of those of the base tables ``of``."""
+    lines = views.view(s, sf, views.STATEMENT_LINES, of).unionByName(views.view(s, sf, views.ANNUAL_LINES, of))
     sources = ST.source_blocks(lines, config.DECISIVE).where("statement = 'income'").groupBy("ticker").agg(F.max("source").alias("source"))
     partial = ST.partial_labels(ST.ltm(lines)).select("ticker", "annualized")
-    targets = fundamentals(s, sf).select("ticker", "target_price", F.col("n_analysts").alias("analysts"))
-    return MT.provenance(metrics(s, sf), config.KEY_METRICS, sources, partial, targets)
+    targets = fundamentals(s, sf, of).select("ticker", "target_price", F.col("n_analysts").alias("analysts"))
+    known = metrics(s, sf) if of is None else metrics(s, sf).join(targets.select("ticker"), "ticker", "left_semi")
+    return MT.provenance(known, config.KEY_METRICS, sources, partial, targets)
 
 
 def bands(s: SparkSession, sf: str) -> DataFrame:
@@ -110,12 +113,13 @@ FLAGS = ("beneish_flag", "channel_stuffing_flag", "eps_basis_mismatch", "ev_flag
 
 
 def best_ten(s: SparkSession, sf: str) -> DataFrame:
-    """Raw values and flags of the ten best."""
-    best = scored(s, sf).where("rank <= 10").select("ticker", "rank", "composite", "value_trap", "growth_trap")
-    raw = FD.metrics(s, sf).select("ticker", *FLAGS, "eps_ratio")
-    quotes = fundamentals(s, sf).select("ticker", "price", "target_price", "n_analysts")
+    """Raw values and flags of the ten best: what is theirs alone is read from the base tables."""
+    best = stored(scored(s, sf).where("rank <= 10").select("ticker", "rank", "composite", "value_trap", "growth_trap"), "best")
+    of = views.of_securities(s, sf, best)
+    raw = FD.metrics(s, sf, of).select("ticker", *FLAGS, "eps_ratio")
+    quotes = fundamentals(s, sf, of).select("ticker", "price", "target_price", "n_analysts")
     shown = metrics(s, sf).select("ticker", *R.SHOWN)
-    out = best.join(shown, "ticker").join(raw, "ticker").join(quotes, "ticker").join(provenance(s, sf).select("ticker", "present", "total", "source", "annualized"), "ticker", "left")
+    out = best.join(shown, "ticker").join(raw, "ticker").join(quotes, "ticker").join(provenance(s, sf, of).select("ticker", "present", "total", "source", "annualized"), "ticker", "left")
     return out.select("rank", "ticker", "composite", "value_trap", "growth_trap", *FLAGS, rounded(F.col("eps_ratio"), 2).alias("eps_ratio"), *R.SHOWN, *[rounded(F.col(c), 4).alias(c) for c in ("price", "target_price")], "n_analysts", "present", "total", "source", "annualized")
 
 

@@ -141,3 +141,18 @@ def test_candidates_come_in_and_others_go_down(spark):
     df = spark.createDataFrame(rows, "category string, metric string, weight double, ewm double, positive_run int, negative_run int, positive_pct double")
     got = {(r.metric, r.action, r.new_weight) for r in proposals.metric_evolution(df, candidates=["new", "new2"]).collect()}
     assert got == {("new", "activate", 5.0), ("old", "lower", 15.0)}
+
+
+def test_views_of_a_few_securities_read_their_rows_only(spark):
+    from pyspark.sql import functions as F
+
+    from factorloom.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    some = views.base(spark, sf, "customer").orderBy("c_custkey").limit(3).select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("ticker"))
+    of = views.of_securities(spark, sf, some)
+    assert of["customer"].count() == 3 and of["lineitem"].count() < views.base(spark, sf, "lineitem").count()
+    key = [r.ticker for r in some.collect()]
+    for text in (views.FUNDAMENTALS, views.STATEMENT_LINES, views.ANNUAL_LINES):
+        mine, all_ = views.view(spark, sf, text, of), views.view(spark, sf, text)
+        assert sorted(map(str, mine.collect())) == sorted(map(str, all_.where(F.col("ticker").isin(key)).collect()))
