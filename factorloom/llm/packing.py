@@ -128,7 +128,7 @@ def pack_block(keys: list, coded: list[bytes], ends_sentence: np.ndarray, width:
     return columns, first + len(cuts) - 1
 
 
-def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 2048, costs: Costs = Costs(), end_id: int = 1, vocabulary: str | None = None, block: int = 256, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 2048, costs: Costs = Costs(), end_id: int = 1, vocabulary: str | None = None, block: int = 256, with_ids: bool = True, words: int = 200_000) -> DataFrame:
     """Sequences of at most ``width`` tokens, as a row for each piece of a document.
 
     Documents keep the order in which a task reads them, and are planned a block of about ``block``
@@ -141,6 +141,8 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     the little-endian 32-bit ids), ``doc_tokens``, ``sequence_id``, ``offset`` (of the piece in its
     sequence), ``sequence_tokens`` (before padding) and ``ids`` (binary; null without ``with_ids``).
 
+    ``words`` of a worker's latest words are kept with their ids; more take memory and save time, and give the same rows.
+
     Null and empty texts are the one token ``end_id``. Null keys and repeated rows are packed as they
     come. An empty table gives an empty table. Other columns are not read.
     """
@@ -152,7 +154,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = word_coder(path)
+        coder = word_coder(path, words)
         ends_sentence = coder.sentence_ends()
         number = TaskContext.get().partitionId() << 36
         keys, coded, held = [], [], 0

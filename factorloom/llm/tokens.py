@@ -6,6 +6,7 @@ import base64
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -73,12 +74,35 @@ def piece_encoding(path: str):
     return encoding, [i.to_bytes(4, "little") for i in ids]
 
 
+class Store(dict):
+    """What ``make`` gives for a key, for the keys looked up last, ``most`` at most.
+
+    At half of ``most`` entries it starts afresh and keeps them aside, from where keys that are looked up again come
+    back: frequent keys are made once.
+    """
+
+    def __init__(self, make: Callable, most: int) -> None:
+        super().__init__()
+        self.make, self.half, self.aside = make, max(1, most // 2), {}
+
+    def __missing__(self, key):
+        got = self.aside.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.half:
+            self.aside.clear()
+            self.aside.update(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class WordCoder:
     """Ids of a text by a tokenizer that never joins characters across ASCII white space.
 
     A text is one look-up for each word in a store of ids (little-endian, 32 bits). A word that is
-    not there is put together from its pieces, and only a new piece is encoded. At ``most`` entries
-    a store starts afresh, so memory is bounded. Words with rare characters or special tokens go
+    not there is put together from its pieces, and only a new piece is encoded. Each store holds
+    ``most`` entries, so memory is bounded. Words with rare characters or special tokens go
     through the whole tokenizer.
     """
 
@@ -92,29 +116,16 @@ class WordCoder:
         encoding, id_bytes = piece_encoding(path)
         of_piece, as_bytes = encoding.encode_ordinary, id_bytes.__getitem__
 
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                got = b"".join(map(as_bytes, of_piece(piece + _MARK)))
-                if len(self) >= most:
-                    self.clear()
-                self[piece] = got
-                return got
-
-        piece_ids = Pieces().__getitem__
-
-        class Words(dict):
-            def __missing__(self, word: bytes) -> bytes:
-                text = word.decode("utf-8", "replace")
-                if _PLAIN.fullmatch(text) and not any(t in text for t in added):
-                    got = b"".join(map(piece_ids, _PIECE.findall(text.lower())))
-                else:
-                    got = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                if len(self) >= most:
-                    self.clear()
-                self[word] = got
-                return got
-
-        self.store = Words()
+        piece_ids = Store(lambda piece: b"".join(map(as_bytes, of_piece(piece + _MARK))), most).__getitem__
+        plain, pieces, special = _PLAIN.fullmatch, _PIECE.findall, re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+
+        def ids_of(word: bytes) -> bytes:
+            text = word.decode("utf-8", "replace")
+            if plain(text) and not special(text):
+                return b"".join(map(piece_ids, pieces(text.lower())))
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+        self.store = Store(ids_of, most)
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.store.__getitem__, text.split()))

@@ -87,3 +87,13 @@ def test_word_store_is_small_by_default():
 
     assert inspect.signature(tokens.word_coder).parameters["most"].default <= 200_000
     assert inspect.signature(tokens.WordCoder.__init__).parameters["most"].default <= 200_000
+
+
+def test_frequent_words_outlast_a_full_store():
+    from factorloom.llm import tokens
+
+    made = []
+    store = tokens.Store(lambda k: made.append(k) or k, most=20)
+    for k in range(200):
+        assert store["often"] == "often" and store[k] == k and len(store) + len(store.aside) <= 20
+    assert made.count("often") == 1 and made[-1] == 199
