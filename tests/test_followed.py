@@ -125,3 +125,18 @@ def test_moving_metrics_of_a_month_in_one_pass(spark):
     assert got.keys() == expected.keys()
     for k, v in expected.items():
         assert [x is None for x in got[k]] == [x is None for x in v] and all(x is None or got[k][i] == pytest.approx(x) for i, x in enumerate(v))
+
+
+def test_a_month_without_values_has_no_ranks(spark):
+    dimension = spark.createDataFrame([("p", "risk", True, 60.0, 20.0), ("q", "risk", False, 40.0, 80.0)], "metric string, category string, higher boolean, generic double, bank double")
+    people = spark.createDataFrame([(f"T{i}", "x", "E1" if i else "E2") for i in range(12)], "ticker string, sector string, earner string")
+    series = spark.createDataFrame([(1, "E1", None, 2.0), (1, "E2", float("nan"), 2.0), (2, "E2", None, None)], "as_of int, earner string, p double, q double")
+    at, sectors = B.followed_ranks(series, people, ["p", "q"], dimension, "as_of", "earner")
+    assert sectors == ["x"] and {(r.as_of, r.earner, r.metric): r.pct for r in at.collect()} == {(1, e, "q"): [pytest.approx(100 - 6.5 / 12 * 100)] for e in ("E1", "E2")}
+
+
+def test_series_meet_names_without_a_shuffle_of_all_rows(spark, kept_rows):
+    rows = spark.createDataFrame([(m, f"P{i % 5}", "m", float(i % 7)) for m in (1, 2) for i in range(400)], "as_of int, series string, name string, value double")
+    after = spark.createDataFrame([(m, h, f"P{g}", g / 10) for m in (1, 2) for h in ("a", "b") for g in range(5)], "as_of int, horizon string, series string, fwd double")
+    got = B.ic_followed(None, rows, after, ["as_of", "horizon"]).collect()
+    assert len(got) == 4 and kept_rows["members"] == 10  # one for each month, set and series; its size decides on the join
