@@ -225,3 +225,22 @@ def test_cleaned_ranks_equal_winsorize_and_rank(spark):
     want = {(x.metric, x.ticker): (round(x.value, 9), round(x.pct, 6)) for x in scoring.pct_rank_sector(scoring.winsorize(tall)).collect()}
     got = {(x.metric, x.ticker): (round(x.value, 9), round(x.pct, 6)) for x in scoring.cleaned_ranks(tall).collect()}
     assert got == want
+
+
+def test_ranges_grow_in_number_with_the_rows(spark, monkeypatch):
+    from factorloom.functions import ranks
+
+    parts, plain = {}, ranks.stored
+
+    def looked_at(df, name="table"):
+        table = plain(df, name)
+        if name == "ranges":
+            parts.update({r["part"]: r["count"] for r in table.groupBy("part").count().collect()})
+        return table
+
+    monkeypatch.setattr(ranks, "stored", looked_at)
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 50, raising=False)
+    rows = [("a", f"t{i}", "x" if i % 3 else "y", float(i % 700)) for i in range(1000)]
+    got = ranks.placed_rows(spark.createDataFrame(rows, "metric string, ticker string, sector string, value double"), ["metric"], "sector").collect()
+    assert len(parts) > 10 and max(parts.values()) < 200  # of 1,000 rows and 4 shuffle partitions
+    assert all((x.below, x.n) == (sum(v < x.value for *_, v in rows), sum(v == x.value for *_, v in rows)) for x in got[::50]) and len(got) == 1000
