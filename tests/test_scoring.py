@@ -244,3 +244,38 @@ def test_ranges_grow_in_number_with_the_rows(spark, monkeypatch):
     got = ranks.placed_rows(spark.createDataFrame(rows, "metric string, ticker string, sector string, value double"), ["metric"], "sector").collect()
     assert len(parts) > 10 and max(parts.values()) < 200  # of 1,000 rows and 4 shuffle partitions
     assert all((x.below, x.n) == (sum(v < x.value for *_, v in rows), sum(v == x.value for *_, v in rows)) for x in got[::50]) and len(got) == 1000
+
+
+def test_what_a_metric_has_stays_out_of_the_sort(spark, monkeypatch):
+    kept, plain = {}, scoring.stored
+
+    def looked_at(df, name="table"):
+        kept[name] = df.columns
+        return plain(df, name)
+
+    from factorloom.functions import ranks
+
+    monkeypatch.setattr(scoring, "stored", looked_at)
+    monkeypatch.setattr(ranks, "stored", looked_at)
+    r = random.Random(4)
+    rows = [(m, f"t{i}", r.choice("xy"), i % 5 == 0, float(r.randint(0, 9))) for m in ("a", "b", "other") for i in range(60)]
+    tall = spark.createDataFrame(rows, "metric string, ticker string, sector string, is_bank boolean, value double")
+    dimension = spark.createDataFrame([("a", "risk", True, 60.0, 20.0), ("b", "risk", False, 40.0, 80.0)], "metric string, category string, higher boolean, generic double, bank double")
+    order = ["metric", "ticker", "category", "higher", "weight", "value", "pct"]
+    want = {tuple(x) for x in scoring.cleaned_ranks(scoring.with_dimension(tall, dimension)).select(*order).collect()}
+    kept.clear()
+    got = scoring.cleaned_ranks(tall, dimension=dimension).select(*order).collect()
+    assert {tuple(x) for x in got} == want and len(got) == 120
+    assert "placed" not in kept and not {"category", "higher", "weight"}.intersection(kept["ranges"])
+
+
+def test_kept_scores_start_from_kept_metrics(monkeypatch):
+    from factorloom.plans import scoring as plans
+
+    monkeypatch.setattr(plans, "kept", lambda s, sf, name, make: make(s, sf))
+    monkeypatch.setattr(plans, "metrics", lambda s, sf: "kept")
+    monkeypatch.setattr(plans, "all_metrics", lambda s, sf: "anew")
+    monkeypatch.setattr(plans, "history", lambda s, sf: None)
+    monkeypatch.setattr(plans.config, "metric_dimension", lambda s: None)
+    monkeypatch.setattr(plans.S, "score_pipeline", lambda of, *_, **__: of)
+    assert (plans.scored(None, "x"), plans.whole_chain(None, "x")) == ("kept", "anew")
