@@ -140,3 +140,21 @@ def test_series_meet_names_without_a_shuffle_of_all_rows(spark, kept_rows):
     after = spark.createDataFrame([(m, h, f"P{g}", g / 10) for m in (1, 2) for h in ("a", "b") for g in range(5)], "as_of int, horizon string, series string, fwd double")
     got = B.ic_followed(None, rows, after, ["as_of", "horizon"]).collect()
     assert len(got) == 4 and kept_rows["members"] == 10  # one for each month, set and series; its size decides on the join
+
+
+def test_rank_sums_cut_more_cells_for_more_rows(spark, monkeypatch):
+    held, plain = {}, B.stored
+
+    def looked_at(df, name="table"):
+        held[name] = plain(df, name)
+        return held[name]
+
+    monkeypatch.setattr(B, "stored", looked_at)
+    monkeypatch.setattr(B, "CELL_ROWS", 10, raising=False)
+    rows = [(1, f"G{i % 3}", float(i % 500), 1) for i in range(1000)] + [(2, None, 7.0, 2)]
+    got = {(r.k, r.g): (r.n, r.s, r.q) for r in B.rank_sums(spark.createDataFrame(rows, "k int, g string, value double, n long"), ["k"], "g").collect()}
+    rank = lambda v: 2 * 2 * int(v) + 2 - 1000
+    want = {(1, f"G{g}"): (sum(r[1] == f"G{g}" for r in rows), sum(rank(r[2]) for r in rows if r[1] == f"G{g}"), sum(rank(r[2]) ** 2 for r in rows if r[1] == f"G{g}")) for g in range(3)}
+    assert got == want | {(2, None): (2, 0.0, 0.0)}
+    cells = held["cell-sums"].groupBy("id", "cell").sum("n").collect()
+    assert len(cells) > 90 and max(c["sum(n)"] for c in cells) <= 20
