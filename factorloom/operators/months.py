@@ -10,14 +10,14 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.ranks import numbered, placed, quantiles
 from ..functions.stats import rounded
 from ..functions.store import stored
-from .backtest import CELLS, MonthParts
+from .backtest import CELLS, PIECE_ROWS, MonthParts, weighted_places
 
 #: Cells lie between -1000 and 1000 points; what lies beyond is in the first or the last.
 LOW, SPAN = -1000 * CELLS, 2000 * CELLS + 1
@@ -209,3 +209,173 @@ def value_trap_by_month(parts: MonthParts, q: float = 0.3, least: int = 20, shar
     name = F.get(F.array(*[F.lit(p) for p in PORTFOLIOS]), F.col("k"))
     ret = F.when(F.col("priced") > 0, F.col("total") / F.col("priced")).otherwise(0.0)
     return found.join(at, "at").select(month, name.alias("portfolio"), F.col("n").cast("long").alias("n"), ret.alias("ret"))
+
+
+def composite_by_month(scores: Mapping[str, np.ndarray], batch: pa.RecordBatch, parts: Sequence, known: Mapping, weights: Mapping[str, float]) -> np.ndarray:
+    """The raw composite, as in ``monthly_scores``, from the scores of the categories that change; NaN where there is none."""
+    total, points = np.zeros((batch.num_rows, 1)), np.zeros((batch.num_rows, 1))
+    for k, of in enumerate(parts):
+        if k in known:
+            total, points = total + column(batch, f"_t{k}")[:, None], points + column(batch, f"_s{k}")[:, None]
+        else:
+            w, score = float(weights[of[0]]), scores[of[0]]
+            there = ~np.isnan(score)
+            total, points = total + np.where(there, w, 0.0), points + np.where(there, w * np.nan_to_num(score), 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return round_at(np.where(total > 0, points / total, np.nan), 9)
+
+
+def names_with_factor(parts: MonthParts, weights: Mapping[str, float], categories: Sequence[str], group: str) -> DataFrame:
+    """(group, held): of each series, the followers that have a composite, and a score of each category, for every set of metrics that are there in a month (a bit each)."""
+    moving = list(parts.moving)
+    counts = []
+    for there in range(2 ** len(moving)):
+        weight = lambda c: sum((F.col(f"own_{m}") for i, m in enumerate(moving) if there >> i & 1 and parts.moving[m]["category"] == c), F.col(f"w_{c}"))  # noqa: B023, E731
+        has = {c: weight(c) > 0 for c in parts.changing}
+        total = sum((F.col(f"_t{k}") if k in parts.known else F.when(has[of[0]], float(weights[of[0]])).otherwise(0.0) for k, of in enumerate(parts.parts)), F.lit(0.0))
+        counts += [F.count_if(x) for x in (total > 0, *[has[c] for c in categories])]
+    return parts.base.groupBy(group).agg(F.array(*counts).alias("held"))
+
+
+def with_return_ranks(parts: MonthParts, held: DataFrame, factors: Sequence[str], month: str, group: str) -> DataFrame:
+    """The series with, for each factor, the names that have it (``n_``) and the rank of their return among all names that have both (``f_``: twice the mean rank, around zero).
+
+    A month's series are ranked together in a task.
+    """
+    bits = sum((F.when(F.col(f"pct_{m}").isNotNull(), 2**i).otherwise(0) for i, m in enumerate(parts.moving)), F.lit(0))
+    rows = parts.series.withColumn("bits", bits).join(held, group)
+    rows = rows.select(*parts.series.columns, *[F.get("held", F.col("bits") * len(factors) + i).alias(f"n_{f}") for i, f in enumerate(factors)])
+
+    def rank(table: pa.Table) -> pa.Table:
+        fwd = table.column("fwd").combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64)
+        at = np.flatnonzero(~np.isnan(fwd))
+        at = at[np.argsort(fwd[at], kind="stable")]
+        n = np.stack([table.column(f"n_{f}").combine_chunks().to_numpy(zero_copy_only=False) for f in factors], axis=1).astype(np.int64)
+        cum, ties = weighted_places(fwd[at], n[at])
+        out = np.full(n.shape, np.nan)
+        out[at] = 2 * cum - ties - n[at].sum(axis=0)
+        for i, f in enumerate(factors):
+            table = table.append_column(f"f_{f}", pa.array(out[:, i], from_pandas=True))
+        return table
+
+    schema = StructType([*rows.schema.fields, *[StructField(f"f_{f}", DoubleType()) for f in factors]])
+    return rows.groupBy(month).applyInArrow(rank, schema)
+
+
+#: Names of a cell of one point of a score, about; where there are more names a point has more cells.
+POINT_NAMES = 2_000_000
+
+
+def ic_by_month(parts: MonthParts, weights: Mapping[str, float], least: int = 20, digits: int = 6, month: str = "as_of", group: str = "earner") -> DataFrame:
+    """(month, factor, n, ic): rank correlations with the return ``fwd`` of the composite (as ``with_steps`` gives it) and of the scores, rounded at ``digits``, of the categories that change.
+
+    Returns are ranked on the series first, weighted by the names that have a factor, so a name's values meet the ranks of their returns. Values of all names and months are dealt out
+    once, in arrays by factor, month and cell of the value; a cell leaves only its sums, or, for the composite, its raw composites in order, whose percentiles follow from the counts of the cells before.
+    """
+    spark, categories = parts.base.sparkSession, sorted(parts.changing)
+    factors = ["composite", *[f"{c}_score" for c in categories]]
+    if not parts.months:
+        return spark.createDataFrame([], f"{month} {dict(parts.series.dtypes)[month]}, factor string, n long, ic double")
+    held = names_with_factor(parts, weights, categories, group)
+    series = stored(with_return_ranks(parts, held, factors, month, group), "return-ranks")
+    moving, sums_of, known, n_months = parts.moving, parts.parts, parts.known, len(parts.months)
+    per = 1 + parts.base.count() // POINT_NAMES
+    wide = met(parts._replace(series=series), [f"f_{f}" for f in factors], month, group)
+    used = [*[f"{x}_{c}" for c in categories for x in "pw"], *[f"{x}_{m}" for m in moving for x in ("own", "pct")], *[f"{x}{k}" for k in known for x in ("_t", "_s")], *[f"f_{f}" for f in factors]]
+    low, span = -1000 * per, 2000 * per + 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scores = {c: category_by_month(batch, c, moving) for c in categories}
+            values = [composite_by_month(scores, batch, sums_of, known, weights), *[round_at(scores[c], digits) for c in categories]]
+            for k, v in enumerate(values):
+                f = matrix(batch, f"f_{factors[k]}")
+                v = np.broadcast_to(v, f.shape)
+                row, at = np.nonzero(~np.isnan(v) & (~np.isnan(f) if k else True))  # all names have a place in the composite's percentiles
+                v, f = v[row, at], f[row, at]
+                key = at * span + np.floor(np.clip(v, -1000.0, 1000.0) * per).astype(np.int64) - low
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                starts = np.flatnonzero(np.append(True, np.diff(key) != 0))[: len(key)]
+                ends = pa.array(np.append(starts, len(key)), pa.int32())
+                lists_ = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (v, f)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), k, dtype=np.int32)), pa.array(key[starts]), *lists_], names=["k", "key", "v", "f"])
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of some whole cells."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).copy()
+        table = table.take(pa.array(np.lexsort((table.column("key").to_numpy(), table.column("k").to_numpy()))))
+        many = pc.list_value_length(table.column("v")).to_numpy()
+        k, key = (table.column(c).to_numpy() for c in ("k", "key"))
+        v, f = flat("v"), flat("f")
+        new = np.append(True, (k[1:] != k[:-1]) | (key[1:] != key[:-1]))
+        bounds = np.append(np.append(0, np.cumsum(many))[:-1][new], len(v))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):  # cell by cell
+            order = np.argsort(v[a:b])
+            v[a:b], f[a:b] = v[a:b][order], f[a:b][order]
+        k, key = np.repeat(k, many), np.repeat(key, many)
+        fresh = np.append(True, (k[1:] != k[:-1]) | (key[1:] != key[:-1]))
+        start = np.flatnonzero(fresh)
+        n = np.diff(np.append(start, len(v)))
+        ends = np.flatnonzero(np.append(fresh[1:] | (v[1:] != v[:-1]), True)) + 1
+        ties = np.diff(ends, prepend=0)
+        rank = np.repeat(2.0 * ends - ties, ties) - 2.0 * np.repeat(start, n)
+        is_score = k[start] > 0
+        there = np.where(np.repeat(is_score, n), f, 0.0)
+        sums = [np.where(is_score, np.add.reduceat(x, start), 0.0) for x in (rank, rank * rank, rank * there, there)]
+        # only the composite's values go on
+        whole = np.where(is_score, 0, n)
+        bounds = pa.array(np.append(0, np.cumsum(whole)), pa.int32())
+        on = k == 0
+        lists_ = [pa.ListArray.from_arrays(bounds, pa.array(x[on])) for x in (v, f)]
+        yield pa.RecordBatch.from_arrays([pa.array(k[start]), pa.array(key[start]), pa.array(n), *[pa.array(x) for x in sums], *lists_], names=["k", "key", "n", "r", "rr", "rf", "sf", "v", "f"])
+
+    arrays = "v array<double>, f array<double>"
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts.base.count() * n_months * len(factors) // PIECE_ROWS)
+    dealt = wide.select(*used).mapInArrow(deal, f"k int, key long, {arrays}").repartition(pieces, "k", "key")
+    found = stored(dealt.mapInArrow(inside, f"k int, key long, n long, r double, rr double, rf double, sf double, {arrays}"), "cells-by-month")
+    counts = found.where("k = 0").select("key", "n").toArrow()  # cells of one point, at most, of each month
+    here = np.zeros(n_months * span, dtype=np.int64)
+    here[counts["key"].to_numpy()] = counts["n"].to_numpy()
+    here = here.reshape(n_months, span)
+    totals, before = here.sum(axis=1), (np.cumsum(here, axis=1) - here).ravel()
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Names with a return, and the ranks of their returns, by the composites of a cell."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = batch.column("key")[i].as_py()
+                v, f = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in "vf")
+                ends = np.flatnonzero(np.append(v[1:] != v[:-1], True)) + 1
+                ties = np.diff(ends, prepend=0)
+                pct = (before[key] + ends - ties + (ties + 1) / 2) / totals[key // span] * 100
+                step = np.repeat(np.rint(pct * 100.0).astype(np.int32), ties)
+                start = np.flatnonzero(np.append(True, np.diff(step) != 0))
+                there = ~np.isnan(f)
+                sums = [np.add.reduceat(x, start) for x in (there.astype(np.int64), np.where(there, f, 0.0))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), key // span, dtype=np.int32)), pa.array(step[start]), *[pa.array(x) for x in sums]], names=["at", "cell", "n", "sf"])
+
+    # a cell of the composite is one of its values
+    composite = found.where("k = 0").select("key", "v", "f").mapInArrow(steps, "at int, cell int, n long, sf double").groupBy("at", "cell").agg(F.sum("n").alias("n"), F.sum("sf").alias("sf")).where("n > 0")
+    n = F.col("n").cast("double")
+    composite = composite.select(F.lit(0).alias("k"), "at", F.col("cell").cast("long").alias("cell"), "n", (n * n).alias("r"), (n * n * n).alias("rr"), (n * F.col("sf")).alias("rf"), "sf")
+    others = found.where("k > 0").select("k", F.floor(F.col("key") / span).cast("int").alias("at"), F.col("key").alias("cell"), "n", "r", "rr", "rf", "sf")
+    sums = composite.unionByName(others)
+    whole = Window.partitionBy("k", "at")
+    shift = (2 * F.coalesce(F.sum("n").over(whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("n").over(whole)).cast("double")
+    sums = sums.withColumn("shift", shift)
+    s = F.col("shift")
+    sums = sums.groupBy("k", "at").agg(F.sum("n").alias("n"), F.sum(F.col("rf") + s * F.col("sf")).alias("xy"), F.sum(F.col("rr") + 2 * s * F.col("r") + s * s * F.col("n")).alias("xx"))
+    # the spread of the ranks of returns
+    yy = [F.sum(F.col(f"n_{f}") * F.col(f"f_{f}") * F.col(f"f_{f}")).alias(str(k)) for k, f in enumerate(factors)]
+    yy = series.groupBy(month).agg(*yy).unpivot([month], [str(k) for k in range(len(factors))], "k", "yy")
+    at = F.broadcast(spark.createDataFrame([(i, m) for i, m in enumerate(parts.months)], f"at int, {month} {dict(parts.series.dtypes)[month]}"))
+    out = sums.join(at, "at").join(yy.select(month, F.col("k").cast("int").alias("k"), "yy"), [month, "k"])
+    ic = F.when((F.col("xx") > 0) & (F.col("yy") > 0), rounded(F.col("xy") / F.sqrt("xx") / F.sqrt("yy"), digits))
+    return out.where(F.col("n") >= least).select(month, F.get(F.array(*[F.lit(f) for f in factors]), F.col("k")).alias("factor"), "n", ic.alias("ic"))

@@ -63,3 +63,17 @@ def test_value_portfolios_of_months_without_a_row_for_each(spark, kept_rows):
     assert want[1, "value"][1] == 0 and len({v[0] for v in want.values()}) > 1  # some months have fewer names than a fifth
     assert max(sizes.values()) < 4 * 400  # values of the metrics; there are 2,800 names and months
     assert MO.value_trap_by_month(B.month_parts(*inputs(spark, names=15))).count() == 0
+
+
+def test_coefficients_of_months_without_a_row_for_each(spark, kept_rows):
+    given = inputs(spark)
+    parts = B.month_parts(*given)
+    got = {(r.as_of, r.factor): (r.n, r.ic) for r in MO.ic_by_month(parts, WEIGHTS).collect()}
+    sizes = dict(kept_rows)
+    rows = B.monthly_scores(*given).withColumn("momentum_score", rounded(F.col("momentum_score"), 6))
+    factors = ["composite", "momentum_score"]
+    want = {(r.as_of, r.factor): (r.n, r.ic) for r in B.ic_series(rows, rows.where("fwd is not null").select("as_of", "ticker", "fwd"), factors).collect()}
+    assert len(want) == 12 and got == want  # one month has no returns
+    assert len({v[0] for v in want.values()}) > 1
+    assert max(n for name, n in sizes.items() if name != "cells-by-month") < 4 * 400  # values of the metrics; there are 2,800 names and months
+    assert sizes["cells-by-month"] <= 2 * 7 * 101
