@@ -12,12 +12,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..functions.ranks import numbered, placed, quantiles
 from ..functions.stats import rounded
 from ..functions.store import stored
-from .backtest import CELLS, PIECE_ROWS, MonthParts, weighted_places
+from .backtest import CELLS, PIECE_ROWS, MonthParts, factors_of
 
 #: Cells lie between -1000 and 1000 points; what lies beyond is in the first or the last.
 LOW, SPAN = -1000 * CELLS, 2000 * CELLS + 1
@@ -225,43 +225,6 @@ def composite_by_month(scores: Mapping[str, np.ndarray], batch: pa.RecordBatch,
         return round_at(np.where(total > 0, points / total, np.nan), 9)
 
 
-def names_with_factor(parts: MonthParts, weights: Mapping[str, float], categories: Sequence[str], group: str) -> DataFrame:
-    """(group, held): of each series, the followers that have a composite, and a score of each category, for every set of metrics that are there in a month (a bit each)."""
-    moving = list(parts.moving)
-    counts = []
-    for there in range(2 ** len(moving)):
-        weight = lambda c: sum((F.col(f"own_{m}") for i, m in enumerate(moving) if there >> i & 1 and parts.moving[m]["category"] == c), F.col(f"w_{c}"))  # noqa: B023, E731
-        has = {c: weight(c) > 0 for c in parts.changing}
-        total = sum((F.col(f"_t{k}") if k in parts.known else F.when(has[of[0]], float(weights[of[0]])).otherwise(0.0) for k, of in enumerate(parts.parts)), F.lit(0.0))
-        counts += [F.count_if(x) for x in (total > 0, *[has[c] for c in categories])]
-    return parts.base.groupBy(group).agg(F.array(*counts).alias("held"))
-
-
-def with_return_ranks(parts: MonthParts, held: DataFrame, factors: Sequence[str], month: str, group: str) -> DataFrame:
-    """The series with, for each factor, the names that have it (``n_``) and the rank of their return among all names that have both (``f_``: twice the mean rank, around zero).
-
-    A month's series are ranked together in a task.
-    """
-    bits = sum((F.when(F.col(f"pct_{m}").isNotNull(), 2**i).otherwise(0) for i, m in enumerate(parts.moving)), F.lit(0))
-    rows = parts.series.withColumn("bits", bits).join(held, group)
-    rows = rows.select(*parts.series.columns, *[F.get("held", F.col("bits") * len(factors) + i).alias(f"n_{f}") for i, f in enumerate(factors)])
-
-    def rank(table: pa.Table) -> pa.Table:
-        fwd = table.column("fwd").combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64)
-        at = np.flatnonzero(~np.isnan(fwd))
-        at = at[np.argsort(fwd[at], kind="stable")]
-        n = np.stack([table.column(f"n_{f}").combine_chunks().to_numpy(zero_copy_only=False) for f in factors], axis=1).astype(np.int64)
-        cum, ties = weighted_places(fwd[at], n[at])
-        out = np.full(n.shape, np.nan)
-        out[at] = 2 * cum - ties - n[at].sum(axis=0)
-        for i, f in enumerate(factors):
-            table = table.append_column(f"f_{f}", pa.array(out[:, i], from_pandas=True))
-        return table
-
-    schema = StructType([*rows.schema.fields, *[StructField(f"f_{f}", DoubleType()) for f in factors]])
-    return rows.groupBy(month).applyInArrow(rank, schema)
-
-
 #: Names of a cell of one point of a score, about; where there are more names a point has more cells.
 POINT_NAMES = 2_000_000
 
@@ -269,18 +232,16 @@ POINT_NAMES = 2_000_000
 def ic_by_month(parts: MonthParts, weights: Mapping[str, float], least: int = 20, digits: int = 6, month: str = "as_of", group: str = "earner") -> DataFrame:
     """(month, factor, n, ic): rank correlations with the return ``fwd`` of the composite (as ``with_steps`` gives it) and of the scores, rounded at ``digits``, of the categories that change.
 
-    Returns are ranked on the series first, weighted by the names that have a factor, so a name's values meet the ranks of their returns. Values of all names and months are dealt out
+    ``parts`` are those with ``returns``: they are ranked on the series, weighted by the names that have a factor, so a name's values meet the ranks of their returns. Values of all names and months are dealt out
     once, in arrays by factor, month and cell of the value; a cell leaves only its sums, or, for the composite, its raw composites in order, whose percentiles follow from the counts of the cells before.
     """
     spark, categories = parts.base.sparkSession, sorted(parts.changing)
-    factors = ["composite", *[f"{c}_score" for c in categories]]
+    factors = factors_of(parts.changing)
     if not parts.months:
         return spark.createDataFrame([], f"{month} {dict(parts.series.dtypes)[month]}, factor string, n long, ic double")
-    held = names_with_factor(parts, weights, categories, group)
-    series = stored(with_return_ranks(parts, held, factors, month, group), "return-ranks")
     moving, sums_of, known, n_months = parts.moving, parts.parts, parts.known, len(parts.months)
     per = 1 + parts.base.count() // POINT_NAMES
-    wide = met(parts._replace(series=series), [f"f_{f}" for f in factors], month, group)
+    wide = met(parts, [f"f_{f}" for f in factors], month, group)
     used = [*[f"{x}_{c}" for c in categories for x in "pw"], *[f"{x}_{m}" for m in moving for x in ("own", "pct")], *[f"{x}{k}" for k in known for x in ("_t", "_s")], *[f"f_{f}" for f in factors]]
     low, span = -1000 * per, 2000 * per + 1
 
@@ -374,7 +335,7 @@ def ic_by_month(parts: MonthParts, weights: Mapping[str, float], least: int = 20
     sums = sums.groupBy("k", "at").agg(F.sum("n").alias("n"), F.sum(F.col("rf") + s * F.col("sf")).alias("xy"), F.sum(F.col("rr") + 2 * s * F.col("r") + s * s * F.col("n")).alias("xx"))
     # the spread of the ranks of returns
     yy = [F.sum(F.col(f"n_{f}") * F.col(f"f_{f}") * F.col(f"f_{f}")).alias(str(k)) for k, f in enumerate(factors)]
-    yy = series.groupBy(month).agg(*yy).unpivot([month], [str(k) for k in range(len(factors))], "k", "yy")
+    yy = parts.series.groupBy(month).agg(*yy).unpivot([month], [str(k) for k in range(len(factors))], "k", "yy")
     at = F.broadcast(spark.createDataFrame([(i, m) for i, m in enumerate(parts.months)], f"at int, {month} {dict(parts.series.dtypes)[month]}"))
     out = sums.join(at, "at").join(yy.select(month, F.col("k").cast("int").alias("k"), "yy"), [month, "k"])
     ic = F.when((F.col("xx") > 0) & (F.col("yy") > 0), rounded(F.col("xy") / F.sqrt("xx") / F.sqrt("yy"), digits))

@@ -67,7 +67,7 @@ def test_value_portfolios_of_months_without_a_row_for_each(spark, kept_rows):
 
 def test_coefficients_of_months_without_a_row_for_each(spark, kept_rows):
     given = inputs(spark)
-    parts = B.month_parts(*given)
+    parts = B.month_parts(*given, returns=True)
     got = {(r.as_of, r.factor): (r.n, r.ic) for r in MO.ic_by_month(parts, WEIGHTS).collect()}
     sizes = dict(kept_rows)
     rows = B.monthly_scores(*given).withColumn("momentum_score", rounded(F.col("momentum_score"), 6))
